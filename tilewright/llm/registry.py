@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, jaccard, mixing, packing, quality, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_pack_best_fit": packing.op3_pack_best_fit,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_warc_revisits": warc.op9_warc_revisits,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op9_warc_revisits": warc.ORACLE,
 }
