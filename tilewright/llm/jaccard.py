@@ -41,7 +41,7 @@ class Shingler:
         if len(self.words) > _REMEMBERED:
             self.words = {}
         known = self.words
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         size = max(1, min(self.n, len(words)))

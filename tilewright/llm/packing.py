@@ -50,7 +50,7 @@ class WordEncoder:
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self.words) > _REMEMBERED:
             self.words = {}
-        new = set().union(*texts) - self.words.keys()
+        new = {w for words in texts for w in words if w not in self.words}
         plain, tails, other = set(), {}, []
         for w in new:
             core, tail = (w[:-1], w[-1:]) if len(w) > 1 and w[-1] in _TAILS else (w, b"")
