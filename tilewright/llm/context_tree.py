@@ -223,50 +223,67 @@ class Lookup:
 
 # ---- over a corpus
 
-_TEXT, _GRAMS, _WORDS = 0, 1, 2
+_TEXT, _GRAMS, _WORDS = 9, 1, 2
 CELLS = "kind int, block long, shard int, a binary, b binary"
 _CELLS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
 
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about _PIECE bytes each."""
+    first = 0
+    while first < len(sizes):
+        last, size = first, 0
+        while last < len(sizes) and (size < _PIECE or last == first):
+            size += int(sizes[last])
+            last += 1
+        yield first, last
+        first = last
+
+
+def _chunk_grams(texts: list[bytes], held: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A chunk's distinct grams, their counts in training texts, and the places of each shard's among them."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for first, last in _pieces(np.array([len(t) for t in texts], np.int64)):
+        for test in (0, 1):
+            if own := b"".join(t for t, h in zip(texts[first:last], held[first:last], strict=True) if h == test):
+                keys, n = np.unique(gram_keys(own), return_counts=True)
+                parts.append((keys, n * (1 - test)))
+    keys, n = add_up(parts)
+    return keys, n, _split(mix(keys) % np.uint64(shards), shards)
+
+
+def _chunk_words(texts: list[bytes], held: np.ndarray, shards: int) -> tuple[list[bytes], Counter, list[np.ndarray]]:
+    """A chunk's distinct words in order, their counts in training texts, and the places of each shard's among them."""
+    words, trained = set(), Counter()
+    for text, test in zip(texts, held, strict=True):
+        words.update(text.split()) if test else trained.update(text.split())
+    every = sorted(words | trained.keys())
+    shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in every), np.int64, len(every))
+    return every, trained, _split(shard, shards)
+
+
+def _split(shard: np.ndarray, shards: int) -> list[np.ndarray]:
+    order = np.argsort(shard, kind="stable")
+    return np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
+
+
 def _chunks(shards: int):
     """A mapInArrow function from (doc_id, text as bytes) to CELLS: texts in chunks, and each chunk's distinct grams and words by shard."""
 
     def cells(block: int, docs: list[tuple]) -> Iterator[tuple]:
-        texts, ids, held = [], [], []
-        words, trained = set(), Counter()
-        for doc_id, tokens in docs:
-            texts.append(canonical(tokens))
-            ids.append(doc_id)
-            held.append(held_out(doc_id))
-            words.update(tokens) if held[-1] else trained.update(tokens)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        null = np.array([i is None for i in ids], np.uint8)
-        meta = np.array([i or 0 for i in ids], np.int64).tobytes() + sizes.tobytes() + null.tobytes() + np.array(held, np.uint8).tobytes()
-        yield _TEXT, block, 0, squeeze(b"".join(texts)), squeeze(meta)
-        parts, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (size < _PIECE or end == at):
-                size += len(texts[end])
-                end += 1
-            for test in (False, True):
-                if own := b"".join(t for t, h in zip(texts[at:end], held[at:end], strict=True) if h == test):
-                    keys, n = np.unique(gram_keys(own), return_counts=True)
-                    parts.append((keys, n * (not test)))
-            at = end
-        keys, n = add_up(parts)
-        shard = mix(keys) % np.uint64(shards)
-        for s in np.unique(shard).tolist():
-            mine = shard == s
-            yield _GRAMS, block, s, pack_sorted(keys[mine]), pack_array(n[mine].astype(np.uint32))
-        words = list(words | trained.keys())
-        if words:
-            shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.int64, len(words))
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) > 0, True])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                mine = [words[i] for i in order[a:b].tolist()]
-                yield _WORDS, block, int(shard[order[a]]), squeeze(_END.join(mine)), pack_array(np.fromiter(map(trained.__getitem__, mine), np.uint32, len(mine)))
+        texts, ids = [canonical(tokens) for _, tokens in docs], [i for i, _ in docs]
+        held = np.array([held_out(i) for i in ids], np.uint8)
+        meta = [np.array([i or 0 for i in ids], np.int64), np.array([len(t) for t in texts], np.int64), np.array([i is None for i in ids], np.uint8), held]
+        yield _TEXT, block, 0, squeeze(b"".join(texts)), squeeze(b"".join(x.tobytes() for x in meta))
+        keys, n, places = _chunk_grams(texts, held, shards)
+        for s, mine in enumerate(places):
+            if len(mine):
+                yield _GRAMS, block, s, pack_sorted(keys[mine]), pack_array(n[mine].astype(np.uint32))
+        words, trained, places = _chunk_words(texts, held, shards)
+        for s, mine in enumerate(places):
+            if len(mine):
+                own = [words[i] for i in mine.tolist()]
+                yield _WORDS, block, s, squeeze(_END.join(own)), pack_array(np.fromiter(map(trained.__getitem__, own), np.uint32, len(own)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -348,7 +365,7 @@ def _return_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 keys, values = (np.concatenate([s[i] for s in scored]) for i in (0, 1))
                 order = np.argsort(keys, kind="stable")
                 table = keys[order], values[order]
-            yield batch(_SCORED, [(shard, block, a, pack_array(table[1][np.searchsorted(table[0], unpack_sorted(a))]))])
+            yield batch(_SCORED, [(shard, block, None, pack_array(table[1][np.searchsorted(table[0], unpack_sorted(a))]))])
 
 
 _COUNTED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
@@ -367,15 +384,15 @@ def _combine_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         n, v = sum(totals.values()), len(totals)
         for block, a in chunks:
             words = expand(a).split(_END)
-            yield batch(_COUNTED, [(shard, block, a, pack_array(np.fromiter(map(totals.__getitem__, words), np.int64, len(words))), n, v)])
+            yield batch(_COUNTED, [(shard, block, None, pack_array(np.fromiter(map(totals.__getitem__, words), np.int64, len(words))), n, v)])
             n = v = 0
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score_texts(n: int, v: int, ends: int):
-    """From a chunk's grams and words with what they count, then its text: a row per document."""
+def _score_texts(shards: int, n: int, v: int, ends: int):
+    """From what a chunk's grams and words count, then its text: a row per document."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def base(c: np.ndarray) -> np.ndarray:
@@ -384,34 +401,38 @@ def _score_texts(n: int, v: int, ends: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end_base, end_known = float(base(np.array(float(ends)))), int(ends > 0)
         for _, rows in groups(batches, "block"):
-            keys, scores, counts = [], [], {}
-            for _, kind, a, b in rows:
+            scores, counts = {}, {}
+            for _, kind, shard, a, b in rows:
                 if kind == _GRAMS:
-                    keys.append(unpack_sorted(a))
-                    scores.append(unpack_array(b, np.float32))
-                elif kind == _WORDS:
-                    counts |= zip(expand(a).split(_END), unpack_array(b, np.int64).tolist(), strict=True)
-                else:
-                    table = Lookup(np.concatenate(keys), np.concatenate(scores))
-                    text, meta = expand(a), expand(b)
-                    many = len(meta) // 18
-                    ids, sizes = np.frombuffer(meta[: 8 * many], np.int64), np.frombuffer(meta[8 * many : 16 * many], np.int64)
-                    null, held = np.frombuffer(meta[16 * many : 17 * many], np.uint8), np.frombuffer(meta[17 * many :], np.uint8)
-                    out, at, first = [], 0, 0
-                    while first < many:
-                        last, size = first, 0
-                        while last < many and (size < _PIECE or last == first):
-                            size += int(sizes[last])
-                            last += 1
-                        piece = text[at : at + size]
-                        starts = np.r_[0, np.cumsum(sizes[first : last - 1])].astype(np.int64)
-                        sums = np.add.reduceat(table[gram_keys(piece)].astype(np.float64), starts)
-                        for i, start in enumerate(starts.tolist()):
-                            words = piece[start : start + int(sizes[first + i])].split()
-                            c = np.fromiter(map(counts.__getitem__, words), np.int64, len(words))
-                            d = first + i
-                            out.append((None if null[d] else int(ids[d]), bool(held[d]), len(words) + 1, int((c > 0).sum()) + end_known, n, float(base(c).sum()) + end_base, float(sums[i])))
-                        at, first = at + size, last
+                    scores[shard] = unpack_array(b, np.float32)
+                    continue
+                if kind == _WORDS:
+                    counts[shard] = unpack_array(b, np.int64)
+                    continue
+                text, meta = expand(a), expand(b)
+                many = len(meta) // 18
+                ids, sizes = np.frombuffer(meta[: 8 * many], np.int64), np.frombuffer(meta[8 * many : 16 * many], np.int64)
+                null, held = np.frombuffer(meta[16 * many : 17 * many], np.uint8), np.frombuffer(meta[17 * many :], np.uint8)
+                ends_at = np.cumsum(sizes)
+                texts = [text[end - size : end] for end, size in zip(ends_at.tolist(), sizes.tolist(), strict=True)]
+                keys, _, places = _chunk_grams(texts, held, shards)
+                values = np.zeros(len(keys), np.float32)
+                for s, mine in enumerate(places):
+                    values[mine] = scores.pop(s, ())
+                table = Lookup(keys, values)
+                words, _, places = _chunk_words(texts, held, shards)
+                c = np.zeros(len(words), np.int64)
+                for s, mine in enumerate(places):
+                    c[mine] = counts.pop(s, ())
+                known = dict(zip(words, c.tolist(), strict=True))
+                for first, last in _pieces(sizes):
+                    starts = np.cumsum(sizes[first:last]) - sizes[first:last]
+                    sums = np.add.reduceat(table[gram_keys(b"".join(texts[first:last]))].astype(np.float64), starts)
+                    out = []
+                    for d in range(first, last):
+                        own = texts[d].split()
+                        c = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+                        out.append((None if null[d] else int(ids[d]), bool(held[d]), len(own) + 1, int((c > 0).sum()) + end_known, n, float(base(c).sum()) + end_base, float(sums[d - first])))
                     yield batch(schema, out)
 
     return read
@@ -458,12 +479,12 @@ def context_tree_scores(docs: DataFrame) -> DataFrame:
         ends = int(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.crc32(key.cast("binary")) % FOLDS != HELD).count())
         got = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
         together = (
-            cells.where(F.col("kind") == _TEXT).select("block", F.lit(_TEXT + 9).alias("kind"), "a", "b")
-            .unionByName(known.select("block", F.lit(_GRAMS).alias("kind"), "a", "b"))
-            .unionByName(counted.select("block", F.lit(_WORDS).alias("kind"), "a", "b"))
+            cells.where(F.col("kind") == _TEXT).select("block", "kind", "shard", "a", "b")
+            .unionByName(known.select("block", F.lit(_GRAMS).alias("kind"), "shard", "a", "b"))
+            .unionByName(counted.select("block", F.lit(_WORDS).alias("kind"), "shard", "a", "b"))
         )
         dealt = together.repartition("block").sortWithinPartitions("block", "kind")
-        result = ws.stage(dealt.mapInArrow(_score_texts(int(got[0]) + ends, int(got[1]) + (ends > 0), ends), RESULT), "result")
+        result = ws.stage(dealt.mapInArrow(_score_texts(shards, int(got[0]) + ends, int(got[1]) + (ends > 0), ends), RESULT), "result")
     ws.drop("cells", "known", "counted")
     return result
 
