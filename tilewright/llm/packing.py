@@ -17,52 +17,68 @@ from .shared import Workspace, arrow_rows, load, text_or_empty
 CAPACITY = 2048
 END_ID = 0
 _REMEMBERED = 400_000
-_TAILS = b".,;:!?"
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _byte_letters() -> dict[int, int]:
+    """The character that a byte-level vocabulary writes for each byte: itself where it prints, else the next from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 class WordEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes, with the ids of words remembered.
 
     White space never crosses a token of this vocabulary's pre-tokeniser, so a text's ids are those of its
-    space-separated words in order. A text that may hold a special token's string goes whole to the tokeniser."""
+    space-separated words in order. Letters and the marks after them are pre-tokens of their own, so a word
+    of letters goes straight to the merges, without marks. All other words, and texts that may hold a special token's
+    string, go to the whole tokeniser."""
 
     def __init__(self, vocab: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocab)
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
         self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {b"": b""}
+        self.tails: dict[bytes, bytes] = {b"": b""}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _plain(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that are each one pre-token: encoded as one text and cut by word number."""
-        if not words:
-            return {}
-        got = self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False)
-        ids, of = np.array(got.ids, "<u4"), np.array([-1 if w is None else w for w in got.word_ids])
-        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
-        if len(starts) != len(words):
-            return {w: self._ids(w.decode()) for w in words}
-        raw, ends = ids.tobytes(), np.r_[starts[1:], len(ids)]
-        return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, starts.tolist(), ends.tolist(), strict=True)}
+    def _core(self, core: bytes) -> bytes | None:
+        """The ids of a word of letters only; None where it is not one."""
+        if core.isalpha():
+            text = core.decode()
+        elif not core.isascii() and _one_word(core):
+            text = core.decode("latin-1").translate(self.letters)
+        else:
+            return None
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(text)])
 
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self.words) > _REMEMBERED:
             self.words = {}
-        new = {w for words in texts for w in words if w not in self.words}
-        plain, tails, other = set(), {}, []
-        for w in new:
-            core, tail = (w[:-1], w[-1:]) if len(w) > 1 and w[-1] in _TAILS else (w, b"")
-            if core.isalpha() or (not core.isascii() and _one_word(core)):
-                plain.add(core)
-                tails[w] = core, tail
-            else:
-                other.append(w)
-        known = self._plain(sorted(plain))
-        marks = {b"": b""} | {bytes([t]): self._ids(chr(t)) for t in _TAILS}
-        self.words |= {w: known[core] + marks[tail] for w, (core, tail) in tails.items()}
-        self.words |= {w: self._ids(w.decode()) for w in other}
+        if len(self.cores) > _REMEMBERED:
+            self.cores = {b"": b""}
+        for w in {w for words in texts for w in words if w not in self.words}:
+            core = w.rstrip(_MARKS)
+            ids = self.cores.get(core)
+            if ids is None:
+                ids = self._core(core)
+                if ids is None:
+                    self.words[w] = self._ids(w.decode())
+                    continue
+                self.cores[core] = ids
+            tail = w[len(core) :]
+            marks = self.tails.get(tail)
+            if marks is None:
+                marks = self._ids(tail.decode())
+                if len(self.tails) < 10_000:
+                    self.tails[tail] = marks
+            self.words[w] = ids + marks
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         whole = [b"<|" in t for t in texts]
