@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import codec, pixels, scalars, tiles
+
+_PARTS = (scalars, pixels, tiles, codec)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return tiles.QUERIES["op_e10_quantise"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for part in _PARTS for k, v in part.ORACLES.items()}
