@@ -274,7 +274,7 @@ def _chunks(shards: int):
         texts, ids = [canonical(tokens) for _, tokens in docs], [i for i, _ in docs]
         held = np.array([held_out(i) for i in ids], np.uint8)
         meta = [np.array([i or 0 for i in ids], np.int64), np.array([len(t) for t in texts], np.int64), np.array([i is None for i in ids], np.uint8), held]
-        yield _TEXT, block, 0, squeeze(b"".join(texts)), squeeze(b"".join(x.tobytes() for x in meta))
+        yield _TEXT, block, 0, squeeze(b"".join(texts), 6), squeeze(b"".join(x.tobytes() for x in meta))
         keys, n, places = _chunk_grams(texts, held, shards)
         for s, mine in enumerate(places):
             if len(mine):

@@ -15,7 +15,7 @@ from .jaccard import mix
 from .shared import Workspace, arrow_rows, load, text_or_empty
 
 #: Length of a repeated string, and of the grams whose smallest hash in it is its anchor.
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 _LEFT = LENGTH - GRAM
 #: Bytes of text that travel together, and that are hashed at a time.
 CHUNK, _PIECE = 16 << 20, 2 << 20
@@ -152,21 +152,22 @@ def anchors(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     return place, h[place], place - start[last], place - start[runs]
 
 
-def contexts(text: bytes, sizes: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A row for each anchor: its hash, the bytes it has before and after, and these bytes, zero beyond the document."""
+#: Bytes of a context's row: anchor hash, distances, and the bytes around the anchor.
+_HEAD = 10
+_ROW = -(-(_HEAD + _LEFT + LENGTH) // 8) * 8
+
+
+def contexts(text: bytes, place: np.ndarray, h: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """A row for each anchor: its hash, the distances of its strings, and the bytes that these cover, zero beyond."""
     x = np.zeros(len(text) + _LEFT + LENGTH, np.uint8)
     x[_LEFT : _LEFT + len(text)] = np.frombuffer(text, np.uint8)
-    ends = np.cumsum(sizes)
-    doc = np.searchsorted(ends, place, "right")
-    left, right = np.minimum(place - (ends - sizes)[doc], _LEFT), np.minimum(ends[doc] - place, LENGTH)
-    rows = np.zeros((len(place), 184), np.uint8)
+    rows = np.zeros((len(place), _ROW), np.uint8)
     rows[:, :8] = h.astype(">u8").view(np.uint8).reshape(-1, 8)
-    rows[:, 8], rows[:, 9] = left, right
-    rows[:, 10 : 10 + _LEFT + LENGTH] = np.lib.stride_tricks.sliding_window_view(x, _LEFT + LENGTH)[place]
-    cut = np.flatnonzero((left < _LEFT) | (right < LENGTH))
-    column = np.arange(_LEFT + LENGTH)
-    outside = (column < _LEFT - left[cut, None]) | (column >= _LEFT + right[cut, None])
-    rows[cut, 10 : 10 + _LEFT + LENGTH] *= ~outside
+    rows[:, 8], rows[:, 9] = least, most
+    body = rows[:, _HEAD : _HEAD + _LEFT + LENGTH]
+    body[:] = np.lib.stride_tricks.sliding_window_view(x, _LEFT + LENGTH)[place]
+    column = np.arange(_LEFT + LENGTH, dtype=np.int16)
+    body *= (column >= (_LEFT - most)[:, None].astype(np.int16)) & (column < (_LEFT - least + LENGTH)[:, None].astype(np.int16))
     return rows
 
 
@@ -202,7 +203,7 @@ def _chunks(shards: int):
         docs.sort(key=lambda d: (d[0] is None, d[0] or 0))
         text, sizes = b"".join(t for _, t in docs), np.array([len(t) for _, t in docs], np.int64)
         meta = np.array([i or 0 for i, _ in docs], np.int64).tobytes() + sizes.tobytes() + np.array([i is None for i, _ in docs], np.uint8).tobytes()
-        yield _TEXT, block, 0, squeeze(text), squeeze(meta)
+        yield _TEXT, block, 0, squeeze(text, 6), squeeze(meta)
         found = [anchors(piece, own)[1] for _, piece, own in _pieces(text, sizes)]
         keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         for s, mine in _by_shard(keys, shards):
@@ -275,12 +276,12 @@ def _send_contexts(shards: int):
                 for s, mine in _by_shard(keys, shards):
                     again[mine] = np.unpackbits(bits[s], count=len(mine)).astype(bool)
                 keys = keys[again]
-                matrix, order = [np.zeros((0, 184), np.uint8)], [np.zeros(0, _ORDER)]
+                matrix, order = [np.zeros((0, _ROW), np.uint8)], [np.zeros(0, _ORDER)]
                 for first, piece, own, (place, h, least, most) in found:
                     at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                     use = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                     place, h, least, most = (x[use] for x in (place, h, least, most))
-                    matrix.append(contexts(piece, own, place, h))
+                    matrix.append(contexts(piece, place, h, least, most))
                     ends = np.cumsum(own)
                     doc = np.searchsorted(ends, place, "right")
                     o = np.empty(len(place), _ORDER)
@@ -308,11 +309,11 @@ def repeated_windows(rows: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, n
     mine = np.flatnonzero(n[back] > 1)
     mine = mine[np.argsort(back[mine], kind="stable")]
     out_row, out_dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    # slices of whole anchors, of about 20,000 contexts
+    # slices of whole anchors, of about 6,000 contexts
     cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(back[mine]) != 0]) if len(mine) else np.zeros(0, np.int64), len(mine)]
     a = 0
     while a < len(cuts) - 1:
-        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + 20_000, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + 6_000, "right")) - 1)
         part = mine[cuts[a] : cuts[b]]
         a = b
         many = where["most"][part].astype(np.int64) - where["least"][part] + 1
@@ -325,7 +326,7 @@ def repeated_windows(rows: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, n
         table[:, 8] = dist
         for d in np.unique(dist).tolist():
             of = slice(*np.searchsorted(dist, [d, d + 1]))
-            table[of, 9 : 9 + LENGTH] = rows[row[of], 10 + _LEFT - d : 10 + _LEFT - d + LENGTH]
+            table[of, 9 : 9 + LENGTH] = rows[row[of], _HEAD + _LEFT - d : _HEAD + _LEFT - d + LENGTH]
         _, new = deep_shallow(table)
         out_row.append(row[~new])
         out_dist.append(dist[~new])
@@ -340,7 +341,7 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if kind == _SPANS:
                 yield batch(_CELLS, [(_SPANS, block, shard, a, b"")])
                 continue
-            matrix.append(np.frombuffer(expand(a), np.uint8).reshape(-1, 184))
+            matrix.append(np.frombuffer(expand(a), np.uint8).reshape(-1, _ROW))
             order.append(np.frombuffer(expand(b), _ORDER))
         if not matrix:
             continue
@@ -376,29 +377,30 @@ def _cut(with_text: bool):
                 ids, sizes = np.frombuffer(meta[: 8 * many], np.int64), np.frombuffer(meta[8 * many : 16 * many], np.int64)
                 null = np.frombuffer(meta[16 * many :], np.uint8)
                 span = np.concatenate(spans)
-                starts = np.cumsum(sizes) - sizes
-                edge = np.bincount(starts[span["doc"]] + span["start"], minlength=len(text) + 1) - np.bincount(starts[span["doc"]] + span["end"], minlength=len(text) + 1)
-                gone = np.cumsum(edge[:-1]) > 0
-                upto = np.r_[0, np.cumsum(gone)]
-                removed = upto[starts + sizes] - upto[starts]
-                opens = gone.copy()
-                opens[1:] &= ~gone[:-1]
-                real = starts[sizes > 0]
-                opens[real] = gone[real]
-                opened = np.r_[0, np.cumsum(opens)]
-                n_spans = opened[starts + sizes] - opened[starts]
-                left = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                kept_at = starts - upto[starts]
-                out, held = [], 0
-                for d in range(many):
-                    a, b = int(kept_at[d]), int(kept_at[d] + sizes[d] - removed[d])
-                    kept = left[a:b] if with_text else hashlib.sha256(left[a:b]).digest()
-                    out.append((None if null[d] else int(ids[d]), int(sizes[d]), int(removed[d]), int(n_spans[d]), kept))
-                    held += len(kept)
-                    if held > 4 << 20:
-                        yield batch(schema, out)
-                        out, held = [], 0
-                yield batch(schema, out)
+                span = span[np.argsort(span["doc"], kind="stable")]
+                for first, piece, own in _pieces(text, sizes):
+                    mine = span[slice(*np.searchsorted(span["doc"], [first, first + len(own)]))]
+                    ends_at = np.cumsum(own)
+                    starts = ends_at - own
+                    base = starts[mine["doc"] - first]
+                    edge = np.bincount(base + mine["start"], minlength=len(piece) + 1) - np.bincount(base + mine["end"], minlength=len(piece) + 1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    upto = np.r_[0, np.cumsum(gone)]
+                    removed = upto[ends_at] - upto[starts]
+                    opens = gone.copy()
+                    opens[1:] &= ~gone[:-1]
+                    real = starts[own > 0]
+                    opens[real] = gone[real]
+                    opened = np.r_[0, np.cumsum(opens)]
+                    n_spans = opened[ends_at] - opened[starts]
+                    left = np.frombuffer(piece, np.uint8)[~gone].tobytes()
+                    kept_at = starts - upto[starts]
+                    out = []
+                    for i in range(len(own)):
+                        a, b = int(kept_at[i]), int(kept_at[i] + own[i] - removed[i])
+                        kept = left[a:b] if with_text else hashlib.sha256(left[a:b]).digest()
+                        out.append((None if null[first + i] else int(ids[first + i]), int(own[i]), int(removed[i]), int(n_spans[i]), kept))
+                    yield batch(schema, out)
 
     return read
 
