@@ -18,7 +18,7 @@ from .shared import Workspace, arrow_rows, fresh, load
 
 #: Blocks allowed to be empty before a set is handled by its own signature.
 SPARE = 3
-_REMEMBERED = 400_000
+_REMEMBERED = 100_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

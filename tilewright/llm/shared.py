@@ -36,8 +36,10 @@ class Workspace:
         return f"{self.root}/{table}"
 
     def stage(self, frame: DataFrame, table: str, batch_rows: int | None = None, **options: str) -> DataFrame:
-        """Write the frame as Parquet and read it back. batch_rows: rows of an Arrow batch meanwhile."""
-        with arrow_rows(self.spark, batch_rows):
+        """Write the frame as Parquet and read it back. batch_rows: rows of an Arrow batch meanwhile.
+
+        The write's shuffle files go when it is done: what it made is in the shared folder."""
+        with arrow_rows(self.spark, batch_rows), setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
             frame.write.options(**options).parquet(self.path(table))
         return self.read(table, frame.schema)
 
@@ -54,16 +56,21 @@ class Workspace:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int | None):
-    """Fewer rows in each Arrow batch while whole texts go through Python, so that a batch of long texts fits."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if rows:
-        spark.conf.set(key, str(rows))
+def setting(spark: SparkSession, key: str, value: str | None):
+    """A session setting for a while; None leaves it as it is."""
+    before = spark.conf.get(key, None)
+    if value is not None:
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if value is not None:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def arrow_rows(spark: SparkSession, rows: int | None):
+    """Fewer rows in each Arrow batch while whole texts go through Python, so that a batch of long texts fits."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows and str(rows))
 
 
 def fresh(frame: DataFrame, name: str) -> str:
