@@ -43,7 +43,11 @@ def cells(bank: DataFrame, wanted: DataFrame) -> DataFrame:
     points = bank.groupBy("lut_id").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "y", "z"))).alias("points"))
     apart = lambda p: (p["x"] - c("cx")) * (p["x"] - c("cx")) + (p["y"] - c("cy")) * (p["y"] - c("cy")) + (p["z"] - c("cz")) * (p["z"] - c("cz"))
     every = wanted.crossJoin(F.broadcast(points)).withColumn("near", F.transform("points", lambda p: F.struct(apart(p).alias("d"), p["idx"].alias("i"))))
-    best = [F.array_min(F.filter("near", lambda n, s=s: n["i"] % (1 << s) == 0)).alias(f"n{6 - s}") for s in range(4)]
+
+    def nearest(step: int) -> Column:
+        return F.array_min(F.filter("near", lambda n: n["i"] % step == 0))
+
+    best = [nearest(1 << s).alias(f"n{6 - s}") for s in range(4)]
     return every.select("lut_id", "cx", "cy", "cz", *best).select("lut_id", "cx", "cy", "cz", F.col("n3.d").alias("dist"), *[idiv(F.col(f"n{6 - s}.i"), 1 << s).cast("int").alias(f"i{6 - s}") for s in range(4)])
 
 

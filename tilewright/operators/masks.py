@@ -91,8 +91,8 @@ def labels(pixels: DataFrame, steps: int = 64) -> DataFrame:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     key = lambda y, x: (F.col(y).cast("long") * (1 << 31) + F.col(x)).alias("key")
     nodes = pixels.where("m <> 0").select("y", "x", key("y", "x"))
-    around = F.explode(F.array(*[F.lit(d).cast("long") for d in (1 << 31, -(1 << 31), 1, -1)]))
-    edges = nodes.select("key", (F.col("key") + around).alias("other")).join(nodes.select(F.col("key").alias("other")), "other", "left_semi").checkpoint()
+    around = F.explode(F.array(*[F.col("key") + d for d in (1 << 31, -(1 << 31), 1, -1)]))
+    edges = nodes.select("key", around.alias("other")).join(nodes.select(F.col("key").alias("other")), "other", "left_semi").checkpoint()
     now = nodes.select("key", F.col("key").alias("label")).checkpoint()
     for _ in range(steps):
         near = edges.join(now.select(F.col("key").alias("other"), "label"), "other").groupBy("key").agg(F.min("label").alias("near"))

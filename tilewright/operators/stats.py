@@ -118,4 +118,5 @@ def format_of_tile(pixels: DataFrame, value: str, th: int, tw: int) -> DataFrame
 
 def pass_totals(cells: DataFrame) -> DataFrame:
     """(technique, tile, tiles, pixels) with totals by rollup, from rows (technique, tile, pixels)."""
-    return cells.rollup("technique", "tile").agg(F.count("*").alias("tiles"), F.sum("pixels").alias("pixels"))
+    totals = cells.select(F.col("technique").cast("string").alias("technique"), F.col("tile").cast("string").alias("tile"), "pixels").rollup("technique", "tile")
+    return totals.agg(F.count("*").alias("tiles"), F.sum("pixels").alias("pixels")).na.fill("all", ["technique", "tile"])

@@ -111,9 +111,9 @@ def _(spark, sf):
 # ---- aggregates
 
 
-@query("op_a1_bounding_box", duck("emb", "\nSELECT count(*) AS cnt, min(x)::INT AS x, min(y)::INT AS y, (max(x) - min(x) + 1)::INT AS w, (max(y) - min(y) + 1)::INT AS h FROM emb WHERE v >= 250"))
+@query("op_a1_bounding_box", duck("emb", "\nSELECT count(*) AS cnt, min(x)::INT AS x, min(y)::INT AS y, (max(x) - min(x) + 1)::INT AS w, (max(y) - min(y) + 1)::INT AS h FROM emb WHERE v >= 165"))
 def _(spark, sf):
-    return stats.bounding_box(embedding_plane(spark, sf).withColumn("m", (F.col("v") >= 250).cast("int")), "m")
+    return stats.bounding_box(embedding_plane(spark, sf).withColumn("m", (F.col("v") >= 165).cast("int")), "m")
 
 
 @query("op_a2_tile_range", duck("evt", "\nSELECT y // 8 AS ty, x // 8 AS tx, coalesce(min(r) FILTER (g >= 128), 0) AS mn, coalesce(max(r) FILTER (g >= 128), 0) AS mx, count(DISTINCT r) FILTER (g >= 128) AS uniq FROM evt GROUP BY ALL"))

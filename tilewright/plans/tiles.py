@@ -1,4 +1,313 @@
 """Queries of the tile encoders and decoders."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tilewright.operators import gradient, lut, quant1d, stats
+from tilewright.sources.rasters import duck, embedding_plane, lut_bank, mixed_image, overlap_plane
+
+from .pixels import PARAMS
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+RGB = ["r", "g", "b"]
+WIDTH = 64
+
+
+def query(name: str, sql: str | None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _height(image) -> int:
+    return image.agg(F.max("y")).first()[0] + 1
+
+
+# ---- the one-dimensional quantiser
+
+_SYMBOLS = PARAMS + """,
+s AS (SELECT y, x, v, color0, mn, dl, CASE WHEN abs(v - color0) <= 1 THEN 0 WHEN dl = 0 THEN 1 ELSE ((v - mn) * 15 + ((dl >> 1) - 1)) // dl + 1 END::INT AS sym
+      FROM emb JOIN p ON ty = y // 8 AND tx = x // 8)"""
+
+
+@query("op_e10_quantise", duck("emb", _SYMBOLS + "\nSELECT y, x, sym, color0, mn, dl FROM s"))
+def _(spark, sf):
+    return quant1d.encode(embedding_plane(spark, sf), "v")
+
+
+@query("op_d10_dequantise", duck("emb", _SYMBOLS + "\nSELECT y, x, (CASE WHEN sym = 0 THEN color0 ELSE mn + (((sym - 1) * (((dl::BIGINT * (16777216 // 15)) >> 8) + 1)) >> 16) END)::INT AS v FROM s"))
+def _(spark, sf):
+    return quant1d.decode(quant1d.encode(embedding_plane(spark, sf), "v"))
+
+
+def _table_sql(n: int, shape: str) -> str:
+    return f"[trunc(base::FLOAT + {shape.format(p=f'(i::DOUBLE / {n - 1}.0)::FLOAT')} * span::FLOAT)::INT FOR i IN range({n})]"
+
+
+_SHAPES = ("{p}", "pow({p}::DOUBLE, 1.399999976158142)::FLOAT", "(1::FLOAT - pow((1::FLOAT - {p})::DOUBLE, 1.399999976158142)::FLOAT)")
+
+
+@query("op_e12_best_table", duck("emb", f""",
+t AS (SELECT y // 8 AS ty, x // 8 AS tx, min(v) AS lo, max(v) AS hi FROM emb GROUP BY ALL),
+a AS (SELECT *, ((least(lo, 224) * 63 + 112) // 224) * 224 // 63 AS base FROM t),
+c AS (SELECT *, (((greatest(greatest(hi - least(lo, 224), 16), 32) - 32) * 127 + (223 - base) - 1) // (223 - base)) * (223 - base) // 127 + 32 AS span FROM a),
+m AS ({" UNION ALL ".join(f"SELECT ty, tx, base, span, {k} AS mode, {_table_sql(n, s)} AS tbl FROM c" for k, (n, s) in enumerate((n, s) for n in (16, 8) for s in _SHAPES))}),
+e AS (SELECT ty, tx, base, span, mode, sum(list_min([abs(q - v) FOR q IN tbl])) AS err FROM emb JOIN m ON ty = y // 8 AND tx = x // 8 GROUP BY ALL)
+SELECT ty, tx, base::INT AS base, span::INT AS span, max(mode)::INT AS mode, min(err)::BIGINT AS err FROM (SELECT *, min(err) OVER (PARTITION BY ty, tx) AS best FROM e) WHERE err = best GROUP BY ty, tx, base, span"""))
+def _(spark, sf):
+    return quant1d.best_table(embedding_plane(spark, sf), "v")
+
+
+# ---- gradients
+
+
+def _cut(v: str, k: int) -> str:
+    return v if k == 0 else f"((({v} >> 2) << 2) | ({v} >> 6))" if k == 1 else f"(((least({v} + 1, 255) >> 2) << 2) | (least({v} + 1, 255) >> 6))"
+
+
+def _fit_sql(image: str, channels: str, tw: int, th: int, taken: str | None, width: str, height: str) -> str:
+    """Rows (ty, tx, err) of the tiles of one size that fit."""
+    corners = ", ".join(f"{q}.{n} AS {q}_{n}" for q in ("tl", "tr", "bl", "br") for n in channels)
+    errors = []
+    for k in range(3):
+        for half in (524287, 0):
+            apart = []
+            for n in channels:
+                tl, tr, bl, br = (_cut(f"{q}_{n}", k) for q in ("tl", "tr", "bl", "br"))
+                top, bottom = f"({tl} * lf + {tr} * (1024 - lf))::BIGINT", f"({bl} * lf + {br} * (1024 - lf))::BIGINT"
+                apart.append(f"abs({n} - ({top} * tf + {bottom} * (1024 - tf) + {half}) // 1048576)")
+            errors.append(f"max(greatest({', '.join(apart)}))")
+    free = f"WHERE NOT EXISTS (FROM {taken} k WHERE k.y = tl.y AND k.x = tl.x)" if taken else ""
+    return f"""(WITH c AS MATERIALIZED (SELECT tl.y // {th} AS ty, tl.x // {tw} AS tx, {corners} FROM (FROM {image} WHERE y % {th} = 0 AND x % {tw} = 0 AND y + {th} <= {height} AND x + {tw} <= {width}) tl
+  JOIN {image} tr ON tr.y = tl.y AND tr.x = least(tl.x + {tw}, {width} - 1) JOIN {image} bl ON bl.y = least(tl.y + {th}, {height} - 1) AND bl.x = tl.x
+  JOIN {image} br ON br.y = least(tl.y + {th}, {height} - 1) AND br.x = least(tl.x + {tw}, {width} - 1) {free}),
+ p AS (SELECT y // {th} AS ty, x // {tw} AS tx, {", ".join(channels)}, 1024 - (x % {tw}) * {1024 // tw} AS lf, 1024 - (y % {th}) * {1024 // th} AS tf FROM {image})
+ SELECT ty, tx, least({", ".join(errors)})::BIGINT AS err FROM p JOIN c USING (ty, tx) GROUP BY ty, tx HAVING least({", ".join(errors)}) <= 3)"""
+
+
+def _cascade_sql(image: str, channels: str, width: str, height: str) -> str:
+    """CTEs g0..g6 (tiles of each size) and k0..k6 (pixels taken), and casc with all tiles."""
+    parts = []
+    for k, (tw, th) in enumerate(gradient.SIZES):
+        parts.append(f"g{k} AS MATERIALIZED {_fit_sql(image, channels, tw, th, f'k{k - 1}' if k else None, width, height)}")
+        cover = f"SELECT (ty * {th} + dy)::INT AS y, (tx * {tw} + dx)::INT AS x FROM g{k}, range({th}) a(dy), range({tw}) b(dx)"
+        parts.append(f"k{k} AS MATERIALIZED ({cover}" + (f" UNION FROM k{k - 1})" if k else ")"))
+    every = " UNION ALL ".join(f"SELECT {k} AS pass, {tw} AS tw, {th} AS th, ty, tx, err FROM g{k}" for k, (tw, th) in enumerate(gradient.SIZES))
+    return ",\n" + ",\n".join(parts) + f",\ncasc AS MATERIALIZED ({every})"
+
+
+_H = "(SELECT max(y) + 1 FROM mix)"
+
+
+def _fit_query(tw: int, th: int, channels: str) -> None:
+    def run(spark, sf):
+        image = mixed_image(spark, sf)
+        return gradient.fit(image, None, list(channels), tw, th, WIDTH, _height(image))
+
+    name = f"op_e1_gradient_{tw}x{th}" if channels == "rgb" else f"op_e3_gradient_{channels}_{tw}x{th}"
+    QUERIES[name], ORACLES[name] = run, duck("evt mix", ",\nm AS MATERIALIZED (FROM mix), f AS " + _fit_sql("m", channels, tw, th, None, "64", _H) + "\nSELECT ty, tx, err FROM f")
+
+
+for _tw, _th in gradient.SIZES:
+    _fit_query(_tw, _th, "rgb")
+for _channels in ("rb", "rg", "gb", "r", "g", "b"):
+    _fit_query(4, 4, _channels)
+
+
+def _mix_cascade(spark, sf):
+    image = mixed_image(spark, sf)
+    return image, gradient.cascade(image, RGB, WIDTH, _height(image))
+
+
+_MIX = ",\nm AS MATERIALIZED (FROM mix)" + _cascade_sql("m", "rgb", "64", _H)
+
+
+@query("op_e2_gradient_cascade", duck("evt mix", _MIX + "\nSELECT pass, tw, th, ty, tx, err FROM casc"))
+def _(spark, sf):
+    return _mix_cascade(spark, sf)[1]
+
+
+@query("op_p13_top_left_eligibility", duck("over", ",\nm AS MATERIALIZED (SELECT y, x, v AS r, v AS g, v AS b FROM over_)" + _cascade_sql("m", "rgb", "32", "32") + "\nSELECT pass, tw, th, ty, tx, err FROM casc"))
+def _(spark, sf):
+    return gradient.cascade(overlap_plane(spark), RGB, 32, 32)
+
+
+@query("op_u3_covered_pixels", duck("evt mix", _MIX + "\nSELECT y, x FROM k6"))
+def _(spark, sf):
+    image, tiles = _mix_cascade(spark, sf)
+    parts = [gradient.covered(tiles.where(F.col("pass") == k), tw, th) for k, (tw, th) in enumerate(gradient.SIZES)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct().select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+
+
+@query("op_j2_tile_corners", duck("evt mix", f""",
+c AS (SELECT DISTINCT y // 8 AS ty, x // 8 AS tx FROM mix)
+SELECT ty, tx, {", ".join(f"{q}.{n} AS {q}_{n}" for q in ("tl", "tr", "bl", "br") for n in "rgb")} FROM c
+JOIN mix tl ON tl.y = ty * 8 AND tl.x = tx * 8 JOIN mix tr ON tr.y = ty * 8 AND tr.x = least(tx * 8 + 8, 63)
+JOIN mix bl ON bl.y = least(ty * 8 + 8, {_H} - 1) AND bl.x = tx * 8 JOIN mix br ON br.y = least(ty * 8 + 8, {_H} - 1) AND br.x = least(tx * 8 + 8, 63)"""))
+def _(spark, sf):
+    image = mixed_image(spark, sf)
+    got = gradient.with_corners(image, RGB, 8, 8, WIDTH, _height(image))
+    return got.select("ty", "tx", *[F.col(q)[n].alias(f"{q}_{n}") for q in ("tl", "tr", "bl", "br") for n in RGB])
+
+
+def _place_sql(tw: int, th: int) -> str:
+    from tilewright.functions.scalar import bitmap_layout
+
+    bx, by, bits = bitmap_layout(tw, th)
+    return f"((ty // {by // th} * ((64 + {bx - 1}) // {bx}) + tx // {bx // tw}) * {bits} + ty % {by // th} * {bx // tw} + tx % {bx // tw})"
+
+
+_STREAM = ",\ncs AS (SELECT pass, CASE " + " ".join(f"WHEN tw = {tw} AND th = {th} THEN {_place_sql(tw, th)}" for tw, th in gradient.SIZES) + """ END AS pos, 2 * j + i AS side, (ty + j) * th AS cy, (tx + i) * tw AS cx
+ FROM casc, range(2) a(j), range(2) b(i)),
+co AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY cy, cx ORDER BY pass, pos, side) = 1),
+st AS MATERIALIZED (SELECT pass, pos, side, cy, cx, """ + ", ".join(f"((m.{n} >> 2) << 2) | (m.{n} >> 6) AS {n}" for n in "rgb") + f" FROM co JOIN m ON m.y = least(cy, {_H} - 1) AND m.x = least(cx, 63))"
+
+
+@query("op_w4_corner_stream", duck("evt mix", _MIX + _STREAM + "\nSELECT pass, pos, side, cy, cx, r, g, b FROM st"))
+def _(spark, sf):
+    image, tiles = _mix_cascade(spark, sf)
+    return gradient.corner_stream(tiles, image, RGB, WIDTH, _height(image))
+
+
+@query("op_d6_gradient_decode", duck("evt mix", _MIX + _STREAM + """,
+de AS (SELECT casc.pass AS pass, ty * th + dy AS y, tx * tw + dx AS x, """ + ", ".join(
+    f"((tl.{n} * (th - dy) + bl.{n} * dy) * (tw - dx) + (tr.{n} * (th - dy) + br.{n} * dy) * dx) // (tw * th) AS {n}" for n in "rgb") + """
+ FROM casc JOIN st tl ON tl.cy = ty * th AND tl.cx = tx * tw JOIN st tr ON tr.cy = ty * th AND tr.cx = tx * tw + tw
+ JOIN st bl ON bl.cy = ty * th + th AND bl.cx = tx * tw JOIN st br ON br.cy = ty * th + th AND br.cx = tx * tw + tw, range(16) a(dy), range(16) b(dx) WHERE dy < th AND dx < tw)
+SELECT y::INT AS y, x::INT AS x, r::INT AS r, g::INT AS g, b::INT AS b FROM de QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY pass DESC) = 1"""))
+def _(spark, sf):
+    image, tiles = _mix_cascade(spark, sf)
+    corners = gradient.checkpointed(gradient.corner_stream(tiles, image, RGB, WIDTH, _height(image)))
+    got = gradient.decode(tiles, corners, RGB)
+    return got.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *RGB)
+
+
+@query("op_a14_pass_totals", duck("evt mix", _MIX + "\nSELECT coalesce(p, 'all') AS technique, coalesce(t, 'all') AS tile, count(*) AS tiles, sum(s)::BIGINT AS pixels FROM (SELECT pass::VARCHAR AS p, (tw * th)::VARCHAR AS t, tw * th AS s FROM casc) GROUP BY ROLLUP (p, t)"))
+def _(spark, sf):
+    tiles = _mix_cascade(spark, sf)[1]
+    size = (F.col("tw") * F.col("th")).cast("long")
+    return stats.pass_totals(tiles.select(F.col("pass").alias("technique"), size.cast("int").alias("tile"), size.alias("pixels")))
+
+
+# ---- point tables
+
+_FREE = "(r + g) % 5 > 0"
+_PLACES = f""",
+t AS (SELECT y // 8 AS ty, x // 8 AS tx, min(r) FILTER ({_FREE}) AS r0, max(r) FILTER ({_FREE}) AS r1, min(g) FILTER ({_FREE}) AS g0, max(g) FILTER ({_FREE}) AS g1,
+      min(b) FILTER ({_FREE}) AS b0, max(b) FILTER ({_FREE}) AS b1, count(*) AS n, count(*) FILTER ({_FREE}) AS cnt FROM mix GROUP BY ALL),
+pl AS MATERIALIZED (SELECT ty, tx, y, x, r, g, b, r0, r1, g0, g1, b0, b1, """ + ", ".join(
+    f"trunc(((({n} - {n}0) * (CASE WHEN {n}1 > {n}0 THEN 1048576 // greatest({n}1 - {n}0, 1) ELSE 0 END))::FLOAT / 1048576.0::FLOAT)::FLOAT * 63.0::FLOAT)::INT AS i{k}" for n, k in zip("rgb", "xyz", strict=True)) + f"""
+ FROM mix JOIN t ON ty = y // 8 AND tx = x // 8 WHERE {_FREE} AND n = 64 AND cnt > 0 AND (r1 > r0)::INT + (g1 > g0)::INT + (b1 > b0)::INT >= 2)"""
+_FACTORS = """,
+fa AS (SELECT lut_id, (6 - s)::INT AS depth, (idx // (1 << s))::INT AS idx, x * 128 // 63 AS fx, y * 128 // 63 AS fy, z * 128 // 63 AS fz FROM lut, range(4) t(s) WHERE idx % (1 << s) = 0)"""
+_MODES = ",\nmo AS (SELECT * FROM (VALUES " + ", ".join(f"({m}, '{o}', {m & 1}, {m >> 1 & 1}, {m >> 2 & 1})" for m, o in enumerate(lut.SCORED_ORDER)) + ") v(mode, ord, f0, f1, f2))"
+
+
+def _axis(order: str, k: int, names) -> str:
+    """The k-th coordinate after swapping, by the letter of the order there."""
+    return f"CASE substr({order}, {k + 1}, 1) WHEN 'x' THEN {names[0]} WHEN 'y' THEN {names[1]} ELSE {names[2]} END"
+
+
+def _near(name: str, cells: str) -> str:
+    """CTE with dist and the nearest entries of the cells of a relation (cx, cy, cz)."""
+    d = "((c.cx - l.x) ** 2 + (c.cy - l.y) ** 2 + (c.cz - l.z) ** 2)::INT"
+    parts = ", ".join(f"(min({d} * 64 + idx) FILTER (idx % {1 << s} = 0) % 64 // {1 << s})::INT AS i{6 - s}" for s in range(4))
+    return f",\n{name} AS MATERIALIZED (SELECT lut_id, cx, cy, cz, (min({d} * 64 + idx) FILTER (idx % 8 = 0) // 64)::INT AS dist, {parts} FROM (SELECT DISTINCT cx, cy, cz FROM {cells}) c, lut l GROUP BY lut_id, cx, cy, cz)"
+
+
+_SCORES = _MODES + """,
+cn AS (SELECT ty, tx, ix, iy, iz, count(*) AS n FROM pl GROUP BY ALL),
+tu AS (SELECT ty, tx, mode, n, f0, f1, f2, """ + ", ".join(f"{_axis('ord', k, ('ix', 'iy', 'iz'))} AS t{k}" for k in range(3)) + """ FROM cn, mo),
+at_ AS MATERIALIZED (SELECT ty, tx, mode, n, """ + ", ".join(f"CASE WHEN f{k} = 1 THEN 63 - t{k} ELSE t{k} END AS c{a}" for k, a in enumerate("xyz")) + " FROM tu)" + _near("nd", "at_") + """,
+su AS (SELECT ty, tx, lut_id, mode, sum(dist * n) AS score FROM at_ JOIN nd USING (cx, cy, cz) GROUP BY ALL),
+sc AS MATERIALIZED (SELECT ty, tx, lut_id, mode, score::BIGINT AS score FROM su QUALIFY row_number() OVER (PARTITION BY ty, tx, lut_id ORDER BY score, mode) = 1)"""
+_ORD = "(['xyz', 'xzy', 'yxz', 'yzx', 'zxy', 'zyx'])[(mode >> 3) + 1]"
+
+
+def _turned_sql(source: str) -> str:
+    rel = [f"((({n} - {n}0)::FLOAT / greatest({n}1 - {n}0, 1))::FLOAT * 63.0::FLOAT)" for n in "rgb"]
+    flip = [f"trunc(CASE WHEN mode & {1 << k} <> 0 THEN 63.0::FLOAT - {v} ELSE {v} END)::INT" for k, v in enumerate(rel)]
+    return f"""(SELECT ty, tx, y, x, r, g, b, r0, r1, g0, g1, b0, b1, lut_id, mode, depth, {", ".join(f"{_axis(_ORD, k, ('q0', 'q1', 'q2'))} AS c{a}" for k, a in enumerate("xyz"))}
+ FROM (SELECT *, {", ".join(f"{v} AS q{k}" for k, v in enumerate(flip))} FROM {source}))"""
+
+
+_SEARCH = _FACTORS + f",\ntp AS MATERIALIZED {_turned_sql('(SELECT pl.*, lut_id, mode, 0 AS depth FROM pl JOIN sc USING (ty, tx))')}" + _near("ne", "tp") + """,
+lo AS (SELECT tp.* EXCLUDE (depth), d AS depth, CASE d WHEN 6 THEN i6 WHEN 5 THEN i5 WHEN 4 THEN i4 ELSE i3 END AS idx FROM tp JOIN ne USING (lut_id, cx, cy, cz), range(3, 7) t(d)),
+fl AS (SELECT lo.*, """ + ", ".join(f"CASE WHEN mode & {1 << k} <> 0 THEN 128 - f{a} ELSE f{a} END AS e{k}" for k, a in enumerate("xyz")) + """ FROM lo JOIN fa USING (lut_id, depth, idx)),
+er AS (SELECT *, greatest(""" + ", ".join(f"abs({n}0 + ({_axis(_ORD, k, ('e0', 'e1', 'e2'))}) * ({n}1 - {n}0) // 128 - {n})" for k, n in enumerate("rgb")) + """) AS e FROM fl),
+dp AS (SELECT ty, tx, lut_id, mode, depth, count(*) FILTER (e > 5) AS bad, sum(e) AS err FROM er GROUP BY ALL),
+sv AS (SELECT * FROM dp WHERE bad <= 3 QUALIFY row_number() OVER (PARTITION BY ty, tx, lut_id ORDER BY depth) = 1),
+ch AS MATERIALIZED (SELECT ty, tx, lut_id, mode, depth::INT AS depth, err::BIGINT AS err FROM sv QUALIFY row_number() OVER (PARTITION BY ty, tx ORDER BY err, lut_id DESC) = 1)"""
+
+
+def _places(spark, sf):
+    return lut.normalised(mixed_image(spark, sf), RGB, (F.col("r") + F.col("g")) % 5 > 0, 8, 8)
+
+
+@query("op_e16_table_factors", duck("lut", _FACTORS + "\nSELECT lut_id, depth, idx, fx, fy, fz FROM fa"))
+def _(spark, sf):
+    return lut.factors(lut_bank(spark))
+
+
+@query("op_j6_nearest_entries", duck("lut", ",\nw AS (SELECT (i % 16 * 4)::INT AS cx, (i // 16 % 16 * 4)::INT AS cy, (i // 256 * 4)::INT AS cz FROM range(4096) t(i))" + _near("n", "w") + "\nSELECT lut_id, cx, cy, cz, dist, i6, i5, i4, i3 FROM n"))
+def _(spark, sf):
+    i = F.col("id")
+    wanted = spark.range(4096).select((i % 16 * 4).cast("int").alias("cx"), (F.floor(i / 16) % 16 * 4).cast("int").alias("cy"), (F.floor(i / 256) * 4).cast("int").alias("cz"))
+    return lut.cells(lut_bank(spark), wanted)
+
+
+@query("op_p14_table_places", duck("evt mix", _PLACES + "\nSELECT ty, tx, y, x, ix, iy, iz FROM pl"))
+def _(spark, sf):
+    return _places(spark, sf).select("ty", "tx", "y", "x", "ix", "iy", "iz")
+
+
+@query("op_a13_cube_occupancy", duck("evt mix", _PLACES + "\nSELECT ix, iy, iz, count(*) AS cnt FROM pl GROUP BY ALL"))
+def _(spark, sf):
+    return lut.occupancy(_places(spark, sf))
+
+
+@query("op_a10_mode_scores", duck("evt mix lut", _PLACES + _SCORES + "\nSELECT ty, tx, lut_id, mode, score FROM sc"))
+def _(spark, sf):
+    return lut.scores(_places(spark, sf), lut_bank(spark))
+
+
+@query("op_e5_table_search", duck("evt mix lut", _PLACES + _SCORES + _SEARCH + "\nSELECT ty, tx, lut_id, mode, depth, err FROM ch"))
+def _(spark, sf):
+    return lut.search(_places(spark, sf), RGB, lut_bank(spark))
+
+
+@query("op_d8_table_decode", duck("evt mix lut", _PLACES + _SCORES + _SEARCH + f",\ntd AS {_turned_sql('(SELECT pl.*, lut_id, mode, depth FROM pl JOIN ch USING (ty, tx))')}" + _near("nx", "td") + """,
+xi AS (SELECT td.*, CASE depth WHEN 6 THEN i6 WHEN 5 THEN i5 WHEN 4 THEN i4 ELSE i3 END AS idx FROM td JOIN nx USING (lut_id, cx, cy, cz)),
+sw AS (SELECT xi.*, """ + ", ".join(f"{_axis(_ORD, k, ('fx', 'fy', 'fz'))} AS s{k}" for k in range(3)) + """ FROM xi JOIN fa USING (lut_id, depth, idx))
+SELECT y, x, """ + ", ".join(f"({n}0 + (((CASE WHEN mode & {1 << k} <> 0 THEN 128 - s{k} ELSE s{k} END) * ({n}1 - {n}0)) >> 7))::INT AS {n}" for k, n in enumerate("rgb")) + " FROM sw"))
+def _(spark, sf):
+    places, bank = _places(spark, sf), lut_bank(spark)
+    return lut.decode(places, gradient.checkpointed(lut.search(places, RGB, bank)), RGB, bank)
+
+
+@query("op_t3_palette_order", duck("lut", """,
+c AS (SELECT x AS r, y AS g, z AS b, """ + " + ".join(f"((({n} >> {k}) & 1)::BIGINT << {3 * k + a})" for a, n in enumerate("xyz") for k in range(8)) + """ AS code FROM lut WHERE lut_id = 2)
+SELECT r, g, b, code, row_number() OVER (ORDER BY code) - 1 AS idx FROM c"""))
+def _(spark, sf):
+    bank = lut_bank(spark).where("lut_id = 2")
+    return lut.palette_order(bank.select(F.col("x").alias("r"), F.col("y").alias("g"), F.col("z").alias("b")))
+
+
+@query("op_t9_reduce_points", duck("lut", "\nSELECT lut_id, (idx * 20 // 64)::INT AS idx, (sum(x) // count(*))::INT AS x, (sum(y) // count(*))::INT AS y, (sum(z) // count(*))::INT AS z FROM lut GROUP BY lut_id, idx * 20 // 64"))
+def _(spark, sf):
+    return lut.reduce_points(lut_bank(spark).withColumn("size", F.lit(64)), "size", 20, ["lut_id"])
+
+
+@query("op_io9_table_file_runs", duck("lut", _FACTORS + """
+SELECT depth, lut_id, string_agg(printf('%02X', fx), '' ORDER BY idx) || string_agg(printf('%02X', fy), '' ORDER BY idx) || string_agg(printf('%02X', fz), '' ORDER BY idx) AS data FROM fa GROUP BY ALL"""))
+def _(spark, sf):
+    return lut.pack_file_bytes(lut_bank(spark)).select("depth", "lut_id", F.hex("data").alias("data"))
