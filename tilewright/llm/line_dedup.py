@@ -23,13 +23,23 @@ def _line_key(line: Column) -> list[Column]:
     return [F.when(norm != "", F.xxhash64(norm)).alias("h1"), F.when(norm != "", F.xxhash64(norm, F.lit(1))).alias("h2")]
 
 
-def boilerplate(docs: DataFrame, ws: Workspace, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def _text_key() -> list[Column]:
+    return [F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")]
+
+
+def line_table(docs: DataFrame, ws: Workspace, site: str) -> DataFrame:
+    """(id, k1, k2, site, place, h1, h2): every line with a word, read once and written to the shared folder."""
+    each = docs.select(F.col("doc_id").alias("id"), *_text_key(), F.col(site).alias("site"), F.posexplode(_lines(F.col("text"))).alias("place", "line"))
+    return ws.stage(each.select("id", "k1", "k2", "site", "place", *_line_key(F.col("line"))).where("h1 is not null"), "lines")
+
+
+def boilerplate(lines: DataFrame, ws: Workspace, min_sites: int = MIN_SITES) -> DataFrame:
     """(h1, h2) of the lines that come on min_sites distinct sites or more.
 
     A sketch of the sites of each line is built and merged by one aggregation with partial results, so that a
     line on all pages is one row per task. Lines whose estimate lies within NEAR standard errors of the
     threshold get an exact count, of distinct (line, site) pairs. A null site is none."""
-    keyed = docs.select(F.col(site).alias("site"), F.explode(_lines(F.col("text"))).alias("line")).select("site", *_line_key(F.col("line"))).where("h1 is not null")
+    keyed = lines.select("site", "h1", "h2")
     sketched = ws.stage(
         keyed.groupBy("h1", "h2").agg(F.approx_count_distinct("site", ERROR).alias("sites")).where(F.col("sites") >= min_sites * (1 - NEAR * ERROR)), "sketched"
     )
@@ -43,13 +53,13 @@ def _strip(docs: DataFrame, ws: Workspace, site: str, min_sites: int, names: dic
     """docs with two more columns: the lines, and the places of those that go.
 
     The places come back by (doc_id, 128 bits of the text): rows equal in both lose the same lines."""
-    lines = boilerplate(docs, ws, site, min_sites)
-    key = [F.xxhash64("text"), F.xxhash64("text", F.lit(1))]
-    each = docs.select(F.col("doc_id").alias("id"), key[0].alias("k1"), key[1].alias("k2"), F.posexplode(_lines(F.col("text"))).alias("place", "line"))
-    hit = each.select("id", "k1", "k2", "place", *_line_key(F.col("line"))).where("h1 is not null").join(lines, ["h1", "h2"], "left_semi")
+    lines = line_table(docs, ws, site)
+    hit = lines.join(boilerplate(lines, ws, min_sites), ["h1", "h2"], "left_semi")
     places = ws.stage(
         hit.groupBy("id", "k1", "k2").agg(F.collect_set("place").alias("places")).select(*[F.col(c).alias(names[c]) for c in ("id", "k1", "k2", "places")]), "places"
     )
+    ws.drop("lines")
+    key = _text_key()
     joined = docs.join(places, F.col("doc_id").eqNullSafe(F.col(names["id"])) & (key[0] == F.col(names["k1"])) & (key[1] == F.col(names["k2"])), "left")
     return joined.withColumn(names["lines"], _lines(F.col("text")))
 
