@@ -17,7 +17,7 @@ FOLDS, HELD = 3, 1
 #: Hash buckets of terms, and how many of them the machine keeps: those that tell the labels apart best.
 BUCKETS, KEPT = 1 << 20, 4096
 #: Bound of the labelled rows that the machine is fitted on; they are the first by a hash of their doc_id.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 FACTORS, EPOCHS, SEED = 8, 60, 7
 #: A word gives itself and its beginnings of these lengths (in bytes) as terms.
 PREFIXES = (4, 5, 6, 7, 8)
