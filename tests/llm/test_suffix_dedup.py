@@ -58,6 +58,7 @@ def planted():
 def test_bytes_removed(spark, make_docs, rows, chunk, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     monkeypatch.setattr(suffix_dedup, "_PIECE", max(1000, chunk // 8))
+    monkeypatch.setattr(suffix_dedup, "_TOGETHER", 6000 if chunk > 3000 else 20)
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.suffix_dedup(make_docs(rows)).collect())
     assert got == brute(rows)
 

@@ -299,37 +299,53 @@ def _send_contexts(shards: int):
     return read
 
 
+#: Contexts whose strings are sorted together; an anchor with more has them sorted one distance at a time.
+_TOGETHER = 6_000
+
+
+def _strings_again(rows: np.ndarray, row: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """Which of the strings (row, distance), in the order of the corpus within a distance, come before in the list too."""
+    table = np.zeros((len(row), 112), np.uint8)
+    table[:, :8] = rows[row, :8]
+    table[:, 8] = dist
+    for d in np.unique(dist).tolist():
+        of = slice(*np.searchsorted(dist, [d, d + 1]))
+        table[of, 9 : 9 + LENGTH] = rows[row[of], _HEAD + _LEFT - d : _HEAD + _LEFT - d + LENGTH]
+    return ~deep_shallow(table)[1]
+
+
 def repeated_windows(rows: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Strings that start earlier too among distinct contexts of equal anchors, as (row, distance) in any order.
 
     rows are in the order of the corpus. Only anchors that have several contexts are looked at, each string of
-    theirs as a row of anchor, distance and bytes."""
+    theirs as a row of anchor, distance and bytes; strings at different distances have no need to meet."""
     h = rows[:, :8].copy().view(">u8").ravel()
     _, back, n = np.unique(h, return_inverse=True, return_counts=True)
     mine = np.flatnonzero(n[back] > 1)
     mine = mine[np.argsort(back[mine], kind="stable")]
     out_row, out_dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    # slices of whole anchors, of about 6,000 contexts
     cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(back[mine]) != 0]) if len(mine) else np.zeros(0, np.int64), len(mine)]
+    least, most = where["least"].astype(np.int64), where["most"].astype(np.int64)
     a = 0
     while a < len(cuts) - 1:
-        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + 6_000, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + _TOGETHER, "right")) - 1)
         part = mine[cuts[a] : cuts[b]]
         a = b
-        many = where["most"][part].astype(np.int64) - where["least"][part] + 1
+        if len(part) > _TOGETHER:
+            for d in range(int(least[part].min()), int(most[part].max()) + 1):
+                row = part[(least[part] <= d) & (d <= most[part])]
+                again = row[_strings_again(rows, row, np.full(len(row), d))] if len(row) > 1 else row[:0]
+                out_row.append(again)
+                out_dist.append(np.full(len(again), d))
+            continue
+        many = most[part] - least[part] + 1
         row = np.repeat(part, many)
-        dist = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(where["least"][part].astype(np.int64), many)
+        dist = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(least[part], many)
         by = np.lexsort((row, dist))
         row, dist = row[by], dist[by]
-        table = np.zeros((len(row), 112), np.uint8)
-        table[:, :8] = rows[row, :8]
-        table[:, 8] = dist
-        for d in np.unique(dist).tolist():
-            of = slice(*np.searchsorted(dist, [d, d + 1]))
-            table[of, 9 : 9 + LENGTH] = rows[row[of], _HEAD + _LEFT - d : _HEAD + _LEFT - d + LENGTH]
-        _, new = deep_shallow(table)
-        out_row.append(row[~new])
-        out_dist.append(dist[~new])
+        again = _strings_again(rows, row, dist)
+        out_row.append(row[again])
+        out_dist.append(dist[again])
     return np.concatenate(out_row), np.concatenate(out_dist)
 
 
