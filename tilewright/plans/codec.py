@@ -1,4 +1,278 @@
-"""Queries of bit packing, palettes and the container."""
+"""Queries of bit packing, palettes, compression and the container."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from tilewright.functions.entropy import zstd_compress, zstd_decompress
+from tilewright.functions.scalar import bitmap_position, idiv, shr
+from tilewright.operators import bits, gradient, masks, palette, stats, windows
+from tilewright.sources import container
+from tilewright.sources.rasters import duck, embedding_plane, event_image, grid, mixed_image
+from tilewright.streaming import chunks as chunk_order
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def scratch(spark) -> str:
+    """A folder of its own in the shared folder, a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base}/tiles-{uuid.uuid4().hex[:12]}"
+
+
+# ---- bits
+
+
+@query("op_b1_pack_bits", duck("emb", "\nSELECT y, printf('%02X', b) AS hex FROM (SELECT y, x // 8 AS byte, sum((v >= 128)::INT << (x % 8))::INT AS b FROM emb GROUP BY ALL) WHERE false UNION ALL SELECT y, string_agg(printf('%02X', b), '' ORDER BY byte) FROM (SELECT y, x // 8 AS byte, sum((v >= 128)::INT << (x % 8))::INT AS b FROM emb GROUP BY ALL) GROUP BY y"))
+def _(spark, sf):
+    values = embedding_plane(spark, sf).select("y", F.col("x").alias("pos"), (F.col("v") >= 128).cast("int").alias("v"))
+    return bits.to_binary(bits.pack(values, ["y"], 1), ["y"]).select("y", F.hex("data").alias("hex"))
+
+
+@query("op_b1_pack_bits_masked", duck("emb", """,
+k AS (SELECT y, v & 1 AS b, row_number() OVER (PARTITION BY y ORDER BY x) - 1 AS pos FROM emb WHERE v >= 120)
+SELECT y, (pos // 8)::INT AS byte, sum(b << (pos % 8))::INT AS v FROM k GROUP BY ALL"""))
+def _(spark, sf):
+    plane = embedding_plane(spark, sf)
+    kept = windows.ordinals(plane, F.col("v") >= 120, 1, 64).select("y", "x", F.col("ord").alias("pos")).join(plane, ["y", "x"])
+    return bits.pack(kept.select("y", "pos", F.col("v").bitwiseAND(F.lit(1)).alias("v")), ["y"], 1)
+
+
+@query("op_b2_pack_6_bits", duck("emb", """,
+q AS (SELECT y, x // 4 AS k, x % 4 AS i, v >> 2 AS s FROM emb),
+p AS (SELECT y, k, sum(s::INT << (6 * i)::INT)::INT AS w FROM q GROUP BY ALL)
+SELECT y, string_agg(printf('%02X%02X%02X', w & 255, (w >> 8) & 255, (w >> 16) & 255), '' ORDER BY k) AS hex FROM p GROUP BY y"""))
+def _(spark, sf):
+    values = embedding_plane(spark, sf).select("y", F.col("x").alias("pos"), shr("v", 2).alias("v"))
+    return bits.to_binary(bits.pack(values, ["y"], 6), ["y"]).select("y", F.hex("data").alias("hex"))
+
+
+@query("op_b4_nibbles", duck("emb", """,
+p AS (SELECT y, x // 2 AS k, sum((v & 15) << (4 * (x % 2)))::INT AS b FROM emb GROUP BY ALL)
+SELECT y, string_agg(printf('%02X', b), '' ORDER BY k) AS hex FROM p GROUP BY y"""))
+def _(spark, sf):
+    values = embedding_plane(spark, sf).select("y", F.col("x").alias("pos"), F.col("v").bitwiseAND(F.lit(15)).alias("v"))
+    return bits.to_binary(bits.pack(values, ["y"], 4), ["y"]).select("y", F.hex("data").alias("hex"))
+
+
+@query("op_d2_unpack_bits", duck("emb", "\nSELECT y, x::BIGINT AS pos, CASE WHEN v >= 128 THEN 255 ELSE 0 END AS v FROM emb"))
+def _(spark, sf):
+    values = embedding_plane(spark, sf).select("y", F.col("x").alias("pos"), (F.col("v") >= 128).cast("int").alias("v"))
+    return bits.unpack(bits.to_binary(bits.pack(values, ["y"], 1), ["y"]), ["y"], 1).select("y", "pos", (F.col("v") * 255).alias("v"))
+
+
+def _six(inverse: bool):
+    def run(spark, sf):
+        six = shr("v", 2)
+        values = embedding_plane(spark, sf).select("y", F.col("x").alias("pos"), (F.lit(63) - six if inverse else six).alias("v"))
+        got = bits.unpack(bits.to_binary(bits.pack(values, ["y"], 6), ["y"]), ["y"], 6)
+        return got.select("y", "pos", bits.expand6(F.lit(63) - F.col("v") if inverse else F.col("v")).cast("int").alias("v"))
+
+    return run
+
+
+for _inverse in (False, True):
+    _name = "op_d3_unpack_6_bits" + ("_inverse" if _inverse else "")
+    QUERIES[_name], ORACLES[_name] = _six(_inverse), duck("emb", "\nSELECT y, x::BIGINT AS pos, ((v >> 2) << 2) | (v >> 6) AS v FROM emb")
+
+
+_MIP = ",\nt AS (SELECT y // 16 AS ty, x // 16 AS tx, max((v >= 170)::INT) AS used FROM emb GROUP BY ALL)"
+
+
+@query("op_a17_mip_tiles", duck("emb", _MIP + "\nSELECT ty, tx, used FROM t"))
+def _(spark, sf):
+    return bits.mip_bits(embedding_plane(spark, sf).withColumn("m", (F.col("v") >= 170).cast("int")), "m")
+
+
+@query("op_d1_mip_mask", duck("emb", _MIP + "\nSELECT y::INT AS y, x::INT AS x, CASE WHEN used > 0 THEN 255 ELSE 0 END AS m FROM (SELECT ty * 16 + dy AS y, tx * 16 + dx AS x, used FROM t, range(16) a(dy), range(16) b(dx))"))
+def _(spark, sf):
+    tiles = bits.mip_bits(embedding_plane(spark, sf).withColumn("m", (F.col("v") >= 170).cast("int")), "m")
+    return bits.mip_mask(tiles).select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "m")
+
+
+@query("op_d4_masked_alpha", duck("emb", """,
+k AS (SELECT *, v >= 100 AS used FROM emb WHERE y < 64), o AS (SELECT y, x, row_number() OVER (ORDER BY y, x) - 1 AS pos, v >> 2 AS s FROM k WHERE used)
+SELECT k.y, k.x, coalesce((s << 2) | (s >> 4), 0)::INT AS v FROM k LEFT JOIN o USING (y, x)"""))
+def _(spark, sf):
+    plane = embedding_plane(spark, sf).where("y < 64")
+    ordered = windows.ordinals(plane, F.col("v") >= 100, 64, 64).select("y", "x", F.col("ord").alias("pos"))
+    stream = bits.to_binary(bits.pack(ordered.join(plane, ["y", "x"]).select(F.lit(0).alias("s"), "pos", shr("v", 2).alias("v")), ["s"], 6), ["s"])
+    got = bits.unpack(stream, ["s"], 6).select("pos", bits.expand6("v").cast("int").alias("a"))
+    placed = ordered.join(got, "pos").select("y", "x", "a")
+    return plane.select("y", "x").join(placed, ["y", "x"], "left").select("y", "x", F.coalesce("a", F.lit(0)).alias("v"))
+
+
+@query("op_d5_alpha_box", duck("emb", "\nSELECT y, x, CASE WHEN x BETWEEN 8 AND 47 AND y BETWEEN 12 AND 51 THEN v ELSE 0 END AS v FROM emb WHERE y < 64"))
+def _(spark, sf):
+    plane = embedding_plane(spark, sf)
+    inside = plane.where(masks.inside(8, 12, 40, 40)).select(((F.col("y") - 12) * 40 + F.col("x") - 8).alias("pos"), "v")
+    return bits.alpha_plane(inside, (8, 12, 40, 40), grid(spark, 64, 64))
+
+
+_BITMAP = ",\np AS (SELECT DISTINCT y // 8 AS ty, x // 8 AS tx FROM emb WHERE v >= 160),\nq AS (SELECT (ty // 8 * 64 + ty % 8 * 8 + tx) AS pos FROM p),\nm AS (SELECT (pos >> 3)::INT AS byte, sum(1 << (pos % 8))::INT AS v FROM q GROUP BY 1)"
+
+
+def _bitmap(spark, sf):
+    tiles = embedding_plane(spark, sf).where("v >= 160").select(*stats.tile(8, 8)).distinct()
+    return bits.tile_bitmap(tiles.select(bitmap_position("ty", "tx", F.lit(64), 8, 8).alias("pos")))
+
+
+@query("op_b3_tile_bitmap", duck("emb", _BITMAP + "\nSELECT byte, v FROM m"))
+def _(spark, sf):
+    return _bitmap(spark, sf)
+
+
+@query("op_a19_tile_count", duck("emb", _BITMAP + "\nSELECT coalesce(sum(bit_count(v)), 0)::BIGINT AS tiles FROM m WHERE byte < (SELECT (max(byte) + 1) // 4 * 4 FROM m)"))
+def _(spark, sf):
+    return bits.popcount(_bitmap(spark, sf))
+
+
+# ---- palettes
+
+
+def _streams(spark, sf):
+    """Eight colour streams of 192 colours of 6 bits, each a band of the mixed image."""
+    image = mixed_image(spark, sf).where("y < 64 and x >= 20 and x < 44")
+    n = (F.col("y") % 8) * 24 + F.col("x") - 20
+    return image.select(idiv("y", 8).cast("int").alias("stream"), n.cast("int").alias("n"), *[shr(k, 2).alias(k) for k in "rgb"])
+
+
+_STREAMS = """,
+s AS MATERIALIZED (SELECT y // 8 AS stream, y % 8 * 24 + x - 20 AS n, r >> 2 AS r, g >> 2 AS g, b >> 2 AS b FROM mix WHERE y < 64 AND x >= 20 AND x < 44),
+d AS (SELECT a.stream, a.n, p.n AS prev, (a.r - p.r) ** 2 + (a.g - p.g) ** 2 + (a.b - p.b) ** 2 AS dist, (a.r - p.r) & 255 AS dr, (a.g - p.g) & 255 AS dg, (a.b - p.b) & 255 AS db
+      FROM s a JOIN s p ON p.stream = a.stream AND p.n BETWEEN a.n - 64 AND a.n - 1),
+nd AS MATERIALIZED (SELECT stream, n, dr, dg, db FROM d QUALIFY row_number() OVER (PARTITION BY stream, n ORDER BY dist, prev) = 1),
+cb AS (SELECT stream, dr, dg, db, count(*) - 1 AS ref, min(n) AS first FROM nd GROUP BY ALL),
+bk AS MATERIALIZED (SELECT st.stream, 0 AS idx, 0 AS dr, 0 AS dg, 0 AS db, coalesce(ref + 1, 0) AS ref FROM (SELECT DISTINCT stream FROM nd) st LEFT JOIN cb ON cb.stream = st.stream AND dr = 0 AND dg = 0 AND db = 0
+ UNION ALL SELECT * FROM (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY ref DESC, first) AS idx, dr, dg, db, ref FROM cb WHERE dr + dg + db > 0) WHERE idx < 128)"""
+
+
+@query("op_a9_code_book", duck("evt mix", _STREAMS + "\nSELECT stream, idx::INT AS idx, dr, dg, db, ref FROM bk"))
+def _(spark, sf):
+    return palette.code_book(palette.nearest_deltas(_streams(spark, sf)))
+
+
+@query("op_j7_nearest_deltas", duck("evt mix", _STREAMS + "\nSELECT stream, n, dr, dg, db FROM nd"))
+def _(spark, sf):
+    return palette.nearest_deltas(_streams(spark, sf))
+
+
+_HEX = "printf('%02X', {})".format
+_CODES = _STREAMS + """,
+h AS (SELECT a.stream, a.n, a.n - p.n - 2 AS back, k.idx FROM s a JOIN s p ON p.stream = a.stream AND p.n BETWEEN a.n - 65 AND a.n - 1
+      JOIN bk k ON k.stream = a.stream AND k.idx < 64 AND k.dr = ((a.r - p.r) & 255) AND k.dg = ((a.g - p.g) & 255) AND k.db = ((a.b - p.b) & 255)),
+f AS (SELECT stream, n, min(idx) FILTER (back = -1) AS near, min(idx * 100 + back) FILTER (back BETWEEN 0 AND 63) AS far FROM h GROUP BY ALL),
+e AS (SELECT stream, n, r, g, b, r - lag(r) OVER w AS sr, g - lag(g) OVER w AS sg, b - lag(b) OVER w AS sb FROM s WINDOW w AS (PARTITION BY stream ORDER BY n)),
+co AS MATERIALIZED (SELECT e.stream, e.n, CASE WHEN near IS NOT NULL THEN """ + _HEX("near") + " WHEN far IS NOT NULL THEN " + _HEX("192 + far % 100") + " || " + _HEX("far // 100") + """
+  ELSE """ + _HEX("128 + (sr <> 0)::INT + 2 * (sg <> 0)::INT + 4 * (sb <> 0)::INT") + " || " + " || ".join(f"CASE WHEN s{k} <> 0 THEN {_HEX(f's{k} & 255')} ELSE '' END" for k in "rgb") + """ END AS code
+  FROM e LEFT JOIN f USING (stream, n) WHERE e.n > 0)"""
+
+
+@query("op_z3_palette_codes", duck("evt mix", _CODES + "\nSELECT stream, n, code FROM co"))
+def _(spark, sf):
+    streams = gradient.checkpointed(_streams(spark, sf))
+    return palette.codes(streams, gradient.checkpointed(palette.code_book(palette.nearest_deltas(streams))))
+
+
+@query("op_z3_palette_encode", duck("evt mix", _CODES + """,
+hd AS (SELECT stream, """ + _HEX("count(*)") + " || string_agg(" + " || ".join(_HEX(f"d{k}") for k in "rgb") + """, '' ORDER BY idx) AS h FROM bk GROUP BY stream),
+bd AS (SELECT stream, string_agg(code, '' ORDER BY n) AS c FROM co GROUP BY stream)
+SELECT stream, h || """ + " || ".join(_HEX(k) for k in "rgb") + " || c AS hex FROM s JOIN hd USING (stream) JOIN bd USING (stream) WHERE n = 0"))
+def _(spark, sf):
+    return palette.encode(gradient.checkpointed(_streams(spark, sf))).select("stream", F.hex("data").alias("hex"))
+
+
+@query("op_z4_palette_decode", duck("evt mix", _STREAMS + "\nSELECT stream, n, r, g, b FROM s"))
+def _(spark, sf):
+    streams = gradient.checkpointed(_streams(spark, sf))
+    sizes = streams.groupBy("stream").agg(F.count("*").alias("colors"))
+    return palette.decode(palette.encode(streams).join(sizes, "stream"))
+
+
+@query("op_t5_frequent_colors", duck("evt mix", "\nSELECT (r << 16) | (g << 8) | b AS color, count(*) AS cnt FROM mix GROUP BY 1 ORDER BY cnt DESC, color LIMIT 10"))
+def _(spark, sf):
+    return stats.color_histogram(mixed_image(spark, sf)).orderBy(F.desc("cnt"), "color").limit(10)
+
+
+# ---- compression and containers
+
+
+@query("op_z1_z2_zstd_round_trip", duck("emb", "\nSELECT y, 64 AS n, true AS same FROM emb GROUP BY y"))
+def _(spark, sf):
+    values = embedding_plane(spark, sf).select("y", F.col("x").alias("byte"), "v")
+    streams = bits.to_binary(values, ["y"]).withColumn("packed", zstd_compress(F.col("data")))
+    back = streams.withColumn("back", zstd_decompress(F.col("packed"), F.length("data")))
+    return back.select("y", F.length("back").alias("n"), (F.col("back") == F.col("data")).alias("same"))
+
+
+def _chunk_rows(spark, sf):
+    """Three files of chunks: the rows of the embedding plane, a band of 16 rows to a chunk."""
+    values = embedding_plane(spark, sf).where("y < 240").select(idiv("y", 16).cast("int").alias("k"), ((F.col("y") % 16) * 64 + F.col("x")).alias("byte"), "v").where("byte < 1000 - k")
+    tags = F.array(*map(F.lit, (container.MIP, container.ALPHA, container.GRADIENT, container.TABLE, container.RANGE)))
+    made = bits.to_binary(values, ["k"])
+    name = F.concat(F.lit("image-"), idiv("k", 5).cast("string"))
+    return made.select(name.alias("name"), F.lit(64).alias("width"), F.lit(240).alias("height"), F.lit(False).alias("alpha"), (F.col("k") % 5).alias("seq"), F.element_at(tags, F.col("k") % 5 + 1).alias("tag"), F.col("data").alias("payload"))
+
+
+_CHUNK = """,
+c AS (SELECT y // 16 AS k, (y % 16) * 64 + x AS byte, v FROM emb WHERE y < 240 AND (y % 16) * 64 + x < 1000 - y // 16),
+h AS (SELECT k, string_agg(printf('%02X', v), '' ORDER BY byte) AS hex, count(*) AS n FROM c GROUP BY k)
+SELECT 'image-' || (k // 5) AS name, (k % 5)::INT AS seq, ['MIPM', 'ALPM', 'GTIL', '3DTL', '1DTL'][k % 5 + 1] AS tag, (n + 3) // 4 * 4 AS length"""
+
+
+@query("op_io6_io7_container_round_trip", duck("emb", _CHUNK + ", hex || repeat('00', ((n + 3) // 4 * 4 - n)::INT) AS hex FROM h"))
+def _(spark, sf):
+    where = scratch(spark)
+    container.write_containers(_chunk_rows(spark, sf), where)
+    got = container.read_containers(spark, where)
+    return got.select(F.regexp_extract("path", r"(image-\d+)\.tile", 1).alias("name"), "seq", "tag", "length", F.hex("payload").alias("hex"))
+
+
+@query("op_io7_chunk_listing", duck("emb", _CHUNK + " FROM h"))
+def _(spark, sf):
+    where = scratch(spark)
+    container.write_containers(_chunk_rows(spark, sf), where)
+    got = container.read_containers(spark, where, payloads=False)
+    return got.select(F.regexp_extract("path", r"(image-\d+)\.tile", 1).alias("name"), "seq", "tag", "length")
+
+
+@query("op_io_chunk_order", """SELECT path, seq, tag, error FROM (VALUES ('a', 2, 'MIPM', 'wrong order'), ('b', 1, 'XXXX', 'unknown tag'), ('b', 3, 'ALPM', 'wrong order')) v(path, seq, tag, error)""")
+def _(spark, sf):
+    rows = [("a", 0, "ALPM"), ("a", 1, "GTIL"), ("a", 2, "MIPM"), ("b", 0, "GTIL"), ("b", 1, "XXXX"), ("b", 2, "1DTL"), ("b", 3, "ALPM"), ("c", 0, "MIPM"), ("c", 1, "3DTL"), ("c", 2, "1DTL")]
+    return chunk_order.order_errors(spark.createDataFrame(rows, "path string, seq int, tag string"))
+
+
+@query("op_e14_smooth_map", None)
+def _(spark, sf):
+    image = mixed_image(spark, sf)
+    smooth = image.select("y", "x", *[windows.smooth_mask(n).alias(n) for n in "rgb"])
+    both = smooth.select(F.lit(0).alias("image_id"), "y", "x", F.when((F.col("r") > 0) & (F.col("g") > 0) & (F.col("b") > 0), 255).otherwise(0).alias("m"))
+    return masks.quarter_all(masks.erode(both, ["image_id"]))
+
+
+@query("op_io17_interleaved_rows", duck("evt", "\nSELECT y, string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY x) AS hex FROM evt GROUP BY y"))
+def _(spark, sf):
+    two = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("x", "r", "g", "b"))), lambda s: F.concat(two(s["r"]), two(s["g"]), two(s["b"])))
+    return event_image(spark, sf).groupBy("y").agg(F.array_join(cells, "").alias("hex"))
+
+
+@query("op_io2_signed_planes", duck("evt", "\nSELECT y, x, least(255, greatest(0, r)) AS r, least(255, greatest(0, (r - b) // 2 + 128)) AS co FROM evt"))
+def _(spark, sf):
+    from tilewright.functions.scalar import clamp
+
+    return event_image(spark, sf).select("y", "x", clamp("r", 0, 255).alias("r"), clamp(idiv(F.col("r") - F.col("b"), 2) + 128, 0, 255).cast("int").alias("co"))
