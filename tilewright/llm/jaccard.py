@@ -242,6 +242,19 @@ def _verify(pairs: DataFrame, rows: DataFrame, docs: DataFrame, ws: Workspace, n
     return ws.stage(dealt.mapInArrow(_overlaps(n, percent), "row long, first long, overlap long"), name, batch_rows=500)
 
 
+def _first_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows (row, digest, blocks) that stand for their class.
+
+    A fixed-size filter of the classes of several rows lets the rows of all others through where they are; only
+    what it holds is joined with the classes."""
+    bucket, inside = may_contain("digest")
+    several = classes.where("size > 1").select("digest", "rep")
+    marked = rows.join(F.broadcast(bitmap_filter(several, "digest")), (bucket == F.col("filter_bucket")) & inside, "left")
+    alone = marked.where("filter_bits is null").select(*rows.columns)
+    other = marked.where("filter_bits is not null").select(*rows.columns)
+    return alone.unionByName(other.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select(*rows.columns))
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id, stays) of every document; needs doc_id and text.
 
@@ -257,8 +270,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     raw = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     rows = ws.stage(raw.mapInArrow(_rows(n, percent), "row long, doc_id long, n long, digest binary, parity binary, blocks binary"), "rows", batch_rows=500)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    classes = ws.stage(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min(order).alias("least")), "classes")
-    reps = rows.where("n > 0").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    classes = ws.stage(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min(order).alias("least"), F.count("*").alias("size")), "classes")
+    reps = _first_rows(rows.where("n > 0").select("row", "digest", "blocks"), classes)
     with arrow_rows(spark, 2000):
         blocks = reps.select("row", "blocks").mapInArrow(_unpack, "block long, row long")
         dealt = blocks.repartition("block").sortWithinPartitions("block", "row")
