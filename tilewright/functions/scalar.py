@@ -18,6 +18,11 @@ def c(value: Column | str | int) -> Column:
     return value if isinstance(value, Column) else F.col(value) if isinstance(value, str) else F.lit(value)
 
 
+def by(frame) -> list[str]:
+    """The key of an image where the pixels are of many: image_id where there is such a column."""
+    return [k for k in ("image_id",) if k in frame.columns]
+
+
 def idiv(a: Column | str | int, b: Column | str | int) -> Column:
     """Integer division that truncates toward zero, as BIGINT."""
     return F.call_function("div", c(a), c(b))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.scalar import c, idiv, shl, shr
+from tilewright.functions.scalar import by, c, idiv, shl, shr
 
 
 def pack(values: DataFrame, keys: list[str], bits: int, value: str = "v", pos: str = "pos") -> DataFrame:
@@ -46,7 +46,7 @@ def expand6(v) -> Column:
 
 def tile_bitmap(places: DataFrame, place: str = "pos") -> DataFrame:
     """(byte, v): a bit for each place."""
-    return places.groupBy(shr(place, 3).cast("int").alias("byte")).agg(F.bit_or(shl(F.lit(1), (c(place) % 8).cast("int"))).alias("v"))
+    return places.groupBy(*by(places), shr(place, 3).cast("int").alias("byte")).agg(F.bit_or(shl(F.lit(1), (c(place) % 8).cast("int"))).alias("v"))
 
 
 def popcount(bitmap: DataFrame) -> DataFrame:
@@ -58,14 +58,14 @@ def popcount(bitmap: DataFrame) -> DataFrame:
 def mip_bits(pixels: DataFrame, value: str, log_size: int = 4) -> DataFrame:
     """(ty, tx, used): whether a tile of 2**log_size pixels has any that is not zero."""
     n = 1 << log_size
-    return pixels.groupBy(idiv("y", n).cast("int").alias("ty"), idiv("x", n).cast("int").alias("tx")).agg(F.some(c(value) != 0).cast("int").alias("used"))
+    return pixels.groupBy(*by(pixels), idiv("y", n).cast("int").alias("ty"), idiv("x", n).cast("int").alias("tx")).agg(F.some(c(value) != 0).cast("int").alias("used"))
 
 
 def mip_mask(tiles: DataFrame, log_size: int = 4) -> DataFrame:
     """(y, x, m): 255 on the pixels of used tiles, 0 elsewhere."""
     n = 1 << log_size
     rows = tiles.withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return rows.select((c("ty") * n + c("dy")).alias("y"), (c("tx") * n + c("dx")).alias("x"), F.when(c("used") != 0, 255).otherwise(0).alias("m"))
+    return rows.select(*by(tiles), (c("ty") * n + c("dy")).alias("y"), (c("tx") * n + c("dx")).alias("x"), F.when(c("used") != 0, 255).otherwise(0).alias("m"))
 
 
 def alpha_plane(values: DataFrame, box: tuple[int, int, int, int], canvas: DataFrame) -> DataFrame:

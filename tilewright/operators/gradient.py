@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.functions.scalar import bitmap_position, c, idiv, round6, round6_plus
+from tilewright.functions.scalar import bitmap_position, by, c, idiv, round6, round6_plus
 
 #: The order of tile sizes, width and height.
 SIZES = ((16, 16), (16, 8), (8, 16), (8, 8), (8, 4), (4, 8), (4, 4))
@@ -41,10 +41,11 @@ def with_corners(pixels: DataFrame, channels: list[str], tw: int, th: int, width
         return F.filter(F.array(near, far, edge), lambda s: s.isNotNull())
 
     corner = pixels.where(((at_y % th == 0) | (at_y == height - 1)) & ((at_x % tw == 0) | (at_x == width - 1)))
-    spread = corner.select(*channels, F.explode(reads(at_y, th, last_y, height)).alias("v"), at_x.alias("x")).select(*channels, "v", F.explode(reads(at_x, tw, last_x, width)).alias("h"))
+    keys = by(pixels)
+    spread = corner.select(*keys, *channels, F.explode(reads(at_y, th, last_y, height)).alias("v"), at_x.alias("x")).select(*keys, *channels, "v", F.explode(reads(at_x, tw, last_x, width)).alias("h"))
     value = F.struct(*channels)
     pick = lambda fy, fx: F.max(F.when((F.col("v.far") == fy) & (F.col("h.far") == fx), value))
-    return spread.groupBy(F.col("v.t").alias("ty"), F.col("h.t").alias("tx")).agg(pick(0, 0).alias("tl"), pick(0, 1).alias("tr"), pick(1, 0).alias("bl"), pick(1, 1).alias("br"))
+    return spread.groupBy(*keys, F.col("v.t").alias("ty"), F.col("h.t").alias("tx")).agg(pick(0, 0).alias("tl"), pick(0, 1).alias("tr"), pick(1, 0).alias("bl"), pick(1, 1).alias("br"))
 
 
 def blend(corner: dict[str, Column], dy: Column, dx: Column, tw: int, th: int, rounded: bool) -> Column:
@@ -61,29 +62,31 @@ def fit(pixels: DataFrame, taken: DataFrame | None, channels: list[str], tw: int
 
     A tile is tried when it lies wholly inside and its top left pixel is free; blends are of the corners as they
     are, cut to 6 bits, and raised by one and cut, each rounded and not."""
-    tiled = pixels.select("y", "x", *channels, idiv("y", th).cast("int").alias("ty"), idiv("x", tw).cast("int").alias("tx"))
+    keys = [*by(pixels), "ty", "tx"]
+    tiled = pixels.select(*by(pixels), "y", "x", *channels, idiv("y", th).cast("int").alias("ty"), idiv("x", tw).cast("int").alias("tx"))
     tried = tiled.where((F.col("ty") < height // th) & (F.col("tx") < width // tw))
     corners = with_corners(pixels, channels, tw, th, width, height)
     if taken is not None:
-        at = taken.select(idiv("y", th).cast("int").alias("ty"), idiv("x", tw).cast("int").alias("tx"), "y", "x").where((c("y") % th == 0) & (c("x") % tw == 0))
-        corners = corners.join(at.select("ty", "tx").distinct(), ["ty", "tx"], "left_anti")
-    both = tried.join(corners, ["ty", "tx"])
+        at = taken.select(*by(pixels), idiv("y", th).cast("int").alias("ty"), idiv("x", tw).cast("int").alias("tx"), "y", "x").where((c("y") % th == 0) & (c("x") % tw == 0))
+        corners = corners.join(at.select(*keys).distinct(), keys, "left_anti")
+    both = tried.join(corners, keys)
     dy, dx = c("y") - c("ty") * th, c("x") - c("tx") * tw
     errors = []
     for k, cut in enumerate((lambda v: v, round6, round6_plus)):
         for rounded in (True, False):
             apart = [F.abs(c(n) - blend({q: cut(F.col(q)[n]) for q in ("tl", "tr", "bl", "br")}, dy, dx, tw, th, rounded)) for n in channels]
             errors.append(F.max(F.greatest(*apart, F.lit(0))).alias(f"e{k}{int(rounded)}"))
-    worst = both.groupBy("ty", "tx").agg(*errors)
+    worst = both.groupBy(*keys).agg(*errors)
     err = F.least(*[F.col(f"e{k}{r}") for k in range(3) for r in (0, 1)])
-    return worst.select("ty", "tx", err.alias("err")).where(F.col("err") <= reject)
+    return worst.select(*keys, err.alias("err")).where(F.col("err") <= reject)
 
 
 def covered(tiles: DataFrame, tw: int, th: int) -> DataFrame:
     """(y, x) of the pixels of tiles."""
     rows = F.explode(F.sequence(F.lit(0), F.lit(th - 1))).alias("dy")
     columns = F.explode(F.sequence(F.lit(0), F.lit(tw - 1))).alias("dx")
-    return tiles.select("ty", "tx", rows).select("ty", "tx", "dy", columns).select((c("ty") * th + c("dy")).alias("y"), (c("tx") * tw + c("dx")).alias("x"))
+    keys = by(tiles)
+    return tiles.select(*keys, "ty", "tx", rows).select(*keys, "ty", "tx", "dy", columns).select(*keys, (c("ty") * th + c("dy")).alias("y"), (c("tx") * tw + c("dx")).alias("x"))
 
 
 def cascade(pixels: DataFrame, channels: list[str], width: int, height: int, sizes=SIZES, reject: int = REJECT) -> DataFrame:
@@ -93,7 +96,7 @@ def cascade(pixels: DataFrame, channels: list[str], width: int, height: int, siz
     taken, out = None, None
     for k, (tw, th) in enumerate(sizes):
         tiles = checkpointed(fit(pixels, taken, channels, tw, th, width, height, reject))
-        named = tiles.select(F.lit(k).alias("pass"), F.lit(tw).alias("tw"), F.lit(th).alias("th"), "ty", "tx", "err")
+        named = tiles.select(*by(pixels), F.lit(k).alias("pass"), F.lit(tw).alias("tw"), F.lit(th).alias("th"), "ty", "tx", "err")
         out = named if out is None else out.unionByName(named)
         more = covered(tiles, tw, th)
         taken = checkpointed(more if taken is None else taken.unionByName(more).distinct())
@@ -109,23 +112,24 @@ def corner_stream(tiles: DataFrame, pixels: DataFrame, channels: list[str], widt
         match = (F.col("tw") == tw) & (F.col("th") == th)
         place = F.when(match, p) if place is None else place.when(match, p)
     sides = F.explode(F.array(*[F.struct(F.lit(2 * j + i).alias("side"), F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (0, 1) for i in (0, 1)]))
-    spread = tiles.select("pass", place.alias("pos"), "ty", "tx", "tw", "th", sides.alias("s"))
+    keys = by(tiles)
+    spread = tiles.select(*keys, "pass", place.alias("pos"), "ty", "tx", "tw", "th", sides.alias("s"))
     cy, cx = (c("ty") + F.col("s.j")) * c("th"), (c("tx") + F.col("s.i")) * c("tw")
-    corners = spread.select("pass", "pos", F.col("s.side").alias("side"), cy.alias("cy"), cx.alias("cx"))
-    first = Window.partitionBy("cy", "cx").orderBy("pass", "pos", "side")
+    corners = spread.select(*keys, "pass", "pos", F.col("s.side").alias("side"), cy.alias("cy"), cx.alias("cx"))
+    first = Window.partitionBy(*keys, "cy", "cx").orderBy("pass", "pos", "side")
     once = corners.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-    source = pixels.select(F.col("y").alias("ky"), F.col("x").alias("kx"), *[round6(n).alias(n) for n in channels])
+    source = pixels.select(*keys, F.col("y").alias("ky"), F.col("x").alias("kx"), *[round6(n).alias(n) for n in channels])
     keyed = once.withColumn("ky", F.least("cy", F.lit(height - 1))).withColumn("kx", F.least("cx", F.lit(width - 1)))
-    return keyed.join(source, ["ky", "kx"]).drop("ky", "kx")
+    return keyed.join(source, [*keys, "ky", "kx"]).drop("ky", "kx")
 
 
 def decode(tiles: DataFrame, corners: DataFrame, channels: list[str]) -> DataFrame:
     """(y, x, <channels>) of tiles (pass, tw, th, ty, tx) from the corner map (cy, cx, <channels>): closed form of the
     blend, cut not rounded. Of tiles that overlap, the later pass stays."""
-    keyed = tiles
+    keys, keyed = by(tiles), tiles
     for q, (j, i) in {"tl": (0, 0), "tr": (0, 1), "bl": (1, 0), "br": (1, 1)}.items():
-        at = corners.select(F.col("cy").alias(f"cy_{q}"), F.col("cx").alias(f"cx_{q}"), F.struct(*channels).alias(q))
-        keyed = keyed.withColumn(f"cy_{q}", (c("ty") + j) * c("th")).withColumn(f"cx_{q}", (c("tx") + i) * c("tw")).join(at, [f"cy_{q}", f"cx_{q}"])
+        at = corners.select(*keys, F.col("cy").alias(f"cy_{q}"), F.col("cx").alias(f"cx_{q}"), F.struct(*channels).alias(q))
+        keyed = keyed.withColumn(f"cy_{q}", (c("ty") + j) * c("th")).withColumn(f"cx_{q}", (c("tx") + i) * c("tw")).join(at, [*keys, f"cy_{q}", f"cx_{q}"])
     dense = keyed.withColumn("dy", F.explode(F.expr("sequence(0, th - 1)"))).withColumn("dx", F.explode(F.expr("sequence(0, tw - 1)")))
     dy, dx, th, tw = (c(k) for k in ("dy", "dx", "th", "tw"))
 
@@ -134,5 +138,5 @@ def decode(tiles: DataFrame, corners: DataFrame, channels: list[str]) -> DataFra
         right = F.col("tr")[n] * (th - dy) + F.col("br")[n] * dy
         return idiv(left * (tw - dx) + right * dx, tw * th).cast("int")
 
-    out = dense.select("pass", (c("ty") * th + dy).alias("y"), (c("tx") * tw + dx).alias("x"), *[value(n).alias(n) for n in channels])
-    return out.groupBy("y", "x").agg(F.max_by(F.struct(*channels), "pass").alias("s")).select("y", "x", "s.*")
+    out = dense.select(*keys, "pass", (c("ty") * th + dy).alias("y"), (c("tx") * tw + dx).alias("x"), *[value(n).alias(n) for n in channels])
+    return out.groupBy(*keys, "y", "x").agg(F.max_by(F.struct(*channels), "pass").alias("s")).select(*keys, "y", "x", "s.*")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.functions.scalar import c, idiv, morton3, shl, shr, swap_axes
+from tilewright.functions.scalar import by, c, idiv, morton3, shl, shr, swap_axes
 
 from . import stats
 
@@ -57,7 +57,7 @@ def normalised(pixels: DataFrame, channels: list[str], free: Column, tw: int, th
     box = stats.color_box(pixels, channels, free, th, tw)
     wide = sum((F.col(f"{n}1") > F.col(f"{n}0")).cast("int") for n in channels)
     tiles = box.where(F.col("whole") & (F.col("cnt") > 0) & (wide >= 2)).drop("whole", "cnt")
-    tiled = pixels.where(free).select("y", "x", *channels, *stats.tile(th, tw)).join(tiles, ["ty", "tx"])
+    tiled = pixels.where(free).select(*by(pixels), "y", "x", *channels, *stats.tile(th, tw)).join(tiles, [*by(pixels), "ty", "tx"])
 
     def place(n: str) -> Column:
         """Through a reciprocal in 20 bits and single precision, cut."""
@@ -89,14 +89,15 @@ def scores(places: DataFrame, bank: DataFrame) -> DataFrame:
     """(ty, tx, lut_id, mode, score): the best mode of each table for each tile, of equals the first.
 
     Equal colours of a tile are counted first; distances are looked up per cell that comes, not per pixel."""
-    counted = places.groupBy("ty", "tx", "ix", "iy", "iz").agg(F.count("*").alias("n"))
+    keys = [*by(places), "ty", "tx"]
+    counted = places.groupBy(*keys, "ix", "iy", "iz").agg(F.count("*").alias("n"))
     turned = counted.crossJoin(F.broadcast(modes(places.sparkSession))).withColumn("t", _turned(F.col("order"), "ix", "iy", "iz"))
     flip = lambda k: F.when(F.col(f"f{k}") == 1, F.lit(SIDE - 1) - F.col("t")[k]).otherwise(F.col("t")[k]).alias(f"c{k}")
-    at = turned.select("ty", "tx", "mode", "n", *[flip(k) for k in "xyz"])
+    at = turned.select(*keys, "mode", "n", *[flip(k) for k in "xyz"])
     distance = cells(bank, at.select("cx", "cy", "cz").distinct()).select("lut_id", "cx", "cy", "cz", "dist")
-    sums = at.join(distance, ["cx", "cy", "cz"]).groupBy("ty", "tx", "lut_id", "mode").agg(F.sum(F.col("dist") * F.col("n")).alias("score"))
+    sums = at.join(distance, ["cx", "cy", "cz"]).groupBy(*keys, "lut_id", "mode").agg(F.sum(F.col("dist") * F.col("n")).alias("score"))
     best = F.min(F.struct("score", "mode")).alias("b")
-    return sums.groupBy("ty", "tx", "lut_id").agg(best).select("ty", "tx", "lut_id", F.col("b.mode").alias("mode"), F.col("b.score").alias("score"))
+    return sums.groupBy(*keys, "lut_id").agg(best).select(*keys, "lut_id", F.col("b.mode").alias("mode"), F.col("b.score").alias("score"))
 
 
 def _axis_number(mode) -> Column:
@@ -111,8 +112,9 @@ def _flip_then_swap(mode, x, y, z, top: int) -> Column:
 def search(places: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame:
     """(ty, tx, lut_id, mode, depth, err) of the tiles that some table serves: of each table its best mode and the least
     depth with at most WRONG pixels that are further than FAR off; over tables the least error, of equals the last."""
+    keys = [*by(places), "ty", "tx"]
     chosen = scores(places, bank)
-    pixels = places.join(chosen.select("ty", "tx", "lut_id", "mode"), ["ty", "tx"])
+    pixels = places.join(chosen.select(*keys, "lut_id", "mode"), keys)
 
     def place(n: str) -> Column:
         span = F.greatest(F.col(f"{n}1") - F.col(f"{n}0"), F.lit(1))
@@ -123,21 +125,22 @@ def search(places: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame
     pixels = pixels.withColumn("t", swap_axes(_axis_number("mode"), *turned)).select("*", *[F.col("t")[k].alias(f"c{k}") for k in "xyz"]).drop("t")
     near = cells(bank, pixels.select("cx", "cy", "cz").distinct()).drop("dist")
     indexed = pixels.join(near, ["lut_id", "cx", "cy", "cz"])
-    long = indexed.select("ty", "tx", "lut_id", "mode", *channels, *[f"{n}{k}" for n in channels for k in (0, 1)],
+    long = indexed.select(*keys, "lut_id", "mode", *channels, *[f"{n}{k}" for n in channels for k in (0, 1)],
                           F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"i{d}").alias("idx")) for d in (6, 5, 4, 3)])).alias("s"))
     entry = long.select("*", "s.*").drop("s").join(F.broadcast(factors(bank)), ["lut_id", "depth", "idx"])
     back = _flip_then_swap("mode", "fx", "fy", "fz", FACTOR)
     value = lambda n, k: F.col(f"{n}0") + idiv(back[k] * (F.col(f"{n}1") - F.col(f"{n}0")), FACTOR)
     error = F.greatest(*[F.abs(value(n, k) - c(n)) for n, k in zip(channels, "xyz", strict=True)])
-    depths = entry.withColumn("e", error).groupBy("ty", "tx", "lut_id", "mode", "depth").agg(F.count_if(F.col("e") > FAR).alias("bad"), F.sum("e").alias("err"))
-    served = depths.where(F.col("bad") <= WRONG).groupBy("ty", "tx", "lut_id", "mode").agg(F.min(F.struct("depth", "err")).alias("d"))
+    depths = entry.withColumn("e", error).groupBy(*keys, "lut_id", "mode", "depth").agg(F.count_if(F.col("e") > FAR).alias("bad"), F.sum("e").alias("err"))
+    served = depths.where(F.col("bad") <= WRONG).groupBy(*keys, "lut_id", "mode").agg(F.min(F.struct("depth", "err")).alias("d"))
     best = F.min(F.struct(F.col("d.err").alias("err"), (-F.col("lut_id")).alias("l"), "mode", F.col("d.depth").alias("depth"))).alias("b")
-    return served.groupBy("ty", "tx").agg(best).select("ty", "tx", (-F.col("b.l")).alias("lut_id"), F.col("b.mode").alias("mode"), F.col("b.depth").alias("depth"), F.col("b.err").alias("err"))
+    return served.groupBy(*keys).agg(best).select(*keys, (-F.col("b.l")).alias("lut_id"), F.col("b.mode").alias("mode"), F.col("b.depth").alias("depth"), F.col("b.err").alias("err"))
 
 
 def decode(places: DataFrame, choice: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame:
     """(y, x, <channels>) as a decoder gives them: entries swapped and then flipped, scaled by 7 bits over the tile's box."""
-    pixels = places.join(choice.select("ty", "tx", "lut_id", "mode", "depth"), ["ty", "tx"])
+    keys = [*by(places), "ty", "tx"]
+    pixels = places.join(choice.select(*keys, "lut_id", "mode", "depth"), keys)
     rel = lambda n: (((c(n) - F.col(f"{n}0")).cast("float") / F.greatest(F.col(f"{n}1") - F.col(f"{n}0"), F.lit(1))).cast("float") * F.lit(63.0).cast("float"))
     turned = [F.when(c("mode").bitwiseAND(F.lit(1 << k)) != 0, F.lit(63.0).cast("float") - rel(n)).otherwise(rel(n)).cast("int") for k, n in enumerate(channels)]
     pixels = pixels.withColumn("t", swap_axes(_axis_number("mode"), *turned)).select("*", *[F.col("t")[k].alias(f"c{k}") for k in "xyz"]).drop("t")
@@ -147,7 +150,7 @@ def decode(places: DataFrame, choice: DataFrame, channels: list[str], bank: Data
     moved = swap_axes(_axis_number("mode"), "fx", "fy", "fz")
     flip = lambda k, a: F.when(c("mode").bitwiseAND(F.lit(1 << k)) != 0, F.lit(FACTOR) - moved[a]).otherwise(moved[a])
     out = [(F.col(f"{n}0") + shr(flip(k, a) * (F.col(f"{n}1") - F.col(f"{n}0")), 7)).cast("int").alias(n) for k, (n, a) in enumerate(zip(channels, "xyz", strict=True))]
-    return entry.select("y", "x", *out)
+    return entry.select(*by(places), "y", "x", *out)
 
 
 def palette_order(colors: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.scalar import c, clamp, idiv
+from tilewright.functions.scalar import by, c, clamp, idiv
 
 OPERATORS = {
     "EQ": lambda a, b: a == b,
@@ -59,19 +59,19 @@ def clamped_read(pixels: DataFrame, wanted: DataFrame, width: int, height: int,
 def quarter_all(pixels: DataFrame, value: str = "m") -> DataFrame:
     """Half the size in both directions: 255 where all four pixels are set."""
     full = F.min(F.when(c(value) != 0, 1).otherwise(0)) == 1
-    return pixels.groupBy(idiv("y", 2).cast("int").alias("y"), idiv("x", 2).cast("int").alias("x")).agg(F.when(full, 255).otherwise(0).alias("m"))
+    return pixels.groupBy(*by(pixels), idiv("y", 2).cast("int").alias("y"), idiv("x", 2).cast("int").alias("x")).agg(F.when(full, 255).otherwise(0).alias("m"))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, ["y", "x"], "left_semi")
+    return a.join(b, [*by(a), "y", "x"], "left_semi")
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, ["y", "x"], "left_anti")
+    return a.join(b, [*by(a), "y", "x"], "left_anti")
 
 
 def union(*masks: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [m.select("y", "x") for m in masks]).distinct()
+    return reduce(DataFrame.unionByName, [m.select(*by(m), "y", "x") for m in masks]).distinct()
 
 
 def fork(mask_: DataFrame, planes: int = 3) -> DataFrame:

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.functions.scalar import c, clamp, idiv
+from tilewright.functions.scalar import by, c, clamp, idiv
 
 MODES = ("NEAREST_TL", "NEAREST_BR", "AVERAGE_BOX", "MAX_BOX", "MIN_BOX")
 
 
 def neighbours(pixels: DataFrame, value: str) -> DataFrame:
     """(y, x, a, b, c_, d): each pixel, the one to the right, below, and below right; beyond the edge, the edge."""
-    right = F.coalesce(F.lead(c(value)).over(Window.partitionBy("y").orderBy("x")), c(value))
-    below = lambda k: F.coalesce(F.lead(k).over(Window.partitionBy("x").orderBy("y")), F.col(k))
-    return pixels.select("y", "x", c(value).alias("a"), right.alias("b")).select("y", "x", "a", "b", below("a").alias("c_"), below("b").alias("d"))
+    keys = by(pixels)
+    right = F.coalesce(F.lead(c(value)).over(Window.partitionBy(*keys, "y").orderBy("x")), c(value))
+    below = lambda k: F.coalesce(F.lead(k).over(Window.partitionBy(*keys, "x").orderBy("y")), F.col(k))
+    return pixels.select(*keys, "y", "x", c(value).alias("a"), right.alias("b")).select(*keys, "y", "x", "a", "b", below("a").alias("c_"), below("b").alias("d"))
 
 
 def down(pixels: DataFrame, value: str, mode: str, half_x: bool, half_y: bool) -> DataFrame:
@@ -32,7 +33,7 @@ def down(pixels: DataFrame, value: str, mode: str, half_x: bool, half_y: bool) -
     }[mode] if half_x or half_y else a
     sx, sy = (2 if half_x else 1), (2 if half_y else 1)
     kept = neighbours(pixels, value).where((c("y") % sy == 0) & (c("x") % sx == 0))
-    return kept.select(idiv("y", sy).cast("int").alias("y"), idiv("x", sx).cast("int").alias("x"), v.cast("int").alias("v"))
+    return kept.select(*by(pixels), idiv("y", sy).cast("int").alias("y"), idiv("x", sx).cast("int").alias("x"), v.cast("int").alias("v"))
 
 
 def up(pixels: DataFrame, value: str, double_x: bool, double_y: bool, smooth: bool) -> DataFrame:
@@ -46,10 +47,11 @@ def up(pixels: DataFrame, value: str, double_x: bool, double_y: bool, smooth: bo
             if smooth and (dx or dy):
                 v = idiv(a + b + c_ + d, 4) if dx and dy else idiv(a + b, 2) if dx else idiv(a + c_, 2)
             out.append(F.struct((c("y") * (2 if double_y else 1) + dy).alias("y"), (c("x") * (2 if double_x else 1) + dx).alias("x"), v.cast("int").alias("v")))
-    return got.select(F.explode(F.array(*out)).alias("s")).select("s.*")
+    return got.select(*by(pixels), F.explode(F.array(*out)).alias("s")).select(*by(pixels), "s.*")
 
 
 def shift_edge(pixels: DataFrame, value: str, dy: int, dx: int, width: int, height: int) -> DataFrame:
     """(y, x, v): the value at an offset, at the edge where that lies beyond."""
-    key = pixels.select("y", "x", clamp(c("y") + dy, 0, height - 1).alias("ky"), clamp(c("x") + dx, 0, width - 1).alias("kx"))
-    return key.join(pixels.select(F.col("y").alias("ky"), F.col("x").alias("kx"), c(value).alias("v")), ["ky", "kx"]).select("y", "x", "v")
+    keys = by(pixels)
+    key = pixels.select(*keys, "y", "x", clamp(c("y") + dy, 0, height - 1).alias("ky"), clamp(c("x") + dx, 0, width - 1).alias("kx"))
+    return key.join(pixels.select(*keys, F.col("y").alias("ky"), F.col("x").alias("kx"), c(value).alias("v")), [*keys, "ky", "kx"]).select(*keys, "y", "x", "v")

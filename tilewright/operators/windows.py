@@ -6,23 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.functions.scalar import c, idiv
+from tilewright.functions.scalar import by, c, idiv
 
 #: Parsing orders: line and place in the line.
 LEFT_RIGHT, TOP_DOWN = ("y", "x"), ("x", "y")
 
 
-def along(order: tuple[str, str]) -> Window:
-    return Window.partitionBy(order[0]).orderBy(order[1])
+def along(order: tuple[str, str], keys=()) -> Window:
+    """keys: those of an image, where there are many."""
+    return Window.partitionBy(*keys, order[0]).orderBy(order[1])
 
 
-def delta(value, order: tuple[str, str] = LEFT_RIGHT) -> Column:
+def delta(value, order: tuple[str, str] = LEFT_RIGHT, keys=()) -> Column:
     """The difference to the pixel before; the first of a line keeps its value."""
-    return c(value) - F.coalesce(F.lag(c(value)).over(along(order)), F.lit(0))
+    return c(value) - F.coalesce(F.lag(c(value)).over(along(order, keys)), F.lit(0))
 
 
-def undo_delta(value, order: tuple[str, str] = LEFT_RIGHT) -> Column:
-    return F.sum(c(value)).over(along(order).rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+def undo_delta(value, order: tuple[str, str] = LEFT_RIGHT, keys=()) -> Column:
+    return F.sum(c(value)).over(along(order, keys).rowsBetween(Window.unboundedPreceding, 0)).cast("int")
 
 
 def parsing_order(pixels: DataFrame, order: tuple[str, str], box: tuple[int, int, int, int]) -> DataFrame:
@@ -31,26 +32,27 @@ def parsing_order(pixels: DataFrame, order: tuple[str, str], box: tuple[int, int
     kept = pixels.where(F.col("x").between(x0, x0 + w - 1) & F.col("y").between(y0, y0 + h - 1))
     low = {"x": x0, "y": y0}
     line, place = (c(k) - low[k] for k in order)
-    return kept.select("y", "x", line.alias("line"), place.alias("place"), (place == 0).alias("is_start"))
+    return kept.select(*by(pixels), "y", "x", line.alias("line"), place.alias("place"), (place == 0).alias("is_start"))
 
 
-def smooth_mask(value, least: int = 4) -> Column:
+def smooth_mask(value, least: int = 4, keys=()) -> Column:
     """255 where the differences to the left and upper pixel are both below least; missing neighbours differ by 0."""
-    apart = [F.abs(c(value) - F.coalesce(F.lag(c(value)).over(along(o)), c(value))) for o in (LEFT_RIGHT, TOP_DOWN)]
+    apart = [F.abs(c(value) - F.coalesce(F.lag(c(value)).over(along(o, keys)), c(value))) for o in (LEFT_RIGHT, TOP_DOWN)]
     return F.when(F.greatest(*apart) < least, 255).otherwise(0)
 
 
 def spans(pixels: DataFrame, used: Column, line: str = "y", place: str = "x") -> DataFrame:
     """(line, start, len) of the runs of used pixels in each line."""
-    kept = pixels.where(used).select(line, place)
-    island = c(place) - F.row_number().over(Window.partitionBy(line).orderBy(place))
-    return kept.withColumn("island", island).groupBy(line, "island").agg(F.min(place).alias("start"), F.count("*").alias("len")).drop("island")
+    keys = [*by(pixels), line]
+    kept = pixels.where(used).select(*keys, place)
+    island = c(place) - F.row_number().over(Window.partitionBy(*keys).orderBy(place))
+    return kept.withColumn("island", island).groupBy(*keys, "island").agg(F.min(place).alias("start"), F.count("*").alias("len")).drop("island")
 
 
 def ordinals(pixels: DataFrame, free: Column, th: int, tw: int) -> DataFrame:
     """(ty, tx, y, x, ord): free pixels numbered within their tile, in rows."""
-    within = Window.partitionBy("ty", "tx").orderBy("y", "x")
-    kept = pixels.where(free).select(idiv("y", th).cast("int").alias("ty"), idiv("x", tw).cast("int").alias("tx"), "y", "x")
+    within = Window.partitionBy(*by(pixels), "ty", "tx").orderBy("y", "x")
+    kept = pixels.where(free).select(*by(pixels), idiv("y", th).cast("int").alias("ty"), idiv("x", tw).cast("int").alias("tx"), "y", "x")
     return kept.withColumn("ord", F.row_number().over(within) - 1)
 
 
