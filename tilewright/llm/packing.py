@@ -16,7 +16,7 @@ from .shared import Workspace, arrow_rows, load, text_or_empty
 
 CAPACITY = 2048
 END_ID = 0
-_REMEMBERED = 400_000
+_REMEMBERED = 300_000
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -88,6 +88,15 @@ class WordEncoder:
             yield self._ids(text.decode()) if as_one else b"".join(map(self.words.__getitem__, words))
 
 
+def _encoder(vocab: str) -> WordEncoder:
+    """This process's encoder. It is kept on the tokenizers module, the one that all tasks of a worker share: functions
+    that travel with the plan are made anew for each task, and loading a vocabulary each time takes its toll."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_word_encoders", {})
+    return held.get(vocab) or held.setdefault(vocab, WordEncoder(vocab))
+
+
 def _one_word(word: bytes) -> bool:
     text = word.decode()
     return text.isalpha() and text == unicodedata.normalize("NFC", text).lower()
@@ -100,7 +109,7 @@ def cut_pieces(vocab: str, capacity: int, end_id: int) -> Callable:
     """A mapInArrow function from (doc_id, text as bytes) to PIECES."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(vocab), np.array([end_id], "<u4").tobytes()
+        encoder, end = _encoder(vocab), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
