@@ -55,3 +55,26 @@ def shift_edge(pixels: DataFrame, value: str, dy: int, dx: int, width: int, heig
     keys = by(pixels)
     key = pixels.select(*keys, "y", "x", clamp(c("y") + dy, 0, height - 1).alias("ky"), clamp(c("x") + dx, 0, width - 1).alias("kx"))
     return key.join(pixels.select(*keys, F.col("y").alias("ky"), F.col("x").alias("kx"), c(value).alias("v")), [*keys, "ky", "kx"]).select(*keys, "y", "x", "v")
+
+
+def fill_between(pixels: DataFrame, value: str, keep: Column, double_x: bool, double_y: bool) -> DataFrame:
+    """(y, x, v): pixels at even places stay and those between become means of the even ones around, beyond the edge of
+    the last pixel; blocks whose even pixel is not to be filled (keep) stay as they are."""
+    keys = by(pixels)
+    sx, sy = (2 if double_x else 1), (2 if double_y else 1)
+    row, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    # two steps on, or the last pixel of the line
+    ahead = lambda k, w, n: F.coalesce(F.lead(k, n).over(w), F.last(k).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    wide = pixels.select(*keys, "y", "x", c(value).alias("v"), keep.alias("keep")).withColumn("r", ahead("v", row, sx))
+    full = wide.withColumn("b", ahead("v", column, sy)).withColumn("rb", ahead("r", column, sy))
+    even = full.where((c("x") % sx == 0) & (c("y") % sy == 0) & ~c("keep"))
+    spots = []
+    if double_x:
+        spots.append((0, 1, idiv(c("v") + c("r"), 2)))
+    if double_y:
+        spots.append((1, 0, idiv(c("v") + c("b"), 2)))
+    if double_x and double_y:
+        spots.append((1, 1, idiv(c("v") + c("r") + c("b") + c("rb"), 4)))
+    made = F.explode(F.array(*[F.struct((c("y") + dy).alias("y"), (c("x") + dx).alias("x"), v.cast("int").alias("new")) for dy, dx, v in spots]))
+    filled = even.select(*keys, made.alias("s")).select(*keys, "s.*")
+    return pixels.join(filled, [*keys, "y", "x"], "left").select(*keys, "y", "x", F.coalesce("new", c(value)).alias("v"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tilewright.functions.scalar import by, c, idiv, shl
@@ -122,3 +123,44 @@ def pass_totals(cells: DataFrame) -> DataFrame:
     """(technique, tile, tiles, pixels) with totals by rollup, from rows (technique, tile, pixels)."""
     totals = cells.select(F.col("technique").cast("string").alias("technique"), F.col("tile").cast("string").alias("tile"), "pixels").rollup("technique", "tile")
     return totals.agg(F.count("*").alias("tiles"), F.sum("pixels").alias("pixels")).na.fill("all", ["technique", "tile"])
+
+
+def superset_masks(tiles: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """tiles (keys, order, mask) with slot: the first stored mask that covers it, in order; a mask that none covers is stored.
+
+    What a mask finds depends on those before, so each stream of masks is one task; equal masks are merged before,
+    as the later ones find what the first did."""
+    import pandas as pd
+
+    firsts = tiles.groupBy(*keys, "mask").agg(F.min(order).alias("_first"))
+    schema = T.StructType([*(tiles.schema[k] for k in keys), tiles.schema["mask"], T.StructField("slot", T.IntegerType())])
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        stored: list[int] = []
+        slots = []
+        for mask in frame.sort_values("_first")["mask"].tolist():
+            slot = next((i for i, s in enumerate(stored) if mask & ~s == 0), len(stored))
+            if slot == len(stored):
+                stored.append(mask)
+            slots.append(slot)
+        return frame.sort_values("_first").assign(slot=slots)[[*keys, "mask", "slot"]].astype({"slot": "int32"})
+
+    found = firsts.groupBy(*keys).applyInPandas(one, schema)
+    return tiles.join(found, [*keys, "mask"])
+
+
+def single_colors(pixels: DataFrame, least: int = 150, most: int = 84, bits: int = 7) -> DataFrame:
+    """(color, cnt, rank) of the colours worth a map of their own: the most frequent first, at most most of them, while a
+    colour's pixels cost more at bits each than its entry and the ends of its runs at 12 bits.
+
+    The compressed size of the map is estimated by its runs; counts do not change as colours are taken, so the
+    greedy order is the order of counts."""
+    color = shl(c("r"), 16).bitwiseOR(shl(c("g"), 8)).bitwiseOR(c("b"))
+    keys = by(pixels)
+    colored = pixels.select(*keys, "y", "x", color.alias("color"))
+    before = F.lag("color").over(Window.partitionBy(*keys, "y").orderBy("x"))
+    starts = F.count_if(F.col("before").isNull() | (F.col("before") != F.col("color")))
+    counted = colored.withColumn("before", before).groupBy(*keys, "color").agg(F.count("*").alias("cnt"), starts.alias("runs"))
+    worth = counted.where((F.col("cnt") > least) & (F.col("cnt") * bits >= F.col("runs") * 12 + 24))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cnt"), "color"))
+    return worth.select(*keys, "color", "cnt", rank.alias("rank")).where(F.col("rank") <= most)

@@ -316,3 +316,61 @@ def _(spark, sf):
     chroma = event_image(spark, sf).select("y", "x", co.alias("co"), cg.alias("cg"))
     half = [resample.down(chroma, n, "AVERAGE_BOX", True, False).withColumnRenamed("v", n) for n in ("co", "cg")]
     return half[0].join(half[1], ["y", "x"])
+
+
+def _between_query(axes: str):
+    dx, dy = "x" in axes, "y" in axes
+
+    def run(spark, sf):
+        plane = embedding_plane(spark, sf).where("y < 64")
+        return resample.fill_between(plane, "v", F.col("v") >= 140, dx, dy)
+
+    sx, sy = 1 + dx, 1 + dy
+    read = lambda j, i: f"(SELECT v FROM k q WHERE q.y = least(63, e.y + {j}) AND q.x = least(63, e.x + {i}))"
+    spots = [(0, 1, f"(v + {read(0, sx)}) // 2")] * dx + [(1, 0, f"(v + {read(sy, 0)}) // 2")] * dy + [(1, 1, f"(v + {read(0, sx)} + {read(sy, 0)} + {read(sy, sx)}) // 4")] * (dx and dy)
+    made = " UNION ALL ".join(f"SELECT y + {j} AS y, x + {i} AS x, ({v})::INT AS new FROM e" for j, i, v in spots)
+    name = f"op_r3_fill_between_{axes}"
+    QUERIES[name] = run
+    ORACLES[name] = duck("emb", f""",
+k AS MATERIALIZED (FROM emb WHERE y < 64), e AS (FROM k WHERE x % {sx} = 0 AND y % {sy} = 0 AND v < 140), f AS ({made})
+SELECT k.y, k.x, coalesce(new, v) AS v FROM k LEFT JOIN f ON f.y = k.y AND f.x = k.x""")
+
+
+for _axes in ("xy", "x", "y"):
+    _between_query(_axes)
+
+
+@query("op_e13_single_colors", duck("evt mix", """,
+f AS (SELECT y, x, CASE WHEN x < 48 THEN (r >> 5) * 131072 + (g >> 5) * 512 + 7 ELSE (r << 16) | (g << 8) | b END AS color FROM mix),
+l AS (SELECT *, lag(color) OVER (PARTITION BY y ORDER BY x) AS before FROM f),
+n AS (SELECT color, count(*) AS cnt, count(*) FILTER (before IS NULL OR before <> color) AS runs FROM l GROUP BY color)
+SELECT color, cnt, row_number() OVER (ORDER BY cnt DESC, color) AS rank FROM n WHERE cnt > 150 AND cnt * 7 >= runs * 12 + 24 QUALIFY rank <= 84"""))
+def _(spark, sf):
+    from tilewright.sources.rasters import mixed_image
+
+    flat = F.col("x") < 48
+    image = mixed_image(spark, sf).select(
+        "y", "x", F.when(flat, F.shiftright("r", 5) * 2).otherwise(F.col("r")).alias("r"), F.when(flat, F.shiftright("g", 5) * 2).otherwise(F.col("g")).alias("g"), F.when(flat, 7).otherwise(F.col("b")).alias("b")
+    )
+    return stats.single_colors(image)
+
+
+@query("op_a21_superset_masks", None)
+def _(spark, sf):
+    tiles = stats.format_of_tile(embedding_plane(spark, sf), "v", 4, 4).withColumn("image_id", F.lit(0)).withColumn("at", F.col("ty") * 16 + F.col("tx"))
+    return stats.superset_masks(tiles.select("image_id", "at", "mask"), ["image_id"], "at")
+
+
+@query("op_j8_semi_anti", duck("evt", "\nSELECT y, x, r, EXISTS (FROM evt m WHERE m.g >= 200 AND m.y = e.y AND m.x = e.x) AS masked FROM evt e"))
+def _(spark, sf):
+    image = event_image(spark, sf)
+    keys = image.where("g >= 200").select("y", "x")
+    parts = [f(image.select("y", "x", "r"), keys).withColumn("masked", F.lit(v)) for f, v in ((masks.intersect, True), (masks.subtract, False))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("op_j9_aligned_boxes", duck("emb", "\nSELECT a.y, a.x, CASE WHEN m.v >= 120 THEN a.v ELSE 0 END AS v FROM emb a JOIN emb m ON m.y = a.y + 4 AND m.x = a.x + 8 WHERE a.y < 32 AND a.x < 40"))
+def _(spark, sf):
+    plane = embedding_plane(spark, sf)
+    mask = plane.select((F.col("y") - 4).alias("y"), (F.col("x") - 8).alias("x"), (F.col("v") >= 120).alias("m"))
+    return plane.where("y < 32 and x < 40").join(mask, ["y", "x"]).select("y", "x", F.when(F.col("m"), F.col("v")).otherwise(0).alias("v"))
