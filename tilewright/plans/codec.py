@@ -276,3 +276,14 @@ def _(spark, sf):
     from tilewright.functions.scalar import clamp
 
     return event_image(spark, sf).select("y", "x", clamp("r", 0, 255).alias("r"), clamp(idiv(F.col("r") - F.col("b"), 2) + 128, 0, 255).cast("int").alias("co"))
+
+
+@query("op_io6_image_round_trip", None)
+def _(spark, sf):
+    from tilewright.api import TileEngine
+
+    where = scratch(spark)
+    engine = TileEngine(spark)
+    image = mixed_image(spark, sf).where("y < 8").withColumn("image_id", F.lit(0))
+    engine.encode(image, 64, 8, where)
+    return engine.decode(where)
