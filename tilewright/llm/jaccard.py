@@ -349,3 +349,21 @@ def near_dedup(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def op10_ngram_jaccard(spark, sf_dir):
     """Every document with the size of its set and its component."""
     return jaccard_components(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: By rarest-first prefixes, for small tables: pairs are verified by list intersection and closed by recursion.
+ORACLE = rf"""
+WITH RECURSIVE
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, r, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) END AS g FROM d),
+u AS MATERIALIZED (SELECT r, len(g) AS n, unnest(g) AS sh FROM s),
+f AS (SELECT sh, count(*) AS df FROM u GROUP BY sh),
+p AS (SELECT r, n, sh, row_number() OVER (PARTITION BY r ORDER BY df, sh) AS k FROM u JOIN f USING (sh)),
+x AS MATERIALIZED (SELECT r, n, sh FROM p WHERE k <= n - (9 * n + 9) // 10 + 1),
+c AS MATERIALIZED (SELECT DISTINCT a.r AS a, b.r AS b FROM x a JOIN x b USING (sh) WHERE a.r < b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+o AS MATERIALIZED (SELECT c.a, c.b, len(p.g) + len(q.g) AS n, len(list_intersect(p.g, q.g)) AS k FROM c JOIN s p ON p.r = c.a JOIN s q ON q.r = c.b),
+e AS MATERIALIZED (SELECT a, b FROM o WHERE 100 * k >= 90 * (n - k) UNION ALL SELECT b, a FROM o WHERE 100 * k >= 90 * (n - k)),
+t(r, root) AS (SELECT r, r FROM s UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.r)
+SELECT s.doc_id, len(s.g) AS n_shingles, min(m.doc_id) AS component_id FROM t JOIN s USING (r) JOIN s m ON m.r = t.root GROUP BY s.r, s.doc_id, len(s.g)"""

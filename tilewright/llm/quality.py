@@ -189,3 +189,45 @@ def op5_quality_rules(spark, sf_dir):
     return quality_verdicts(load(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def _oracle() -> str:
+    values = {
+        "symbols": "n_symbols * 1000.0::DOUBLE / greatest(word_chars, 1)",
+        "dup_lines": "n_dup_lines * 5000.0::DOUBLE / greatest(n_words, 1)",
+        "repeats": "n_repeat_words * 1000.0::DOUBLE / greatest(n_words, 1)",
+        "echoes": "n_echoes * 1000.0::DOUBLE / greatest(n_words, 1)",
+        "long_words": "word_chars * 1000.0::DOUBLE / greatest(n_words, 1)",
+        "short_words": "1000000.0::DOUBLE / greatest(word_chars * 1000.0::DOUBLE / greatest(n_words, 1), 1.0::DOUBLE)",
+    }
+    keys = {"own": "lang, source, name", "lang": "lang, name", "every": "name"}
+    fences = "".join(
+        f""",
+r_{k} AS (SELECT {on}, bucket, sum(sum(n)) OVER (PARTITION BY {on} ORDER BY bucket) AS upto, sum(sum(n)) OVER (PARTITION BY {on}) AS total FROM c GROUP BY {on}, bucket),
+q_{k} AS (SELECT {on}, min(bucket) FILTER (upto >= total * 0.5) AS mid, min(bucket) FILTER (upto >= total * {UPPER}) AS high FROM r_{k} WHERE total >= {LEAST_ROWS} GROUP BY {on}),
+f_{k} AS (SELECT {on}, pow({GAMMA}, mid) + {FENCE} * (pow({GAMMA}, high) - pow({GAMMA}, mid)) AS fence FROM q_{k})"""
+        for k, on in keys.items()
+    )
+    joins = " ".join(
+        f"LEFT JOIN f_{k} ON " + " AND ".join(f"f_{k}.{c} IS NOT DISTINCT FROM v.{c}" for c in on.split(", ")) for k, on in keys.items()
+    )
+    floors = "CASE v.name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FLOORS.items()) + " END"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, lang, source, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, unnest(range(1, len(ws) - {WINDOW - 2})) AS i, ws FROM d WHERE len(ws) >= {WINDOW}),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS c FROM w),
+m AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), {WINDOW}) AS step FROM g WHERE c > 1),
+rep AS (SELECT r, sum(least(step, {WINDOW})) AS n FROM m GROUP BY r),
+ln AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+a AS MATERIALIZED (SELECT doc_id, lang, source, d.r, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len([1 FOR i IN range(2, len(ws) + 1) IF ws[i] = ws[i - 1]]) AS n_echoes
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN dup ON dup.r = d.r),
+b AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a),
+v AS MATERIALIZED ({" UNION ALL ".join(f"SELECT r, lang, source, '{k}' AS name, {x} AS value FROM b WHERE NOT base_failed" for k, x in values.items())}),
+c AS MATERIALIZED (SELECT lang, source, name, CASE WHEN value <= 1 THEN 0 ELSE ceil(ln(value) / ln({GAMMA}::DOUBLE)) END::INT AS bucket, count(*) AS n FROM v GROUP BY ALL){fences},
+k AS (SELECT v.r, bool_and(v.value <= greatest(coalesce(f_own.fence, f_lang.fence, f_every.fence, 0.0), {floors})) AS fits FROM v {joins} GROUP BY v.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fits, false) AS kept FROM b LEFT JOIN k USING (r)"""
+
+
+ORACLE = _oracle()

@@ -19,6 +19,9 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
+    "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op9_warc_revisits": warc.ORACLE,
+    "op10_ngram_jaccard": jaccard.ORACLE,
 }

@@ -460,3 +460,21 @@ def op6_suffix_dedup(spark, sf_dir):
     """All documents."""
     found = suffix_dedup(load(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+#: Each 100-byte string as hexadecimal digits, for small tables.
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, length(h) // 2 AS n FROM d),
+w AS (SELECT r, unnest(range(n - {LENGTH - 1})) AS i, h FROM n WHERE n >= {LENGTH}),
+k AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS s FROM w),
+f AS (SELECT s, min(r * 4294967296 + i) AS first, count(*) AS c FROM k GROUP BY s HAVING count(*) > 1),
+g AS (SELECT r, i FROM k JOIN f USING (s) WHERE r * 4294967296 + i <> first),
+m AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM g),
+j AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM m),
+p AS (SELECT r, min(i) AS a, max(i) + {LENGTH} AS b FROM j GROUP BY r, span),
+q AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM p),
+t AS (SELECT r, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN t USING (r)"""
