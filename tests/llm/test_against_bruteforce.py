@@ -194,8 +194,10 @@ def near_copies():
     return rows
 
 
+@pytest.mark.parametrize("frequent", [300, 2])
 @pytest.mark.parametrize("rows", [corpus(), ODD, near_copies(), [(3, "a b"), (2, "A  b"), (1, "b a"), (0, "a")]])
-def test_jaccard_components(spark, make_docs, rows):
+def test_jaccard_components(spark, make_docs, rows, frequent, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make_docs(rows)).collect())
     assert got == brute_components(rows)
 
@@ -224,12 +226,14 @@ def test_jaccard_empty(spark, make_docs):
 def test_signature_bound_never_misses():
     """Any two sets that link share a block signature, whatever their sizes."""
     rng = np.random.default_rng(0)
-    bands = jaccard.Bands(90)
-    for n in [*range(1, 60), 100, 333, 1000]:
+    for percent, n in [(p, n) for p in (90, 80) for n in [*range(1, 60), 100, 333, 1000]]:
+        bands = jaccard.Bands(percent)
         for _ in range(20):
             base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-            k = int(rng.integers(0, n // 10 + 1))
-            other = np.unique(np.r_[base[rng.permutation(n)[k:]], rng.integers(0, 2**63, int(rng.integers(0, n // 10 + 1))).astype(np.uint64)])
+            most = n * (100 - percent) // 100 + 1
+            k = int(rng.integers(0, most))
+            other = np.unique(np.r_[base[rng.permutation(n)[k:]], rng.integers(0, 2**63, int(rng.integers(0, most))).astype(np.uint64)])
             both = len(np.intersect1d(base, other))
-            if 100 * both >= 90 * (len(base) + len(other) - both) and not np.array_equal(base, other):
-                assert len(np.intersect1d(jaccard.signatures(base, bands), jaccard.signatures(other, bands)))
+            if 100 * both >= percent * (len(base) + len(other) - both) and not np.array_equal(base, other):
+                (a, free_a), (b, free_b) = jaccard.signatures(base, bands), jaccard.signatures(other, bands)
+                assert len(np.intersect1d(a, b)) > max(free_a, free_b)

@@ -16,8 +16,10 @@ from .components import connected_components
 from .exact_dedup import bitmap_filter, may_contain
 from .shared import Workspace, arrow_rows, fresh, load
 
-#: Blocks allowed to be empty before a set is handled by its own signature.
+#: Blocks beyond those that may differ: this many and one more for every eighth of those.
 SPARE = 3
+#: A block with more rows is frequent: rows that have blocks to spare leave it out where components are compared.
+FREQUENT = 300
 _REMEMBERED = 100_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -56,9 +58,9 @@ class Bands:
     """Size bands, such that sets that may link lie in one band or in neighbours, and the blocks of each.
 
     Two sets of at most u n-grams whose Jaccard similarity is p / 100 or more differ in at most
-    t = 2u(100-p)/(100+p) n-grams. Dealt by hash to t + 1 + SPARE column blocks, they agree wholly in more than
-    SPARE blocks. So only rows of the incidence matrix that are equal in some non-empty block are multiplied;
-    rows with more than SPARE empty blocks get a block for themselves."""
+    t = 2u(100-p)/(100+p) n-grams. Dealt by hash to t + 1 + spare column blocks, they agree wholly in more than
+    spare blocks. So only rows of the incidence matrix that are equal in some non-empty block are multiplied, and
+    only if they are equal in as many as they must; rows with more than spare empty blocks get a block for themselves."""
 
     def __init__(self, percent: int):
         self.percent, self.lows = percent, [1]
@@ -74,27 +76,31 @@ class Bands:
         return 2 * (self.lows[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
 
 
-def signatures(grams: np.ndarray, bands: Bands) -> np.ndarray:
-    """A hash for each non-empty column block of the set, in its own band and in the next."""
+def signatures(grams: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
+    """A hash for each non-empty column block of the set, in its own band and in the next; and the slack: how many
+    of the non-empty blocks in which a linked set agrees may be left out, with one still left in either band."""
     n = len(grams)
     if not n:
-        return np.zeros(0, np.uint64)
-    found, own = [], bands.of(n)
+        return np.zeros(0, np.uint64), 0
+    found, own, slack = [], bands.of(n), None
     for band in (own, own + 1):
         t = bands.differ(band)
         if t == 0:
             continue  # equal sets only, which are one class already
-        m = t + 1 + SPARE
+        spare = SPARE + t // 8
+        m = t + 1 + spare
         block = (grams >> np.uint64(20)) % np.uint64(m)
         order = np.argsort(block, kind="stable")
         block = block[order]
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         sums = np.add.reduceat(mix(grams[order] ^ _M3), starts)
         tags = np.uint64(band << 32) + block[starts]
-        if m - len(starts) > SPARE:
+        left = max(0, spare - (m - len(starts)))
+        slack = left if slack is None else min(slack, left)
+        if m - len(starts) > spare:
             sums, tags = np.r_[sums, np.uint64(0)], np.r_[tags, np.uint64((band << 32) + (1 << 31))]
         found.append(mix(sums + mix(tags * _M1)))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), slack or 0
 
 
 def parity(grams: np.ndarray, bits: int = 1024) -> bytes:
@@ -113,10 +119,11 @@ def _rows(n: int, percent: int):
             out: list[tuple] = []
             for text in batch.column("text"):
                 grams = shingle(text.as_buffer().to_pybytes())
-                out.append((len(grams), _digest(grams), parity(grams), signatures(grams, bands).tobytes()))
-            sizes, digests, parities, blobs = zip(*out, strict=True) if out else ((),) * 4
-            columns = [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, parities, blobs))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "digest", "parity", "blocks"])
+                blocks, slack = signatures(grams, bands)
+                out.append((len(grams), slack, _digest(grams), parity(grams), blocks.tobytes()))
+            sizes, slacks, digests, parities, blobs = zip(*out, strict=True) if out else ((),) * 5
+            columns = [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(slacks, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, parities, blobs))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "slack", "digest", "parity", "blocks"])
 
     return read
 
@@ -162,11 +169,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(percent: int):
-    """From rows (block, row, comp, n, parity) sorted by block: pairs of a block in different components that sizes and parities allow."""
+    """From rows (block, row, comp, n, least, parity) sorted by block: pairs of a block in different components that
+    sizes and parities allow, with the number of blocks in which such a pair must be found."""
 
-    def pairs(block: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        row, comp, n = (np.array([x[i] for x in block], np.int64) for i in range(3))
-        bits = np.frombuffer(b"".join(x[3] for x in block), np.uint64).reshape(len(block), -1)
+    def pairs(block: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        row, comp, n, least = (np.array([x[i] for x in block], np.int64) for i in range(4))
+        bits = np.frombuffer(b"".join(x[4] for x in block), np.uint64).reshape(len(block), -1)
         for i in range(len(row) - 1):
             a, b = n[i], n[i + 1 :]
             fits = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
@@ -174,17 +182,17 @@ def _cross(percent: int):
             apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
             j = j[(100 + percent) * apart <= (100 - percent) * (a + n[j])]
             if len(j):
-                yield np.maximum(row[i], row[j]), np.minimum(row[i], row[j])
+                yield np.maximum(row[i], row[j]), np.minimum(row[i], row[j]), np.maximum(least[i], least[j])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for a, b in pairs(held) if held else ():
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["row", "first"])
+            for columns in pairs(held) if held else ():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "first", "least"])
 
         for batch in batches:
-            for block, *rest in zip(*(batch.column(c).to_pylist() for c in ("block", "row", "comp", "n", "parity")), strict=True):
+            for block, *rest in zip(*(batch.column(c).to_pylist() for c in ("block", "row", "comp", "n", "least", "parity")), strict=True):
                 if block != now:
                     yield from flush()
                     now, held = block, []
@@ -194,6 +202,33 @@ def _cross(percent: int):
     return read
 
 
+def _left_over(shared: DataFrame, comps: DataFrame, tried: DataFrame, rows: DataFrame, ws: Workspace, percent: int) -> DataFrame | None:
+    """Pairs (row, first) that share blocks, lie in different components and have not been tried; None where there are none.
+
+    Linked rows agree in more blocks than they need: a row whose frequent blocks are no more than its slack leaves
+    those out, and a pair must be found in as many of the other blocks as its rows' sizes and slacks say."""
+    labelled = ws.stage(
+        shared.select("block", "row").join(comps.select(F.col("node").alias("row"), "root"), "row", "left").select("block", "row", F.coalesce("root", "row").alias("comp")), "labelled"
+    )
+    sizes = labelled.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+    mixed = ws.stage(sizes.where("lo < hi and size > 2").select("block", "size"), "mixed")
+    if mixed.isEmpty():
+        return None
+    rest = ws.stage(labelled.join(mixed, "block"), "rest")
+    often = rest.where(F.col("size") > FREQUENT).groupBy("row").agg(F.count("*").alias("often"))
+    own = ws.stage(
+        rows.select("row", "n", "slack", "parity").join(rest.select("row").distinct(), "row", "left_semi").join(often, "row", "left")
+        .select("row", "n", "parity", (F.coalesce("often", F.lit(0)) <= F.col("slack")).alias("spares"), F.greatest(F.lit(1), F.col("slack") + 1 - F.coalesce("often", F.lit(0))).alias("least")),
+        "own",
+    )
+    kept = rest.join(own, "row").where((F.col("size") <= FREQUENT) | ~F.col("spares"))
+    dealt = kept.select("block", "row", "comp", "n", "least", "parity").repartition("block").sortWithinPartitions("block")
+    with arrow_rows(dealt.sparkSession, 5000):
+        found = dealt.mapInArrow(_cross(percent), "row long, first long, least long").groupBy("row", "first").agg(F.count("*").alias("times"), F.max("least").alias("least"))
+        more = ws.stage(found.where("times >= least").join(tried, ["row", "first"], "left_anti").select("row", "first"), "cross")
+    return None if more.isEmpty() else more
+
+
 def _overlaps(n: int, percent: int):
     """From rows (first, salt, is_first, row, digest, text) sorted so: pairs that link, with their overlap.
 
@@ -268,7 +303,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     spark = docs.sparkSession
     ws = Workspace(spark, "jaccard")
     raw = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    rows = ws.stage(raw.mapInArrow(_rows(n, percent), "row long, doc_id long, n long, digest binary, parity binary, blocks binary"), "rows", batch_rows=500)
+    rows = ws.stage(raw.mapInArrow(_rows(n, percent), "row long, doc_id long, n long, slack long, digest binary, parity binary, blocks binary"), "rows", batch_rows=500)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = ws.stage(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min(order).alias("least"), F.count("*").alias("size")), "classes")
     reps = _first_rows(rows.where("n > 0").select("row", "digest", "blocks"), classes)
@@ -280,20 +315,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     links = _verify(tried, rows, docs, ws, "links", n, percent)
     comps = connected_components(links.select(F.col("row").alias("a"), F.col("first").alias("b")), ws, "first-round")
 
-    labelled = ws.stage(
-        shared.select("block", "row").join(comps.select(F.col("node").alias("row"), "root"), "row", "left").select("block", "row", F.coalesce("root", "row").alias("comp")), "labelled"
-    )
-    mixed = ws.stage(labelled.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("block"), "mixed")
-    if not mixed.isEmpty():
-        rest = labelled.join(mixed, "block", "left_semi").join(rows.select("row", "n", "parity"), "row")
-        rest = rest.repartition("block").sortWithinPartitions("block")
-        with arrow_rows(spark, 5000):
-            cross = rest.select("block", "row", "comp", "n", "parity").mapInArrow(_cross(percent), "row long, first long").distinct()
-            more = ws.stage(cross.join(tried, ["row", "first"], "left_anti"), "cross")
-        if not more.isEmpty():
-            more_links = _verify(more, rows, docs, ws, "more-links", n, percent)
-            links = links.unionByName(more_links)
-            comps = connected_components(links.select(F.col("row").alias("a"), F.col("first").alias("b")), ws, "second-round")
+    more = _left_over(shared, comps, tried, rows, ws, percent)
+    if more is not None:
+        links = links.unionByName(_verify(more, rows, docs, ws, "more-links", n, percent))
+        comps = connected_components(links.select(F.col("row").alias("a"), F.col("first").alias("b")), ws, "second-round")
 
     roots = ws.stage(
         classes.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "least", F.coalesce("root", "rep").alias("root")), "roots"
@@ -309,7 +334,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         ),
         "result",
     )
-    ws.drop("rows", "shared", "labelled", "cross", "links-need", "more-links-need")
+    ws.drop("rows", "shared", "labelled", "rest", "own", "cross", "links-need", "more-links-need")
     return final
 
 
