@@ -169,3 +169,71 @@ def pack_file_bytes(bank: DataFrame) -> DataFrame:
     """(depth, lut_id, data): the bytes of the X run, the Y run and the Z run, by depth from 3 up and table."""
     one = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", k))), lambda s: F.lpad(F.hex(s[k]), 2, "0")), "")
     return factors(bank).groupBy("depth", "lut_id").agg(F.unhex(F.concat(one("fx"), one("fy"), one("fz"))).alias("data"))
+
+
+def cascade(pixels: DataFrame, channels: list[str], bank: DataFrame, sizes=SIZES) -> DataFrame:
+    """(pass, tw, th, ty, tx, lut_id, mode, depth, err) over all sizes, each trying the pixels that those before have left."""
+    from .gradient import checkpointed, covered
+
+    keys = [*by(pixels), "y", "x"]
+    free, out = checkpointed(pixels.withColumn("free", F.lit(True))), None
+    for k, (tw, th) in enumerate(sizes):
+        places = normalised(free, channels, F.col("free"), tw, th)
+        tiles = checkpointed(search(places, channels, bank))
+        named = tiles.select(F.lit(k).alias("pass"), F.lit(tw).alias("tw"), F.lit(th).alias("th"), *tiles.columns)
+        out = named if out is None else out.unionByName(named)
+        taken = covered(tiles, tw, th).withColumn("taken", F.lit(True))
+        free = checkpointed(free.join(taken, keys, "left").select(*pixels.columns, (F.col("free") & F.col("taken").isNull()).alias("free")))
+    return out
+
+
+#: Of two-channel tables no pixel may be further off.
+FAR_2D = 6
+
+
+def normalised_2d(pixels: DataFrame, channels: list[str], free: Column, tw: int, th: int) -> DataFrame:
+    """As normalised, for two channels: tiles that are flat in neither, with places ix, iy."""
+    third = pixels.withColumn("_zero", F.lit(0))
+    return normalised(third, [*channels, "_zero"], free, tw, th).drop("_zero", "_zero0", "_zero1", "iz")
+
+
+def _flat(bank: DataFrame) -> DataFrame:
+    return bank.select("lut_id", "idx", "x", "y", F.lit(0).alias("z"))
+
+
+def scores_2d(places: DataFrame, bank: DataFrame) -> DataFrame:
+    """(ty, tx, lut_id, mode, score): the best of eight modes (flip x, flip y, after a swap), of equals the first."""
+    keys = [*by(places), "ty", "tx"]
+    counted = places.groupBy(*keys, "ix", "iy").agg(F.count("*").alias("n"))
+    each = counted.withColumn("mode", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    bit = lambda k: c("mode").bitwiseAND(F.lit(1 << k)) != 0
+    turned = [F.when(bit(2), c(b)).otherwise(c(a)) for a, b in (("ix", "iy"), ("iy", "ix"))]
+    flipped = [F.when(bit(k), F.lit(SIDE - 1) - v).otherwise(v).alias(f"c{n}") for k, (v, n) in enumerate(zip(turned, "xy", strict=True))]
+    at = each.select(*keys, "mode", "n", *flipped, F.lit(0).alias("cz"))
+    distance = cells(_flat(bank), at.select("cx", "cy", "cz").distinct()).select("lut_id", "cx", "cy", "dist")
+    sums = at.join(distance, ["cx", "cy"]).groupBy(*keys, "lut_id", "mode").agg(F.sum(F.col("dist") * F.col("n")).alias("score"))
+    best = F.min(F.struct("score", "mode")).alias("b")
+    return sums.groupBy(*keys, "lut_id").agg(best).select(*keys, "lut_id", F.col("b.mode").alias("mode"), F.col("b.score").alias("score"))
+
+
+def search_2d(places: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame:
+    """(ty, tx, lut_id, mode, depth, err): as search, for two channels; a depth stands when no pixel is further than FAR_2D off."""
+    keys = [*by(places), "ty", "tx"]
+    pixels = places.join(scores_2d(places, bank).select(*keys, "lut_id", "mode"), keys)
+    bit = lambda k: c("mode").bitwiseAND(F.lit(1 << k)) != 0
+    one = F.lit(63.0).cast("float")
+    rel = [((c(n) - F.col(f"{n}0")).cast("float") / (F.col(f"{n}1") - F.col(f"{n}0"))).cast("float") * one for n in channels]
+    p, q = (F.when(bit(k), one - v).otherwise(v).cast("int") for k, v in enumerate(rel))
+    pixels = pixels.select("*", F.when(bit(2), q).otherwise(p).alias("cx"), F.when(bit(2), p).otherwise(q).alias("cy"), F.lit(0).alias("cz"))
+    near = cells(_flat(bank), pixels.select("cx", "cy", "cz").distinct()).drop("dist", "cz")
+    depths = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"i{d}").alias("idx")) for d in (6, 5, 4, 3)])).alias("s")
+    ends = [f"{n}{k}" for n in channels for k in (0, 1)]
+    long = pixels.join(near, ["lut_id", "cx", "cy"]).select(*keys, "lut_id", "mode", *channels, *ends, depths).select("*", "s.*").drop("s")
+    entry = long.join(F.broadcast(factors(_flat(bank))), ["lut_id", "depth", "idx"])
+    fx, fy = (F.when(bit(k), F.lit(FACTOR) - c(f)).otherwise(c(f)) for k, f in enumerate(("fx", "fy")))
+    back = (F.when(bit(2), fy).otherwise(fx), F.when(bit(2), fx).otherwise(fy))
+    error = F.greatest(*[F.abs(F.col(f"{n}0") + idiv(b * (F.col(f"{n}1") - F.col(f"{n}0")), FACTOR) - c(n)) for n, b in zip(channels, back, strict=True)])
+    served = entry.withColumn("e", error).groupBy(*keys, "lut_id", "mode", "depth").agg(F.max("e").alias("worst"), F.sum("e").alias("err")).where(F.col("worst") <= FAR_2D)
+    least = served.groupBy(*keys, "lut_id", "mode").agg(F.min(F.struct("depth", "err")).alias("d"))
+    best = F.min(F.struct(F.col("d.err").alias("err"), (-F.col("lut_id")).alias("l"), "mode", F.col("d.depth").alias("depth"))).alias("b")
+    return least.groupBy(*keys).agg(best).select(*keys, (-F.col("b.l")).alias("lut_id"), F.col("b.mode").alias("mode"), F.col("b.depth").alias("depth"), F.col("b.err").alias("err"))

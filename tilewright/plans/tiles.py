@@ -311,3 +311,52 @@ def _(spark, sf):
 SELECT depth, lut_id, string_agg(printf('%02X', fx), '' ORDER BY idx) || string_agg(printf('%02X', fy), '' ORDER BY idx) || string_agg(printf('%02X', fz), '' ORDER BY idx) AS data FROM fa GROUP BY ALL"""))
 def _(spark, sf):
     return lut.pack_file_bytes(lut_bank(spark)).select("depth", "lut_id", F.hex("data").alias("data"))
+
+
+# ---- two channels, and the table cascade
+
+_PLACES_2 = f""",
+t2 AS (SELECT y // 8 AS ty, x // 8 AS tx, min(r) FILTER ({_FREE}) AS r0, max(r) FILTER ({_FREE}) AS r1, min(g) FILTER ({_FREE}) AS g0, max(g) FILTER ({_FREE}) AS g1, count(*) AS n FROM mix GROUP BY ALL),
+pl AS MATERIALIZED (SELECT ty, tx, y, x, r, g, r0, r1, g0, g1, """ + ", ".join(
+    f"trunc(((({n} - {n}0) * (1048576 // ({n}1 - {n}0)))::FLOAT / 1048576.0::FLOAT)::FLOAT * 63.0::FLOAT)::INT AS i{k}" for n, k in zip("rg", "xy", strict=True)) + f"""
+ FROM mix JOIN t2 ON ty = y // 8 AND tx = x // 8 WHERE {_FREE} AND n = 64 AND r1 > r0 AND g1 > g0),
+l2 AS (SELECT lut_id, idx, x, y FROM lut),
+cn AS (SELECT ty, tx, ix, iy, count(*) AS n FROM pl GROUP BY ALL),
+tu AS (SELECT ty, tx, n, m::INT AS mode, CASE WHEN m & 4 <> 0 THEN iy ELSE ix END AS a, CASE WHEN m & 4 <> 0 THEN ix ELSE iy END AS b FROM cn, range(8) q(m)),
+at2 AS MATERIALIZED (SELECT ty, tx, n, mode, CASE WHEN mode & 1 <> 0 THEN 63 - a ELSE a END AS cx, CASE WHEN mode & 2 <> 0 THEN 63 - b ELSE b END AS cy FROM tu),
+nd AS MATERIALIZED (SELECT lut_id, cx, cy, min((c.cx - l.x) * (c.cx - l.x) + (c.cy - l.y) * (c.cy - l.y)) FILTER (idx % 8 = 0) AS dist FROM (SELECT DISTINCT cx, cy FROM at2) c, l2 l GROUP BY ALL),
+su AS (SELECT ty, tx, lut_id, mode, sum(dist * n) AS score FROM at2 JOIN nd USING (cx, cy) GROUP BY ALL),
+sc AS MATERIALIZED (SELECT ty, tx, lut_id, mode, score::BIGINT AS score FROM su QUALIFY row_number() OVER (PARTITION BY ty, tx, lut_id ORDER BY score, mode) = 1)"""
+
+
+def _places_2d(spark, sf):
+    return lut.normalised_2d(mixed_image(spark, sf), ["r", "g"], (F.col("r") + F.col("g")) % 5 > 0, 8, 8)
+
+
+@query("op_a11_mode_scores_2d", duck("evt mix lut", _PLACES_2 + "\nSELECT ty, tx, lut_id, mode, score FROM sc"))
+def _(spark, sf):
+    return lut.scores_2d(_places_2d(spark, sf), lut_bank(spark))
+
+
+_N2 = ", ".join(f"(min(((c.cx - l.x) * (c.cx - l.x) + (c.cy - l.y) * (c.cy - l.y)) * 64 + idx) FILTER (idx % {1 << s} = 0) % 64 // {1 << s})::INT AS i{6 - s}" for s in range(4))
+
+
+@query("op_e8_table_search_2d", duck("evt mix lut", _PLACES_2 + f""",
+tp AS MATERIALIZED (SELECT ty, tx, r, g, r0, r1, g0, g1, lut_id, mode, CASE WHEN mode & 4 <> 0 THEN q ELSE p END AS cx, CASE WHEN mode & 4 <> 0 THEN p ELSE q END AS cy FROM (SELECT pl.*, lut_id, mode,
+ trunc(CASE WHEN mode & 1 <> 0 THEN 63.0::FLOAT - ((r - r0)::FLOAT / (r1 - r0))::FLOAT * 63.0::FLOAT ELSE ((r - r0)::FLOAT / (r1 - r0))::FLOAT * 63.0::FLOAT END)::INT AS p,
+ trunc(CASE WHEN mode & 2 <> 0 THEN 63.0::FLOAT - ((g - g0)::FLOAT / (g1 - g0))::FLOAT * 63.0::FLOAT ELSE ((g - g0)::FLOAT / (g1 - g0))::FLOAT * 63.0::FLOAT END)::INT AS q FROM pl JOIN sc USING (ty, tx))),
+ne AS MATERIALIZED (SELECT lut_id, cx, cy, {_N2} FROM (SELECT DISTINCT cx, cy FROM tp) c, l2 l GROUP BY lut_id, cx, cy),
+lo AS (SELECT tp.*, d AS depth, CASE d WHEN 6 THEN i6 WHEN 5 THEN i5 WHEN 4 THEN i4 ELSE i3 END AS idx FROM tp JOIN ne USING (lut_id, cx, cy), range(3, 7) t(d)),
+fa AS (SELECT lut_id, 6 - s AS depth, idx // (1 << s) AS idx, x * 128 // 63 AS fx, y * 128 // 63 AS fy FROM lut, range(4) t(s) WHERE idx % (1 << s) = 0),
+fl AS (SELECT lo.*, CASE WHEN mode & 1 <> 0 THEN 128 - fx ELSE fx END AS ex, CASE WHEN mode & 2 <> 0 THEN 128 - fy ELSE fy END AS ey FROM lo JOIN fa USING (lut_id, depth, idx)),
+er AS (SELECT *, greatest(abs(r0 + (CASE WHEN mode & 4 <> 0 THEN ey ELSE ex END) * (r1 - r0) // 128 - r), abs(g0 + (CASE WHEN mode & 4 <> 0 THEN ex ELSE ey END) * (g1 - g0) // 128 - g)) AS e FROM fl),
+dp AS (SELECT ty, tx, lut_id, mode, depth, sum(e) AS err FROM er GROUP BY ALL HAVING max(e) <= 6),
+sv AS (SELECT * FROM dp QUALIFY row_number() OVER (PARTITION BY ty, tx, lut_id ORDER BY depth) = 1)
+SELECT ty, tx, lut_id, mode, depth::INT AS depth, err::BIGINT AS err FROM sv QUALIFY row_number() OVER (PARTITION BY ty, tx ORDER BY err, lut_id DESC) = 1"""))
+def _(spark, sf):
+    return lut.search_2d(_places_2d(spark, sf), ["r", "g"], lut_bank(spark))
+
+
+@query("op_e7_table_cascade", None)
+def _(spark, sf):
+    return lut.cascade(mixed_image(spark, sf).where("y < 16"), RGB, lut_bank(spark))
