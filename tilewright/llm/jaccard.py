@@ -287,7 +287,8 @@ def _first_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
     marked = rows.join(F.broadcast(bitmap_filter(several, "digest")), (bucket == F.col("filter_bucket")) & inside, "left")
     alone = marked.where("filter_bits is null").select(*rows.columns)
     other = marked.where("filter_bits is not null").select(*rows.columns)
-    return alone.unionByName(other.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select(*rows.columns))
+    # an inner join, as a semi join would be pushed below the filter and shuffle all rows; there is one row for each rep
+    return alone.unionByName(other.join(classes.select(F.col("rep").alias("row")), "row").select(*rows.columns))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
