@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, Workspace, load, text_or_empty
+from .shared import SPACE, Workspace, fresh, load, text_or_empty
 
 #: Bits of the filter that is broadcast: 256 rows of 4 KiB, 1 MiB whatever the input.
 FILTER_BITS = 1 << 23
@@ -31,7 +31,7 @@ def may_contain(key: str, bits: int = FILTER_BITS) -> tuple[Column, Column]:
     h = F.pmod(F.xxhash64(key), F.lit(bits))
     at = h % _BLOCK
     byte = F.conv(F.hex(F.expr(f"substring(filter_bits, cast(pmod(xxhash64({key}), {bits}) % {_BLOCK} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return F.shiftright(h, 15), F.expr("1") == F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1))
+    return F.shiftright(h, 15), F.lit(1) == F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1))
 
 
 class DigestIndex:
@@ -116,8 +116,6 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     Texts are equal when they are after each run of white space is made one space; null counts as empty. Of
     equal texts the row with the smallest doc_id stays (null identifiers last; of rows with equal doc_id and
     text one stays). Other columns pass through whatever their names. No documents give no rows."""
-    from .shared import fresh
-
     ws = Workspace(docs.sparkSession, "dedup")
     classes = _classes(docs, ws, digest)
     text = normalised(text_or_empty("text"))
