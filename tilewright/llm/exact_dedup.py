@@ -26,11 +26,11 @@ def bitmap_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFra
     return keys.select(F.shiftright(h, 15).alias("filter_bucket"), (h % _BLOCK).alias("at")).groupBy("filter_bucket").agg(F.bitmap_construct_agg(F.col("at")).alias("filter_bits"))
 
 
-def may_contain(key: str, bits: int = FILTER_BITS) -> tuple[Column, Column]:
+def may_contain(key: str, bits: int = FILTER_BITS, column: str = "filter_bits") -> tuple[Column, Column]:
     """The bucket of a key, and whether the filter's row of that bucket has its bit."""
     h = F.pmod(F.xxhash64(key), F.lit(bits))
     at = h % _BLOCK
-    byte = F.conv(F.hex(F.expr(f"substring(filter_bits, cast(pmod(xxhash64({key}), {bits}) % {_BLOCK} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.expr(f"substring({column}, cast(pmod(xxhash64({key}), {bits}) % {_BLOCK} div 8 as int) + 1, 1)")), 16, 10).cast("int")
     return F.shiftright(h, 15), F.lit(1) == F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1))
 
 
@@ -110,6 +110,22 @@ def _classes(docs: DataFrame, ws: Workspace, digest=sha256) -> DataFrame:
     return found.join(unequal, "digest", "left_anti").select(*split.columns).unionByName(split)
 
 
+def without(rows: DataFrame, dropped: DataFrame, key: str, drop_key: str, gone: Column) -> DataFrame:
+    """rows that no row of dropped matches under gone, which equates key and drop_key.
+
+    A fixed-size filter of the dropped keys lets all other rows through where they are, with their texts; only what it
+    holds is joined. An outer join, as an anti join would be pushed below the filter and shuffle all rows."""
+    names = {c: fresh(rows, c) for c in ("filter_bucket", "filter_bits", "filter_key", "none")}
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    bits = bitmap_filter(dropped.select(text(drop_key).alias("key")), "key").select(F.col("filter_bucket").alias(names["filter_bucket"]), F.col("filter_bits").alias(names["filter_bits"]))
+    bucket, inside = may_contain(names["filter_key"], bits=FILTER_BITS, column=names["filter_bits"])
+    marked = rows.withColumn(names["filter_key"], text(key)).join(F.broadcast(bits), (bucket == F.col(names["filter_bucket"])) & inside, "left")
+    out = [F.col(c) for c in rows.columns]
+    alone = marked.where(F.col(names["filter_bits"]).isNull()).select(*out)
+    held = marked.where(F.col(names["filter_bits"]).isNotNull()).join(dropped.withColumn(names["none"], F.lit(1)), gone, "left")
+    return alone.unionByName(held.where(F.col(names["none"]).isNull()).select(*out))
+
+
 def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     """The rows of docs that stay, with all their columns; needs doc_id and text.
 
@@ -123,7 +139,8 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     alike = classes.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     dropped = ws.stage(alike.where(~F.col("kept")).select(F.col("doc_id").alias(names["drop_id"]), F.col("digest").alias(names["drop_digest"])), "dropped")
     keyed = docs.withColumn(names["key_digest"], digest(text))
-    left = keyed.join(dropped, F.col("doc_id").eqNullSafe(F.col(names["drop_id"])) & (F.col(names["key_digest"]) == F.col(names["drop_digest"])), "left_anti")
+    gone = F.col("doc_id").eqNullSafe(F.col(names["drop_id"])) & (F.col(names["key_digest"]) == F.col(names["drop_digest"]))
+    left = without(keyed, dropped, "doc_id", names["drop_id"], gone)
     if digest is not sha256 or not alike.where("kept and rows > 1").isEmpty():
         left = left.withColumn(names["drop_digest"], text).dropDuplicates(["doc_id", names["drop_digest"]]).drop(names["drop_digest"])
     return left.drop(names["key_digest"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .exact_dedup import bitmap_filter, may_contain
+from .exact_dedup import bitmap_filter, may_contain, without
 from .shared import Workspace, arrow_rows, fresh, load
 
 #: Blocks beyond those that may differ: this many and one more for every eighth of those.
@@ -168,20 +168,25 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["block", "row", "first"])
 
 
-def _cross(percent: int):
+def _cross(percent: int, chain: bool):
     """From rows (block, row, comp, n, least, parity) sorted by block: pairs of a block in different components that
-    sizes and parities allow, with the number of blocks in which such a pair must be found."""
+    sizes and parities allow, with the number of blocks in which such a pair must be found.
+
+    chain: only each row with the next and with the last of its block, to join what is easily joined before all pairs are."""
 
     def pairs(block: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         row, comp, n, least = (np.array([x[i] for x in block], np.int64) for i in range(4))
         bits = np.frombuffer(b"".join(x[4] for x in block), np.uint64).reshape(len(block), -1)
-        for i in range(len(row) - 1):
-            a, b = n[i], n[i + 1 :]
-            fits = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-            j = i + 1 + np.flatnonzero(fits)
-            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-            j = j[(100 + percent) * apart <= (100 - percent) * (a + n[j])]
-            if len(j):
+        last = len(row) - 1
+        every = np.arange(last)
+        for at in [(np.r_[every, every[:-1]], np.r_[every + 1, np.full(max(0, last - 1), last)])] if chain else ((np.full(last - i, i), np.arange(i + 1, last + 1)) for i in range(last)):
+            i, j = at
+            use = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[use], j[use]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            use = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
+            i, j = i[use], j[use]
+            if len(i):
                 yield np.maximum(row[i], row[j]), np.minimum(row[i], row[j]), np.maximum(least[i], least[j])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,30 +207,31 @@ def _cross(percent: int):
     return read
 
 
-def _left_over(shared: DataFrame, comps: DataFrame, tried: DataFrame, rows: DataFrame, ws: Workspace, percent: int) -> DataFrame | None:
+def _left_over(shared: DataFrame, comps: DataFrame, tried: DataFrame, rows: DataFrame, ws: Workspace, percent: int, chain: bool) -> DataFrame | None:
     """Pairs (row, first) that share blocks, lie in different components and have not been tried; None where there are none.
 
     Linked rows agree in more blocks than they need: a row whose frequent blocks are no more than its slack leaves
     those out, and a pair must be found in as many of the other blocks as its rows' sizes and slacks say."""
+    turn = "chain" if chain else "all"
     labelled = ws.stage(
-        shared.select("block", "row").join(comps.select(F.col("node").alias("row"), "root"), "row", "left").select("block", "row", F.coalesce("root", "row").alias("comp")), "labelled"
+        shared.select("block", "row").join(comps.select(F.col("node").alias("row"), "root"), "row", "left").select("block", "row", F.coalesce("root", "row").alias("comp")), f"{turn}-labelled"
     )
     sizes = labelled.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-    mixed = ws.stage(sizes.where("lo < hi and size > 2").select("block", "size"), "mixed")
+    mixed = ws.stage(sizes.where("lo < hi and size > 2").select("block", "size"), f"{turn}-mixed")
     if mixed.isEmpty():
         return None
-    rest = ws.stage(labelled.join(mixed, "block"), "rest")
+    rest = ws.stage(labelled.join(mixed, "block"), f"{turn}-rest")
     often = rest.where(F.col("size") > FREQUENT).groupBy("row").agg(F.count("*").alias("often"))
     own = ws.stage(
         rows.select("row", "n", "slack", "parity").join(rest.select("row").distinct(), "row", "left_semi").join(often, "row", "left")
         .select("row", "n", "parity", (F.coalesce("often", F.lit(0)) <= F.col("slack")).alias("spares"), F.greatest(F.lit(1), F.col("slack") + 1 - F.coalesce("often", F.lit(0))).alias("least")),
-        "own",
+        f"{turn}-own",
     )
     kept = rest.join(own, "row").where((F.col("size") <= FREQUENT) | ~F.col("spares"))
     dealt = kept.select("block", "row", "comp", "n", "least", "parity").repartition("block").sortWithinPartitions("block")
     with arrow_rows(dealt.sparkSession, 5000):
-        found = dealt.mapInArrow(_cross(percent), "row long, first long, least long").groupBy("row", "first").agg(F.count("*").alias("times"), F.max("least").alias("least"))
-        more = ws.stage(found.where("times >= least").join(tried, ["row", "first"], "left_anti").select("row", "first"), "cross")
+        found = dealt.mapInArrow(_cross(percent, chain), "row long, first long, least long").groupBy("row", "first").agg(F.count("*").alias("times"), F.max("least").alias("least"))
+        more = ws.stage((found if chain else found.where("times >= least")).join(tried, ["row", "first"], "left_anti").select("row", "first"), f"{turn}-cross")
     return None if more.isEmpty() else more
 
 
@@ -316,10 +322,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     links = _verify(tried, rows, docs, ws, "links", n, percent)
     comps = connected_components(links.select(F.col("row").alias("a"), F.col("first").alias("b")), ws, "first-round")
 
-    more = _left_over(shared, comps, tried, rows, ws, percent)
-    if more is not None:
-        links = links.unionByName(_verify(more, rows, docs, ws, "more-links", n, percent))
-        comps = connected_components(links.select(F.col("row").alias("a"), F.col("first").alias("b")), ws, "second-round")
+    for turn in ("chain", "all"):
+        more = _left_over(shared, comps, tried, rows, ws, percent, turn == "chain")
+        if more is not None:
+            links = links.unionByName(_verify(more, rows, docs, ws, f"{turn}-links", n, percent))
+            comps = connected_components(links.select(F.col("row").alias("a"), F.col("first").alias("b")), ws, f"{turn}-round")
+            tried = tried.unionByName(more)
 
     roots = ws.stage(
         classes.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "least", F.coalesce("root", "rep").alias("root")), "roots"
@@ -335,7 +343,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         ),
         "result",
     )
-    ws.drop("rows", "shared", "labelled", "rest", "own", "cross", "links-need", "more-links-need")
+    ws.drop("rows", "shared", "links-need", *(f"{turn}-{t}" for turn in ("chain", "all") for t in ("labelled", "rest", "own", "cross", "links-need")))
     return final
 
 
@@ -351,7 +359,7 @@ def near_dedup(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     twice = alike.where("stays and rows > stay_rows").limit(1)
     clash = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1)
     if clash.isEmpty():
-        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(names["gone_id"])), "left_anti")
+        return without(docs, gone, "doc_id", names["gone_id"], F.col("doc_id").eqNullSafe(F.col(names["gone_id"])))
     # identifiers repeat: a row is known by its set as well
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("carried")
     keyed = docs.select(row, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
