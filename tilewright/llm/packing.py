@@ -58,6 +58,9 @@ class WordEncoder:
             return None
         return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(text)])
 
+    def forget(self) -> None:
+        self.words, self.cores = {}, {b"": b""}
+
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self.words) > _REMEMBERED:
             self.words = {}
@@ -122,6 +125,7 @@ def cut_pieces(vocab: str, capacity: int, end_id: int) -> Callable:
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget()  # the process lives on with other tasks
 
     return cut
 
