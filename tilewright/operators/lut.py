@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tilewright.functions.scalar import by, c, idiv, morton3, shl, shr, swap_axes
@@ -39,16 +41,35 @@ def cells(bank: DataFrame, wanted: DataFrame) -> DataFrame:
     """(lut_id, cx, cy, cz, dist, i6, i5, i4, i3): for cells wanted (cx, cy, cz), the squared distance to the nearest
     of every 8th point, and the nearest entry at each depth, of equals the first.
 
-    The bank is at most 64 tables of 64 points and goes along by broadcast; each cell's points are reduced in place."""
-    points = bank.groupBy("lut_id").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "y", "z"))).alias("points"))
-    apart = lambda p: (p["x"] - c("cx")) * (p["x"] - c("cx")) + (p["y"] - c("cy")) * (p["y"] - c("cy")) + (p["z"] - c("cz")) * (p["z"] - c("cz"))
-    every = wanted.crossJoin(F.broadcast(points)).withColumn("near", F.transform("points", lambda p: F.struct(apart(p).alias("d"), p["idx"].alias("i"))))
-
-    def nearest(step: int) -> Column:
-        return F.array_min(F.filter("near", lambda n: n["i"] % step == 0))
-
-    best = [nearest(1 << s).alias(f"n{6 - s}") for s in range(4)]
-    return every.select("lut_id", "cx", "cy", "cz", *best).select("lut_id", "cx", "cy", "cz", F.col("n3.d").alias("dist"), *[idiv(F.col(f"n{6 - s}.i"), 1 << s).cast("int").alias(f"i{6 - s}") for s in range(4)])
+    The bank is at most 64 tables of 64 points and goes along with the function; each batch of cells is compared with
+    all points of a table at once."""
+    tables: dict[int, list[tuple]] = {}
+    for r in sorted(bank.select("lut_id", "idx", "x", "y", "z").collect()):
+        tables.setdefault(r.lut_id, []).append((r.idx, r.x, r.y, r.z))
+    kind = wanted.select("cx", "cy", "cz").schema
+    numbers = ["dist", "i6", "i5", "i4", "i3"]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("cx", "cy", "cz")], axis=1).astype(np.int64)
+            for lut_id, rows in tables.items():
+                points = np.array(rows, np.int64)
+                apart = sum((at[:, k, None] - points[None, :, k + 1]) ** 2 for k in range(3))
+                dist, best = None, []
+                for step in (1, 2, 4, 8):
+                    kept = np.flatnonzero(points[:, 0] % step == 0)
+                    if not len(kept):
+                        dist = None
+                        best.append(pa.nulls(len(at), pa.int32()))
+                        continue
+                    first = apart[:, kept].argmin(axis=1)  # of equals the least index
+                    best.append(pa.array((points[kept, 0][first] // step).astype(np.int32)))
+                    dist = apart[np.arange(len(at)), kept[first]].astype(np.int32)
+                far = pa.nulls(len(at), pa.int32()) if dist is None else pa.array(dist)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lut_id, np.int32)), *(batch.column(k) for k in ("cx", "cy", "cz")), far, *best], ["lut_id", "cx", "cy", "cz", *numbers])
+
+    schema = T.StructType([T.StructField("lut_id", T.IntegerType()), *kind.fields, *[T.StructField(n, T.IntegerType()) for n in numbers]])
+    return wanted.select("cx", "cy", "cz").mapInArrow(near, schema)
 
 
 def normalised(pixels: DataFrame, channels: list[str], free: Column, tw: int, th: int) -> DataFrame:

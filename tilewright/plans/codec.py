@@ -11,7 +11,7 @@ from tilewright.functions.entropy import zstd_compress, zstd_decompress
 from tilewright.functions.scalar import bitmap_position, idiv, shr
 from tilewright.operators import bits, gradient, masks, palette, stats, windows
 from tilewright.sources import container
-from tilewright.sources.rasters import duck, embedding_plane, event_image, grid, mixed_image
+from tilewright.sources.rasters import WIDTH, duck, embedding_plane, event_image, grid, mixed_image
 from tilewright.streaming import chunks as chunk_order
 
 QUERIES: dict = {}
@@ -278,12 +278,27 @@ def _(spark, sf):
     return event_image(spark, sf).select("y", "x", clamp("r", 0, 255).alias("r"), clamp(idiv(F.col("r") - F.col("b"), 2) + 128, 0, 255).cast("int").alias("co"))
 
 
-@query("op_io6_image_round_trip", None)
-def _(spark, sf):
+#: Rows of an image that becomes one file; a taller one becomes several.
+TALLEST = 2048
+
+
+def image_round_trip(spark, image, tallest: int = TALLEST):
+    """(name, y, x, r, g, b) of an image (y, x, r, g, b) of whole bands of 8 rows, by way of containers: files of tallest
+    rows each, and one of what is left in a folder of its own, as the files of a folder have one size."""
     from tilewright.api import TileEngine
 
-    where = scratch(spark)
     engine = TileEngine(spark)
-    image = mixed_image(spark, sf).where("y < 8").withColumn("image_id", F.lit(0))
-    engine.encode(image, 64, 8, where)
-    return engine.decode(where)
+    height = image.agg((F.max("y") + 1).alias("rows")).first().rows or 0
+    whole = height // tallest * tallest
+    out = image.where("false").select(F.lit("").alias("name"), "y", "x", *"rgb")
+    for part, rows in ((F.col("y") < whole, tallest * (whole > 0)), (F.col("y") >= whole, height - whole)):
+        if rows:
+            where = scratch(spark)
+            engine.encode(image.where(part).select(idiv("y", tallest).cast("int").alias("image_id"), (F.col("y") % tallest).alias("y"), "x", *"rgb"), WIDTH, rows, where)
+            out = out.unionByName(engine.decode(where))
+    return out
+
+
+@query("op_io6_image_round_trip", None)
+def _(spark, sf):
+    return image_round_trip(spark, mixed_image(spark, sf))

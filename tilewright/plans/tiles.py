@@ -359,4 +359,4 @@ def _(spark, sf):
 
 @query("op_e7_table_cascade", None)
 def _(spark, sf):
-    return lut.cascade(mixed_image(spark, sf).where("y < 16"), RGB, lut_bank(spark))
+    return lut.cascade(mixed_image(spark, sf), RGB, lut_bank(spark))
