@@ -203,6 +203,43 @@ def _(spark, sf):
     return palette.decode(palette.encode(streams).join(sizes, "stream"))
 
 
+# The same over the whole image: the SQL above fixes the rows of the queries it checks, so these have names of their own.
+
+
+def _band_streams(spark, sf):
+    """A colour stream of 6 bits for each band of 8 rows of the mixed image, all columns."""
+    n = (F.col("y") % 8) * WIDTH + F.col("x")
+    return mixed_image(spark, sf).select(idiv("y", 8).cast("int").alias("stream"), n.cast("int").alias("n"), *[shr(k, 2).alias(k) for k in "rgb"])
+
+
+@query("op_a9_code_book_whole", None)
+def _(spark, sf):
+    return palette.code_book(palette.nearest_deltas(_band_streams(spark, sf)))
+
+
+@query("op_j7_nearest_deltas_whole", None)
+def _(spark, sf):
+    return palette.nearest_deltas(_band_streams(spark, sf))
+
+
+@query("op_z3_palette_codes_whole", None)
+def _(spark, sf):
+    streams = gradient.checkpointed(_band_streams(spark, sf))
+    return palette.codes(streams, gradient.checkpointed(palette.code_book(palette.nearest_deltas(streams))))
+
+
+@query("op_z3_palette_encode_whole", None)
+def _(spark, sf):
+    return palette.encode(gradient.checkpointed(_band_streams(spark, sf))).select("stream", F.hex("data").alias("hex"))
+
+
+@query("op_z4_palette_decode_whole", None)
+def _(spark, sf):
+    streams = gradient.checkpointed(_band_streams(spark, sf))
+    sizes = streams.groupBy("stream").agg(F.count("*").alias("colors"))
+    return palette.decode(palette.encode(streams).join(sizes, "stream"))
+
+
 @query("op_t5_frequent_colors", duck("evt mix", "\nSELECT (r << 16) | (g << 8) | b AS color, count(*) AS cnt FROM mix GROUP BY 1 ORDER BY cnt DESC, color LIMIT 10"))
 def _(spark, sf):
     return stats.color_histogram(mixed_image(spark, sf)).orderBy(F.desc("cnt"), "color").limit(10)
