@@ -116,6 +116,17 @@ def _(spark, sf):
     return plane.select("y", "x").join(placed, ["y", "x"], "left").select("y", "x", F.coalesce("a", F.lit(0)).alias("v"))
 
 
+@query("op_d4_masked_alpha_whole", None)
+def _(spark, sf):
+    """The whole plane, an alpha stream for each 64 rows; op_d4_masked_alpha has the first, as its SQL."""
+    plane = embedding_plane(spark, sf)
+    ordered = windows.ordinals(plane, F.col("v") >= 100, 64, 64).select(F.col("ty").alias("s"), "y", "x", F.col("ord").alias("pos"))
+    stream = bits.to_binary(bits.pack(ordered.join(plane, ["y", "x"]).select("s", "pos", shr("v", 2).alias("v")), ["s"], 6), ["s"])
+    got = bits.unpack(stream, ["s"], 6).select("s", "pos", bits.expand6("v").cast("int").alias("a"))
+    placed = ordered.join(got, ["s", "pos"]).select("y", "x", "a")
+    return plane.select("y", "x").join(placed, ["y", "x"], "left").select("y", "x", F.coalesce("a", F.lit(0)).alias("v"))
+
+
 @query("op_d5_alpha_box", duck("emb", "\nSELECT y, x, CASE WHEN x BETWEEN 8 AND 47 AND y BETWEEN 12 AND 51 THEN v ELSE 0 END AS v FROM emb WHERE y < 64"))
 def _(spark, sf):
     plane = embedding_plane(spark, sf)

@@ -64,6 +64,15 @@ def _(spark, sf):
     return masks.clamped_read(embedding_plane(spark, sf).where("y < 256"), wanted, 64, 256)
 
 
+@query("op_p8_clamped_read_whole", None)
+def _(spark, sf):
+    """Every seventh line from above the whole plane to below it; op_p8_clamped_read has a plane of 256 rows, as its SQL."""
+    plane = embedding_plane(spark, sf)
+    height = plane.agg((F.max("y") + 1).alias("rows")).first().rows or 0
+    wanted = spark.range(80 * (height // 7 + 3)).select((idiv("id", 80) * 7 - 5).cast("int").alias("y"), (F.col("id") % 80 - 8).cast("int").alias("x"))
+    return masks.clamped_read(plane, wanted, 64, height)
+
+
 @query("op_p9_quarter_all", duck("emb", "\nSELECT y // 2 AS y, x // 2 AS x, CASE WHEN min(v >= 100) THEN 255 ELSE 0 END AS m FROM emb GROUP BY ALL"))
 def _(spark, sf):
     return masks.quarter_all(embedding_plane(spark, sf).withColumn("m", (F.col("v") >= 100).cast("int")))
@@ -340,6 +349,19 @@ for _axes in ("xy", "x", "y"):
     _between_query(_axes)
 
 
+def _between_whole(axes: str):
+    """Over the whole plane; the queries above have its first 64 rows, as their SQL."""
+
+    def run(spark, sf):
+        return resample.fill_between(embedding_plane(spark, sf), "v", F.col("v") >= 140, "x" in axes, "y" in axes)
+
+    QUERIES[f"op_r3_fill_between_{axes}_whole"] = run
+
+
+for _axes in ("xy", "x", "y"):
+    _between_whole(_axes)
+
+
 @query("op_e13_single_colors", duck("evt mix", """,
 f AS (SELECT y, x, CASE WHEN x < 48 THEN (r >> 5) * 131072 + (g >> 5) * 512 + 7 ELSE (r << 16) | (g << 8) | b END AS color FROM mix),
 l AS (SELECT *, lag(color) OVER (PARTITION BY y ORDER BY x) AS before FROM f),
@@ -374,3 +396,11 @@ def _(spark, sf):
     plane = embedding_plane(spark, sf)
     mask = plane.select((F.col("y") - 4).alias("y"), (F.col("x") - 8).alias("x"), (F.col("v") >= 120).alias("m"))
     return plane.where("y < 32 and x < 40").join(mask, ["y", "x"]).select("y", "x", F.when(F.col("m"), F.col("v")).otherwise(0).alias("v"))
+
+
+@query("op_j9_aligned_boxes_whole", None)
+def _(spark, sf):
+    """All pixels that have one 4 below and 8 to the right; op_j9_aligned_boxes has 32 x 40 of them, as its SQL."""
+    plane = embedding_plane(spark, sf)
+    mask = plane.select((F.col("y") - 4).alias("y"), (F.col("x") - 8).alias("x"), (F.col("v") >= 120).alias("m"))
+    return plane.join(mask, ["y", "x"]).select("y", "x", F.when(F.col("m"), F.col("v")).otherwise(0).alias("v"))
