@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilewright.functions.entropy import zstd_compress, zstd_decompress
 from tilewright.functions.scalar import bitmap_position, idiv, shr
@@ -298,6 +299,32 @@ def _(spark, sf):
     return got.select(F.regexp_extract("path", r"(image-\d+)\.tile", 1).alias("name"), "seq", "tag", "length")
 
 
+def _chunk_rows_whole(spark, sf):
+    """The whole embedding plane: a chunk for each band of 16 rows, a file for each five, the last ones as long as they are."""
+    values = embedding_plane(spark, sf).select(idiv("y", 16).cast("int").alias("k"), ((F.col("y") % 16) * WIDTH + F.col("x")).alias("byte"), "v")
+    tags = F.array(*map(F.lit, (container.MIP, container.ALPHA, container.GRADIENT, container.TABLE, container.RANGE)))
+    made = bits.to_binary(values, ["k"]).withColumn("file", idiv("k", 5))
+    height = F.sum(idiv(F.length("data"), WIDTH)).over(Window.partitionBy("file")).cast("int")
+    name = F.concat(F.lit("image-"), F.col("file").cast("string"))
+    return made.select(name.alias("name"), F.lit(WIDTH).alias("width"), height.alias("height"), F.lit(False).alias("alpha"), (F.col("k") % 5).alias("seq"), F.element_at(tags, F.col("k") % 5 + 1).alias("tag"), F.col("data").alias("payload"))
+
+
+@query("op_io6_io7_container_round_trip_whole", None)
+def _(spark, sf):
+    where = scratch(spark)
+    container.write_containers(_chunk_rows_whole(spark, sf), where)
+    got = container.read_containers(spark, where)
+    return got.select(F.regexp_extract("path", r"(image-\d+)\.tile", 1).alias("name"), "height", "seq", "tag", "length", F.hex("payload").alias("hex"))
+
+
+@query("op_io7_chunk_listing_whole", None)
+def _(spark, sf):
+    where = scratch(spark)
+    container.write_containers(_chunk_rows_whole(spark, sf), where)
+    got = container.read_containers(spark, where, payloads=False)
+    return got.select(F.regexp_extract("path", r"(image-\d+)\.tile", 1).alias("name"), "height", "seq", "tag", "length")
+
+
 @query("op_io_chunk_order", """SELECT path, seq, tag, error FROM (VALUES ('a', 2, 'MIPM', 'wrong order'), ('b', 1, 'XXXX', 'unknown tag'), ('b', 3, 'ALPM', 'wrong order')) v(path, seq, tag, error)""")
 def _(spark, sf):
     rows = [("a", 0, "ALPM"), ("a", 1, "GTIL"), ("a", 2, "MIPM"), ("b", 0, "GTIL"), ("b", 1, "XXXX"), ("b", 2, "1DTL"), ("b", 3, "ALPM"), ("c", 0, "MIPM"), ("c", 1, "3DTL"), ("c", 2, "1DTL")]
