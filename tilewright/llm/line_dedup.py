@@ -9,7 +9,7 @@ from .shared import SPACE, Workspace, fresh, load
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
-#: Standard error of the sketches (128 registers), and how many of them around the threshold are counted exactly.
+#: Standard error of the sketches (128 registers), and how many of them above the threshold are still counted exactly.
 ERROR, NEAR = 0.1, 3.0
 
 
@@ -37,11 +37,12 @@ def boilerplate(lines: DataFrame, ws: Workspace, min_sites: int = MIN_SITES) ->
     """(h1, h2) of the lines that come on min_sites distinct sites or more.
 
     A sketch of the sites of each line is built and merged by one aggregation with partial results, so that a
-    line on all pages is one row per task. Lines whose estimate lies within NEAR standard errors of the
-    threshold get an exact count, of distinct (line, site) pairs. A null site is none."""
+    line on all pages is one row per task. Lines whose estimate is not beyond NEAR standard errors above the
+    threshold get an exact count, of distinct (line, site) pairs, however low it is: any number of sites may share
+    registers. Only lines that come less often than min_sites are left out before. A null site is none."""
     keyed = lines.select("site", "h1", "h2")
     sketched = ws.stage(
-        keyed.groupBy("h1", "h2").agg(F.approx_count_distinct("site", ERROR).alias("sites")).where(F.col("sites") >= min_sites * (1 - NEAR * ERROR)), "sketched"
+        keyed.groupBy("h1", "h2").agg(F.approx_count_distinct("site", ERROR).alias("sites"), F.count("site").alias("times")).where(F.col("times") >= min_sites), "sketched"
     )
     sure = sketched.where(F.col("sites") > min_sites * (1 + NEAR * ERROR)).select("h1", "h2")
     near = sketched.where(F.col("sites") <= min_sites * (1 + NEAR * ERROR)).select("h1", "h2")
