@@ -194,10 +194,14 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("frequent", [300, 2])
+@pytest.mark.parametrize("tile", [1000, 2])
 @pytest.mark.parametrize("rows", [corpus(), ODD, near_copies(), [(3, "a b"), (2, "A  b"), (1, "b a"), (0, "a")]])
-def test_jaccard_components(spark, make_docs, rows, frequent, monkeypatch):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+def test_jaccard_components(spark, make_docs, rows, tile, monkeypatch):
+    """Also with columns cut into tiles of two rows, chunks of few texts and many shards."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    if tile == 2:
+        monkeypatch.setattr(jaccard, "CHUNK", 5000)
+        monkeypatch.setattr(jaccard, "SHARD", 20_000)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make_docs(rows)).collect())
     assert got == brute_components(rows)
 
@@ -223,17 +227,53 @@ def test_jaccard_empty(spark, make_docs):
     assert jaccard.jaccard_components(make_docs([])).collect() == []
 
 
-def test_signature_bound_never_misses():
-    """Any two sets that link share a block signature, whatever their sizes."""
+def linked_sets(percent, rng, n):
+    """Pairs of sets of about n numbers that link."""
+    for _ in range(20):
+        base = np.unique(rng.integers(0, 2**40, n))
+        most = n * (100 - percent) // 100 + 1
+        k = int(rng.integers(0, most))
+        other = np.unique(np.r_[base[rng.permutation(len(base))[k:]], rng.integers(0, 2**40, int(rng.integers(0, most)))])
+        both = len(np.intersect1d(base, other))
+        if both and 100 * both >= percent * (len(base) + len(other) - both):
+            yield base, other, both
+
+
+def test_first_columns_never_miss_a_link():
+    """Any two sets that link share a column that both send, which the bounds let pass, and no count of them is below the bound."""
     rng = np.random.default_rng(0)
     for percent, n in [(p, n) for p in (90, 80) for n in [*range(1, 60), 100, 333, 1000]]:
-        bands = jaccard.Bands(percent)
-        for _ in range(20):
-            base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-            most = n * (100 - percent) // 100 + 1
-            k = int(rng.integers(0, most))
-            other = np.unique(np.r_[base[rng.permutation(n)[k:]], rng.integers(0, 2**63, int(rng.integers(0, most))).astype(np.uint64)])
-            both = len(np.intersect1d(base, other))
-            if 100 * both >= percent * (len(base) + len(other) - both) and not np.array_equal(base, other):
-                (a, free_a), (b, free_b) = jaccard.signatures(base, bands), jaccard.signatures(other, bands)
-                assert len(np.intersect1d(a, b)) > max(free_a, free_b)
+        for x, y, both in linked_sets(percent, rng, n):
+            x, y = sorted((x, y), key=len)
+            nx, ny = len(x), len(y)
+            assert both >= jaccard.overlap_bound(percent, nx, ny)
+            ax, ay = (np.flatnonzero(np.isin(a, b)) for a, b in ((x, y), (y, x)))
+            sent = (ax < jaccard.short_prefix(percent, nx)) & (ay < jaccard.long_prefix(percent, ny))
+            assert sent.any() and jaccard._may_link(percent, nx, ax[sent], ny, ay[sent]).all()
+            last_x, last_y = ax[sent].max(), ay[sent].max()
+            assert sent.sum() + min(nx - last_x, ny - last_y) - 1 >= both
+
+
+def test_a_column_of_many_rows(spark, make_docs):
+    """50,000 texts that share a passage and do not link, and a few that do: one column of all of them, cut into tiles."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} i{i}") for i in range(50_000)]
+    rows += [(60_000 + i, rows[i][1].replace(f" i{i}", " other")) for i in range(5)]
+    got = jaccard.jaccard_components(make_docs(rows, extra=False), 3, 80)
+    near = {r.doc_id: r.component_id for r in got.where("doc_id <> component_id").collect()}
+    assert near == {60_000 + i: i for i in range(5)}
+
+
+def test_tiles_of_a_frequent_column(spark, make_docs, monkeypatch):
+    """Rows whose only frequent columns are in reach of the prefix: all pairs are looked at, in tiles, and none links."""
+    monkeypatch.setattr(jaccard, "TILE", 50)
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for at in rng.choice(120, 9, replace=False):
+            w[at] = f"x{rng.integers(40)}"
+        rows.append((i, " ".join(w)))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make_docs(rows), 3, 80).collect())
+    assert got == brute_components(rows, 80)

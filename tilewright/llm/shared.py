@@ -31,6 +31,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.tables: list[str] = []
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -41,6 +42,7 @@ class Workspace:
         The write's shuffle files go when it is done: what it made is in the shared folder."""
         with arrow_rows(self.spark, batch_rows), setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
             frame.write.options(**options).parquet(self.path(table))
+        self.tables.append(table)
         return self.read(table, frame.schema)
 
     def read(self, table: str, schema) -> DataFrame:
