@@ -107,25 +107,34 @@ def brute_verdicts(rows):
                 bucket = 0 if v <= 1 else math.ceil(math.log(v) / math.log(quality.GAMMA))
                 for key in ((m[2], m[3], name), (m[2], name), (name,)):
                     sketches[key][bucket] += 1
-    def fence(key):
-        total, run, at = sum(sketches[key].values()), 0, {}
-        if total < quality.LEAST_ROWS:
-            return None
-        for b in sorted(sketches[key]):
-            run += sketches[key][b]
-            for q in (0.5, quality.UPPER):
-                if run >= total * q:
-                    at.setdefault(q, b)
-        mid, high = quality.GAMMA ** at[0.5], quality.GAMMA ** at[quality.UPPER]
-        return mid + quality.FENCE * (high - mid)
-    out = {}
-    for m in measured:
-        ok = not failed(m)
-        for name, v in values(m).items():
-            fences = [f for key in ((m[2], m[3], name), (m[2], name), (name,)) if (f := fence(key)) is not None]
-            ok &= v <= max(quality.FLOORS[name], fences[0] if fences else 0.0)
-        out[m[0]] = ok
-    return out
+
+    def lean(own, parent):
+        """own in millionths, with the parent's sketch scaled to SHRINK rows."""
+        total, run, before, out = sum(parent.values()), 0, 0, Counter({b: n * 1_000_000 for b, n in own.items()})
+        for b in sorted(parent):
+            run += parent[b]
+            upto = math.floor(float(run) * 1_000_000 / float(total))
+            out[b] += (upto - before) * quality.SHRINK
+            before = upto
+        return out
+
+    def fence(sketch, name):
+        total, run, at = sum(sketch.values()), 0, {}
+        q, times = quality.RULES[name]
+        for b in sorted(sketch):
+            run += sketch[b]
+            for x in (500, q):
+                if run * 1000 >= total * x:
+                    at.setdefault(x, b)
+        mid, high = quality.GAMMA ** at[500], quality.GAMMA ** at[q]
+        return mid + times * max(high - mid, mid * quality.LEAST_SPREAD)
+
+    fences = {}
+    for key in [k for k in sketches if len(k) == 3]:
+        lang, source, name = key
+        by_lang = lean(sketches[lang, name], sketches[name,])
+        fences[key] = min(fence(lean(sketches[key], by_lang), name), quality.LOOSEST * fence(by_lang, name))
+    return {m[0]: not failed(m) and all(v <= fences[m[2], m[3], name] for name, v in values(m).items()) for m in measured}
 
 
 def test_quality_verdicts_follow_the_sketches(spark, make_docs):
@@ -135,6 +144,25 @@ def test_quality_verdicts_follow_the_sketches(spark, make_docs):
     assert got == brute_verdicts(rows)
 
 
+def test_the_same_text_in_two_sources(spark, make_docs):
+    """Texts with as many symbols as one source always has, in a source that never has any; and a junk source does not excuse itself."""
+    rng = np.random.default_rng(1)
+
+    def text(symbols):
+        w = [f"w{x:05d}" for x in rng.integers(0, 99_999, 100)]
+        return " ".join(w) + " #" * symbols
+
+    rows = [(i, text(2 + i % 3), "en", "markup") for i in range(700)] + [(1000 + i, text(0), "en", "plain") for i in range(700)]
+    rows += [(2000 + i, text(60), "en", "junk") for i in range(50)]
+    same = text(3)
+    rows += [(3000, same, "en", "markup"), (3001, same, "en", "plain"), (3002, text(9), "en", "markup")]
+    kept = {r.doc_id: r.kept for r in quality.quality_verdicts(make_docs(rows)).collect()}
+    assert kept == brute_verdicts(rows)
+    assert kept[3000] and not kept[3001]
+    assert not any(kept[2000 + i] for i in range(50))
+    assert sum(kept[i] for i in range(700)) == 700 and sum(kept[1000 + i] for i in range(700)) == 700
+
+
 def test_quality_filter_keeps_rows_and_columns(spark, make_docs):
     rows = [(i, f"word{i} and some more of it number {i} in a line of text which goes on for more than twenty words so that it is kept by all the rules {i}") for i in range(30)] + ODD
     docs = make_docs(rows)

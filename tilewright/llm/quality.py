@@ -18,12 +18,17 @@ from .shared import Workspace, arrow_rows, fresh, load
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 #: Relative accuracy of the sketches: bucket b holds values up to GAMMA ** b.
-GAMMA = 1.02
-#: Rows a group must have to get thresholds of its own; smaller groups take their language's, then the whole corpus's.
-LEAST_ROWS = 200
-#: A value is rejected beyond both the fence (median plus FENCE times the spread from median to upper quantile) and the floor.
-UPPER, FENCE = 0.75, 6.0
-FLOORS = {"symbols": 50.0, "dup_lines": 300.0, "repeats": 250.0, "echoes": 400.0, "long_words": 12_000.0, "short_words": 500.0}
+GAMMA = 1.005
+#: For each rule the upper quantile (in thousandths) that its spread is read from, and how many spreads beyond the median the fence
+#: lies. Repetition has long tails in good texts, so its spread is read further out than that of what most texts lack.
+RULES = {"symbols": (900, 6.0), "dup_lines": (990, 4.0), "repeats": (990, 4.0), "echoes": (900, 6.0), "long_words": (900, 6.0), "short_words": (900, 6.0)}
+#: The least spread, as a share of the median.
+LEAST_SPREAD = 0.02
+#: A group's sketch is mixed with that of its language as if it had so many rows of it, and a language's with the whole corpus's.
+SHRINK = 100
+#: A group's fence is at most so many times its language's, so that a group full of junk does not excuse itself.
+LOOSEST = 4.0
+_UNIT = 1_000_000
 #: What is measured of each text. n_echoes: words equal to the word before.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_echoes")
 
@@ -104,35 +109,49 @@ def _bucket(value: Column) -> Column:
     return F.when(value <= 1, F.lit(0)).otherwise(F.ceil(F.log(value) / F.lit(math.log(GAMMA)))).cast("int")
 
 
+def _shares(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bucket, share) of a sketch (keys, bucket, n): parts of _UNIT, rounded so that they add up to it."""
+    run = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.floor(F.sum("n").over(run).cast("double") * _UNIT / F.sum("n").over(Window.partitionBy(*keys)).cast("double")).cast("long")
+    cut = cells.select(*keys, "bucket", upto.alias("upto"))
+    return cut.select(*keys, "bucket", (F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy(*keys).orderBy("bucket")), F.lit(0))).alias("share"))
+
+
+def _shrunk(cells: DataFrame, keys: list[str], parent: DataFrame, parent_keys: list[str]) -> DataFrame:
+    """The sketches (keys, bucket, n), in parts of _UNIT, with SHRINK rows of the parent's sketch added to each."""
+    named = parent.select(*[F.col(k).alias(f"p_{k}") for k in parent_keys], "bucket", (F.col("share") * SHRINK).alias("n"))
+    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in parent_keys]
+    more = cells.select(*keys).distinct().join(named, on).select(*keys, "bucket", "n")
+    return cells.select(*keys, "bucket", (F.col("n") * _UNIT).alias("n")).unionByName(more).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+
+
+def _fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fence): the median plus so many spreads, from the median to the rule's upper quantile."""
+    run = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sketches.select(*keys, "bucket", F.sum("n").over(run).cast("double").alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).cast("double").alias("total"))
+    pick = lambda at: F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.lit(v[at]))])[F.col("name")]
+    at = lambda q: F.pow(F.lit(GAMMA), F.min(F.when(F.col("upto") * 1000 >= F.col("total") * q, F.col("bucket"))))
+    found = ranked.groupBy(*keys).agg(at(F.lit(500)).alias("mid"), at(pick(0)).alias("high"))
+    return found.select(*keys, (F.col("mid") + pick(1) * F.greatest(F.col("high") - F.col("mid"), F.col("mid") * LEAST_SPREAD)).alias("fence"))
+
+
 def thresholds(features: DataFrame, ws: Workspace) -> DataFrame:
-    """(lang, source, name, fence) for every language and source that comes.
+    """(lang, source, fences) for every language and source that comes; fences maps each rule to its threshold.
 
     The sketch of a group is its counts per logarithmic bucket: sketches merge by adding counts, so one
-    aggregation with partial sums makes them, in any order and with the same result. Each row counts for its
-    (lang, source), for its lang and for the whole; a quantile is the first bucket whose running count reaches it."""
+    aggregation with partial sums makes them, in any order and with the same result. Sketches of languages and of
+    the corpus are sums of theirs. A small group leans on its language, by weight and not by a limit: SHRINK rows
+    of the language's sketch are added to every group's, and SHRINK rows of the corpus's to every language's."""
     pairs = F.array(*[F.struct(F.lit(k).alias("name"), _bucket(v).alias("bucket")) for k, v in _values().items()])
     usable = features.where(~base_failed()).select("lang", "source", F.inline(pairs))
-    cells = ws.stage(usable.groupBy("lang", "source", "name", "bucket").agg(F.count("*").alias("n")), "cells")
-    levels = {
-        "own": ["lang", "source", "name"],
-        "lang": ["lang", "name"],
-        "all": ["name"],
-    }
-    found = cells.select("lang", "source", "name").distinct()
-    for level, keys in levels.items():
-        merged = cells.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-        run = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = merged.select(*keys, "bucket", F.sum("n").over(run).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("rows"))
-        at = lambda q: F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("bucket")))
-        quantiles = ranked.groupBy(*keys).agg(at(0.5).alias("mid"), at(UPPER).alias("high"), F.max("rows").alias("rows"))
-        value = lambda c: F.pow(F.lit(GAMMA), F.col(c))
-        fence = value("mid") + F.lit(FENCE) * (value("high") - value("mid"))
-        fences = quantiles.where(F.col("rows") >= LEAST_ROWS).select(*[F.col(k).alias(f"k_{k}") for k in keys], fence.alias(f"fence_{level}"))
-        on = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
-        found = found.join(fences, on, "left").drop(*[f"k_{k}" for k in keys])
-    floors = F.create_map(*[x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v))])
-    fence = F.coalesce("fence_own", "fence_lang", "fence_all", F.lit(0.0))
-    flat = found.select("lang", "source", "name", F.greatest(fence, floors[F.col("name")]).alias("fence"))
+    own, lang = ["lang", "source", "name"], ["lang", "name"]
+    cells = ws.stage(usable.groupBy(*own, "bucket").agg(F.count("*").alias("n")), "cells")
+    whole = _shares(cells.groupBy("name", "bucket").agg(F.sum("n").alias("n")), ["name"])
+    by_lang = ws.stage(_shrunk(cells.groupBy(*lang, "bucket").agg(F.sum("n").alias("n")), lang, whole, ["name"]), "languages")
+    limits = _fences(by_lang, lang).select(F.col("lang").alias("l_lang"), F.col("name").alias("l_name"), F.col("fence").alias("l_fence"))
+    fences = _fences(_shrunk(cells, own, _shares(by_lang, lang), lang), own)
+    limited = fences.join(limits, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("name") == F.col("l_name")))
+    flat = limited.select("lang", "source", "name", F.least("fence", F.col("l_fence") * LOOSEST).alias("fence"))
     return ws.stage(flat.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("name", "fence"))).alias("fences")), "fences")
 
 
@@ -142,9 +161,9 @@ def judge(features: DataFrame, fences: DataFrame) -> DataFrame:
     joined = features.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     within = F.lit(True)
     for name, value in _values().items():
-        within &= value <= F.coalesce(F.col("fences")[name], F.lit(FLOORS[name]))
+        within &= value <= F.col("fences")[name]
     failed = base_failed()
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & within).drop("t_lang", "t_source", "fences")
+    return joined.withColumn("base_failed", failed).withColumn("kept", F.coalesce(~failed & within, F.lit(False))).drop("t_lang", "t_source", "fences")
 
 
 def _with_measures(raw: DataFrame) -> T.StructType:
@@ -160,28 +179,24 @@ def _features(docs: DataFrame, ws: Workspace) -> DataFrame:
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """One row per document with its measures, base_failed and kept; needs doc_id, text, lang and source.
 
-    A null text has no words and fails. Null languages and sources are groups of their own. Rows that repeat
-    are judged alike; other columns are not read. No documents give no rows."""
+    A null or empty text has no words and fails; a very long text is measured whole, by one task. Null languages and
+    sources are groups of their own. Rows that repeat are judged alike; other columns are not read. No documents
+    give no rows. A value equal to its fence is within it."""
     ws = Workspace(docs.sparkSession, "quality")
     features = _features(docs, ws)
     return judge(features, thresholds(features, ws))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that quality_verdicts keeps, with all their columns.
+    """The documents that quality_verdicts keeps, with all their columns, whatever their names.
 
-    The verdict is computed in the same pass over the text that carries the row, so rows need no identifier."""
+    Each text is measured once, next to its row, so rows need no identifier."""
     ws = Workspace(docs.sparkSession, "quality")
-    fences = thresholds(_features(docs, ws), ws)
-    return apply_fences(docs, fences)
-
-
-def apply_fences(docs: DataFrame, fences: DataFrame) -> DataFrame:
-    """Filter docs by thresholds fitted before, measuring each text again next to its row."""
-    measured = fresh(docs, "measured")
+    carried = fresh(docs, "carried")
     row = F.struct(*[F.col(c) for c in docs.columns])
-    carried = docs.select(row.alias(measured), "lang", "source", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return judge(carried.mapInArrow(_measure, _with_measures(carried)), fences).where("kept").select(*[F.col(measured)[c].alias(c) for c in docs.columns])
+    raw = docs.select(row.alias(carried), "lang", "source", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    features = ws.stage(raw.mapInArrow(_measure, _with_measures(raw)), "features", batch_rows=500)
+    return judge(features, thresholds(features, ws)).where("kept").select(*[F.col(carried)[c].alias(c) for c in docs.columns])
 
 
 def op5_quality_rules(spark, sf_dir):
@@ -200,18 +215,18 @@ def _oracle() -> str:
         "long_words": "word_chars * 1000.0::DOUBLE / greatest(n_words, 1)",
         "short_words": "1000000.0::DOUBLE / greatest(word_chars * 1000.0::DOUBLE / greatest(n_words, 1), 1.0::DOUBLE)",
     }
-    keys = {"own": "lang, source, name", "lang": "lang, name", "every": "name"}
-    fences = "".join(
-        f""",
-r_{k} AS (SELECT {on}, bucket, sum(sum(n)) OVER (PARTITION BY {on} ORDER BY bucket) AS upto, sum(sum(n)) OVER (PARTITION BY {on}) AS total FROM c GROUP BY {on}, bucket),
-q_{k} AS (SELECT {on}, min(bucket) FILTER (upto >= total * 0.5) AS mid, min(bucket) FILTER (upto >= total * {UPPER}) AS high FROM r_{k} WHERE total >= {LEAST_ROWS} GROUP BY {on}),
-f_{k} AS (SELECT {on}, pow({GAMMA}, mid) + {FENCE} * (pow({GAMMA}, high) - pow({GAMMA}, mid)) AS fence FROM q_{k})"""
-        for k, on in keys.items()
-    )
-    joins = " ".join(
-        f"LEFT JOIN f_{k} ON " + " AND ".join(f"f_{k}.{c} IS NOT DISTINCT FROM v.{c}" for c in on.split(", ")) for k, on in keys.items()
-    )
-    floors = "CASE v.name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FLOORS.items()) + " END"
+    own, lang = "lang, source, name", "lang, name"
+    shares = lambda cells, keys: f"""SELECT {keys}, bucket, upto - coalesce(lag(upto) OVER (PARTITION BY {keys} ORDER BY bucket), 0) AS share FROM (
+  SELECT {keys}, bucket, floor((sum(n) OVER (PARTITION BY {keys} ORDER BY bucket))::DOUBLE * {_UNIT} / (sum(n) OVER (PARTITION BY {keys}))::DOUBLE)::BIGINT AS upto FROM {cells})"""
+    shrunk = lambda cells, keys, parent, parent_keys: f"""SELECT {keys}, bucket, sum(n)::BIGINT AS n FROM (
+  SELECT {keys}, bucket, n * {_UNIT} AS n FROM {cells} UNION ALL
+  SELECT {", ".join("k." + x for x in keys.split(", "))}, bucket, share * {SHRINK} FROM (SELECT DISTINCT {keys} FROM {cells}) k JOIN {parent} p
+    ON {" AND ".join(f"k.{x} IS NOT DISTINCT FROM p.{x}" for x in parent_keys.split(", "))}) GROUP BY {keys}, bucket"""
+    quantile = "CASE name " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in RULES.items()) + " END"
+    times = "CASE name " + " ".join(f"WHEN '{k}' THEN {v[1]}::DOUBLE" for k, v in RULES.items()) + " END"
+    fence = lambda cells, keys: f"""SELECT {keys}, mid + {times} * greatest(high - mid, mid * {LEAST_SPREAD}::DOUBLE) AS fence FROM (
+  SELECT {keys}, pow({GAMMA}::DOUBLE, min(bucket) FILTER (upto * 1000 >= total * 500)) AS mid, pow({GAMMA}::DOUBLE, min(bucket) FILTER (upto * 1000 >= total * {quantile})) AS high FROM (
+    SELECT {keys}, bucket, (sum(n) OVER (PARTITION BY {keys} ORDER BY bucket))::DOUBLE AS upto, (sum(n) OVER (PARTITION BY {keys}))::DOUBLE AS total FROM {cells}) GROUP BY {keys})"""
     return rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, lang, source, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT r, unnest(range(1, len(ws) - {WINDOW - 2})) AS i, ws FROM d WHERE len(ws) >= {WINDOW}),
@@ -225,8 +240,17 @@ a AS MATERIALIZED (SELECT doc_id, lang, source, d.r, len(ws)::BIGINT AS n_words,
   FROM d LEFT JOIN rep USING (r) LEFT JOIN dup ON dup.r = d.r),
 b AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a),
 v AS MATERIALIZED ({" UNION ALL ".join(f"SELECT r, lang, source, '{k}' AS name, {x} AS value FROM b WHERE NOT base_failed" for k, x in values.items())}),
-c AS MATERIALIZED (SELECT lang, source, name, CASE WHEN value <= 1 THEN 0 ELSE ceil(ln(value) / ln({GAMMA}::DOUBLE)) END::INT AS bucket, count(*) AS n FROM v GROUP BY ALL){fences},
-k AS (SELECT v.r, bool_and(v.value <= greatest(coalesce(f_own.fence, f_lang.fence, f_every.fence, 0.0), {floors})) AS fits FROM v {joins} GROUP BY v.r)
+c AS MATERIALIZED (SELECT lang, source, name, CASE WHEN value <= 1 THEN 0 ELSE ceil(ln(value) / ln({GAMMA}::DOUBLE)) END::INT AS bucket, count(*) AS n FROM v GROUP BY ALL),
+c0 AS (SELECT name, bucket, sum(n) AS n FROM c GROUP BY ALL),
+s0 AS MATERIALIZED ({shares("c0", "name")}),
+c1 AS (SELECT lang, name, bucket, sum(n) AS n FROM c GROUP BY ALL),
+m1 AS MATERIALIZED ({shrunk("c1", lang, "s0", "name")}),
+s1 AS MATERIALIZED ({shares("m1", lang)}),
+m2 AS MATERIALIZED ({shrunk("c", own, "s1", lang)}),
+f1 AS MATERIALIZED ({fence("m1", lang)}),
+f2 AS MATERIALIZED ({fence("m2", own)}),
+f AS MATERIALIZED (SELECT f2.lang, source, f2.name, least(f2.fence, f1.fence * {LOOSEST}::DOUBLE) AS fence FROM f2 JOIN f1 ON f1.lang IS NOT DISTINCT FROM f2.lang AND f1.name = f2.name),
+k AS (SELECT v.r, bool_and(v.value <= f.fence) AS fits FROM v JOIN f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND f.name = v.name GROUP BY v.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fits, false) AS kept FROM b LEFT JOIN k USING (r)"""
 
 
