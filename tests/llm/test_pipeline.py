@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from tests.llm.test_against_bruteforce import brute_components, brute_pieces, brute_verdicts
 from tests.llm.test_native import norm
 
-from tilewright.llm import mixing
-
 SF = "/root/testdata/sf0.001"
 
 
@@ -60,7 +58,7 @@ def test_each_stage(spark, tmp_path):
             for i, t, _, s in given:
                 size[s] += len((t or "").split())
                 taken[s] += times[i] * len((t or "").split())
-            assert abs(sum(taken.values()) - sum(size.values())) < 0.2 * sum(size.values())
+            assert abs(sum(taken.values()) - sum(size.values())) < 0.05 * sum(size.values())
         else:
             got = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in docs.collect())
             assert got == brute_pieces([r[:2] for r in given])
@@ -87,4 +85,3 @@ def test_nulls_repeats_and_odd_columns(spark, make_docs, repeat):
     for name, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, "").collect(), stage(spark, docs, "").schema)
         assert docs.count() <= 3 * len(ODD) * repeat + 99, name
-    assert mixing.draw(F.lit(None)) is not None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +13,9 @@ from .shared import Workspace, fresh, load, word_count
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
+#: Each source takes that of so many seeds whose draws bring it nearest to its target.
+SEEDS = 64
+_STEP, _RANGE = 2654435761, 1 << 32
 _WIDE = "decimal(38,0)"
 
 
@@ -67,47 +70,65 @@ def source_plan(sized: DataFrame, ws: Workspace, weights=WEIGHTS, cap: int = CAP
     )
 
 
-def draw(doc_id, seed: str = SEED):
-    """A number in [0, 1) that depends on the seed and the doc_id only; a null doc_id counts as empty."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number of 32 bits that depends on the seed and the doc_id only; where that is null, on the text."""
+    known = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), known)), 1, 8), 16, 10).cast("long")
 
 
-def copies_of(sized: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
-    """Rows (doc_id, source, size, ...) with source_size, target and copies: floor(rate) and one more with probability fraction."""
-    extra = F.when(draw(F.col("doc_id"), seed) < F.col("fraction"), 1).otherwise(0)
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("copies", F.col("whole") + extra)
+def _extra(drawn: Column, number: Column, fraction: Column) -> Column:
+    """1 with probability fraction, else 0: the draw of seed number is the first one moved on by so many steps of a circle."""
+    return F.when(((drawn + number * _STEP) % _RANGE).cast("double") / F.lit(float(_RANGE)) < fraction, 1).otherwise(0)
+
+
+def with_seeds(sized: DataFrame, plan: DataFrame, ws: Workspace) -> DataFrame:
+    """plan with number: of the SEEDS seeds the one whose extra copies bring the source nearest to its target (the first of equals).
+
+    One aggregation with a sum for each seed and source, from rows (source, size, drawn); the same rows give the same seeds."""
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+    sums = [F.sum(F.col("size") * _extra(F.col("drawn"), F.lit(k), F.col("fraction"))).cast("double").alias(f"s{k}") for k in range(SEEDS)]
+    want = F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")
+    off = F.array(*[F.struct(F.abs(F.col(f"s{k}") - want).alias("off"), F.lit(k).alias("number")) for k in range(SEEDS)])
+    by_source = joined.groupBy(*plan.columns).agg(*sums)
+    return ws.stage(by_source.select(*plan.columns, F.array_min(off)["number"].alias("number")), "seeded")
+
+
+def _measured(docs: DataFrame, ws: Workspace, seed: str) -> DataFrame:
+    return ws.stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("drawn")), "sized")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixture: each document as often as it is taken, with the columns of docs.
 
-    Needs doc_id, text and source. Null texts have size 0, null sources are a source of their own, equal
-    rows are drawn alike, and other columns, whatever their names, pass through. No documents give no rows."""
+    Needs doc_id, text and source. Null texts have size 0, as empty ones; a very long text is taken whole or not at
+    all, so a source of few such texts may miss its target by part of one. Null sources are a source of their own,
+    equal rows are drawn alike (rows without doc_id by their text), and other columns, whatever their names, pass
+    through. No documents give no rows."""
     ws = Workspace(docs.sparkSession, "mix")
-    plan = source_plan(docs.select("source", word_count(F.col("text")).alias("size")), ws, weights, cap)
-    names = {c: fresh(docs, c) for c in ("plan_source", "whole", "fraction", "copy")}
-    plan = plan.select(*[F.col(c).alias(names[c]) for c in ("plan_source", "whole", "fraction")])
-    extra = F.when(draw(F.col("doc_id"), seed) < F.col(names["fraction"]), 1).otherwise(0)
-    times = F.sequence(F.lit(1).cast("long"), F.col(names["whole"]) + extra)
-    taken = docs.join(plan, docs["source"].eqNullSafe(F.col(names["plan_source"]))).where(F.col(names["whole"]) + extra > 0)
-    return taken.withColumn(names["copy"], F.explode(times)).select(*[docs[c] for c in docs.columns])
+    sized = _measured(docs, ws, seed)
+    plan = with_seeds(sized, source_plan(sized.select("source", "size"), ws, weights, cap), ws)
+    names = {c: fresh(docs, c) for c in ("plan_source", "whole", "fraction", "number", "copy")}
+    plan = plan.select(*[F.col(c).alias(names[c]) for c in ("plan_source", "whole", "fraction", "number")])
+    copies = F.col(names["whole"]) + _extra(draw(docs["doc_id"], docs["text"], seed), F.col(names["number"]), F.col(names["fraction"]))
+    taken = docs.join(plan, docs["source"].eqNullSafe(F.col(names["plan_source"]))).withColumn(names["copy"], copies).where(F.col(names["copy"]) > 0)
+    return taken.withColumn(names["copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["copy"])))).select(*[docs[c] for c in docs.columns])
 
 
 def op8_mix_sources(spark, sf_dir):
     """How many words of each document the mixture of all documents takes."""
     ws = Workspace(spark, "op8")
-    docs = load(spark, sf_dir, "documents")
-    sized = ws.stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    plan = source_plan(sized.select("source", "size"), ws)
-    return copies_of(sized, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    sized = _measured(load(spark, sf_dir, "documents"), ws, SEED)
+    plan = with_seeds(sized, source_plan(sized.select("source", "size"), ws), ws)
+    taken = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + _extra(F.col("drawn"), F.col("number"), F.col("fraction")))).alias("taken"))
 
 
 def shares_sql(docs: str, prefix: str = "") -> str:
     """CTEs for DuckDB: {prefix}sized (doc_id, source, size, ...) of a relation, and {prefix}mixed with copies."""
     return rf"""
 {prefix}sized AS (
-  SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {docs}),
+  SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 8))::BIGINT AS drawn FROM {docs}),
 {prefix}per AS (
   SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM {prefix}sized GROUP BY source),
 {prefix}weighed AS (
@@ -123,11 +144,16 @@ def shares_sql(docs: str, prefix: str = "") -> str:
   FROM {prefix}sorted, {prefix}level l),
 {prefix}rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0 END AS rate FROM {prefix}targets),
+{prefix}tries AS (
+  SELECT d.source, k, abs(sum(CASE WHEN ((d.drawn + k * {_STEP}) % {_RANGE})::DOUBLE / {float(_RANGE)}::DOUBLE < r.rate - floor(r.rate) THEN d.size ELSE 0 END)::DOUBLE
+         - (any_value(r.target) - (floor(any_value(r.rate))::BIGINT * any_value(r.source_size))::DOUBLE)) AS off
+  FROM {prefix}sized d JOIN {prefix}rates r ON d.source IS NOT DISTINCT FROM r.source, range({SEEDS}) t(k) GROUP BY d.source, k),
+{prefix}seeds AS (
+  SELECT source, min(struct_pack(off := off, k := k)).k AS k FROM {prefix}tries GROUP BY source),
 {prefix}mixed AS (
   SELECT d.*, r.source_size, r.target,
-         (floor(r.rate) + CASE WHEN ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0
-                                    < r.rate - floor(r.rate) THEN 1 ELSE 0 END)::BIGINT AS copies
-  FROM {prefix}sized d JOIN {prefix}rates r ON d.source IS NOT DISTINCT FROM r.source)"""
+         (floor(r.rate) + CASE WHEN ((d.drawn + s.k * {_STEP}) % {_RANGE})::DOUBLE / {float(_RANGE)}::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM {prefix}sized d JOIN {prefix}rates r ON d.source IS NOT DISTINCT FROM r.source JOIN {prefix}seeds s ON d.source IS NOT DISTINCT FROM s.source)"""
 
 
 ORACLE = f"WITH {shares_sql('documents')}\nSELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed"
