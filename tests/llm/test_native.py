@@ -59,22 +59,35 @@ def test_exact_dedup(spark, make_docs, digest):
 def test_index_merges_runs_and_levels(spark):
     ws = Workspace(spark, "lsm")
     index = exact_dedup.DigestIndex(ws)
+    schema = "doc_id long, digest string, row long"
     for at in range(3):
-        index.flush(spark.createDataFrame([(10 * k + at, f"d{k}") for k in range(5)], "doc_id long, digest string"))
+        index.flush(spark.createDataFrame([(10 * k + at, f"d{k}", 100 * at + k) for k in range(5)], schema))
+    assert [len(level) for level in index.levels] == [1, 1]  # two runs have become one of the next level
+    hits = index.lookup(spark.createDataFrame([("d0",), ("d4",), ("none",)], "digest string")).groupBy("digest").agg(F.min("first.doc_id").alias("least"), F.sum("size").alias("size"))
+    assert {(r.digest, r.least, r["size"]) for r in hits.collect()} == {("d0", 0, 3), ("d4", 40, 3)}
     index.compact()
-    index.flush(spark.createDataFrame([(-1, "d0"), (99, "d9")], "doc_id long, digest string"))
+    index.flush(spark.createDataFrame([(-1, "d0", 7), (99, "d9", 8)], schema))
     got = {r.digest: (r["first"].doc_id, r["size"]) for r in index.compact().collect()}
     assert got == {"d0": (-1, 4), "d9": (99, 1)} | {f"d{k}": (10 * k, 3) for k in range(1, 5)}
 
 
-def test_bitmap_filter_has_no_false_negatives(spark):
-    keys = spark.range(3000).select(F.col("id").cast("string").alias("key"))
-    bucket, inside = exact_dedup.may_contain("key", 1 << 16)
-    f = exact_dedup.bitmap_filter(keys, "key", 1 << 16)
-    assert f.count() <= 2
-    probe = spark.range(30000).select(F.col("id").cast("string").alias("key")).join(F.broadcast(f), (bucket == F.col("filter_bucket")) & inside)
-    ids = {int(r.key) for r in probe.select("key").collect()}
-    assert set(range(3000)) <= ids and len(ids) < 6000
+def test_a_probe_keeps_rows_from_the_join(spark):
+    """Of rows that a run does not have, its filter lets few pass; of those that it has, it keeps none back."""
+    ws = Workspace(spark, "probe")
+    run = ws.stage(spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest")), "run")
+    rows = spark.range(30000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    absent, perhaps = exact_dedup.split(rows, F.col("digest"), run, "digest")
+    ids = {r.id for r in perhaps.collect()}
+    assert set(range(3000)) <= ids and len(ids) < 3000 + 27000 / 8
+    assert absent.count() + len(ids) == 30000
+    assert exact_dedup.filter_bits(10**12) == exact_dedup.MOST_BITS
+
+
+def test_split_without_a_filter(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 10)
+    rows = spark.range(30).select(F.col("id").cast("string").alias("digest"))
+    absent, perhaps = exact_dedup.split(rows, F.col("digest"), rows, "digest")
+    assert absent.count() == 0 and perhaps.count() == 30
 
 
 def test_mixture(spark, make_docs):

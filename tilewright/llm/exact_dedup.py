@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE, Workspace, fresh, load, text_or_empty
 
-#: Bits of the filter that is broadcast: 256 rows of 4 KiB, 1 MiB whatever the input.
-FILTER_BITS = 1 << 23
+#: A filter has FILTER_BITS for each key, in rows of 4 KiB, and MOST_BITS at most (16 MiB), as it is broadcast.
+FILTER_BITS, MOST_BITS = 16, 1 << 27
 _BLOCK = 1 << 15
+#: Batches that the rows are flushed in, and runs of a level that compaction merges into one of the next.
+RUNS, FANOUT = 4, 2
 
 
 def normalised(text: Column) -> Column:
@@ -20,81 +22,148 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def bitmap_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """A one-hash Bloom filter as rows (bucket, bitmap), of bits / 32768 rows at most."""
+def filter_bits(keys: int) -> int:
+    """Bits of a filter for so many keys."""
+    bits = _BLOCK
+    while bits < min(keys * FILTER_BITS, MOST_BITS):
+        bits *= 2
+    return bits
+
+
+def bitmap_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """A one-hash Bloom filter as rows (filter_bucket, filter_bits), of bits / 32768 rows at most."""
     h = F.pmod(F.xxhash64(key), F.lit(bits))
     return keys.select(F.shiftright(h, 15).alias("filter_bucket"), (h % _BLOCK).alias("at")).groupBy("filter_bucket").agg(F.bitmap_construct_agg(F.col("at")).alias("filter_bits"))
 
 
-def may_contain(key: str, bits: int = FILTER_BITS, column: str = "filter_bits") -> tuple[Column, Column]:
+def may_contain(key: Column, bits: int, column: str = "filter_bits") -> tuple[Column, Column]:
     """The bucket of a key, and whether the filter's row of that bucket has its bit."""
     h = F.pmod(F.xxhash64(key), F.lit(bits))
-    at = h % _BLOCK
-    byte = F.conv(F.hex(F.expr(f"substring({column}, cast(pmod(xxhash64({key}), {bits}) % {_BLOCK} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return F.shiftright(h, 15), F.lit(1) == F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1))
+    at = (h % _BLOCK).cast("int")
+    byte = F.conv(F.hex(F.substr(F.col(column), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.shiftright(h, 15), F.lit(1) == F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1))
+
+
+def split(rows: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(absent, perhaps): rows whose key is surely not in the column of keys, and all others, with rows' columns.
+
+    A filter of the keys is broadcast, of a size that follows their number up to MOST_BITS. Beyond a key for each of
+    those bits it would let everything pass: then there is none, and all rows are in perhaps. Filters only spare
+    joins and shuffles, what they let pass is joined exactly. keys should be a written table, as it is counted first."""
+    n = keys.count()
+    if n > MOST_BITS:
+        return rows.limit(0), rows
+    bits = filter_bits(n)
+    names = {c: fresh(rows, c) for c in ("filter_bucket", "filter_bits", "filter_key")}
+    table = bitmap_filter(keys, column, bits).select(*[F.col(c).alias(names[c]) for c in ("filter_bucket", "filter_bits")])
+    bucket, inside = may_contain(F.col(names["filter_key"]), bits, names["filter_bits"])
+    marked = rows.withColumn(names["filter_key"], key).join(F.broadcast(table), (bucket == F.col(names["filter_bucket"])) & inside, "left")
+    out, hit = [F.col(c) for c in rows.columns], F.col(names["filter_bits"])
+    return marked.where(hit.isNull()).select(*out), marked.where(hit.isNotNull()).select(*out)
+
+
+def text_key(column: str) -> Column:
+    """An identifier as text, null as empty: for filters, where keys may be alike."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 class DigestIndex:
-    """Log-structured merge index digest -> (smallest identifier, rows) in the shared folder.
+    """Log-structured merge index digest -> (first, size) in the shared folder.
 
-    flush() writes one level-0 run per call: each task is a memtable, sorted by digest and written with a Bloom
-    filter on the digest. compact() merges all runs and the former level into one level that keeps the
-    smallest identifier of a digest. Runs and levels are immutable, so a lost task is simply run again."""
+    flush() makes a run of level 0 of a batch of rows: each task sorts its share of the digests, as a memtable, and
+    writes one entry for each. Whenever a level has FANOUT runs they are merged into one of the next level, which
+    keeps the smallest identifier of a digest: filters are probed first, and entries that the other runs surely do not have
+    are copied without a shuffle. lookup() finds the entries of rows likewise, a run at a time. Runs are
+    immutable, so a lost task is simply run again."""
 
     def __init__(self, ws: Workspace):
-        self.ws, self.runs, self.level, self.n = ws, [], None, 0
+        self.ws, self.levels, self.n = ws, [], 0
 
-    def flush(self, rows: DataFrame) -> DataFrame:
-        """rows: (doc_id, digest). Returns the run, with a row number that tells equal rows apart."""
+    def _write(self, entries: DataFrame) -> DataFrame:
         self.n += 1
-        run = self.ws.stage(
-            rows.select("doc_id", "digest", F.monotonically_increasing_id().alias("row")).sortWithinPartitions("digest", "doc_id"),
-            f"run-{self.n}",
-            **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"},
-        )
-        self.runs.append((self.n, run))
+        return self.ws.stage(entries.sortWithinPartitions("digest"), f"run-{self.n}")
+
+    def _add(self, run: DataFrame, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= FANOUT:
+            merged = self._merge(self.levels[level])
+            self.levels[level] = []
+            self._add(merged, level + 1)
+
+    def _merge(self, runs: list[DataFrame]) -> DataFrame:
+        alone, shared = [], []
+        for i, run in enumerate(runs):
+            rest = None
+            for j, other in enumerate(runs):
+                if i != j:
+                    run, some = split(run, F.col("digest"), other, "digest")
+                    rest = some if rest is None else rest.unionByName(some)
+            alone.append(run)
+            shared += [rest] if rest is not None else []
+        if not shared:
+            return runs[0]
+        both = shared[0]
+        for part in shared[1:]:
+            both = both.unionByName(part)
+        merged = both.groupBy("digest").agg(F.min("first").alias("first"), F.sum("size").alias("size"))
+        for part in alone:
+            merged = merged.unionByName(part)
+        return self._write(merged)
+
+    def flush(self, rows: DataFrame) -> DataFrame:
+        """rows: (doc_id, digest, row), where row tells equal rows apart. Returns the run (digest, first, size):
+        first is the struct (no_id, doc_id, row) of the row that stays; null identifiers come last."""
+        first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+        run = self._write(rows.groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("size")))
+        self._add(run, 0)
         return run
 
     def compact(self) -> DataFrame:
-        """(digest, first, size): first is the struct (no_id, doc_id, run, row) of the row that stays; null identifiers come last."""
-        parts = [
-            run.select("digest", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.lit(n).alias("run"), "row").alias("first"), F.lit(1).cast("long").alias("size"))
-            for n, run in self.runs
-        ]
-        parts += [self.level] if self.level is not None else []
-        merged = parts[0]
-        for part in parts[1:]:
-            merged = merged.unionByName(part)
-        self.n += 1
-        self.level = self.ws.stage(
-            merged.groupBy("digest").agg(F.min("first").alias("first"), F.sum("size").alias("size")).sortWithinPartitions("digest"),
-            f"level-{self.n}",
-            **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"},
-        )
-        self.runs = []
-        return self.level
+        """All runs as one."""
+        runs = [run for level in self.levels for run in level]
+        whole = self._merge(runs)
+        self.levels = [*([] for _ in self.levels[:-1]), [whole]]
+        return whole
+
+    def lookup(self, rows: DataFrame) -> DataFrame:
+        """The entries (rows' columns, first, size) of the digests of rows; a row comes once for each run that has it."""
+        found = None
+        for run in (run for level in self.levels for run in level):
+            _, perhaps = split(rows, F.col("digest"), run, "digest")
+            hits = perhaps.join(run, "digest").select(*rows.columns, "first", "size")
+            found = hits if found is None else found.unionByName(hits)
+        return found
 
 
 def _classes(docs: DataFrame, ws: Workspace, digest=sha256) -> DataFrame:
     """(doc_id, digest, row, keep_id, group_size, kept) of every row of docs.
 
-    Rows whose digest is held by several rows get their bytes compared: the identifiers of such rows make a
-    fixed-size filter, so that only their texts (and few others) are normalised again, and the smallest and
-    the largest text of a digest must be equal. Where they differ, rows are grouped by digest and text."""
+    Rows are flushed in RUNS batches and the runs compacted; only rows whose digest may be one of several rows are joined
+    with the index. Those get their bytes compared: the identifiers of such rows make a filter, so that only their
+    texts (and few others) are normalised again, and the smallest and the largest text of a digest must be
+    equal. Where they differ, rows are grouped by digest and text."""
     text = normalised(text_or_empty("text"))
+    entries = ws.stage(docs.select("doc_id", digest(text).alias("digest"), F.monotonically_increasing_id().alias("row")), "entries")
     index = DigestIndex(ws)
-    run = index.flush(docs.select("doc_id", digest(text).alias("digest")))
-    level = index.compact()
+    for k in range(RUNS):
+        index.flush(entries.where(F.col("row") % RUNS == k).select("doc_id", "digest", "row"))
+    several = ws.stage(index.compact().where("size > 1"), "several")
+    absent, perhaps = split(entries, F.col("digest"), several, "digest")
+    alone = absent.select("doc_id", "digest", "row", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    joined = perhaps.join(several, "digest", "left")
+    mine = F.col("size").isNull()
     found = ws.stage(
-        run.join(level, "digest").select(
-            "doc_id", "digest", "row", F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("first.row") == F.col("row")).alias("kept")
-        ),
+        alone.unionByName(joined.select(
+            "doc_id", "digest", "row", F.when(mine, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+            (mine | (F.col("first.row") == F.col("row"))).alias("kept"),
+        )),
         "found",
     )
-    hits = found.where("group_size > 1")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
-    bucket, inside = may_contain("key")
-    suspects = docs.select("doc_id", "text", key).join(F.broadcast(bitmap_filter(hits.select(key), "key")), (bucket == F.col("filter_bucket")) & inside)
+    ws.drop("entries", "several", *(f"run-{k}" for k in range(1, index.n + 1)))
+    hits = ws.stage(found.where("group_size > 1").select(text_key("doc_id").alias("key")).distinct(), "hits")
+    _, suspects = split(docs.select("doc_id", "text"), text_key("doc_id"), hits, "key")
     again = suspects.select("doc_id", digest(text).alias("digest"), text.alias("norm"))
     unequal = ws.stage(again.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("digest"), "unequal")
     if unequal.isEmpty():
@@ -106,24 +175,20 @@ def _classes(docs: DataFrame, ws: Workspace, digest=sha256) -> DataFrame:
     )
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     groups = ws.stage(texts.groupBy("digest", "norm").agg(F.min(order).alias("first"), F.count("*").alias("group_size")), "shared-groups")
-    split = texts.join(groups, ["digest", "norm"]).select("doc_id", "digest", "row", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("first.row") == F.col("row")).alias("kept"))
-    return found.join(unequal, "digest", "left_anti").select(*split.columns).unionByName(split)
+    told = texts.join(groups, ["digest", "norm"]).select("doc_id", "digest", "row", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("first.row") == F.col("row")).alias("kept"))
+    return found.join(unequal, "digest", "left_anti").select(*told.columns).unionByName(told)
 
 
 def without(rows: DataFrame, dropped: DataFrame, key: str, drop_key: str, gone: Column) -> DataFrame:
     """rows that no row of dropped matches under gone, which equates key and drop_key.
 
-    A fixed-size filter of the dropped keys lets all other rows through where they are, with their texts; only what it
-    holds is joined. An outer join, as an anti join would be pushed below the filter and shuffle all rows."""
-    names = {c: fresh(rows, c) for c in ("filter_bucket", "filter_bits", "filter_key", "none")}
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    bits = bitmap_filter(dropped.select(text(drop_key).alias("key")), "key").select(F.col("filter_bucket").alias(names["filter_bucket"]), F.col("filter_bits").alias(names["filter_bits"]))
-    bucket, inside = may_contain(names["filter_key"], bits=FILTER_BITS, column=names["filter_bits"])
-    marked = rows.withColumn(names["filter_key"], text(key)).join(F.broadcast(bits), (bucket == F.col(names["filter_bucket"])) & inside, "left")
-    out = [F.col(c) for c in rows.columns]
-    alone = marked.where(F.col(names["filter_bits"]).isNull()).select(*out)
-    held = marked.where(F.col(names["filter_bits"]).isNotNull()).join(dropped.withColumn(names["none"], F.lit(1)), gone, "left")
-    return alone.unionByName(held.where(F.col(names["none"]).isNull()).select(*out))
+    A filter of the dropped keys lets all other rows through where they are, with their texts; only what it
+    holds is joined. An outer join, as an anti join would be pushed below the filter and shuffle all rows. dropped
+    should be a written table."""
+    none = fresh(rows, "none")
+    alone, held = split(rows, text_key(key), dropped.select(text_key(drop_key).alias("key")), "key")
+    held = held.join(dropped.withColumn(none, F.lit(1)), gone, "left")
+    return alone.unionByName(held.where(F.col(none).isNull()).select(*rows.columns))
 
 
 def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
@@ -131,7 +196,7 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
 
     Texts are equal when they are after each run of white space is made one space; null counts as empty. Of
     equal texts the row with the smallest doc_id stays (null identifiers last; of rows with equal doc_id and
-    text one stays). Other columns pass through whatever their names. No documents give no rows."""
+    text one stays). Very long texts are hashed and compared whole, where they are. Other columns pass through whatever their names. No documents give no rows."""
     ws = Workspace(docs.sparkSession, "dedup")
     classes = _classes(docs, ws, digest)
     text = normalised(text_or_empty("text"))

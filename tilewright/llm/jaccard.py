@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .blobs import expand, pack_array, pack_sorted, squeeze, unpack_array, unpack_sorted
 from .components import connected_components
-from .exact_dedup import bitmap_filter, may_contain, without
+from .exact_dedup import split, without
 from .shared import Workspace, arrow_rows, fresh, load
 
 #: Bytes of words that travel together, and bytes of words for each shard of the columns.
@@ -413,13 +413,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, percent
 def _first_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows (row, digest, words) that stand for their class.
 
-    A fixed-size filter of the classes of several rows lets the rows of all others through where they are; only
+    A filter of the classes of several rows lets the rows of all others through where they are; only
     what it holds is joined with the classes."""
-    bucket, inside = may_contain("digest")
-    several = classes.where("size > 1").select("digest", "rep")
-    marked = rows.join(F.broadcast(bitmap_filter(several, "digest")), (bucket == F.col("filter_bucket")) & inside, "left")
-    alone = marked.where("filter_bits is null").select(*rows.columns)
-    other = marked.where("filter_bits is not null").select(*rows.columns)
+    alone, other = split(rows, F.col("digest"), classes.where("size > 1"), "digest")
     # an inner join, as a semi join would be pushed below the filter and shuffle all rows; there is one row for each rep
     return alone.unionByName(other.join(classes.select(F.col("rep").alias("row")), "row").select(*rows.columns))
 
