@@ -151,6 +151,23 @@ def test_lines(spark, make_docs):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == want
 
 
+def test_line_keys_have_128_bits(spark):
+    """The second hash does not follow from the first, as it does where the constant comes last."""
+    rows = spark.range(200).select(F.concat(F.lit("line "), "id").alias("text"))
+    keys = rows.select(*line_dedup._line_key(F.col("text")), *line_dedup._text_key(), F.xxhash64("text", F.lit(1)).alias("chained")).collect()
+    assert all(r.h2 != r.chained and (r.h1, r.h2) == (r.k1, r.k2) for r in keys)
+    assert len({r.h2 for r in keys}) == 200
+
+
+def test_a_text_of_many_lines(spark, make_docs):
+    """60,000 lines, half of them boilerplate."""
+    common = [f"common {i}" for i in range(30_000)]
+    long = "\n".join(x for i, c in enumerate(common) for x in (c, f"own {i}"))
+    docs = make_docs([(0, long, "en", "s0"), (1, "\n".join(common), "en", "s1"), (2, "none of them", "en", "s2")])
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, min_sites=2).collect()}
+    assert got == {0: "\n".join(f"own {i}" for i in range(30_000)), 1: "", 2: "none of them"}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "<p>é\r\n\r\nx</p>"), (2, "http://b\r\nX: y", "<p>é\r\n\r\nx</p>"), (3, None, None), (4, "u", ""), (None, "n", "z"), (5, "v", "z"), (6, "w", "WARC/1.1\r\n\r\n" * 9), (5, "v", "z"), (7, "long", "y" * 3_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("payload", F.lit(1))

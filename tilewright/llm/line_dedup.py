@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exact_dedup import split, text_key
 from .shared import SPACE, Workspace, fresh, load
 
 #: A line on so many distinct sites is boilerplate.
@@ -17,19 +18,27 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _hashes(value: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes with seeds of their own: in Spark's hash of several columns each one's hash is the seed of the next,
+    so the constant must come first, as after the value it would make the second a function of the first."""
+    return F.xxhash64(value), F.xxhash64(F.lit(1), value)
+
+
 def _line_key(line: Column) -> list[Column]:
     """128 bits of a line whose white space is made single spaces; null where it has no word."""
     norm = F.trim(F.regexp_replace(line, SPACE, " "))
-    return [F.when(norm != "", F.xxhash64(norm)).alias("h1"), F.when(norm != "", F.xxhash64(norm, F.lit(1))).alias("h2")]
+    return [F.when(norm != "", h).alias(name) for name, h in zip(("h1", "h2"), _hashes(norm), strict=True)]
 
 
 def _text_key() -> list[Column]:
-    return [F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")]
+    return [h.alias(name) for name, h in zip(("k1", "k2"), _hashes(F.col("text")), strict=True)]
 
 
 def line_table(docs: DataFrame, ws: Workspace, site: str) -> DataFrame:
     """(id, k1, k2, site, place, h1, h2): every line with a word, read once and written to the shared folder."""
-    each = docs.select(F.col("doc_id").alias("id"), *_text_key(), F.col(site).alias("site"), F.posexplode(_lines(F.col("text"))).alias("place", "line"))
+    # the texts' hashes in a step of their own: beside the generator they would be computed again for each line
+    keyed = docs.select(F.col("doc_id").alias("id"), *_text_key(), F.col(site).alias("site"), "text")
+    each = keyed.select("id", "k1", "k2", "site", F.posexplode(_lines(F.col("text"))).alias("place", "line"))
     return ws.stage(each.select("id", "k1", "k2", "site", "place", *_line_key(F.col("line"))).where("h1 is not null"), "lines")
 
 
@@ -53,21 +62,28 @@ def boilerplate(lines: DataFrame, ws: Workspace, min_sites: int = MIN_SITES) ->
 def _strip(docs: DataFrame, ws: Workspace, site: str, min_sites: int, names: dict[str, str]) -> DataFrame:
     """docs with two more columns: the lines, and the places of those that go.
 
-    The places come back by (doc_id, 128 bits of the text): rows equal in both lose the same lines."""
+    The places come back by (doc_id, 128 bits of the text): rows equal in both lose the same lines. Texts that lose
+    none stay where they are, by a filter of the identifiers of those that do; only these are shuffled."""
     lines = line_table(docs, ws, site)
     hit = lines.join(boilerplate(lines, ws, min_sites), ["h1", "h2"], "left_semi")
     places = ws.stage(
         hit.groupBy("id", "k1", "k2").agg(F.collect_set("place").alias("places")).select(*[F.col(c).alias(names[c]) for c in ("id", "k1", "k2", "places")]), "places"
     )
-    ws.drop("lines")
+    ws.drop("lines", "sketched", "boilerplate")
+    whole, touched = split(docs, text_key("doc_id"), places.select(text_key(names["id"]).alias("key")), "key")
     key = _text_key()
-    joined = docs.join(places, F.col("doc_id").eqNullSafe(F.col(names["id"])) & (key[0] == F.col(names["k1"])) & (key[1] == F.col(names["k2"])), "left")
-    return joined.withColumn(names["lines"], _lines(F.col("text")))
+    joined = touched.join(places, F.col("doc_id").eqNullSafe(F.col(names["id"])) & (key[0] == F.col(names["k1"])) & (key[1] == F.col(names["k2"])), "left")
+    whole = whole.withColumn(names["places"], F.lit(None).cast("array<int>"))
+    return joined.select(*whole.columns).unionByName(whole).withColumn(names["lines"], _lines(F.col("text")))
 
 
 def _kept(names: dict[str, str]) -> Column:
-    lines, places = F.col(names["lines"]), F.coalesce(F.col(names["places"]), F.array().cast("array<int>"))
-    return F.filter(lines, lambda _, i: ~F.array_contains(places, i))
+    """The lines that stay, in time that is linear in their number: places are taken from a set, lines by their place.
+
+    The lines are bound to a lambda's variable, as an expression inside a lambda would split the text again for each line."""
+    lines, places = F.col(names["lines"]), F.col(names["places"])
+    rest = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), places)
+    return F.when(places.isNull(), lines).otherwise(F.transform(F.array(lines), lambda own: F.transform(rest(own), lambda i: F.get(own, i)))[0])
 
 
 _OWN = ("id", "k1", "k2", "places", "lines")
@@ -76,7 +92,8 @@ _OWN = ("id", "k1", "k2", "places", "lines")
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """docs with boilerplate lines cut out of text; needs doc_id, text and the site's column.
 
-    A text all of whose lines go is left empty; null texts become empty. A null site counts for no line. Rows
+    A text all of whose lines go is left empty; null texts become empty; a very long text is cut whole, by one task, in time
+    linear in its lines. A line on exactly min_sites sites is boilerplate. A null site counts for no line. Rows
     that repeat are treated alike, other columns pass through whatever their names. No documents give no rows."""
     names = {c: fresh(docs, f"line_{c}") for c in _OWN}
     found = _strip(docs, Workspace(docs.sparkSession, "lines"), site, min_sites, names)
