@@ -265,16 +265,31 @@ PAIRS = "row long, first long, n int, first_n int, at int, first_at int"
 _PAIRS = [c.split()[0] for c in PAIRS.split(", ")]
 
 
-def _pair_columns(percent: int, i, j, row, comp, n, at, bits) -> list[np.ndarray] | None:
-    """PAIRS of the entries numbered i and j, the set of j no larger, that their sizes, places and parities allow."""
+def _linkable(percent: int, i, j, comp, n, at, bits) -> tuple[np.ndarray, np.ndarray]:
+    """Of the entries numbered i and j, the set of j no larger, those that components, sizes, places and parities allow to link."""
     use = comp[i] != comp[j]
     i, j = i[use], j[use]
     use = _may_link(percent, n[j], at[j], n[i], at[i])
     i, j = i[use], j[use]
     apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
     use = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
-    i, j = i[use], j[use]
-    return [row[i], row[j], n[i].astype(np.int32), n[j].astype(np.int32), at[i].astype(np.int32), at[j].astype(np.int32)] if len(i) else None
+    return i[use], j[use]
+
+
+def _spanning(i, j, label) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what all pairs (i, j) connect; label, the component of each entry, is brought up to date."""
+    picked: list[tuple[int, int]] = []
+    while len(i):
+        picked.append((i[0], j[0]))
+        label[label == label[i[0]]] = label[j[0]]
+        use = label[i] != label[j]
+        i, j = i[use], j[use]
+    return tuple(np.array(picked, np.int64).reshape(-1, 2).T)
+
+
+def _pair_batch(i, j, row, n, at) -> pa.RecordBatch:
+    columns = [row[i], row[j], n[i].astype(np.int32), n[j].astype(np.int32), at[i].astype(np.int32), at[j].astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns)], _PAIRS)
 
 
 def _columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -299,18 +314,19 @@ def _chain(percent: int):
             start = np.flatnonzero(new)[np.cumsum(new) - 1]
             i = np.flatnonzero(~new)
             i = i[i >= old]
-            found = _pair_columns(percent, np.r_[i, i], np.r_[i - 1, start[i]], *rest)
-            if found:
-                yield pa.RecordBatch.from_arrays([*map(pa.array, found)], _PAIRS)
+            row, comp, n, at, bits = rest
+            i, j = _linkable(percent, np.r_[i, i], np.r_[i - 1, start[i]], comp, n, at, bits)
+            yield _pair_batch(i, j, row, n, at)
             held = [x[[start[-1], len(col) - 1]] for x in mine]
 
     return read
 
 
-def _product(percent: int):
+def _product(percent: int, spanning: bool):
     """From entries (col, ta, tb, side, ...) sorted by tile (col, ta, tb) and (n, row): the pairs of a tile, a count of one for each.
 
-    A tile has at most about TILE rows of either side; one with ta = tb has both in one."""
+    A tile has at most about TILE rows of either side; one with ta = tb has both in one. spanning: of the pairs only those
+    that a tile needs to connect what they connect, fewer than its rows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -318,15 +334,18 @@ def _product(percent: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            _, *rest = (np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True))
+            _, row, comp, n, at, bits = (np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True))
             side = np.concatenate([h[1] for h in held])
             every = np.arange(len(side))
             step = max(1, _AT_ONCE // len(side))
             for k in range(0, len(side), step):
                 i, j = np.repeat(every[k : k + step], len(side)), np.tile(every, len(every[k : k + step]))
                 use = (j < i) if now[1] == now[2] else (j < i) & (side[i] != side[j])
-                if found := _pair_columns(percent, i[use], j[use], *rest):
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, found)], _PAIRS)
+                i, j = _linkable(percent, i[use], j[use], comp, n, at, bits)
+                if spanning:
+                    i, j = _spanning(i, j, comp)
+                if len(i):
+                    yield _pair_batch(i, j, row, n, at)
 
         for batch in batches:
             if not len(batch):
@@ -345,12 +364,12 @@ def _product(percent: int):
     return read
 
 
-def _left_over(shared: DataFrame, comps: DataFrame, tried: DataFrame, sets: DataFrame, ws: Workspace, percent: int, chain: bool) -> DataFrame | None:
+def _left_over(shared: DataFrame, comps: DataFrame, tried: DataFrame, sets: DataFrame, ws: Workspace, percent: int, turn: str) -> DataFrame | None:
     """Pairs (row, first) that share columns, lie in different components and have not been tried; None where there are none.
 
-    The product counts in how many columns a pair meets; with what may follow the last of them in the orders
+    The turns chain and spanning give only as many pairs as there are entries, to connect most of what can be connected
+    before all of the rest is given. That product counts in how many columns a pair meets; with what may follow the last of them in the orders
     of both sets that is an upper bound of their overlap, and pairs below the bound of their sizes are discarded."""
-    turn = "chain" if chain else "all"
     labelled = ws.stage(
         shared.select("col", "row", "n", "at").join(comps.select(F.col("node").alias("row"), "root"), "row", "left").select("col", "row", "n", "at", F.coalesce("root", "row").alias("comp")), f"{turn}-labelled"
     )
@@ -359,7 +378,7 @@ def _left_over(shared: DataFrame, comps: DataFrame, tried: DataFrame, sets: Data
     if mixed.isEmpty():
         return None
     rest = labelled.join(mixed, "col").join(sets.where("columns is not null").select("row", "parity"), "row")
-    if chain:
+    if turn == "chain":
         dealt = rest.select("col", "row", "comp", "n", "at", "parity").repartition("col").sortWithinPartitions("col", "n", "row")
     else:
         mine = F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int")
@@ -367,10 +386,10 @@ def _left_over(shared: DataFrame, comps: DataFrame, tried: DataFrame, sets: Data
         tiled = tiled.select("col", F.least("mine", "other").alias("ta"), F.greatest("mine", "other").alias("tb"), F.col("mine").alias("side"), "row", "comp", "n", "at", "parity")
         dealt = tiled.repartition("col", "ta", "tb").sortWithinPartitions("col", "ta", "tb", "n", "row")
     with arrow_rows(dealt.sparkSession, 5000):
-        pairs = dealt.mapInArrow((_chain if chain else _product)(percent), PAIRS)
+        pairs = dealt.mapInArrow(_chain(percent) if turn == "chain" else _product(percent, turn == "spanning"), PAIRS)
         met = pairs.groupBy("row", "first").agg(F.count("*").alias("met"), F.max(F.struct("at", "n")).alias("a"), F.max(F.struct("first_at", "first_n")).alias("b"))
         most = F.col("met") + F.least(F.col("a.n") - F.col("a.at"), F.col("b.first_n") - F.col("b.first_at")) - 1
-        enough = F.lit(True) if chain else (100 + percent) * most >= percent * (F.col("a.n") + F.col("b.first_n"))
+        enough = F.lit(True) if turn != "all" else (100 + percent) * most >= percent * (F.col("a.n") + F.col("b.first_n"))
         more = ws.stage(met.where(enough).select("row", "first").join(tried, ["row", "first"], "left_anti"), f"{turn}-cross")
     return None if more.isEmpty() else more
 
@@ -463,8 +482,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     links = _verify(tried, sets, ws, "links", percent)
     comps = connected_components(links.select(F.col("row").alias("a"), F.col("first").alias("b")), ws, "first-round")
 
-    for turn in ("chain", "all"):
-        more = _left_over(shared, comps, tried, sets, ws, percent, turn == "chain")
+    for turn in ("chain", "spanning", "all"):
+        more = _left_over(shared, comps, tried, sets, ws, percent, turn)
         if more is not None:
             links = links.unionByName(_verify(more, sets, ws, f"{turn}-links", percent))
             comps = connected_components(links.select(F.col("row").alias("a"), F.col("first").alias("b")), ws, f"{turn}-round")
