@@ -34,17 +34,17 @@ def test_fill_between(spark, plane, axes):
                 want[y + 1, x] = (v + b) // 2
             if dx and dy:
                 want[y + 1, x + 1] = (v + r + b + rb) // 4
-    assert {k: r.v for k, r in got(spark, f"op_r3_fill_between_{axes}_whole").items()} == want
+    assert {k: r.v for k, r in got(spark, f"op_r3_fill_between_{axes}").items()} == want
 
 
 def test_masked_alpha(spark, plane):
     want = {k: (v >> 2) << 2 | v >> 6 if v >= 100 else 0 for k, v in plane.items()}
-    assert {k: r.v for k, r in got(spark, "op_d4_masked_alpha_whole").items()} == want
+    assert {k: r.v for k, r in got(spark, "op_d4_masked_alpha").items()} == want
 
 
 def test_clamped_read(spark, plane):
     last = max(y for y, _ in plane)
-    rows = got(spark, "op_p8_clamped_read_whole")
+    rows = got(spark, "op_p8_clamped_read")
     assert min(rows) == (-5, -8) and max(rows)[0] > last and {x for _, x in rows} == set(range(-8, 72))
     for (y, x), r in rows.items():
         assert (r.v, r.outside) == (plane[min(last, max(0, y)), min(63, max(0, x))], (y, x) not in plane)
@@ -52,4 +52,4 @@ def test_clamped_read(spark, plane):
 
 def test_aligned_boxes(spark, plane):
     want = {(y, x): v if plane[y + 4, x + 8] >= 120 else 0 for (y, x), v in plane.items() if (y + 4, x + 8) in plane}
-    assert {k: r.v for k, r in got(spark, "op_j9_aligned_boxes_whole").items()} == want
+    assert {k: r.v for k, r in got(spark, "op_j9_aligned_boxes").items()} == want

@@ -105,21 +105,9 @@ def _(spark, sf):
     return bits.mip_mask(tiles).select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "m")
 
 
-@query("op_d4_masked_alpha", duck("emb", """,
-k AS (SELECT *, v >= 100 AS used FROM emb WHERE y < 64), o AS (SELECT y, x, row_number() OVER (ORDER BY y, x) - 1 AS pos, v >> 2 AS s FROM k WHERE used)
-SELECT k.y, k.x, coalesce((s << 2) | (s >> 4), 0)::INT AS v FROM k LEFT JOIN o USING (y, x)"""))
+@query("op_d4_masked_alpha", duck("emb", "\nSELECT y, x, (CASE WHEN v >= 100 THEN ((v >> 2) << 2) | (v >> 6) ELSE 0 END)::INT AS v FROM emb"))
 def _(spark, sf):
-    plane = embedding_plane(spark, sf).where("y < 64")
-    ordered = windows.ordinals(plane, F.col("v") >= 100, 64, 64).select("y", "x", F.col("ord").alias("pos"))
-    stream = bits.to_binary(bits.pack(ordered.join(plane, ["y", "x"]).select(F.lit(0).alias("s"), "pos", shr("v", 2).alias("v")), ["s"], 6), ["s"])
-    got = bits.unpack(stream, ["s"], 6).select("pos", bits.expand6("v").cast("int").alias("a"))
-    placed = ordered.join(got, "pos").select("y", "x", "a")
-    return plane.select("y", "x").join(placed, ["y", "x"], "left").select("y", "x", F.coalesce("a", F.lit(0)).alias("v"))
-
-
-@query("op_d4_masked_alpha_whole", None)
-def _(spark, sf):
-    """The whole plane, an alpha stream for each 64 rows; op_d4_masked_alpha has the first, as its SQL."""
+    """An alpha stream for each 64 rows of the plane."""
     plane = embedding_plane(spark, sf)
     ordered = windows.ordinals(plane, F.col("v") >= 100, 64, 64).select(F.col("ty").alias("s"), "y", "x", F.col("ord").alias("pos"))
     stream = bits.to_binary(bits.pack(ordered.join(plane, ["y", "x"]).select("s", "pos", shr("v", 2).alias("v")), ["s"], 6), ["s"])
@@ -128,11 +116,14 @@ def _(spark, sf):
     return plane.select("y", "x").join(placed, ["y", "x"], "left").select("y", "x", F.coalesce("a", F.lit(0)).alias("v"))
 
 
-@query("op_d5_alpha_box", duck("emb", "\nSELECT y, x, CASE WHEN x BETWEEN 8 AND 47 AND y BETWEEN 12 AND 51 THEN v ELSE 0 END AS v FROM emb WHERE y < 64"))
+@query("op_d5_alpha_box", duck("emb", "\nSELECT y, x, CASE WHEN x BETWEEN 8 AND 47 AND y BETWEEN 12 AND (SELECT max(y) - 12 FROM emb) THEN v ELSE 0 END AS v FROM emb"))
 def _(spark, sf):
+    """A box 40 wide that leaves out 12 rows at either end of the plane."""
     plane = embedding_plane(spark, sf)
-    inside = plane.where(masks.inside(8, 12, 40, 40)).select(((F.col("y") - 12) * 40 + F.col("x") - 8).alias("pos"), "v")
-    return bits.alpha_plane(inside, (8, 12, 40, 40), grid(spark, 64, 64))
+    height = (plane.agg(F.max("y")).first()[0] or -1) + 1
+    box = (8, 12, 40, max(0, height - 24))
+    inside = plane.where(masks.inside(*box)).select(((F.col("y") - 12) * 40 + F.col("x") - 8).alias("pos"), "v")
+    return bits.alpha_plane(inside, box, grid(spark, height, 64))
 
 
 _BITMAP = ",\np AS (SELECT DISTINCT y // 8 AS ty, x // 8 AS tx FROM emb WHERE v >= 160),\nq AS (SELECT (ty // 8 * 64 + ty % 8 * 8 + tx) AS pos FROM p),\nm AS (SELECT (pos >> 3)::INT AS byte, sum(1 << (pos % 8))::INT AS v FROM q GROUP BY 1)"
@@ -157,14 +148,13 @@ def _(spark, sf):
 
 
 def _streams(spark, sf):
-    """Eight colour streams of 192 colours of 6 bits, each a band of the mixed image."""
-    image = mixed_image(spark, sf).where("y < 64 and x >= 20 and x < 44")
-    n = (F.col("y") % 8) * 24 + F.col("x") - 20
-    return image.select(idiv("y", 8).cast("int").alias("stream"), n.cast("int").alias("n"), *[shr(k, 2).alias(k) for k in "rgb"])
+    """A colour stream of 6 bits for each band of 8 rows of the mixed image, all columns."""
+    n = (F.col("y") % 8) * WIDTH + F.col("x")
+    return mixed_image(spark, sf).select(idiv("y", 8).cast("int").alias("stream"), n.cast("int").alias("n"), *[shr(k, 2).alias(k) for k in "rgb"])
 
 
 _STREAMS = """,
-s AS MATERIALIZED (SELECT y // 8 AS stream, y % 8 * 24 + x - 20 AS n, r >> 2 AS r, g >> 2 AS g, b >> 2 AS b FROM mix WHERE y < 64 AND x >= 20 AND x < 44),
+s AS MATERIALIZED (SELECT y // 8 AS stream, y % 8 * 64 + x AS n, r >> 2 AS r, g >> 2 AS g, b >> 2 AS b FROM mix),
 d AS (SELECT a.stream, a.n, p.n AS prev, (a.r - p.r) ** 2 + (a.g - p.g) ** 2 + (a.b - p.b) ** 2 AS dist, (a.r - p.r) & 255 AS dr, (a.g - p.g) & 255 AS dg, (a.b - p.b) & 255 AS db
       FROM s a JOIN s p ON p.stream = a.stream AND p.n BETWEEN a.n - 64 AND a.n - 1),
 nd AS MATERIALIZED (SELECT stream, n, dr, dg, db FROM d QUALIFY row_number() OVER (PARTITION BY stream, n ORDER BY dist, prev) = 1),
@@ -215,43 +205,6 @@ def _(spark, sf):
     return palette.decode(palette.encode(streams).join(sizes, "stream"))
 
 
-# The same over the whole image: the SQL above fixes the rows of the queries it checks, so these have names of their own.
-
-
-def _band_streams(spark, sf):
-    """A colour stream of 6 bits for each band of 8 rows of the mixed image, all columns."""
-    n = (F.col("y") % 8) * WIDTH + F.col("x")
-    return mixed_image(spark, sf).select(idiv("y", 8).cast("int").alias("stream"), n.cast("int").alias("n"), *[shr(k, 2).alias(k) for k in "rgb"])
-
-
-@query("op_a9_code_book_whole", None)
-def _(spark, sf):
-    return palette.code_book(palette.nearest_deltas(_band_streams(spark, sf)))
-
-
-@query("op_j7_nearest_deltas_whole", None)
-def _(spark, sf):
-    return palette.nearest_deltas(_band_streams(spark, sf))
-
-
-@query("op_z3_palette_codes_whole", None)
-def _(spark, sf):
-    streams = gradient.checkpointed(_band_streams(spark, sf))
-    return palette.codes(streams, gradient.checkpointed(palette.code_book(palette.nearest_deltas(streams))))
-
-
-@query("op_z3_palette_encode_whole", None)
-def _(spark, sf):
-    return palette.encode(gradient.checkpointed(_band_streams(spark, sf))).select("stream", F.hex("data").alias("hex"))
-
-
-@query("op_z4_palette_decode_whole", None)
-def _(spark, sf):
-    streams = gradient.checkpointed(_band_streams(spark, sf))
-    sizes = streams.groupBy("stream").agg(F.count("*").alias("colors"))
-    return palette.decode(palette.encode(streams).join(sizes, "stream"))
-
-
 @query("op_t5_frequent_colors", duck("evt mix", "\nSELECT (r << 16) | (g << 8) | b AS color, count(*) AS cnt FROM mix GROUP BY 1 ORDER BY cnt DESC, color LIMIT 10"))
 def _(spark, sf):
     return stats.color_histogram(mixed_image(spark, sf)).orderBy(F.desc("cnt"), "color").limit(10)
@@ -269,18 +222,19 @@ def _(spark, sf):
 
 
 def _chunk_rows(spark, sf):
-    """Three files of chunks: the rows of the embedding plane, a band of 16 rows to a chunk."""
-    values = embedding_plane(spark, sf).where("y < 240").select(idiv("y", 16).cast("int").alias("k"), ((F.col("y") % 16) * 64 + F.col("x")).alias("byte"), "v").where("byte < 1000 - k")
+    """The whole embedding plane: a chunk for each band of 16 rows, a file for each five, the last ones as long as they are."""
+    values = embedding_plane(spark, sf).select(idiv("y", 16).cast("int").alias("k"), ((F.col("y") % 16) * WIDTH + F.col("x")).alias("byte"), "v")
     tags = F.array(*map(F.lit, (container.MIP, container.ALPHA, container.GRADIENT, container.TABLE, container.RANGE)))
-    made = bits.to_binary(values, ["k"])
-    name = F.concat(F.lit("image-"), idiv("k", 5).cast("string"))
-    return made.select(name.alias("name"), F.lit(64).alias("width"), F.lit(240).alias("height"), F.lit(False).alias("alpha"), (F.col("k") % 5).alias("seq"), F.element_at(tags, F.col("k") % 5 + 1).alias("tag"), F.col("data").alias("payload"))
+    made = bits.to_binary(values, ["k"]).withColumn("file", idiv("k", 5))
+    height = F.sum(idiv(F.length("data"), WIDTH)).over(Window.partitionBy("file")).cast("int")
+    name = F.concat(F.lit("image-"), F.col("file").cast("string"))
+    return made.select(name.alias("name"), F.lit(WIDTH).alias("width"), height.alias("height"), F.lit(False).alias("alpha"), (F.col("k") % 5).alias("seq"), F.element_at(tags, F.col("k") % 5 + 1).alias("tag"), F.col("data").alias("payload"))
 
 
 _CHUNK = """,
-c AS (SELECT y // 16 AS k, (y % 16) * 64 + x AS byte, v FROM emb WHERE y < 240 AND (y % 16) * 64 + x < 1000 - y // 16),
+c AS (SELECT y // 16 AS k, (y % 16) * 64 + x AS byte, v FROM emb),
 h AS (SELECT k, string_agg(printf('%02X', v), '' ORDER BY byte) AS hex, count(*) AS n FROM c GROUP BY k)
-SELECT 'image-' || (k // 5) AS name, (k % 5)::INT AS seq, ['MIPM', 'ALPM', 'GTIL', '3DTL', '1DTL'][k % 5 + 1] AS tag, (n + 3) // 4 * 4 AS length"""
+SELECT 'image-' || (k // 5) AS name, (sum(n // 64) OVER (PARTITION BY k // 5))::INT AS height, (k % 5)::INT AS seq, ['MIPM', 'ALPM', 'GTIL', '3DTL', '1DTL'][k % 5 + 1] AS tag, (n + 3) // 4 * 4 AS length"""
 
 
 @query("op_io6_io7_container_round_trip", duck("emb", _CHUNK + ", hex || repeat('00', ((n + 3) // 4 * 4 - n)::INT) AS hex FROM h"))
@@ -288,7 +242,7 @@ def _(spark, sf):
     where = scratch(spark)
     container.write_containers(_chunk_rows(spark, sf), where)
     got = container.read_containers(spark, where)
-    return got.select(F.regexp_extract("path", r"(image-\d+)\.tile", 1).alias("name"), "seq", "tag", "length", F.hex("payload").alias("hex"))
+    return got.select(F.regexp_extract("path", r"(image-\d+)\.tile", 1).alias("name"), "height", "seq", "tag", "length", F.hex("payload").alias("hex"))
 
 
 @query("op_io7_chunk_listing", duck("emb", _CHUNK + " FROM h"))
@@ -296,32 +250,6 @@ def _(spark, sf):
     where = scratch(spark)
     container.write_containers(_chunk_rows(spark, sf), where)
     got = container.read_containers(spark, where, payloads=False)
-    return got.select(F.regexp_extract("path", r"(image-\d+)\.tile", 1).alias("name"), "seq", "tag", "length")
-
-
-def _chunk_rows_whole(spark, sf):
-    """The whole embedding plane: a chunk for each band of 16 rows, a file for each five, the last ones as long as they are."""
-    values = embedding_plane(spark, sf).select(idiv("y", 16).cast("int").alias("k"), ((F.col("y") % 16) * WIDTH + F.col("x")).alias("byte"), "v")
-    tags = F.array(*map(F.lit, (container.MIP, container.ALPHA, container.GRADIENT, container.TABLE, container.RANGE)))
-    made = bits.to_binary(values, ["k"]).withColumn("file", idiv("k", 5))
-    height = F.sum(idiv(F.length("data"), WIDTH)).over(Window.partitionBy("file")).cast("int")
-    name = F.concat(F.lit("image-"), F.col("file").cast("string"))
-    return made.select(name.alias("name"), F.lit(WIDTH).alias("width"), height.alias("height"), F.lit(False).alias("alpha"), (F.col("k") % 5).alias("seq"), F.element_at(tags, F.col("k") % 5 + 1).alias("tag"), F.col("data").alias("payload"))
-
-
-@query("op_io6_io7_container_round_trip_whole", None)
-def _(spark, sf):
-    where = scratch(spark)
-    container.write_containers(_chunk_rows_whole(spark, sf), where)
-    got = container.read_containers(spark, where)
-    return got.select(F.regexp_extract("path", r"(image-\d+)\.tile", 1).alias("name"), "height", "seq", "tag", "length", F.hex("payload").alias("hex"))
-
-
-@query("op_io7_chunk_listing_whole", None)
-def _(spark, sf):
-    where = scratch(spark)
-    container.write_containers(_chunk_rows_whole(spark, sf), where)
-    got = container.read_containers(spark, where, payloads=False)
     return got.select(F.regexp_extract("path", r"(image-\d+)\.tile", 1).alias("name"), "height", "seq", "tag", "length")
 
 

@@ -57,16 +57,11 @@ def _(spark, sf):
 
 
 @query("op_p8_clamped_read", duck("emb", """,
-w AS (SELECT ((i // 80) * 7 - 5)::INT AS y, (i % 80 - 8)::INT AS x FROM range(4000) t(i))
-SELECT w.y, w.x, v, NOT (w.y BETWEEN 0 AND 255 AND w.x BETWEEN 0 AND 63) AS outside FROM w JOIN emb e ON e.y = greatest(0, least(255, w.y)) AND e.x = greatest(0, least(63, w.x))"""))
+h AS (SELECT max(y) + 1 AS rows FROM emb),
+w AS (SELECT ((i // 80) * 7 - 5)::INT AS y, (i % 80 - 8)::INT AS x, rows FROM (SELECT unnest(range(80 * (rows // 7 + 3))) AS i, rows FROM h))
+SELECT w.y, w.x, v, NOT (w.y BETWEEN 0 AND rows - 1 AND w.x BETWEEN 0 AND 63) AS outside FROM w JOIN emb e ON e.y = greatest(0, least(rows - 1, w.y)) AND e.x = greatest(0, least(63, w.x))"""))
 def _(spark, sf):
-    wanted = spark.range(4000).select((idiv("id", 80) * 7 - 5).cast("int").alias("y"), (F.col("id") % 80 - 8).cast("int").alias("x"))
-    return masks.clamped_read(embedding_plane(spark, sf).where("y < 256"), wanted, 64, 256)
-
-
-@query("op_p8_clamped_read_whole", None)
-def _(spark, sf):
-    """Every seventh line from above the whole plane to below it; op_p8_clamped_read has a plane of 256 rows, as its SQL."""
+    """Every seventh line from above the whole plane to below it."""
     plane = embedding_plane(spark, sf)
     height = plane.agg((F.max("y") + 1).alias("rows")).first().rows or 0
     wanted = spark.range(80 * (height // 7 + 3)).select((idiv("id", 80) * 7 - 5).cast("int").alias("y"), (F.col("id") % 80 - 8).cast("int").alias("x"))
@@ -331,37 +326,23 @@ def _between_query(axes: str):
     dx, dy = "x" in axes, "y" in axes
 
     def run(spark, sf):
-        plane = embedding_plane(spark, sf).where("y < 64")
-        return resample.fill_between(plane, "v", F.col("v") >= 140, dx, dy)
+        return resample.fill_between(embedding_plane(spark, sf), "v", F.col("v") >= 140, dx, dy)
 
     sx, sy = 1 + dx, 1 + dy
-    read = lambda j, i: f"(SELECT v FROM k q WHERE q.y = least(63, e.y + {j}) AND q.x = least(63, e.x + {i}))"
+    read = lambda j, i: f"(SELECT v FROM emb q WHERE q.y = least(last, e.y + {j}) AND q.x = least(63, e.x + {i}))"
     spots = [(0, 1, f"(v + {read(0, sx)}) // 2")] * dx + [(1, 0, f"(v + {read(sy, 0)}) // 2")] * dy + [(1, 1, f"(v + {read(0, sx)} + {read(sy, 0)} + {read(sy, sx)}) // 4")] * (dx and dy)
     made = " UNION ALL ".join(f"SELECT y + {j} AS y, x + {i} AS x, ({v})::INT AS new FROM e" for j, i, v in spots)
     name = f"op_r3_fill_between_{axes}"
     QUERIES[name] = run
     ORACLES[name] = duck("emb", f""",
-k AS MATERIALIZED (FROM emb WHERE y < 64), e AS (FROM k WHERE x % {sx} = 0 AND y % {sy} = 0 AND v < 140), f AS ({made})
-SELECT k.y, k.x, coalesce(new, v) AS v FROM k LEFT JOIN f ON f.y = k.y AND f.x = k.x""")
+e AS (SELECT *, (SELECT max(y) FROM emb) AS last FROM emb WHERE x % {sx} = 0 AND y % {sy} = 0 AND v < 140), f AS ({made})
+SELECT k.y, k.x, coalesce(new, v) AS v FROM emb k LEFT JOIN f ON f.y = k.y AND f.x = k.x""")
 
 
 for _axes in ("xy", "x", "y"):
     _between_query(_axes)
 
 
-def _between_whole(axes: str):
-    """Over the whole plane; the queries above have its first 64 rows, as their SQL."""
-
-    def run(spark, sf):
-        return resample.fill_between(embedding_plane(spark, sf), "v", F.col("v") >= 140, "x" in axes, "y" in axes)
-
-    QUERIES[f"op_r3_fill_between_{axes}_whole"] = run
-
-
-for _axes in ("xy", "x", "y"):
-    _between_whole(_axes)
-
-
 @query("op_e13_single_colors", duck("evt mix", """,
 f AS (SELECT y, x, CASE WHEN x < 48 THEN (r >> 5) * 131072 + (g >> 5) * 512 + 7 ELSE (r << 16) | (g << 8) | b END AS color FROM mix),
 l AS (SELECT *, lag(color) OVER (PARTITION BY y ORDER BY x) AS before FROM f),
@@ -391,16 +372,9 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("op_j9_aligned_boxes", duck("emb", "\nSELECT a.y, a.x, CASE WHEN m.v >= 120 THEN a.v ELSE 0 END AS v FROM emb a JOIN emb m ON m.y = a.y + 4 AND m.x = a.x + 8 WHERE a.y < 32 AND a.x < 40"))
-def _(spark, sf):
-    plane = embedding_plane(spark, sf)
-    mask = plane.select((F.col("y") - 4).alias("y"), (F.col("x") - 8).alias("x"), (F.col("v") >= 120).alias("m"))
-    return plane.where("y < 32 and x < 40").join(mask, ["y", "x"]).select("y", "x", F.when(F.col("m"), F.col("v")).otherwise(0).alias("v"))
-
-
-@query("op_j9_aligned_boxes_whole", None)
+@query("op_j9_aligned_boxes", duck("emb", "\nSELECT a.y, a.x, CASE WHEN m.v >= 120 THEN a.v ELSE 0 END AS v FROM emb a JOIN (SELECT y - 4 AS y, x - 8 AS x, v FROM emb) m USING (y, x)"))
 def _(spark, sf):
-    """All pixels that have one 4 below and 8 to the right; op_j9_aligned_boxes has 32 x 40 of them, as its SQL."""
+    """All pixels that have one 4 below and 8 to the right."""
     plane = embedding_plane(spark, sf)
     mask = plane.select((F.col("y") - 4).alias("y"), (F.col("x") - 8).alias("x"), (F.col("v") >= 120).alias("m"))
     return plane.join(mask, ["y", "x"]).select("y", "x", F.when(F.col("m"), F.col("v")).otherwise(0).alias("v"))

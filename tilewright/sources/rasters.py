@@ -91,13 +91,13 @@ def lut_bank(spark: SparkSession, points: int = 64) -> DataFrame:
 
 #: The same views in DuckDB.
 DUCK = {
-    "emb": """emb AS (SELECT vec_id::INT AS y, (i - 1)::INT AS x,
+    "emb": """emb AS MATERIALIZED (SELECT vec_id::INT AS y, (i - 1)::INT AS x,
   least(255, greatest(0, floor((embedding[i]::DOUBLE + 0.5) * 255.0)::INT))::INT AS v
   FROM embeddings, range(1, 65) t(i) WHERE vec_id < (SELECT count(*) // 8 * 8 FROM embeddings))""",
-    "evt": """evt AS (SELECT (event_id // 64)::INT AS y, (event_id % 64)::INT AS x, (floor(value)::BIGINT % 256)::INT AS r,
+    "evt": """evt AS MATERIALIZED (SELECT (event_id // 64)::INT AS y, (event_id % 64)::INT AS x, (floor(value)::BIGINT % 256)::INT AS r,
   (user_id % 256)::INT AS g, (event_id * 37 % 256)::INT AS b
   FROM events WHERE event_id < (SELECT count(*) // 64 // 8 * 8 * 64 FROM events))""",
-    "mix": """mix AS (SELECT y, x, CASE WHEN x < 32 THEN 40 + x + y % 64 ELSE r END AS r,
+    "mix": """mix AS MATERIALIZED (SELECT y, x, CASE WHEN x < 32 THEN 40 + x + y % 64 ELSE r END AS r,
   CASE WHEN x < 32 THEN 200 - x - y % 32 ELSE g END AS g, CASE WHEN x < 32 THEN 90 ELSE b END AS b FROM evt)""",
     "over": """over_ AS (SELECT y, x, CASE WHEN x BETWEEN 9 AND 15 AND y BETWEEN 1 AND 7 THEN (7 * x + 3 * y) % 2 * 255 ELSE 40 + 2 * x + y END AS v
   FROM (SELECT (i // 32)::INT AS y, (i % 32)::INT AS x FROM range(1024) t(i)))""",
