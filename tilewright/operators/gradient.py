@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.functions.scalar import bitmap_position, by, c, idiv, round6, round6_plus
+from tilewright.sources.shared import shared_folder
 
 #: The order of tile sizes, width and height.
 SIZES = ((16, 16), (16, 8), (8, 16), (8, 8), (8, 4), (4, 8), (4, 4))
@@ -20,9 +21,7 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder, a temporary one where none is set."""
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import by, c, clamp, idiv
+from tilewright.sources.shared import shared_folder
 
 OPERATORS = {
     "EQ": lambda a, b: a == b,
@@ -79,29 +80,26 @@ def fork(mask_: DataFrame, planes: int = 3) -> DataFrame:
     return mask_.withColumn("plane", F.explode(F.array(*map(F.lit, range(planes)))))
 
 
-def labels(pixels: DataFrame, steps: int = 64) -> DataFrame:
+def labels(pixels: DataFrame) -> DataFrame:
     """(y, x, label) of the set pixels of mask m: the least linear key of the 4-connected component.
 
     Each round takes the least label of the neighbours and then the label of that label; rounds end when
     nothing changes, and are checkpointed to the shared folder."""
     spark = pixels.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     key = lambda y, x: (F.col(y).cast("long") * (1 << 31) + F.col(x)).alias("key")
     nodes = pixels.where("m <> 0").select("y", "x", key("y", "x"))
     around = F.explode(F.array(*[F.col("key") + d for d in (1 << 31, -(1 << 31), 1, -1)]))
     edges = nodes.select("key", around.alias("other")).join(nodes.select(F.col("key").alias("other")), "other", "left_semi").checkpoint()
     now = nodes.select("key", F.col("key").alias("label")).checkpoint()
-    for _ in range(steps):
+    while True:
         near = edges.join(now.select(F.col("key").alias("other"), "label"), "other").groupBy("key").agg(F.min("label").alias("near"))
         least = now.join(near, "key", "left").select("key", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         jumped = least.join(least.select(F.col("key").alias("new"), F.col("new").alias("far")), "new").select("key", "label", F.least("new", "far").alias("new")).checkpoint()
         now = jumped.select("key", F.col("new").alias("label"))
         if jumped.where("new <> label").isEmpty():
-            break
-    return nodes.join(now, "key").select("y", "x", "label")
+            return nodes.join(now, "key").select("y", "x", "label")
 
 
 def erode(pixels: DataFrame, keys: list[str], least: int = 50) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from tilewright.functions.scalar import bitmap_position, idiv, shr
 from tilewright.operators import bits, gradient, masks, palette, stats, windows
 from tilewright.sources import container
 from tilewright.sources.rasters import WIDTH, duck, embedding_plane, event_image, grid, mixed_image
+from tilewright.sources.shared import shared_folder
 from tilewright.streaming import chunks as chunk_order
 
 QUERIES: dict = {}
@@ -31,8 +31,7 @@ def query(name: str, sql: str | None):
 
 def scratch(spark) -> str:
     """A folder of its own in the shared folder, a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/tiles-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex[:12]}"
 
 
 # ---- bits
