@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tilewright.functions.scalar import by, c, idiv, morton3, shl, shr, swap_axes
+from tilewright.functions.scalar import AXIS_ORDERS, by, c, idiv, morton3, shl, shr, swap_axes
 
 from . import stats
 
@@ -19,6 +19,8 @@ SIDE, FACTOR = 64, 128
 SIZES = ((16, 8), (8, 16), (8, 8), (8, 4), (4, 8), (4, 4))
 #: A depth is left when more than WRONG pixels are further than FAR from their colour.
 FAR, WRONG = 5, 3
+#: Tables in a bank, which goes along with functions; tiles and colours that a worker looks at together.
+MOST_TABLES, _TILES, _COLORS = 64, 512, 1 << 16
 #: The axis order that scoring has in effect in each of the 48 modes.
 SCORED_ORDER = (
     "xyz xyz xyz xyz xyz xyz xyz xyz "
@@ -37,23 +39,45 @@ def factors(bank: DataFrame) -> DataFrame:
     return bank.select("lut_id", "idx", *scaled, depths.alias("d")).where(c("idx") % F.col("d.step") == 0).select("lut_id", F.col("d.depth").alias("depth"), idiv("idx", F.col("d.step")).cast("int").alias("idx"), "fx", "fy", "fz")
 
 
+def tables_of(bank: DataFrame) -> dict[int, np.ndarray]:
+    """The points of each table as rows (idx, x, y, z) in the order of idx. ValueError beyond MOST_TABLES tables of SIDE points."""
+    rows = bank.select("lut_id", "idx", "x", "y", "z").limit(MOST_TABLES * SIDE + 1).collect()
+    if len(rows) > MOST_TABLES * SIDE:
+        raise ValueError(f"a bank has at most {MOST_TABLES} tables of {SIDE} points")
+    tables: dict[int, list[tuple]] = {}
+    for r in sorted(rows):
+        tables.setdefault(r.lut_id, []).append((r.idx, r.x, r.y, r.z))
+    return {lut_id: np.array(points, np.int64) for lut_id, points in tables.items()}
+
+
+def _nearest(points: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """For places (n, 3) the row of the nearest of every step-th point, of equals the first."""
+    kept = np.flatnonzero(points[:, 0] % step == 0)
+    return kept[sum((at[:, k, None] - points[None, kept, k + 1]) ** 2 for k in range(3)).argmin(axis=1)]
+
+
+def _field(points: np.ndarray) -> np.ndarray:
+    """The squared distance from each cell of the cube, its index being that of x, y and z in base SIDE, to the nearest of every 8th point."""
+    kept = points[points[:, 0] % 8 == 0, 1:]
+    if not len(kept):
+        raise ValueError("a table has no point that stays with 3 bits")
+    square = [(np.arange(SIDE)[None] - kept[:, k, None]) ** 2 for k in range(3)]
+    return np.minimum.reduce([x[:, None, None] + y[None, :, None] + z[None, None, :] for x, y, z in zip(*square, strict=True)]).astype(np.int32).ravel()
+
+
 def cells(bank: DataFrame, wanted: DataFrame) -> DataFrame:
     """(lut_id, cx, cy, cz, dist, i6, i5, i4, i3): for cells wanted (cx, cy, cz), the squared distance to the nearest
     of every 8th point, and the nearest entry at each depth, of equals the first.
 
-    The bank is at most 64 tables of 64 points and goes along with the function; each batch of cells is compared with
-    all points of a table at once."""
-    tables: dict[int, list[tuple]] = {}
-    for r in sorted(bank.select("lut_id", "idx", "x", "y", "z").collect()):
-        tables.setdefault(r.lut_id, []).append((r.idx, r.x, r.y, r.z))
+    The bank goes along with the function; each batch of cells is compared with all points of a table at once."""
+    tables = tables_of(bank)
     kind = wanted.select("cx", "cy", "cz").schema
     numbers = ["dist", "i6", "i5", "i4", "i3"]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("cx", "cy", "cz")], axis=1).astype(np.int64)
-            for lut_id, rows in tables.items():
-                points = np.array(rows, np.int64)
+            for lut_id, points in tables.items():
                 apart = sum((at[:, k, None] - points[None, :, k + 1]) ** 2 for k in range(3))
                 dist, best = None, []
                 for step in (1, 2, 4, 8):
@@ -95,67 +119,134 @@ def occupancy(places: DataFrame) -> DataFrame:
     return places.groupBy("ix", "iy", "iz").agg(F.count("*").alias("cnt"))
 
 
-def modes(spark) -> DataFrame:
-    """(mode, order, fx, fy, fz): 48 rows, the order that scoring has and the axes flipped after it."""
-    rows = [(m, SCORED_ORDER[m], m & 1, m >> 1 & 1, m >> 2 & 1) for m in range(48)]
-    return spark.createDataFrame(rows, "mode int, order string, fx int, fy int, fz int")
+#: Of each mode the axis order that scoring has and the bits that flip a cell's index: 63 - v is v with all six bits turned.
+_MODES_3D = [([*map("xyz".index, order)], sum(63 << 6 * (2 - k) for k in range(3) if m >> k & 1)) for m, order in enumerate(SCORED_ORDER)]
+_MODES_2D = [([1, 0, 2] if m & 4 else [0, 1, 2], sum(63 << 6 * (2 - k) for k in range(2) if m >> k & 1)) for m in range(8)]
+
+
+def _mode_sums(field: np.ndarray, place: np.ndarray, starts: np.ndarray, kinds: list) -> np.ndarray:
+    """(modes, tiles): the sums of distances of each tile's places under each mode."""
+    code = {}
+    for order, _ in kinds:
+        x, y, z = (place[:, a] for a in order)
+        code.setdefault(tuple(order), (x * SIDE + y) * SIDE + z)
+    return np.stack([np.add.reduceat(field[code[tuple(order)] ^ mask], starts, dtype=np.int64) for order, mask in kinds])
+
+
+def _by_tile(places: DataFrame, columns: list[str]) -> tuple[list[str], DataFrame]:
+    """A row for each tile, with a list of its pixels: at most as many as a tile has."""
+    keys = [*by(places), "ty", "tx"]
+    found = places.dropna(subset=columns).groupBy(*keys).agg(F.collect_list(F.struct(*[c(n).cast("int").alias(n) for n in columns])).alias("pixels"))
+    return keys, found
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, first pixel of each, all their pixels as a matrix), _TILES rows at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, _TILES):
+            rows = whole.slice(at, _TILES)
+            lists = rows.column(rows.num_columns - 1)
+            sizes = lists.value_lengths().to_numpy()
+            columns = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten()]
+            yield rows, np.cumsum(sizes) - sizes, np.stack(columns, axis=1)
 
 
-def _turned(order: Column, x, y, z) -> Column:
-    number = F.array_position(F.array(*map(F.lit, ("xyz", "xzy", "yxz", "yzx", "zxy", "zyx"))), order) - 1
-    return swap_axes(number, x, y, z)
+def _result(tiles: DataFrame, keys: list[str], numbers: dict) -> T.StructType:
+    return T.StructType([*tiles.select(*keys).schema.fields, *[T.StructField(n, kind) for n, kind in numbers.items()]])
+
+
+def _scores(places: DataFrame, bank: DataFrame, kinds: list) -> DataFrame:
+    tables = tables_of(bank)
+    keys, tiles = _by_tile(places, ["ix", "iy", "iz"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = {lut_id: _field(points) for lut_id, points in tables.items()}
+        for rows, starts, place in _tiles(batches):
+            for lut_id, field in fields.items():
+                sums = _mode_sums(field, place, starts, kinds)
+                mode = sums.argmin(axis=0)
+                numbers = [np.full(len(mode), lut_id, np.int32), mode.astype(np.int32), sums[mode, np.arange(len(mode))]]
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys)], *map(pa.array, numbers)], [*keys, "lut_id", "mode", "score"])
+
+    return tiles.mapInArrow(score, _result(tiles, keys, {"lut_id": T.IntegerType(), "mode": T.IntegerType(), "score": T.LongType()}))
 
 
 def scores(places: DataFrame, bank: DataFrame) -> DataFrame:
-    """(ty, tx, lut_id, mode, score): the best mode of each table for each tile, of equals the first.
+    """(ty, tx, lut_id, mode, score): the best of 48 modes of each table for each tile, of equals the first.
 
-    Equal colours of a tile are counted first; distances are looked up per cell that comes, not per pixel."""
-    keys = [*by(places), "ty", "tx"]
-    counted = places.groupBy(*keys, "ix", "iy", "iz").agg(F.count("*").alias("n"))
-    turned = counted.crossJoin(F.broadcast(modes(places.sparkSession))).withColumn("t", _turned(F.col("order"), "ix", "iy", "iz"))
-    flip = lambda k: F.when(F.col(f"f{k}") == 1, F.lit(SIDE - 1) - F.col("t")[k]).otherwise(F.col("t")[k]).alias(f"c{k}")
-    at = turned.select(*keys, "mode", "n", *[flip(k) for k in "xyz"])
-    distance = cells(bank, at.select("cx", "cy", "cz").distinct()).select("lut_id", "cx", "cy", "cz", "dist")
-    sums = at.join(distance, ["cx", "cy", "cz"]).groupBy(*keys, "lut_id", "mode").agg(F.sum(F.col("dist") * F.col("n")).alias("score"))
-    best = F.min(F.struct("score", "mode")).alias("b")
-    return sums.groupBy(*keys, "lut_id").agg(best).select(*keys, "lut_id", F.col("b.mode").alias("mode"), F.col("b.score").alias("score"))
+    Tiles are the only thing shuffled. A worker measures the whole cube against each table once, and a mode is
+    a way to index that field."""
+    return _scores(places, bank, _MODES_3D)
 
 
 def _axis_number(mode) -> Column:
     return shr(mode, 3)
 
 
-def _flip_then_swap(mode, x, y, z, top: int) -> Column:
-    f = [F.when(c(mode).bitwiseAND(F.lit(1 << k)) != 0, F.lit(top) - c(v)).otherwise(c(v)) for k, v in enumerate((x, y, z))]
-    return swap_axes(_axis_number(mode), *f)
-
-
 def search(places: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame:
     """(ty, tx, lut_id, mode, depth, err) of the tiles that some table serves: of each table its best mode and the least
     depth with at most WRONG pixels that are further than FAR off; over tables the least error, of equals the last."""
-    keys = [*by(places), "ty", "tx"]
-    chosen = scores(places, bank)
-    pixels = places.join(chosen.select(*keys, "lut_id", "mode"), keys)
-
-    def place(n: str) -> Column:
-        span = F.greatest(F.col(f"{n}1") - F.col(f"{n}0"), F.lit(1))
-        return ((c(n) - F.col(f"{n}0")).cast("float") / span).cast("float") * F.lit(63.0).cast("float")
-
-    rel = [place(n) for n in channels]
-    turned = [F.when(c("mode").bitwiseAND(F.lit(1 << k)) != 0, F.lit(63.0).cast("float") - v).otherwise(v).cast("int") for k, v in enumerate(rel)]
-    pixels = pixels.withColumn("t", swap_axes(_axis_number("mode"), *turned)).select("*", *[F.col("t")[k].alias(f"c{k}") for k in "xyz"]).drop("t")
-    near = cells(bank, pixels.select("cx", "cy", "cz").distinct()).drop("dist")
-    indexed = pixels.join(near, ["lut_id", "cx", "cy", "cz"])
-    long = indexed.select(*keys, "lut_id", "mode", *channels, *[f"{n}{k}" for n in channels for k in (0, 1)],
-                          F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"i{d}").alias("idx")) for d in (6, 5, 4, 3)])).alias("s"))
-    entry = long.select("*", "s.*").drop("s").join(F.broadcast(factors(bank)), ["lut_id", "depth", "idx"])
-    back = _flip_then_swap("mode", "fx", "fy", "fz", FACTOR)
-    value = lambda n, k: F.col(f"{n}0") + idiv(back[k] * (F.col(f"{n}1") - F.col(f"{n}0")), FACTOR)
-    error = F.greatest(*[F.abs(value(n, k) - c(n)) for n, k in zip(channels, "xyz", strict=True)])
-    depths = entry.withColumn("e", error).groupBy(*keys, "lut_id", "mode", "depth").agg(F.count_if(F.col("e") > FAR).alias("bad"), F.sum("e").alias("err"))
-    served = depths.where(F.col("bad") <= WRONG).groupBy(*keys, "lut_id", "mode").agg(F.min(F.struct("depth", "err")).alias("d"))
-    best = F.min(F.struct(F.col("d.err").alias("err"), (-F.col("lut_id")).alias("l"), "mode", F.col("d.depth").alias("depth"))).alias("b")
-    return served.groupBy(*keys).agg(best).select(*keys, (-F.col("b.l")).alias("lut_id"), F.col("b.mode").alias("mode"), F.col("b.depth").alias("depth"), F.col("b.err").alias("err"))
+    tables = tables_of(bank)
+    ends = [f"{n}{k}" for n in channels for k in (0, 1)]
+    keys, tiles = _by_tile(places, ["ix", "iy", "iz", *channels, *ends])
+    orders = np.array([[*map("xyz".index, order)] for order in AXIS_ORDERS])
+    most = np.iinfo(np.int64).max
+
+    def turn(mode: np.ndarray, v: np.ndarray, top) -> np.ndarray:
+        flipped = np.where(mode[:, None] >> np.arange(3) & 1 != 0, top - v, v)
+        return np.take_along_axis(flipped, orders[mode >> 3], axis=1)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = {lut_id: _field(points) for lut_id, points in tables.items()}
+        for rows, starts, pixels in _tiles(batches):
+            n, tile = len(starts), np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pixels)]))
+            color, low, high = pixels[:, 3:6], pixels[:, 6::2], pixels[:, 7::2]
+            span = high - low
+            part = ((color - low).astype(np.float32) / np.maximum(span, 1)).astype(np.float32) * np.float32(63)
+            best = {"lut_id": np.zeros(n, np.int32), "mode": np.zeros(n, np.int32), "depth": np.zeros(n, np.int32), "err": np.full(n, most)}
+            for lut_id in sorted(tables, reverse=True):
+                points = tables[lut_id]
+                mode = _mode_sums(fields[lut_id], pixels[:, :3], starts, _MODES_3D).argmin(axis=0)
+                turned = turn(mode[tile], part, np.float32(63)).astype(np.int64)
+                code, back = np.unique((turned[:, 0] * SIDE + turned[:, 1]) * SIDE + turned[:, 2], return_inverse=True)
+                at = np.stack([code // SIDE**2, code // SIDE % SIDE, code % SIDE], axis=1)
+                depth, err = np.zeros(n, np.int32), np.full(n, most)
+                for d in (6, 5, 4, 3):  # the least that stands comes last
+                    factor = points[_nearest(points, at, 1 << 6 - d), 1:] * FACTOR // (SIDE - 1)
+                    off = np.abs(low + turn(mode[tile], factor[back], FACTOR) * span // FACTOR - color).max(axis=1)
+                    stands = np.add.reduceat((off > FAR).astype(np.int64), starts) <= WRONG
+                    depth[stands], err[stands] = d, np.add.reduceat(off, starts)[stands]
+                better = err < best["err"]
+                for name, value in (("lut_id", np.full(n, lut_id)), ("mode", mode), ("depth", depth), ("err", err)):
+                    best[name][better] = value[better]
+            served = pa.array(best["err"] < most)
+            made = pa.RecordBatch.from_arrays([*rows.columns[: len(keys)], *map(pa.array, best.values())], [*keys, *best])
+            yield made.filter(served)
+
+    number = T.IntegerType()
+    return tiles.mapInArrow(find, _result(tiles, keys, {"lut_id": number, "mode": number, "depth": number, "err": T.LongType()}))
+
+
+def _entries(pixels: DataFrame, bank: DataFrame) -> DataFrame:
+    """The pixels (lut_id, depth, cx, cy, cz, ...) whose table there is, with fx, fy, fz of the nearest entry at their depth."""
+    tables = tables_of(bank)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, _COLORS):
+                rows = whole.slice(first, _COLORS)
+                number = lambda n, rows=rows: rows.column(n).to_numpy(zero_copy_only=False)
+                of, depth, at = number("lut_id"), number("depth"), np.stack([number(n) for n in ("cx", "cy", "cz")], axis=1).astype(np.int64)
+                factor = np.full((len(at), 3), -1, np.int32)
+                for lut_id, points in tables.items():
+                    for d in (6, 5, 4, 3):
+                        mine = np.flatnonzero((of == lut_id) & (depth == d))
+                        if len(mine):
+                            factor[mine] = points[_nearest(points, at[mine], 1 << 6 - d), 1:] * FACTOR // (SIDE - 1)
+                made = pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(factor[:, k]) for k in range(3)]], [*rows.schema.names, "fx", "fy", "fz"])
+                yield made.filter(pa.array(factor[:, 0] >= 0))
+
+    return pixels.mapInArrow(find, T.StructType([*pixels.schema.fields, *[T.StructField(n, T.IntegerType()) for n in ("fx", "fy", "fz")]]))
 
 
 def decode(places: DataFrame, choice: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame:
@@ -165,9 +256,7 @@ def decode(places: DataFrame, choice: DataFrame, channels: list[str], bank: Data
     rel = lambda n: (((c(n) - F.col(f"{n}0")).cast("float") / F.greatest(F.col(f"{n}1") - F.col(f"{n}0"), F.lit(1))).cast("float") * F.lit(63.0).cast("float"))
     turned = [F.when(c("mode").bitwiseAND(F.lit(1 << k)) != 0, F.lit(63.0).cast("float") - rel(n)).otherwise(rel(n)).cast("int") for k, n in enumerate(channels)]
     pixels = pixels.withColumn("t", swap_axes(_axis_number("mode"), *turned)).select("*", *[F.col("t")[k].alias(f"c{k}") for k in "xyz"]).drop("t")
-    near = cells(bank, pixels.select("cx", "cy", "cz").distinct()).drop("dist")
-    idx = F.when(c("depth") == 6, c("i6")).when(c("depth") == 5, c("i5")).when(c("depth") == 4, c("i4")).otherwise(c("i3"))
-    entry = pixels.join(near, ["lut_id", "cx", "cy", "cz"]).withColumn("idx", idx).join(F.broadcast(factors(bank)), ["lut_id", "depth", "idx"])
+    entry = _entries(pixels.select(*by(places), "y", "x", *[f"{n}{k}" for n in channels for k in (0, 1)], "lut_id", "mode", "depth", "cx", "cy", "cz"), bank)
     moved = swap_axes(_axis_number("mode"), "fx", "fy", "fz")
     flip = lambda k, a: F.when(c("mode").bitwiseAND(F.lit(1 << k)) != 0, F.lit(FACTOR) - moved[a]).otherwise(moved[a])
     out = [(F.col(f"{n}0") + shr(flip(k, a) * (F.col(f"{n}1") - F.col(f"{n}0")), 7)).cast("int").alias(n) for k, (n, a) in enumerate(zip(channels, "xyz", strict=True))]
@@ -224,17 +313,7 @@ def _flat(bank: DataFrame) -> DataFrame:
 
 def scores_2d(places: DataFrame, bank: DataFrame) -> DataFrame:
     """(ty, tx, lut_id, mode, score): the best of eight modes (flip x, flip y, after a swap), of equals the first."""
-    keys = [*by(places), "ty", "tx"]
-    counted = places.groupBy(*keys, "ix", "iy").agg(F.count("*").alias("n"))
-    each = counted.withColumn("mode", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    bit = lambda k: c("mode").bitwiseAND(F.lit(1 << k)) != 0
-    turned = [F.when(bit(2), c(b)).otherwise(c(a)) for a, b in (("ix", "iy"), ("iy", "ix"))]
-    flipped = [F.when(bit(k), F.lit(SIDE - 1) - v).otherwise(v).alias(f"c{n}") for k, (v, n) in enumerate(zip(turned, "xy", strict=True))]
-    at = each.select(*keys, "mode", "n", *flipped, F.lit(0).alias("cz"))
-    distance = cells(_flat(bank), at.select("cx", "cy", "cz").distinct()).select("lut_id", "cx", "cy", "dist")
-    sums = at.join(distance, ["cx", "cy"]).groupBy(*keys, "lut_id", "mode").agg(F.sum(F.col("dist") * F.col("n")).alias("score"))
-    best = F.min(F.struct("score", "mode")).alias("b")
-    return sums.groupBy(*keys, "lut_id").agg(best).select(*keys, "lut_id", F.col("b.mode").alias("mode"), F.col("b.score").alias("score"))
+    return _scores(places.withColumn("iz", F.lit(0)), _flat(bank), _MODES_2D)
 
 
 def search_2d(places: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame:
