@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tilewright.operators import lut
 from tilewright.plans import images
 from tilewright.sources.container import MAGIC, ContainerError, chunks_of, read_containers, write_containers
+from tilewright.sources.tables import expanded, read_tables, write_tables
 
 
 class TileEngine:
@@ -33,6 +34,16 @@ class TileEngine:
         self.bank = bank
         return lut.factors(bank)
 
+    def assign_file(self, path: str) -> DataFrame:
+        """Take the tables of a file; returns each under its 48 modes, as decoders index them."""
+        return self._run(lambda: expanded(read_tables(self.spark, path)))
+
+    def save_bank(self, path: str) -> None:
+        """Write the tables taken last as a file."""
+        if self.bank is None:
+            raise self._keep(ContainerError("INVALID_LUT", "no tables are assigned"))
+        self._run(lambda: write_tables(self.bank, path))
+
     def headers(self, path: str) -> DataFrame:
         """(path, width, height, alpha) of each file, without payloads."""
         return self._run(lambda: read_containers(self.spark, path, self.magic, payloads=False).select("path", "width", "height", "alpha").distinct())

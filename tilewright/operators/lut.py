@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tilewright.functions.scalar import AXIS_ORDERS, by, c, idiv, morton3, shl, shr, swap_axes
+from tilewright.functions.scalar import AXIS_ORDERS, by, c, idiv, morton2, morton3, shl, shr, swap_axes
 
 from . import stats
 
@@ -268,6 +268,12 @@ def palette_order(colors: DataFrame) -> DataFrame:
     return colors.withColumn("code", morton3("r", "g", "b")).withColumn("idx", F.row_number().over(Window.orderBy("code")) - 1)
 
 
+def palette_order_2d(colors: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
+    """(keys, <channels>, code, idx): two-channel palettes, which the keys tell apart, in the order of their interleaved bits."""
+    code = morton2(*channels)
+    return colors.select(*keys, *channels, code.alias("code")).withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("code", *channels)) - 1)
+
+
 def reduce_points(points: DataFrame, size: str, most: int, keys: list[str]) -> DataFrame:
     """(keys, idx, x, y, z): sequences of more than most points cut to most, by the mean of each bucket."""
     bucket = F.when(c(size) > most, idiv(c("idx") * most, size)).otherwise(c("idx")).cast("int")

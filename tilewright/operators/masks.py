@@ -27,6 +27,16 @@ def mask(a, op: str, b) -> Column:
     return F.when(OPERATORS[op](c(a), c(b)), 255).otherwise(0)
 
 
+def mask_or_all(pixels: DataFrame, masks: DataFrame | None = None) -> DataFrame:
+    """(y, x, m): the mask (y, x, m) of the images that have one, 255 everywhere on the others; without image_id there is one image."""
+    keys = by(pixels)
+    everywhere = pixels.select(*keys, "y", "x", F.lit(255).alias("m"))
+    if masks is None:
+        return everywhere
+    own = masks.select(*keys, "y", "x", "m")
+    return own.unionByName(everywhere.join(own.select(*keys).distinct(), keys, "left_anti")) if keys else own
+
+
 def channel_mask(channels: list, op: str, values: list[int], every: bool) -> Column:
     tests = [OPERATORS[op](c(a), c(b)) for a, b in zip(channels, values, strict=True)]
     return F.when(reduce(lambda p, q: (p & q) if every else (p | q), tests), 255).otherwise(0)

@@ -25,6 +25,13 @@ def query(name: str, sql: str | None):
 _SIGNS = {"EQ": "=", "NEQ": "<>", "LT": "<", "GT": ">", "LE": "<=", "GE": ">="}
 
 
+#: Odd bands of 64 rows have a mask, the others have none.
+@query("op_p16_default_mask", duck("emb", "\nSELECT (y // 64)::INT AS image_id, (y % 64)::INT AS y, x, CASE WHEN y // 64 % 2 = 0 OR v > 128 THEN 255 ELSE 0 END AS m FROM emb"))
+def _(spark, sf):
+    plane = embedding_plane(spark, sf).select(idiv("y", 64).cast("int").alias("image_id"), (F.col("y") % 64).cast("int").alias("y"), "x", "v")
+    return masks.mask_or_all(plane, plane.where("image_id % 2 = 1").withColumn("m", masks.mask("v", "GT", 128)))
+
+
 @query("op_p1_threshold_masks", duck("emb", "\nSELECT y, x, " + ", ".join(f"CASE WHEN v {s} 128 THEN 255 ELSE 0 END AS {k.lower()}" for k, s in _SIGNS.items()) + " FROM emb"))
 def _(spark, sf):
     return embedding_plane(spark, sf).select("y", "x", *[masks.mask("v", k, 128).alias(k.lower()) for k in _SIGNS])

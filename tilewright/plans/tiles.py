@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tilewright.operators import gradient, lut, quant1d, stats
+from tilewright.sources import tables
 from tilewright.sources.rasters import duck, embedding_plane, lut_bank, mixed_image, overlap_plane
+from tilewright.sources.shared import shared_folder
 
 from .pixels import PARAMS
 
@@ -191,6 +195,30 @@ def _(spark, sf):
     return got.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *RGB)
 
 
+def _subset_decode(channels: str) -> None:
+    """4x4 tiles of some of the channels: fitted, their corners kept once, and decoded."""
+
+    def run(spark, sf):
+        image = mixed_image(spark, sf)
+        height = _height(image)
+        fitted = gradient.fit(image, None, list(channels), 4, 4, WIDTH, height)
+        tiles = gradient.checkpointed(fitted.select(F.lit(0).alias("pass"), F.lit(4).alias("tw"), F.lit(4).alias("th"), "ty", "tx"))
+        got = gradient.decode(tiles, gradient.corner_stream(tiles, image, list(channels), WIDTH, height), list(channels))
+        return got.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *channels)
+
+    corner = {q: (f"least(ty * 4 + {4 * j}, {_H} - 1)", f"least(tx * 4 + {4 * i}, 63)") for q, (j, i) in {"tl": (0, 0), "tr": (0, 1), "bl": (1, 0), "br": (1, 1)}.items()}
+    value = lambda q, n: f"(({q}.{n} >> 2 << 2) | ({q}.{n} >> 6))"
+    blend = lambda n: f"((({value('tl', n)} * (4 - dy) + {value('bl', n)} * dy) * (4 - dx) + ({value('tr', n)} * (4 - dy) + {value('br', n)} * dy) * dx) // 16)::INT AS {n}"
+    joins = " ".join(f"JOIN m {q} ON {q}.y = {y} AND {q}.x = {x}" for q, (y, x) in corner.items())
+    QUERIES[f"op_d7_gradient_decode_{channels}"] = run
+    ORACLES[f"op_d7_gradient_decode_{channels}"] = duck("evt mix", ",\nm AS MATERIALIZED (FROM mix), f AS MATERIALIZED " + _fit_sql("m", channels, 4, 4, None, "64", _H)
+        + f"\nSELECT (ty * 4 + dy)::INT AS y, (tx * 4 + dx)::INT AS x, {', '.join(map(blend, channels))} FROM f {joins}, range(4) a(dy), range(4) b(dx)")
+
+
+for _channels in ("rg", "gb", "rb", "r", "g", "b"):
+    _subset_decode(_channels)
+
+
 @query("op_a14_pass_totals", duck("evt mix", _MIX + "\nSELECT coalesce(p, 'all') AS technique, coalesce(t, 'all') AS tile, count(*) AS tiles, sum(s)::BIGINT AS pixels FROM (SELECT pass::VARCHAR AS p, (tw * th)::VARCHAR AS t, tw * th AS s FROM casc) GROUP BY ROLLUP (p, t)"))
 def _(spark, sf):
     tiles = _mix_cascade(spark, sf)[1]
@@ -302,6 +330,22 @@ def _(spark, sf):
     return lut.palette_order(bank.select(F.col("x").alias("r"), F.col("y").alias("g"), F.col("z").alias("b")))
 
 
+@query("op_t4_palette_order_2d", duck("lut", """,
+c AS (SELECT lut_id, x, y, """ + " + ".join(f"((({n} >> {k}) & 1)::BIGINT << {3 * k + a})" for a, n in enumerate("xy") for k in range(8)) + """ AS code FROM lut)
+SELECT lut_id, x, y, code, row_number() OVER (PARTITION BY lut_id ORDER BY code) - 1 AS idx FROM c"""))
+def _(spark, sf):
+    return lut.palette_order_2d(lut_bank(spark), ["x", "y"], ["lut_id"])
+
+
+@query("op_io8_table_file_modes", duck("lut", _FACTORS + ",\nmx AS (SELECT *, m::INT AS mode FROM fa, range(64) t(m)),\nsx AS (SELECT lut_id, depth, mode, idx, "
+    + ", ".join(f"{_axis(_ORD, k, ('fx', 'fy', 'fz'))} AS s{k}" for k in range(3)) + " FROM mx)\nSELECT lut_id, depth, mode, idx, "
+    + ", ".join(f"(CASE WHEN mode >= 48 THEN 251 WHEN mode & {1 << k} <> 0 THEN 128 - s{k} ELSE s{k} END)::INT AS {a}" for k, a in enumerate("xyz")) + " FROM sx"))
+def _(spark, sf):
+    path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex[:12]}.lut"
+    tables.write_tables(lut_bank(spark), path)
+    return tables.expanded(gradient.checkpointed(tables.read_tables(spark, path)))
+
+
 @query("op_t9_reduce_points", duck("lut", "\nSELECT lut_id, (idx * 20 // 64)::INT AS idx, (sum(x) // count(*))::INT AS x, (sum(y) // count(*))::INT AS y, (sum(z) // count(*))::INT AS z FROM lut GROUP BY lut_id, idx * 20 // 64"))
 def _(spark, sf):
     return lut.reduce_points(lut_bank(spark).withColumn("size", F.lit(64)), "size", 20, ["lut_id"])
