@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
+import xxhash
 
 from tests.llm.conftest import ODD
 
@@ -128,6 +129,40 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.allclose(again.score, got.toPandas().sort_values("doc_id").score)
 
 
+def plain_toxicity(machine, text):
+    """The machine's score by its formula, over all pairs of terms."""
+    counts: Counter = Counter()
+    for word in (text or "").lower().split():
+        core = word.encode().strip(toxicity._STRIP)
+        terms = {b"=" + core} | {b"^" + core[:n] for n in toxicity.PREFIXES if len(core) >= n} if core else set()
+        counts.update({xxhash.xxh3_64_intdigest(t) % toxicity.BUCKETS for t in terms})
+    x = {int(machine.place[t]): 1 + math.log(n) for t, n in counts.items() if machine.place[t] >= 0}
+    total = machine.bias + sum(float(machine.w[i]) * v for i, v in x.items())
+    for i in x:
+        total += sum(float(machine.v[i].astype(float) @ machine.v[j].astype(float)) * x[i] * x[j] for j in x if j > i)
+    return 1 / (1 + math.exp(-max(-40, min(40, total))))
+
+
+def test_toxicity_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    machine = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    rows = table("documents").to_pylist()
+    assert len(got) == len(rows)
+    for row in rows[::5]:
+        want = plain_toxicity(machine, row["text"])
+        assert abs(got[row["doc_id"]].score - want) < 1e-4 and got[row["doc_id"]].predicted == (got[row["doc_id"]].score >= 0.7)
+
+
+def test_toxicity_counts_are_not_cut(spark):
+    """A word that comes 100,000 times weighs in the fit as it does in scoring."""
+    docs = spark.createDataFrame([(1, "spam " * 100_000), (2, "fine words")], "doc_id long, text string")
+    batch = docs.where("doc_id = 1").selectExpr("1 toxic", "cast(text as binary) text").toArrow().to_batches()
+    counts = next(iter(toxicity._describe(iter(batch)))).column("counts")[0].as_py()
+    assert set(np.frombuffer(counts, "<u4").tolist()) == {100_000}
+
+
 def test_toxicity_learns_pairs():
     """A label that two terms make only together, and weights alone cannot."""
     rng = np.random.default_rng(1)

@@ -121,7 +121,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [terms(t.as_buffer().to_pybytes()) for t in b.column("text")]
         ids = pa.array([t.astype("<u4").tobytes() for t, _ in found], pa.binary())
-        counts = pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in found], pa.binary())
+        counts = pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())
         yield pa.RecordBatch.from_arrays([b.column("toxic"), ids, counts], ["toxic", "terms", "counts"])
 
 
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     some = some.orderBy("at").limit(fit_rows).drop("at") if _repeats(docs) else some.drop("at")
     with arrow_rows(docs.sparkSession, 500):
         got = some.mapInArrow(_describe, "toxic int, terms binary, counts binary").toArrow()
-    found = [(np.frombuffer(t.as_py(), "<u4").astype(np.int64), np.frombuffer(c.as_py(), "<u2").astype(np.int64)) for t, c in zip(got["terms"], got["counts"], strict=True)]
+    found = [(np.frombuffer(t.as_py(), "<u4").astype(np.int64), np.frombuffer(c.as_py(), "<u4").astype(np.int64)) for t, c in zip(got["terms"], got["counts"], strict=True)]
     return fit(*_entries(found), got["toxic"].to_numpy().astype(np.float64))
 
 
@@ -165,8 +165,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
 
     The score depends on the whole text only. A null text is empty and gets the bias's score. Null labels are
     left out, a null doc_id is scored; without labels all scores are the same. Repeated rows are scored
-    alike, other columns are not read. No documents give no rows. The machine has a fixed size and goes to the
-    executors with the plan."""
+    alike, other columns are not read. No documents give no rows. Very long texts are scored whole, one at a time in
+    memory. The machine has a fixed size, at most KEPT terms, and goes to the executors with the plan."""
     machine = train(docs, labels, fit_rows)
     ws = Workspace(docs.sparkSession, "toxicity")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
