@@ -33,3 +33,30 @@ def zstd_decompress(data: Column, expected: Column) -> Column:
         return pd.Series(out, dtype=object)
 
     return run(data, expected)
+
+
+#: Levels of the two searches: up for alpha streams, down for maps of single colours.
+LEVELS_UP, LEVELS_DOWN = range(5, 22), range(21, 10, -1)
+
+
+def zstd_search(data: Column, levels=LEVELS_UP) -> Column:
+    """struct(level, packed): the levels are tried in turn until one gives more than the least so far; of equal sizes the
+    first level stays. Null where data is null; empty data is compressed as any other."""
+
+    @F.pandas_udf("level int, packed binary")
+    def run(s: pd.Series) -> pd.DataFrame:
+        import zstandard
+
+        found = []
+        for b in s:
+            best, level = None, None
+            for n in () if b is None else levels:
+                packed = zstandard.ZstdCompressor(level=n).compress(bytes(b))
+                if best is None or len(packed) < len(best):
+                    best, level = packed, n
+                elif len(packed) > len(best):
+                    break
+            found.append((level, best))
+        return pd.DataFrame({"level": pd.array([x for x, _ in found], "Int32"), "packed": pd.Series([p for _, p in found], dtype=object)})
+
+    return run(data)

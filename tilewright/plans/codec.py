@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.functions.entropy import zstd_compress, zstd_decompress
+from tilewright.functions.entropy import LEVELS_DOWN, LEVELS_UP, zstd_compress, zstd_decompress, zstd_search
 from tilewright.functions.scalar import bitmap_position, idiv, shr
 from tilewright.operators import bits, gradient, masks, palette, stats, windows
 from tilewright.sources import container
@@ -220,6 +220,17 @@ def _(spark, sf):
     return back.select("y", F.length("back").alias("n"), (F.col("back") == F.col("data")).alias("same"))
 
 
+@query("op_t8_level_search", None)
+def _(spark, sf):
+    """Bands of 16 rows: the level that each search takes, its size, and whether the band comes back."""
+    values = embedding_plane(spark, sf).select(idiv("y", 16).cast("int").alias("band"), ((F.col("y") % 16) * WIDTH + F.col("x")).alias("byte"), "v")
+    out = bits.to_binary(values, ["band"])
+    for name, levels in (("up", LEVELS_UP), ("down", LEVELS_DOWN)):
+        out = out.withColumn(name, zstd_search(F.col("data"), levels))
+    same = [(zstd_decompress(F.col(f"{n}.packed"), F.length("data")) == F.col("data")).alias(f"same_{n}") for n in ("up", "down")]
+    return out.select("band", *[F.col(f"{n}.level").alias(f"level_{n}") for n in ("up", "down")], *[F.length(f"{n}.packed").alias(f"size_{n}") for n in ("up", "down")], *same)
+
+
 def _chunk_rows(spark, sf):
     """The whole embedding plane: a chunk for each band of 16 rows, a file for each five, the last ones as long as they are."""
     values = embedding_plane(spark, sf).select(idiv("y", 16).cast("int").alias("k"), ((F.col("y") % 16) * WIDTH + F.col("x")).alias("byte"), "v")
