@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_tree, exact_dedup, jaccard, line_dedup, mixing, packing, quality, suffix_dedup, toxicity, warc
+from . import context_tree, exact_dedup, jaccard, line_dedup, mixing, negatives, packing, quality, suffix_dedup, toxicity, warc, whitening
 
 QUERIES = {
     "op1_context_tree": context_tree.op1_context_tree,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
@@ -24,4 +26,5 @@ ORACLES = {
     "op8_mix_sources": mixing.ORACLE,
     "op9_warc_revisits": warc.ORACLE,
     "op10_ngram_jaccard": jaccard.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
 }
