@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_tree, exact_dedup, jaccard, line_dedup, mixing, negatives, packing, quality, suffix_dedup, toxicity, warc, whitening
+from . import context_tree, exact_dedup, jaccard, line_dedup, mixing, negatives, packing, quality, suffix_dedup, toxicity, warc, whitening, wrappers
 
 QUERIES = {
     "op1_context_tree": context_tree.op1_context_tree,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op11_whitening": whitening.op11_whitening,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_main_text": wrappers.op13_main_text,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
