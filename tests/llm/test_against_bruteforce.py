@@ -93,18 +93,24 @@ def brute_verdicts(rows):
     import math
 
     measured = [(i, t, lang, source, *brute_quality(t), sum(a == b for a, b in zip(words(t), words(t)[1:], strict=False))) for i, t, lang, source in rows]
-    def values(m):
+
+    def counts(m):
         n, chars, symbols, lines, repeats, echoes = m[4:]
-        n1 = max(n, 1)
-        mean = chars * 1000.0 / n1
-        return {"symbols": symbols * 1000.0 / max(chars, 1), "dup_lines": lines * 5000.0 / n1, "repeats": repeats * 1000.0 / n1, "echoes": echoes * 1000.0 / n1, "long_words": mean, "short_words": 1_000_000.0 / max(mean, 1.0)}
+        return {"symbols": (symbols, chars, 1000.0, 1), "dup_lines": (lines, n, 5000.0, 1), "repeats": (repeats, n, 1000.0, 16), "echoes": (echoes, n, 1000.0, 1)}
+
+    def values(m):
+        mean = m[5] * 1000.0 / max(m[4], 1)
+        rates = {k: c * scale / max(size, 1) for k, (c, size, scale, _) in counts(m).items()}
+        return rates | {"long_words": mean, "short_words": 1_000_000.0 / max(mean, 1.0), "n_words": max(m[4], 1), "word_chars": max(m[5], 1)}
+
     def failed(m):
         return m[4] < 20 or 100 * m[8] > 30 * m[4]
+
     sketches = defaultdict(Counter)
     for m in measured:
         if not failed(m):
             for name, v in values(m).items():
-                bucket = 0 if v <= 1 else math.ceil(math.log(v) / math.log(quality.GAMMA))
+                bucket = -math.inf if v == 0 else math.ceil(math.log(v) / math.log(quality.GAMMA))
                 for key in ((m[2], m[3], name), (m[2], name), (name,)):
                     sketches[key][bucket] += 1
 
@@ -118,23 +124,42 @@ def brute_verdicts(rows):
             before = upto
         return out
 
-    def fence(sketch, name):
-        total, run, at = sum(sketch.values()), 0, {}
-        q, times = quality.RULES[name]
+    def quantile(sketch, q):
+        run = 0
         for b in sorted(sketch):
             run += sketch[b]
-            for x in (500, q):
-                if run * 1000 >= total * x:
-                    at.setdefault(x, b)
-        mid, high = quality.GAMMA ** at[500], quality.GAMMA ** at[q]
-        return mid + times * max(high - mid, mid * quality.LEAST_SPREAD)
-
-    fences = {}
-    for key in [k for k in sketches if len(k) == 3]:
-        lang, source, name = key
-        by_lang = lean(sketches[lang, name], sketches[name,])
-        fences[key] = min(fence(lean(sketches[key], by_lang), name), quality.LOOSEST * fence(by_lang, name))
-    return {m[0]: not failed(m) and all(v <= fences[m[2], m[3], name] for name, v in values(m).items()) for m in measured}
+            if run * 1000 >= sum(sketch.values()) * q:
+                return quality.GAMMA**b
+
+    def fence(sketches, name):
+        q, times = quality.RULES[name]
+        mid, high = quantile(sketches[name], 500), quantile(sketches[name], q)
+        return mid + times * (high - mid if name in ("symbols", "dup_lines", "repeats", "echoes") else max(high - mid, mid * quality.LEAST_SPREAD))
+
+    def chance(sketches, name):
+        size = "word_chars" if name == "symbols" else "n_words"
+        none = sketches[name][-math.inf] / sum(sketches[name].values())
+        return -math.log(none) / quantile(sketches[size], 500) if quantile(sketches[name], 500) == 0 else 0.0
+
+    names = [k for k in values(measured[0])] if measured else []
+    limits = {}
+    for lang, source in {(m[2], m[3]) for m in measured if not failed(m)}:
+        whole = {n: lean(sketches[lang, n], sketches[n,]) for n in names}
+        own = {n: lean(sketches[lang, source, n], whole[n]) for n in names}
+        for n in quality.RULES:
+            limits[lang, source, n] = min(fence(own, n), quality.LOOSEST * fence(whole, n))
+            if n not in ("long_words", "short_words"):
+                limits[lang, source, n, "rate"] = min(chance(own, n), quality.LOOSEST * chance(whole, n))
+
+    def within(m, n):
+        limit = limits[m[2], m[3], n]
+        if n in ("long_words", "short_words"):
+            return values(m)[n] <= limit
+        count, size, scale, event = counts(m)[n]
+        mean = limits[m[2], m[3], n, "rate"] * size
+        return count <= max(limit * size / scale, event * (1 + mean + quality.RULES[n][1] * math.sqrt(mean)))
+
+    return {m[0]: not failed(m) and all(within(m, n) for n in quality.RULES) for m in measured}
 
 
 def test_quality_verdicts_follow_the_sketches(spark, make_docs):

@@ -17,12 +17,15 @@ from .shared import Workspace, arrow_rows, fresh, load
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-#: Relative accuracy of the sketches: bucket b holds values up to GAMMA ** b.
+#: Relative accuracy of the sketches: bucket b holds values up to GAMMA ** b; bucket ZERO those that are 0.
 GAMMA = 1.005
+ZERO = -10_000
 #: For each rule the upper quantile (in thousandths) that its spread is read from, and how many spreads beyond the median the fence
 #: lies. Repetition has long tails in good texts, so its spread is read further out than that of what most texts lack.
 RULES = {"symbols": (900, 6.0), "dup_lines": (990, 4.0), "repeats": (990, 4.0), "echoes": (900, 6.0), "long_words": (900, 6.0), "short_words": (900, 6.0)}
-#: The least spread, as a share of the median.
+#: Rules that count events: what is counted, in what, the scale of the rate, and what one event counts at most (a window found again is twice its words).
+COUNTED = {"symbols": ("n_symbols", "word_chars", 1000.0, 1.0), "dup_lines": ("n_dup_lines", "n_words", 5000.0, 1.0), "repeats": ("n_repeat_words", "n_words", 1000.0, 2.0 * WINDOW), "echoes": ("n_echoes", "n_words", 1000.0, 1.0)}
+#: The least spread of word lengths, as a share of the median.
 LEAST_SPREAD = 0.02
 #: A group's sketch is mixed with that of its language as if it had so many rows of it, and a language's with the whole corpus's.
 SHRINK = 100
@@ -92,21 +95,15 @@ def base_failed() -> Column:
 
 
 def _values() -> dict[str, Column]:
-    """The rules' values, in thousandths of what they are a share of."""
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    mean = F.col("word_chars") * 1000.0 / words
-    return {
-        "symbols": F.col("n_symbols") * 1000.0 / F.greatest(F.col("word_chars"), F.lit(1)),
-        "dup_lines": F.col("n_dup_lines") * 5000.0 / words,
-        "repeats": F.col("n_repeat_words") * 1000.0 / words,
-        "echoes": F.col("n_echoes") * 1000.0 / words,
-        "long_words": mean,
-        "short_words": F.lit(1_000_000.0) / F.greatest(mean, F.lit(1.0)),
-    }
+    """The rules' values: rates of what is counted, lengths of words, and the sizes that the counts are held against."""
+    size = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
+    mean = F.col("word_chars") * 1000.0 / size("n_words")
+    rates = {name: F.col(count) * scale / size(of) for name, (count, of, scale, _) in COUNTED.items()}
+    return rates | {"long_words": mean, "short_words": F.lit(1_000_000.0) / F.greatest(mean, F.lit(1.0)), "n_words": size("n_words"), "word_chars": size("word_chars")}
 
 
 def _bucket(value: Column) -> Column:
-    return F.when(value <= 1, F.lit(0)).otherwise(F.ceil(F.log(value) / F.lit(math.log(GAMMA)))).cast("int")
+    return F.when(value <= 0, F.lit(ZERO)).otherwise(F.ceil(F.log(value) / F.lit(math.log(GAMMA)))).cast("int")
 
 
 def _shares(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,18 +122,36 @@ def _shrunk(cells: DataFrame, keys: list[str], parent: DataFrame, parent_keys: l
     return cells.select(*keys, "bucket", (F.col("n") * _UNIT).alias("n")).unionByName(more).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
 
 
-def _fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fence): the median plus so many spreads, from the median to the rule's upper quantile."""
+def _quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mid, high, zeros): the median, the rule's upper quantile, and the share of rows whose value is 0."""
     run = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sketches.select(*keys, "bucket", F.sum("n").over(run).cast("double").alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).cast("double").alias("total"))
-    pick = lambda at: F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.lit(v[at]))])[F.col("name")]
-    at = lambda q: F.pow(F.lit(GAMMA), F.min(F.when(F.col("upto") * 1000 >= F.col("total") * q, F.col("bucket"))))
-    found = ranked.groupBy(*keys).agg(at(F.lit(500)).alias("mid"), at(pick(0)).alias("high"))
-    return found.select(*keys, (F.col("mid") + pick(1) * F.greatest(F.col("high") - F.col("mid"), F.col("mid") * LEAST_SPREAD)).alias("fence"))
+    total = F.sum("n").over(Window.partitionBy(*keys)).cast("double")
+    ranked = sketches.select(*keys, "bucket", "n", F.sum("n").over(run).cast("double").alias("upto"), total.alias("total"))
+    quantile = F.coalesce(F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.lit(v[0]))])[F.col("name")], F.lit(500))
+    at = lambda q: F.min(F.when(F.col("upto") * 1000 >= F.col("total") * q, F.col("bucket")))
+    value = lambda b: F.when(F.col(b) == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col(b)))
+    zeros = F.coalesce(F.sum(F.when(F.col("bucket") == ZERO, F.col("n"))), F.lit(0)).cast("double") / F.max("total")
+    found = ranked.groupBy(*keys).agg(at(F.lit(500)).alias("mid"), at(quantile).alias("high"), zeros.alias("zeros"))
+    return found.select(*keys, F.struct(value("mid").alias("mid"), value("high").alias("high"), "zeros").alias("found"))
+
+
+def _fence(name: str, found: Column) -> Column:
+    """The median plus so many spreads, from the median to the upper quantile."""
+    mid, spread = found["mid"], found["high"] - found["mid"]
+    if name not in COUNTED:
+        spread = F.greatest(spread, mid * LEAST_SPREAD)
+    return mid + F.lit(RULES[name][1]) * spread
+
+
+def _rate(name: str, group: Column) -> Column:
+    """Events in a unit of size, where most texts of the group have none: the rate at which as many have none by chance."""
+    zeros = group[name]["zeros"]
+    return F.when(group[name]["mid"] == 0, -F.log(zeros) / group[COUNTED[name][1]]["mid"]).otherwise(0.0)
 
 
 def thresholds(features: DataFrame, ws: Workspace) -> DataFrame:
-    """(lang, source, fences) for every language and source that comes; fences maps each rule to its threshold.
+    """(lang, source, fences) for every language and source that comes; fences maps each rule to its threshold, and what is counted also to
+    its rate by chance (0 where most texts of the group have some: then quantiles tell).
 
     The sketch of a group is its counts per logarithmic bucket: sketches merge by adding counts, so one
     aggregation with partial sums makes them, in any order and with the same result. Sketches of languages and of
@@ -148,20 +163,32 @@ def thresholds(features: DataFrame, ws: Workspace) -> DataFrame:
     cells = ws.stage(usable.groupBy(*own, "bucket").agg(F.count("*").alias("n")), "cells")
     whole = _shares(cells.groupBy("name", "bucket").agg(F.sum("n").alias("n")), ["name"])
     by_lang = ws.stage(_shrunk(cells.groupBy(*lang, "bucket").agg(F.sum("n").alias("n")), lang, whole, ["name"]), "languages")
-    limits = _fences(by_lang, lang).select(F.col("lang").alias("l_lang"), F.col("name").alias("l_name"), F.col("fence").alias("l_fence"))
-    fences = _fences(_shrunk(cells, own, _shares(by_lang, lang), lang), own)
-    limited = fences.join(limits, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("name") == F.col("l_name")))
-    flat = limited.select("lang", "source", "name", F.least("fence", F.col("l_fence") * LOOSEST).alias("fence"))
-    return ws.stage(flat.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("name", "fence"))).alias("fences")), "fences")
+    as_map = lambda found, keys: found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("name", "found"))).alias("found"))
+    limits = as_map(_quantiles(by_lang, lang), ["lang"]).select(F.col("lang").alias("l_lang"), F.col("found").alias("l_found"))
+    groups = as_map(_quantiles(_shrunk(cells, own, _shares(by_lang, lang), lang), own), ["lang", "source"])
+    joined = groups.join(limits, F.col("lang").eqNullSafe(F.col("l_lang")))
+    least = lambda f: F.least(f(F.col("found")), f(F.col("l_found")) * LOOSEST)
+    fences = [F.struct(F.lit(name).alias("name"), least(lambda g, name=name: _fence(name, g[name])).alias("fence")) for name in RULES]
+    rates = [F.struct(F.lit(f"{name} by chance").alias("name"), least(lambda g, name=name: _rate(name, g)).alias("fence")) for name in COUNTED]
+    return ws.stage(joined.select("lang", "source", F.map_from_entries(F.array(*fences, *rates)).alias("fences")), "fences")
 
 
 def judge(features: DataFrame, fences: DataFrame) -> DataFrame:
-    """features with base_failed and kept; groups all of whose rows failed have no thresholds and nothing to keep."""
+    """features with base_failed and kept; groups all of whose rows failed have no thresholds and nothing to keep.
+
+    A count is within its fence times the text's size, and within what the group's rate gives by chance in a text of that size: one event
+    more than the mean, and so many standard deviations. So a single event is never too many."""
     t = fences.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), "fences")
     joined = features.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     within = F.lit(True)
     for name, value in _values().items():
-        within &= value <= F.col("fences")[name]
+        if name in COUNTED:
+            count, of, scale, event = COUNTED[name]
+            mean = F.col("fences")[f"{name} by chance"] * F.col(of)
+            chance = F.lit(event) * (F.lit(1.0) + mean + F.lit(RULES[name][1]) * F.sqrt(mean))
+            within &= F.col(count) <= F.greatest(F.col("fences")[name] * F.col(of) / scale, chance)
+        elif name in RULES:
+            within &= value <= F.col("fences")[name]
     failed = base_failed()
     return joined.withColumn("base_failed", failed).withColumn("kept", F.coalesce(~failed & within, F.lit(False))).drop("t_lang", "t_source", "fences")
 
@@ -207,14 +234,11 @@ def op5_quality_rules(spark, sf_dir):
 
 
 def _oracle() -> str:
-    values = {
-        "symbols": "n_symbols * 1000.0::DOUBLE / greatest(word_chars, 1)",
-        "dup_lines": "n_dup_lines * 5000.0::DOUBLE / greatest(n_words, 1)",
-        "repeats": "n_repeat_words * 1000.0::DOUBLE / greatest(n_words, 1)",
-        "echoes": "n_echoes * 1000.0::DOUBLE / greatest(n_words, 1)",
+    values = {name: f"{count} * {scale}::DOUBLE / greatest({of}, 1)" for name, (count, of, scale, _) in COUNTED.items()} | {
         "long_words": "word_chars * 1000.0::DOUBLE / greatest(n_words, 1)",
         "short_words": "1000000.0::DOUBLE / greatest(word_chars * 1000.0::DOUBLE / greatest(n_words, 1), 1.0::DOUBLE)",
-    }
+        "n_words": "greatest(n_words, 1)::DOUBLE", "word_chars": "greatest(word_chars, 1)::DOUBLE",
+    }
     own, lang = "lang, source, name", "lang, name"
     shares = lambda cells, keys: f"""SELECT {keys}, bucket, upto - coalesce(lag(upto) OVER (PARTITION BY {keys} ORDER BY bucket), 0) AS share FROM (
   SELECT {keys}, bucket, floor((sum(n) OVER (PARTITION BY {keys} ORDER BY bucket))::DOUBLE * {_UNIT} / (sum(n) OVER (PARTITION BY {keys}))::DOUBLE)::BIGINT AS upto FROM {cells})"""
@@ -222,11 +246,23 @@ def _oracle() -> str:
   SELECT {keys}, bucket, n * {_UNIT} AS n FROM {cells} UNION ALL
   SELECT {", ".join("k." + x for x in keys.split(", "))}, bucket, share * {SHRINK} FROM (SELECT DISTINCT {keys} FROM {cells}) k JOIN {parent} p
     ON {" AND ".join(f"k.{x} IS NOT DISTINCT FROM p.{x}" for x in parent_keys.split(", "))}) GROUP BY {keys}, bucket"""
-    quantile = "CASE name " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in RULES.items()) + " END"
+    quantile = "CASE name " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in RULES.items()) + " ELSE 500 END"
     times = "CASE name " + " ".join(f"WHEN '{k}' THEN {v[1]}::DOUBLE" for k, v in RULES.items()) + " END"
-    fence = lambda cells, keys: f"""SELECT {keys}, mid + {times} * greatest(high - mid, mid * {LEAST_SPREAD}::DOUBLE) AS fence FROM (
-  SELECT {keys}, pow({GAMMA}::DOUBLE, min(bucket) FILTER (upto * 1000 >= total * 500)) AS mid, pow({GAMMA}::DOUBLE, min(bucket) FILTER (upto * 1000 >= total * {quantile})) AS high FROM (
-    SELECT {keys}, bucket, (sum(n) OVER (PARTITION BY {keys} ORDER BY bucket))::DOUBLE AS upto, (sum(n) OVER (PARTITION BY {keys}))::DOUBLE AS total FROM {cells}) GROUP BY {keys})"""
+    spread = f"CASE WHEN name IN ('long_words', 'short_words') THEN greatest(high - mid, mid * {LEAST_SPREAD}::DOUBLE) ELSE high - mid END"
+    size = "CASE name " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in COUNTED.items()) + " END"
+    value = lambda at: f"CASE WHEN min(bucket) FILTER ({at}) = {ZERO} THEN 0.0::DOUBLE ELSE pow({GAMMA}::DOUBLE, min(bucket) FILTER ({at})) END"
+    found = lambda cells, keys: f"""SELECT {keys}, {value("upto * 1000 >= total * 500")} AS mid, {value(f"upto * 1000 >= total * {quantile}")} AS high,
+    coalesce(sum(n) FILTER (bucket = {ZERO}), 0)::DOUBLE / max(total) AS zeros FROM (
+    SELECT {keys}, bucket, n, (sum(n) OVER (PARTITION BY {keys} ORDER BY bucket))::DOUBLE AS upto, (sum(n) OVER (PARTITION BY {keys}))::DOUBLE AS total FROM {cells}) GROUP BY {keys}"""
+    fence = lambda cells, keys: f"""SELECT a.*, mid + {times} * {spread} AS fence, CASE WHEN mid = 0 THEN -ln(zeros) / b_mid ELSE 0.0::DOUBLE END AS rate
+    FROM {cells} a LEFT JOIN (SELECT {", ".join(f"{k} AS b_{k}" for k in keys.split(", "))}, mid AS b_mid FROM {cells}) b ON b_name = {size.replace("CASE name", "CASE a.name")}
+    AND {" AND ".join(f"a.{k} IS NOT DISTINCT FROM b_{k}" for k in keys.split(", ") if k != "name")} WHERE a.name NOT IN ('n_words', 'word_chars')"""
+    counted = "CASE name " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in COUNTED.items()) + " END"
+    of = "CASE name " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in COUNTED.items()) + " END"
+    scale = "CASE name " + " ".join(f"WHEN '{k}' THEN {v[2]}::DOUBLE" for k, v in COUNTED.items()) + " END"
+    event = "CASE name " + " ".join(f"WHEN '{k}' THEN {v[3]}::DOUBLE" for k, v in COUNTED.items()) + " END"
+    within = f"""CASE WHEN name IN ({", ".join(f"'{k}'" for k in COUNTED)})
+    THEN {counted} <= greatest(fence * {of} / {scale}, {event} * (1.0::DOUBLE + rate * {of} + {times} * sqrt(rate * {of}))) ELSE value <= fence END"""
     return rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, lang, source, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT r, unnest(range(1, len(ws) - {WINDOW - 2})) AS i, ws FROM d WHERE len(ws) >= {WINDOW}),
@@ -239,18 +275,21 @@ a AS MATERIALIZED (SELECT doc_id, lang, source, d.r, len(ws)::BIGINT AS n_words,
   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len([1 FOR i IN range(2, len(ws) + 1) IF ws[i] = ws[i - 1]]) AS n_echoes
   FROM d LEFT JOIN rep USING (r) LEFT JOIN dup ON dup.r = d.r),
 b AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a),
-v AS MATERIALIZED ({" UNION ALL ".join(f"SELECT r, lang, source, '{k}' AS name, {x} AS value FROM b WHERE NOT base_failed" for k, x in values.items())}),
-c AS MATERIALIZED (SELECT lang, source, name, CASE WHEN value <= 1 THEN 0 ELSE ceil(ln(value) / ln({GAMMA}::DOUBLE)) END::INT AS bucket, count(*) AS n FROM v GROUP BY ALL),
+v AS MATERIALIZED ({" UNION ALL ".join(f"SELECT r, lang, source, n_symbols, n_dup_lines, n_repeat_words, n_echoes, n_words, word_chars, '{k}' AS name, {x} AS value FROM b WHERE NOT base_failed" for k, x in values.items())}),
+c AS MATERIALIZED (SELECT lang, source, name, CASE WHEN value <= 0 THEN {ZERO} ELSE ceil(ln(value) / ln({GAMMA}::DOUBLE)) END::INT AS bucket, count(*) AS n FROM v GROUP BY ALL),
 c0 AS (SELECT name, bucket, sum(n) AS n FROM c GROUP BY ALL),
 s0 AS MATERIALIZED ({shares("c0", "name")}),
 c1 AS (SELECT lang, name, bucket, sum(n) AS n FROM c GROUP BY ALL),
 m1 AS MATERIALIZED ({shrunk("c1", lang, "s0", "name")}),
 s1 AS MATERIALIZED ({shares("m1", lang)}),
 m2 AS MATERIALIZED ({shrunk("c", own, "s1", lang)}),
-f1 AS MATERIALIZED ({fence("m1", lang)}),
-f2 AS MATERIALIZED ({fence("m2", own)}),
-f AS MATERIALIZED (SELECT f2.lang, source, f2.name, least(f2.fence, f1.fence * {LOOSEST}::DOUBLE) AS fence FROM f2 JOIN f1 ON f1.lang IS NOT DISTINCT FROM f2.lang AND f1.name = f2.name),
-k AS (SELECT v.r, bool_and(v.value <= f.fence) AS fits FROM v JOIN f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND f.name = v.name GROUP BY v.r)
+q1 AS MATERIALIZED ({found("m1", lang)}),
+q2 AS MATERIALIZED ({found("m2", own)}),
+f1 AS MATERIALIZED ({fence("q1", lang)}),
+f2 AS MATERIALIZED ({fence("q2", own)}),
+f AS MATERIALIZED (SELECT f2.lang, f2.source, f2.name, least(f2.fence, f1.fence * {LOOSEST}::DOUBLE) AS fence, least(f2.rate, f1.rate * {LOOSEST}::DOUBLE) AS rate FROM f2 JOIN f1 ON f1.lang IS NOT DISTINCT FROM f2.lang AND f1.name = f2.name),
+j AS (SELECT v.*, f.fence, f.rate FROM v JOIN f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND f.name = v.name),
+k AS (SELECT r, bool_and({within}) AS fits FROM j GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fits, false) AS kept FROM b LEFT JOIN k USING (r)"""
 
 
