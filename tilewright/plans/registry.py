@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import codec, pixels, scalars, tiles
+from . import codec, pixels, pngs, scalars, tiles
 
-_PARTS = (scalars, pixels, tiles, codec)
+_PARTS = (scalars, pixels, tiles, codec, pngs)
 
 
 def flagship(spark, sf_dir):

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from tilewright.sources.files import write_files
 
 #: Tags of chunks, the end tag, and the order their states may come in.
 MIP, ALPHA, GRADIENT, TABLE, RANGE = "MIPM", "ALPM", "GTIL", "3DTL", "1DTL"
@@ -80,72 +80,15 @@ def read_containers(spark: SparkSession, path: str, magic: bytes = MAGIC, payloa
     return chunks_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.tile").load(path), magic, payloads)
 
 
-class ContainerSink(DataSource):
-    """df.write.format("tile_container").save(folder) of rows (name, width, height, alpha, data): a file for each.
-
-    Files are written under names of their own and renamed when all tasks are done."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tile_container"
-
-    def schema(self) -> str:
-        return "name string, data binary"
-
-    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"])
-
-
-class _Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
-
-
-class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
-
-    def _store(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        store, root = self._store()
-        store.create_dir(root)
-        files = []
-        for b in iterator:
-            for name, data in zip(b.column("name").to_pylist(), b.column("data").to_pylist(), strict=True):
-                held = f"{root}/.{name}-{uuid.uuid4().hex}"
-                with store.open_output_stream(held) as out:
-                    out.write(data)
-                files.append((held, f"{root}/{name}.tile"))
-        return _Written(files)
-
-    def commit(self, messages: list) -> None:
-        store, _ = self._store()
-        for message in messages:
-            for held, name in message.files:
-                store.move(held, name)
-
-    def abort(self, messages: list) -> None:
-        store, _ = self._store()
-        for message in messages:
-            for held, _ in message.files if message else ():
-                store.delete_file(held)
-
-
 def write_containers(chunks: DataFrame, path: str, magic: bytes = MAGIC) -> None:
     """Write chunks (name, width, height, alpha, seq, tag, payload) as one file for each name; a file's chunks meet in one task."""
-    spark = chunks.sparkSession
-    spark.dataSource.register(ContainerSink)
     ordered = F.sort_array(F.collect_list(F.struct("seq", "tag", "payload"))).alias("chunks")
     files = chunks.groupBy("name", "width", "height", "alpha").agg(ordered)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(b.column(k).to_pylist() for k in ("name", "width", "height", "alpha", "chunks")), strict=True)
-            made = [(n, pack_file(w, h, a, [(x["tag"], x["payload"]) for x in parts], magic)) for n, w, h, a, parts in rows]
+            made = [(f"{n}.tile", pack_file(w, h, a, [(x["tag"], x["payload"]) for x in parts], magic)) for n, w, h, a, parts in rows]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], ["name", "data"])
 
-    files.mapInArrow(build, "name string, data binary").write.format("tile_container").mode("append").save(path)
+    write_files(files.mapInArrow(build, "name string, data binary"), path)
