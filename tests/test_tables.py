@@ -24,6 +24,28 @@ def test_a_file_gives_the_factors_back(spark, tmp_path):
     assert got[3, 6, 0, 40] == (x, y, z) and got[3, 6, 8 * 3 + 5, 40] == (128 - y, z, 128 - x) and got[3, 6, 48, 40] == (251, 251, 251)
 
 
+def test_a_file_that_is_assigned_stays(spark, tmp_path):
+    """Its tables are kept: saved again they are the same file, and its points are those it was made of."""
+    bank = lut_bank(spark)
+    tables.write_tables(bank, str(tmp_path / "a.lut"))
+    engine = TileEngine(spark)
+    engine.assign_file(str(tmp_path / "a.lut"))
+    engine.save_bank(str(tmp_path / "b.lut"))
+    assert (tmp_path / "a.lut").read_bytes() == (tmp_path / "b.lut").read_bytes()
+    assert sorted(engine.bank.select("lut_id", "idx", "x", "y", "z").collect()) == sorted(bank.select("lut_id", "idx", "x", "y", "z").collect())
+
+
+def test_two_channel_files(spark, tmp_path):
+    bank, path = lut_bank(spark), str(tmp_path / "two.lut")
+    tables.write_tables(bank, path, 2)
+    data = open(path, "rb").read()
+    assert data[:6] == b"LU20\x00\x03" and len(data) == 8 + 4 * 240
+    want = {(r.lut_id, r.depth, r.idx): (r.fx, r.fy, 0) for r in lut.factors(bank).collect()}
+    assert {(r.lut_id, r.depth, r.idx): (r.fx, r.fy, r.fz) for r in tables.read_tables(spark, path, 2).collect()} == want
+    with pytest.raises(ContainerError):
+        tables.read_tables(spark, path)
+
+
 @pytest.mark.parametrize("data", [b"", b"LUL0", b"XUL0" + bytes(4 + 360), b"LU20" + bytes(4 + 240), b"LUL0" + bytes(4 + 359), b"LUL0" + bytes([0, 1, 0, 0]) + bytes(360)])
 def test_other_files_are_refused(spark, tmp_path, data):
     path = tmp_path / "bad.lut"

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tilewright.operators import lut
 from tilewright.plans import images
 from tilewright.sources.container import MAGIC, ContainerError, chunks_of, read_containers, write_containers
-from tilewright.sources.tables import expanded, read_tables, write_tables
+from tilewright.sources.tables import expanded, points_of, read_tables, write_factors
 
 
 class TileEngine:
@@ -18,7 +18,7 @@ class TileEngine:
     def __init__(self, spark: SparkSession, magic: bytes = MAGIC):
         if len(magic) != 4:
             raise ContainerError("INVALID_HEADER", "a magic has four bytes")
-        self.spark, self.magic, self.bank, self._error = spark, magic, None, None
+        self.spark, self.magic, self.bank, self.factors, self._error = spark, magic, None, None, None
 
     def __enter__(self) -> TileEngine:
         return self
@@ -31,30 +31,40 @@ class TileEngine:
         bad = bank.where("idx not between 0 and 63 or x not between 0 and 63 or y not between 0 and 63 or z not between 0 and 63 or lut_id not between 0 and 63")
         if not bad.isEmpty():
             raise self._keep(ContainerError("INVALID_LUT", "tables, entries and coordinates go from 0 to 63"))
-        self.bank = bank
-        return lut.factors(bank)
+        self.bank, self.factors = bank, lut.factors(bank)
+        return self.factors
 
     def assign_file(self, path: str) -> DataFrame:
-        """Take the tables of a file; returns each under its 48 modes, as decoders index them."""
-        return self._run(lambda: expanded(read_tables(self.spark, path)))
+        """Take the tables of a file, for encoding and decoding; returns each under its 48 modes, as decoders index them."""
+
+        def run() -> DataFrame:
+            self.factors = read_tables(self.spark, path)
+            self.bank = points_of(self.factors)
+            return expanded(self.factors)
+
+        return self._run(run)
 
     def save_bank(self, path: str) -> None:
         """Write the tables taken last as a file."""
-        if self.bank is None:
+        if self.factors is None:
             raise self._keep(ContainerError("INVALID_LUT", "no tables are assigned"))
-        self._run(lambda: write_tables(self.bank, path))
+        self._run(lambda: write_factors(self.factors, path))
 
     def headers(self, path: str) -> DataFrame:
         """(path, width, height, alpha) of each file, without payloads."""
         return self._run(lambda: read_containers(self.spark, path, self.magic, payloads=False).select("path", "width", "height", "alpha").distinct())
 
-    def encode(self, pixels: DataFrame, width: int, height: int, path: str) -> None:
-        if width % 8 or height % 8:
-            raise self._keep(ContainerError("INVALID_SIZE", "width and height are multiples of 8"))
-        self._run(lambda: write_containers(images.encode(pixels, width, height), path, self.magic))
+    def encode(self, pixels: DataFrame, width: int, height: int, path: str, tables: bool = False, eight=None) -> None:
+        """Write images (image_id, y, x, r, g, b and perhaps a) as a file each. tables: the tables taken last serve what gradients leave. eight: a
+        column that is true for images whose alpha is kept in eight bits."""
+        if width % 8 or height % 8 or not 0 < width < 1 << 16 or not 0 < height < 1 << 16:
+            raise self._keep(ContainerError("INVALID_SIZE", "width and height are multiples of 8 of 16 bits"))
+        if tables and self.bank is None:
+            raise self._keep(ContainerError("INVALID_LUT", "no tables are assigned"))
+        self._run(lambda: write_containers(images.encode(pixels, width, height, self.bank if tables else None, eight), path, self.magic))
 
     def decode(self, path: str) -> DataFrame:
-        """(name, y, x, r, g, b) of all files of a folder, which have one size."""
+        """(name, y, x, r, g, b, a) of all files of a folder, which have one size; a is null without alpha."""
 
         def run() -> DataFrame:
             from pyspark.sql import functions as F
@@ -63,7 +73,7 @@ class TileEngine:
             sizes = chunks.select("width", "height").distinct().limit(2).collect()
             if len(sizes) != 1:
                 raise ContainerError("INVALID_SIZE", "the files of a folder have one size")
-            return images.decode(chunks, sizes[0].width, sizes[0].height)
+            return images.decode(chunks, sizes[0].width, sizes[0].height, self.factors)
 
         return self._run(run)
 
@@ -77,7 +87,7 @@ class TileEngine:
         return code
 
     def release(self) -> None:
-        self.bank = None
+        self.bank = self.factors = None
 
     def _keep(self, error: Exception) -> Exception:
         self._error = self._error or getattr(error, "code", "FAILED")

@@ -228,7 +228,7 @@ def search(places: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame
 
 
 def _entries(pixels: DataFrame, bank: DataFrame) -> DataFrame:
-    """The pixels (lut_id, depth, cx, cy, cz, ...) whose table there is, with fx, fy, fz of the nearest entry at their depth."""
+    """The pixels (lut_id, depth, cx, cy, cz, ...) whose table there is, with the nearest entry at their depth, idx, and its fx, fy, fz."""
     tables = tables_of(bank)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,30 +237,41 @@ def _entries(pixels: DataFrame, bank: DataFrame) -> DataFrame:
                 rows = whole.slice(first, _COLORS)
                 number = lambda n, rows=rows: rows.column(n).to_numpy(zero_copy_only=False)
                 of, depth, at = number("lut_id"), number("depth"), np.stack([number(n) for n in ("cx", "cy", "cz")], axis=1).astype(np.int64)
-                factor = np.full((len(at), 3), -1, np.int32)
+                factor, entry = np.full((len(at), 3), -1, np.int32), np.full(len(at), -1, np.int32)
                 for lut_id, points in tables.items():
                     for d in (6, 5, 4, 3):
                         mine = np.flatnonzero((of == lut_id) & (depth == d))
                         if len(mine):
-                            factor[mine] = points[_nearest(points, at[mine], 1 << 6 - d), 1:] * FACTOR // (SIDE - 1)
-                made = pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(factor[:, k]) for k in range(3)]], [*rows.schema.names, "fx", "fy", "fz"])
+                            found = _nearest(points, at[mine], 1 << 6 - d)
+                            factor[mine], entry[mine] = points[found, 1:] * FACTOR // (SIDE - 1), points[found, 0] >> 6 - d
+                made = pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(factor[:, k]) for k in range(3)], pa.array(entry)], [*rows.schema.names, "fx", "fy", "fz", "idx"])
                 yield made.filter(pa.array(factor[:, 0] >= 0))
 
-    return pixels.mapInArrow(find, T.StructType([*pixels.schema.fields, *[T.StructField(n, T.IntegerType()) for n in ("fx", "fy", "fz")]]))
+    return pixels.mapInArrow(find, T.StructType([*pixels.schema.fields, *[T.StructField(n, T.IntegerType()) for n in ("fx", "fy", "fz", "idx")]]))
 
 
-def decode(places: DataFrame, choice: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame:
-    """(y, x, <channels>) as a decoder gives them: entries swapped and then flipped, scaled by 7 bits over the tile's box."""
+def entries(places: DataFrame, choice: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame:
+    """(ty, tx, y, x, lut_id, mode, depth, idx, fx, fy, fz, <channel>0/1 ...): the entry that each pixel of the chosen tiles takes; axes are flipped and then
+    swapped on the way to the table."""
     keys = [*by(places), "ty", "tx"]
     pixels = places.join(choice.select(*keys, "lut_id", "mode", "depth"), keys)
     rel = lambda n: (((c(n) - F.col(f"{n}0")).cast("float") / F.greatest(F.col(f"{n}1") - F.col(f"{n}0"), F.lit(1))).cast("float") * F.lit(63.0).cast("float"))
     turned = [F.when(c("mode").bitwiseAND(F.lit(1 << k)) != 0, F.lit(63.0).cast("float") - rel(n)).otherwise(rel(n)).cast("int") for k, n in enumerate(channels)]
     pixels = pixels.withColumn("t", swap_axes(_axis_number("mode"), *turned)).select("*", *[F.col("t")[k].alias(f"c{k}") for k in "xyz"]).drop("t")
-    entry = _entries(pixels.select(*by(places), "y", "x", *[f"{n}{k}" for n in channels for k in (0, 1)], "lut_id", "mode", "depth", "cx", "cy", "cz"), bank)
+    return _entries(pixels.select(*keys, "y", "x", *[f"{n}{k}" for n in channels for k in (0, 1)], "lut_id", "mode", "depth", "cx", "cy", "cz"), bank).drop("cx", "cy", "cz")
+
+
+def entry_colors(entries: DataFrame, channels: list[str], keep: list[str]) -> DataFrame:
+    """(keep, <channels>) of rows (mode, fx, fy, fz, <channel>0/1 ...): entries swapped and then flipped, scaled by 7 bits over the box."""
     moved = swap_axes(_axis_number("mode"), "fx", "fy", "fz")
     flip = lambda k, a: F.when(c("mode").bitwiseAND(F.lit(1 << k)) != 0, F.lit(FACTOR) - moved[a]).otherwise(moved[a])
     out = [(F.col(f"{n}0") + shr(flip(k, a) * (F.col(f"{n}1") - F.col(f"{n}0")), 7)).cast("int").alias(n) for k, (n, a) in enumerate(zip(channels, "xyz", strict=True))]
-    return entry.select(*by(places), "y", "x", *out)
+    return entries.select(*keep, *out)
+
+
+def decode(places: DataFrame, choice: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame:
+    """(y, x, <channels>) as a decoder gives them: entries swapped and then flipped, scaled by 7 bits over the tile's box."""
+    return entry_colors(entries(places, choice, channels, bank), channels, [*by(places), "y", "x"])
 
 
 def palette_order(colors: DataFrame) -> DataFrame:
@@ -283,8 +294,32 @@ def reduce_points(points: DataFrame, size: str, most: int, keys: list[str]) -> D
 
 def pack_file_bytes(bank: DataFrame) -> DataFrame:
     """(depth, lut_id, data): the bytes of the X run, the Y run and the Z run, by depth from 3 up and table."""
+    return pack_runs(factors(bank))
+
+
+def pack_runs(scaled: DataFrame, axes: str = "xyz") -> DataFrame:
+    """pack_file_bytes of factors, with the runs of these axes."""
     one = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", k))), lambda s: F.lpad(F.hex(s[k]), 2, "0")), "")
-    return factors(bank).groupBy("depth", "lut_id").agg(F.unhex(F.concat(one("fx"), one("fy"), one("fz"))).alias("data"))
+    return scaled.groupBy("depth", "lut_id").agg(F.unhex(F.concat(*[one(f"f{a}") for a in axes])).alias("data"))
+
+
+def cascade_entries(pixels: DataFrame, channels: list[str], bank: DataFrame, free: Column | None = None, sizes=SIZES) -> DataFrame:
+    """(pass, tw, th, err, and the columns of entries) of the pixels that tables take, over all sizes, each trying the pixels that those before
+    have left of the free ones. A pass is written with checkpoint() once; what is left is what no pass before holds."""
+    from .gradient import checkpointed
+
+    keys = [*by(pixels), "y", "x"]
+    pixels, out = pixels.withColumn("free", F.lit(True) if free is None else free), None
+    for k, (tw, th) in enumerate(sizes):
+        left = pixels
+        if out is not None:
+            left = pixels.join(out.select(*keys, F.lit(True).alias("_held")), keys, "left").withColumn("free", F.col("free") & F.col("_held").isNull()).drop("_held")
+        places = normalised(left, channels, F.col("free"), tw, th)
+        tiles = search(places, channels, bank)
+        taken = entries(places, tiles, channels, bank).join(tiles.select(*by(pixels), "ty", "tx", "err"), [*by(pixels), "ty", "tx"])
+        named = checkpointed(taken.select(F.lit(k).alias("pass"), F.lit(tw).alias("tw"), F.lit(th).alias("th"), *taken.columns))
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 def cascade(pixels: DataFrame, channels: list[str], bank: DataFrame, sizes=SIZES) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 
 from tilewright.functions.entropy import LEVELS_DOWN, LEVELS_UP, zstd_compress, zstd_decompress, zstd_search
 from tilewright.functions.scalar import bitmap_position, idiv, shr
-from tilewright.operators import bits, gradient, masks, palette, stats, windows
+from tilewright.operators import bits, gradient, masks, palette, stats, streams, windows
+from tilewright.plans import images
 from tilewright.sources import container
 from tilewright.sources.rasters import WIDTH, duck, embedding_plane, event_image, grid, mixed_image
 from tilewright.sources.shared import shared_folder
@@ -291,13 +292,13 @@ def _(spark, sf):
     return event_image(spark, sf).select("y", "x", clamp("r", 0, 255).alias("r"), clamp(idiv(F.col("r") - F.col("b"), 2) + 128, 0, 255).cast("int").alias("co"))
 
 
-#: Rows of an image that becomes one file; a taller one becomes several.
-TALLEST = 2048
+#: Rows that a file's head can count, a multiple of 8; only a taller image becomes several files.
+TALLEST = 65_528
 
 
 def image_round_trip(spark, image, tallest: int = TALLEST):
-    """(name, y, x, r, g, b) of an image (y, x, r, g, b) of whole bands of 8 rows, by way of containers: files of tallest
-    rows each, and one of what is left in a folder of its own, as the files of a folder have one size."""
+    """(name, y, x, r, g, b) of an image (y, x, r, g, b) of whole bands of 8 rows, by way of containers: a file where it has at most tallest
+    rows, else files of tallest rows each, and one of what is left in a folder of its own, as the files of a folder have one size."""
     from tilewright.api import TileEngine
 
     engine = TileEngine(spark)
@@ -308,10 +309,74 @@ def image_round_trip(spark, image, tallest: int = TALLEST):
         if rows:
             where = scratch(spark)
             engine.encode(image.where(part).select(idiv("y", tallest).cast("int").alias("image_id"), (F.col("y") % tallest).alias("y"), "x", *"rgb"), WIDTH, rows, where)
-            out = out.unionByName(engine.decode(where))
+            out = out.unionByName(engine.decode(where).drop("a"))
     return out
 
 
 @query("op_io6_image_round_trip", None)
 def _(spark, sf):
     return image_round_trip(spark, mixed_image(spark, sf))
+
+
+# ---- alpha
+
+
+def _alpha_images(spark, sf):
+    """Images of 64 rows of the plane with alpha of five kinds in turn: analog, two values, analog in eight bits, full, analog in one corner."""
+    k, corner = idiv("y", 64) % 5, (F.col("x") < 32) & (F.col("y") % 64 < 40)
+    v = F.col("v")
+    a = F.when(k == 0, F.when(v >= 90, v).otherwise(0)).when(k == 1, F.when(v >= 128, 255).otherwise(0)).when(k == 2, v).when(k == 3, 255).otherwise(F.when(corner, v).otherwise(0))
+    return embedding_plane(spark, sf).select(idiv("y", 64).cast("int").alias("image_id"), (F.col("y") % 64).cast("int").alias("y"), "x", a.cast("int").alias("a"), (k == 2).alias("eight"))
+
+
+_ALPHA = """,
+al AS MATERIALIZED (SELECT (y // 64)::INT AS image_id, (y % 64)::INT AS y, x, (CASE y // 64 % 5 WHEN 0 THEN CASE WHEN v >= 90 THEN v ELSE 0 END WHEN 1 THEN CASE WHEN v >= 128 THEN 255 ELSE 0 END WHEN 2 THEN v WHEN 3 THEN 255
+  ELSE CASE WHEN x < 32 AND y % 64 < 40 THEN v ELSE 0 END END)::INT AS a FROM emb),
+mk AS (SELECT image_id, y // 16 AS my, x // 16 AS mx FROM al GROUP BY ALL HAVING max(a) >= 4),
+bx AS (SELECT image_id, min(x) // 4 * 4 AS x0, min(y) AS y0, (max(x) + 4) // 4 * 4 AS x1, max(y) + 1 AS y1 FROM al WHERE a >= 4 GROUP BY image_id),
+ky AS (SELECT image_id, x0, y0, x1, y1, bool_or(a BETWEEN 1 AND 254) AS analog, min(a) = 0 AND max(a) = 255 AS both_ FROM al JOIN bx USING (image_id) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY ALL),
+kk AS (SELECT *, CASE WHEN analog THEN CASE WHEN image_id % 5 = 2 THEN 6 WHEN (SELECT count(*) FROM mk WHERE mk.image_id = ky.image_id) = 16 THEN 5 ELSE 3 END WHEN both_ THEN 1 END AS kind FROM ky),
+pn AS MATERIALIZED (SELECT image_id, kind, (CASE WHEN kind = 1 THEN x0 // 8 * 8 ELSE x0 END)::INT AS x0, y0, (CASE WHEN kind = 1 THEN (x1 + 7) // 8 * 8 ELSE x1 END)::INT AS x1, y1 FROM kk WHERE kind IS NOT NULL),
+vs AS MATERIALIZED (SELECT image_id, y, x, a, kind FROM al JOIN pn USING (image_id) LEFT JOIN mk ON mk.image_id = al.image_id AND my = y // 16 AND mx = x // 16
+  WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1 AND (kind <> 3 OR my IS NOT NULL))"""
+
+
+@query("op_e15_alpha_streams", duck("emb", _ALPHA + """,
+nb AS (SELECT image_id, kind, CASE kind WHEN 1 THEN 1 WHEN 6 THEN 8 ELSE 6 END AS bits, CASE kind WHEN 1 THEN a & 1 WHEN 6 THEN a ELSE 63 - (a >> 2) END AS v, row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS pos FROM vs),
+bt AS (SELECT image_id, pos * bits + i AS p, (v >> i) & 1 AS bit FROM nb, range(8) t(i) WHERE i < bits),
+by_ AS (SELECT image_id, p // 8 AS byte, sum(bit << (p % 8))::INT AS b FROM bt GROUP BY ALL),
+hx AS (SELECT image_id, string_agg(printf('%02X', b), '' ORDER BY byte) AS hex FROM by_ GROUP BY image_id)
+SELECT image_id, kind, x0, y0, x1, y1, hex FROM pn JOIN hx USING (image_id)"""))
+def _(spark, sf):
+    """How each image's alpha is written, and its stream before compression."""
+    images_ = _alpha_images(spark, sf)
+    mask = gradient.checkpointed(streams.used_tiles(images_))
+    plan = gradient.checkpointed(streams.alpha_plan(images_, mask, WIDTH, 64, F.col("eight")))
+    return _whole(streams.alpha_bytes(streams.alpha_values(images_, plan, mask)), ["image_id"]).join(plan, "image_id")
+
+
+def _whole(values, keys):
+    """(keys, hex): whole streams (keys, at, v)."""
+    parts = streams.blocks(values, keys)
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "data"))), lambda s: F.hex(s["data"])), "").alias("hex"))
+
+
+@query("op_e15_alpha_round_trip", duck("emb", _ALPHA + """
+SELECT 'image-' || al.image_id AS name, al.y, al.x, (CASE WHEN pn.kind IS NULL THEN 255 WHEN vs.kind IS NULL THEN 0 WHEN pn.kind = 1 THEN (al.a & 1) * 255 WHEN pn.kind = 6 THEN al.a ELSE ((al.a >> 2) << 2) | (al.a >> 6) END)::INT AS a
+FROM al LEFT JOIN pn USING (image_id) LEFT JOIN vs ON vs.image_id = al.image_id AND vs.y = al.y AND vs.x = al.x"""))
+def _(spark, sf):
+    """The alpha of those images through files and back: chunks of masks and alpha, the last image as long as it is."""
+    pixels = _alpha_images(spark, sf)
+    height = (pixels.groupBy("image_id").agg((F.max("y") + 1).alias("rows")).agg(F.collect_set("rows").alias("rows")).first().rows) or []
+    out = None
+    for rows in sorted(height):
+        where = scratch(spark)
+        mine = pixels.join(pixels.groupBy("image_id").agg((F.max("y") + 1).alias("rows")).where(F.col("rows") == rows).select("image_id"), "image_id", "left_semi")
+        chunks = images.encode_alpha(mine, WIDTH, rows, F.col("eight"))
+        flat = mine.select(F.concat(F.lit("image-"), "image_id").alias("name")).distinct().join(chunks.select("name").distinct(), "name", "left_anti")
+        empty = flat.select("name", F.lit(WIDTH).alias("width"), F.lit(rows).alias("height"), F.lit(True).alias("alpha"), F.lit(0).alias("seq"), F.lit(container.RANGE).alias("tag"), F.lit(b"").alias("payload"))
+        container.write_containers(chunks.unionByName(empty), where)
+        read = container.read_containers(spark, where).withColumn("name", F.regexp_extract("path", r"(image-\d+)\.tile", 1))
+        got = images.decode_alpha(read, WIDTH, rows)
+        out = got if out is None else out.unionByName(got)
+    return out if out is not None else pixels.select(F.lit("").alias("name"), "y", "x", "a")

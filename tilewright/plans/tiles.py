@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tilewright.operators import gradient, lut, quant1d, stats
+from tilewright.functions.scalar import idiv
+from tilewright.operators import gradient, lut, quant1d, stats, streams
 from tilewright.sources import tables
 from tilewright.sources.rasters import duck, embedding_plane, lut_bank, mixed_image, overlap_plane
 from tilewright.sources.shared import shared_folder
@@ -322,6 +323,42 @@ def _(spark, sf):
     return lut.decode(places, gradient.checkpointed(lut.search(places, RGB, bank)), RGB, bank)
 
 
+def _streams_sql() -> str:
+    from tilewright.functions.scalar import bitmap_layout
+    from tilewright.operators.streams import BOXES, MAPS, RATE, WORDS
+
+    two = "printf('%02X', {})".format
+    scaled = " || ".join(two(f"({n}{k} * {RATE} + 127) // 255") for k in (0, 1) for n in "rgb")
+    bits = {s: bitmap_layout(*s) for s in MAPS}
+    sizes = {s: -(-64 // w) * -(-64 // h) * n // 8 for s, (w, h, n) in bits.items()}
+    empty = ", ".join(f"({MAPS[s]}, {n})" for s, n in sizes.items() if s != (8, 8))
+    return f""",
+td AS {_turned_sql('(SELECT pl.*, lut_id, mode, depth FROM pl JOIN ch USING (ty, tx))')}""" + _near("nx", "td") + f""",
+xi AS MATERIALIZED (SELECT td.*, CASE depth WHEN 6 THEN i6 WHEN 5 THEN i5 WHEN 4 THEN i4 ELSE i3 END AS idx, (ty // 8)::INT AS image_id, ty % 8 * 8 + tx AS pos FROM td JOIN nx USING (lut_id, cx, cy, cz)),
+ts AS MATERIALIZED (SELECT DISTINCT image_id, pos, lut_id, mode, depth, r0, g0, b0, r1, g1, b1, mode + lut_id * 64 + (depth - 3) * 16384 AS word FROM xi),
+im AS (SELECT DISTINCT image_id FROM ts),
+mb AS (SELECT image_id, b AS byte, coalesce(sum(1 << (pos % 8)::INT) FILTER (pos // 8 = b), 0)::INT AS v FROM ts, range({sizes[8, 8]}) t(b) GROUP BY ALL)
+SELECT image_id, (depth - 3)::INT AS stream, string_agg({two("idx * 3")}, '' ORDER BY pos, y, x) AS hex FROM xi GROUP BY image_id, depth
+UNION ALL SELECT image_id, {WORDS}, string_agg({two("word & 255")} || {two("word >> 8")}, '' ORDER BY pos) FROM ts GROUP BY image_id
+UNION ALL SELECT image_id, {BOXES}, string_agg({scaled}, '' ORDER BY pos) FROM ts GROUP BY image_id
+UNION ALL SELECT image_id, {MAPS[8, 8]}, string_agg({two("v")}, '' ORDER BY byte) FROM mb GROUP BY image_id
+UNION ALL SELECT image_id, k, repeat('00', n) FROM im, (VALUES {empty}) e(k, n)"""
+
+
+@query("op_e4_table_streams", duck("evt mix lut", _PLACES + _SCORES + _SEARCH + _streams_sql()))
+def _(spark, sf):
+    """The twelve streams of a chunk of tables for images of 64 rows whose tiles of 8 x 8 take tables."""
+    places, bank = _places(spark, sf), lut_bank(spark)
+    held = lut.entries(places, gradient.checkpointed(lut.search(places, RGB, bank)), RGB, bank)
+    named = held.select(
+        idiv("ty", 8).cast("int").alias("image_id"), F.lit(2).alias("pass"), F.lit(8).alias("tw"), F.lit(8).alias("th"), (F.col("ty") % 8).alias("ty"), "tx", (F.col("y") % 64).alias("y"), "x",
+        "lut_id", "mode", "depth", "idx", *[f"{n}{k}" for n in RGB for k in (0, 1)],
+    )
+    parts = streams.blocks(streams.table_streams(gradient.checkpointed(named), RGB, 64, 64), ["image_id", "stream"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("block", "data"))), lambda s: F.hex(s["data"]))
+    return parts.groupBy("image_id", "stream").agg(F.array_join(listed, "").alias("hex"))
+
+
 @query("op_t3_palette_order", duck("lut", """,
 c AS (SELECT x AS r, y AS g, z AS b, """ + " + ".join(f"((({n} >> {k}) & 1)::BIGINT << {3 * k + a})" for a, n in enumerate("xyz") for k in range(8)) + """ AS code FROM lut WHERE lut_id = 2)
 SELECT r, g, b, code, row_number() OVER (ORDER BY code) - 1 AS idx FROM c"""))

@@ -9,8 +9,8 @@ from tilewright.functions.scalar import swap_axes
 from tilewright.operators import lut
 from tilewright.sources.container import ContainerError
 
-#: The tag of three-channel tables, header bytes, bytes of a table over all depths, tables in a file.
-TAG, HEADER, TABLE, MOST = b"LUL", 8, 3 * (64 + 32 + 16 + 8), 256
+#: The tags of three- and two-channel tables, header bytes, bytes of a table's axis over all depths, tables in a file.
+TAGS, HEADER, AXIS, MOST = {3: b"LUL", 2: b"LU2"}, 8, 64 + 32 + 16 + 8, 256
 #: Modes of a table and their places in memory; places without a mode hold FILLER.
 MODES, PLACES, FILLER = 48, 64, 251
 
@@ -20,16 +20,21 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_tables(bank: DataFrame, path: str) -> None:
-    """Write (lut_id, idx, x, y, z) as one file, tables in the order of lut_id. At most MOST tables of TABLE bytes, so it
-    is made on the driver. Repeated rows, no table and more than MOST are INVALID_LUT."""
-    spark = bank.sparkSession
-    runs = lut.pack_file_bytes(bank).limit(4 * MOST + 1).collect()
+def write_tables(bank: DataFrame, path: str, channels: int = 3) -> None:
+    """Write (lut_id, idx, x, y, z) as one file, tables in the order of lut_id; two-channel files hold no z. At most MOST tables of AXIS bytes an axis,
+    so it is made on the driver. Repeated rows, no table and more than MOST are INVALID_LUT."""
+    write_factors(lut.factors(bank), path, channels)
+
+
+def write_factors(scaled: DataFrame, path: str, channels: int = 3) -> None:
+    """write_tables of (lut_id, depth, idx, fx, fy, fz)."""
+    spark = scaled.sparkSession
+    runs = lut.pack_runs(scaled, "xyz"[:channels]).limit(4 * MOST + 1).collect()
     tables = sorted({r.lut_id for r in runs})
     whole = {(r.depth, r.lut_id): bytes(r.data) for r in runs}
-    if not 1 <= len(tables) <= MOST or len(whole) != 4 * len(tables) or any(len(data) != 3 << depth for (depth, _), data in whole.items()):
+    if not 1 <= len(tables) <= MOST or len(whole) != 4 * len(tables) or any(len(data) != channels << depth for (depth, _), data in whole.items()):
         raise ContainerError("INVALID_LUT", f"a file has 1 to {MOST} tables of 64 points")
-    head = TAG + b"0" + bytes([0, len(tables) - 1, 1, 0])
+    head = TAGS[channels] + b"0" + bytes([0, len(tables) - 1, 1, 0])
     where, store = _path(spark, path)
     out = store.create(where, True)
     try:
@@ -38,25 +43,32 @@ def write_tables(bank: DataFrame, path: str) -> None:
         out.close()
 
 
-def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """(lut_id, depth, idx, fx, fy, fz) of a file, lut_id counted from 0. INVALID_LUT where the tag is another one or the
+def read_tables(spark: SparkSession, path: str, channels: int = 3) -> DataFrame:
+    """(lut_id, depth, idx, fx, fy, fz) of a file, lut_id counted from 0; fz is 0 in two-channel files. INVALID_LUT where the tag is another one or the
     size is not that of the tables that the header counts."""
     file = spark.read.format("binaryFile").load(path).select("length", "content")
     found = file.select("length", F.substring("content", 1, HEADER).alias("head")).limit(2).collect()
-    if len(found) != 1 or found[0].length < HEADER or bytes(found[0]["head"])[:3] != TAG:
-        raise ContainerError("INVALID_LUT", "not a file of three-channel tables")
+    if len(found) != 1 or found[0].length < HEADER or bytes(found[0]["head"])[:3] != TAGS[channels]:
+        raise ContainerError("INVALID_LUT", f"not a file of tables of {channels} channels")
     many = found[0]["head"][5] + 1
-    if found[0].length != HEADER + many * TABLE:
-        raise ContainerError("INVALID_LUT", f"{many} tables take {HEADER + many * TABLE} bytes, not {found[0].length}")
+    if found[0].length != HEADER + many * AXIS * channels:
+        raise ContainerError("INVALID_LUT", f"{many} tables take {HEADER + many * AXIS * channels} bytes, not {found[0].length}")
     depth = F.explode(F.array(*[F.lit(d) for d in (3, 4, 5, 6)])).alias("depth")
     each = file.select("content", depth).select("*", F.expr("shiftleft(1, depth)").alias("n"))
     each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("lut_id"))
-    # the runs of the depths before take 3 * many * (n - 8) bytes
-    start = F.col("n") * 3 * F.col("lut_id") + (F.col("n") - 8) * (3 * many) + HEADER
+    # the runs of the depths before take channels * many * (n - 8) bytes
+    start = F.col("n") * channels * F.col("lut_id") + (F.col("n") - 8) * (channels * many) + HEADER
     runs = each.withColumn("s", start)
-    runs = runs.select("lut_id", "depth", "n", *[F.hex(F.expr(f"substring(content, s + {k} * n + 1, n)")).alias(f"h{k}") for k in range(3)])
+    runs = runs.select("lut_id", "depth", "n", *[F.hex(F.expr(f"substring(content, s + {k} * n + 1, n)")).alias(f"h{k}") for k in range(channels)])
     points = runs.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("idx"))
-    return points.select("lut_id", "depth", "idx", *[F.conv(F.expr(f"substring(h{k}, 2 * idx + 1, 2)"), 16, 10).cast("int").alias(f"f{a}") for k, a in enumerate("xyz")])
+    axis = lambda k: F.conv(F.expr(f"substring(h{k}, 2 * idx + 1, 2)"), 16, 10).cast("int") if k < channels else F.lit(0)
+    return points.select("lut_id", "depth", "idx", *[axis(k).alias(f"f{a}") for k, a in enumerate("xyz")])
+
+
+def points_of(scaled: DataFrame) -> DataFrame:
+    """(lut_id, idx, x, y, z) of factors: the points of 0..63 that scale to those of the greatest depth."""
+    back = lambda k: F.ceil(F.col(f"f{k}") * (lut.SIDE - 1) / lut.FACTOR).cast("int").alias(k)
+    return scaled.where("depth = 6").select("lut_id", "idx", *[back(k) for k in "xyz"])
 
 
 def expanded(factors: DataFrame) -> DataFrame:
