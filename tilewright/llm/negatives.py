@@ -133,7 +133,9 @@ def _search_cell(pivots: Pivots, dims: int, k: int, same_label: bool):
         for i, (lo, hi) in enumerate(zip(*lists, strict=True)):
             least[i, : len(lo)], most[i, : len(hi)] = lo, hi
         x_all, far_all = _lists(rows["x"], dims), _lists(rows["far"], len(pivots.points))
-        label_all, row_all, vec_all = rows["label"].to_numpy(), rows["row"].to_numpy(), rows["vec_id"].to_numpy()
+        label_all, row_all = rows["label"].to_numpy(), rows["row"].to_numpy()
+        vec_all = rows["vec_id"].fill_null(_LONG - 1).to_numpy()  # last of ties
+        nameless = row_all[rows["vec_id"].is_null().to_numpy()]
         order = np.lexsort([row_all, far_all[:, 0], label_all])
         q_norm = (q.astype(np.float64) ** 2).sum(axis=1)
         held = [np.zeros(0, np.int64) for _ in range(5)]
@@ -164,7 +166,8 @@ def _search_cell(pivots: Pivots, dims: int, k: int, same_label: bool):
                 ends = np.flatnonzero(np.append(both[0][1:] != both[0][:-1], True))
                 full = ends[np.diff(ends, prepend=-1) >= k]  # the k-th find of those that have k
                 floor[both[0][full], p] = both[4][full]
-        return pa.Table.from_arrays([pa.array(q_row[held[0]]), pa.array(held[1], pa.int32()), *(pa.array(h) for h in held[2:])], schema=_FOUND)
+        vec = pa.array(held[2], mask=np.isin(held[3], nameless))
+        return pa.Table.from_arrays([pa.array(q_row[held[0]]), pa.array(held[1], pa.int32()), vec, pa.array(held[3]), pa.array(held[4])], schema=_FOUND)
 
     return search
 
@@ -192,7 +195,7 @@ def mine_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     of other labels that score from window[0] to window[1] hundredths of it.
 
     Rows are told apart by their place in the table, not by vec_id: repeated rows are positives of each other and anchors each; ties go to the
-    smaller vec_id. Short vectors end in zeros. An anchor without a positive, or a positive without a negative, gives no row; so do
+    smaller vec_id, a null one last. Short vectors end in zeros. An anchor without a positive, or a positive without a negative, gives no row; so do
     no rows."""
     ws = Workspace(rows.sparkSession, "negatives")
     numbered = ws.stage(rows.select("vec_id", "label", "x", is_anchor.alias("is_anchor")).withColumn("row", F.monotonically_increasing_id()), "rows")
