@@ -78,3 +78,76 @@ def fill_between(pixels: DataFrame, value: str, keep: Column, double_x: bool, do
     made = F.explode(F.array(*[F.struct((c("y") + dy).alias("y"), (c("x") + dx).alias("x"), v.cast("int").alias("new")) for dy, dx, v in spots]))
     filled = even.select(*keys, made.alias("s")).select(*keys, "s.*")
     return pixels.join(filled, [*keys, "y", "x"], "left").select(*keys, "y", "x", F.coalesce("new", c(value)).alias("v"))
+
+
+#: Side of the blocks that are filled at a time, in even places.
+EVEN_BLOCK = 256
+_EVEN = "image_id int, j int, i int, old int, v int, keep boolean"
+
+
+def _fill_block(rows, edges):
+    """A block's even places a diagonal at a time: each reads what those to the left, above and above left have become."""
+    import numpy as np
+    import pandas as pd
+
+    j0, i0 = int(rows.j.min()), int(rows.i.min())
+    high, wide = int(rows.j.max()) - j0 + 1, int(rows.i.max()) - i0 + 1
+    old, keep = np.zeros((high, wide), np.int64), np.ones((high, wide), bool)
+    old[rows.j - j0, rows.i - i0], keep[rows.j - j0, rows.i - i0] = rows.old, rows.keep
+    done = np.zeros((high + 1, wide + 1), np.int64)  # with the line above and the one to the left
+    if len(edges):
+        done[edges.j - j0 + 1, edges.i - i0 + 1] = edges.v
+    cut = lambda v, n: np.sign(v) * (np.abs(v) // n)
+    for d in range(high + wide - 1):
+        j = np.arange(max(0, d - wide + 1), min(high - 1, d) + 1)
+        i = d - j
+        first_row, first_column, own = (j + j0 == 0), (i + i0 == 0), old[j, i]
+        left = np.where(first_column, own, done[j + 1, i])
+        up = np.where(first_row, own, done[j, i + 1])
+        corner = np.where(first_row, left, np.where(first_column, up, done[j, i]))
+        done[j + 1, i + 1] = np.where(keep[j, i], own, cut(corner + up + left + own, 4))
+    out = rows[["image_id", "j", "i", "old", "keep"]].copy()
+    out["v"] = done[rows.j - j0 + 1, rows.i - i0 + 1]
+    return pd.DataFrame(out)[["image_id", "j", "i", "old", "v", "keep"]]
+
+
+def fill_back(pixels: DataFrame, value: str, keep: Column, width: int, height: int, block: int | None = None) -> DataFrame:
+    """(y, x, v): even places that are not kept become the mean of themselves and of the even places to the left, above and above left as these have
+    become; right of them stands the mean of the one above and themselves as they were, below that of the two above, and across what they were. Reads
+    beyond the plane take its edge; means are cut toward zero.
+
+    What a place becomes hangs on all before it, cut by cut, so blocks of even places are filled in diagonals, all blocks of a diagonal of all images at a
+    time, each from the written edges of those before: as many steps as a plane has blocks along two sides. The width and height are even."""
+    from .gradient import checkpointed
+
+    size = block or EVEN_BLOCK
+    keys = by(pixels)
+    one = pixels if keys else pixels.withColumn("image_id", F.lit(0))
+    even = one.where((c("y") % 2 == 0) & (c("x") % 2 == 0)).select(
+        c("image_id").cast("int").alias("image_id"), idiv("y", 2).cast("int").alias("j"), idiv("x", 2).cast("int").alias("i"), c(value).cast("int").alias("old"), F.lit(0).alias("v"), keep.alias("keep")
+    )
+    down, across = -(-(height // 2) // size), -(-(width // 2) // size)
+    blocked = lambda frame: frame.withColumn("bj", idiv("j", size)).withColumn("bi", idiv("i", size))
+    done = None
+    for d in range(down + across - 1):
+        mine = blocked(even).where(F.col("bj") + F.col("bi") == d)
+        edge = done.select("image_id", "j", "i", "v") if done is not None else even.sparkSession.createDataFrame([], "image_id int, j int, i int, v int")
+        sides = [(c("j") % size == size - 1, 1, 0), (c("i") % size == size - 1, 0, 1), ((c("j") % size == size - 1) & (c("i") % size == size - 1), 1, 1)]
+        seen = None
+        for last, dj, di in sides:
+            part = blocked(edge.where(last)).withColumn("bj", F.col("bj") + dj).withColumn("bi", F.col("bi") + di).where(F.col("bj") + F.col("bi") == d)
+            seen = part if seen is None else seen.unionByName(part)
+        filled = mine.groupBy("image_id", "bj", "bi").cogroup(seen.groupBy("image_id", "bj", "bi")).applyInPandas(lambda rows, edges: _fill_block(rows, edges) if len(rows) else rows[["image_id", "j", "i", "old", "v", "keep"]], _EVEN)
+        step = checkpointed(filled)
+        done = step if done is None else done.unionByName(step)
+    done = checkpointed(done)
+    above = done.select("image_id", (F.col("j") + 1).alias("j"), "i", F.col("v").alias("up"))
+    corner = done.select("image_id", (F.col("j") + 1).alias("j"), (F.col("i") + 1).alias("i"), F.col("v").alias("far"))
+    left = done.select("image_id", "j", (F.col("i") + 1).alias("i"), F.col("v").alias("near"))
+    all_ = done.join(above, ["image_id", "j", "i"], "left").join(corner, ["image_id", "j", "i"], "left").join(left, ["image_id", "j", "i"], "left")
+    up = F.coalesce("up", "old")
+    far = F.when(F.col("j") == 0, F.coalesce("near", "old")).when(F.col("i") == 0, up).otherwise(F.col("far"))
+    spots = [(0, 0, F.col("v")), (0, 1, idiv(up + F.col("old"), 2)), (1, 0, idiv(far + up, 2)), (1, 1, F.col("old"))]
+    made = F.explode(F.array(*[F.struct((F.col("j") * 2 + dy).alias("y"), (F.col("i") * 2 + dx).alias("x"), v.cast("int").alias("new")) for dy, dx, v in spots]))
+    filled = all_.where(~F.col("keep")).select("image_id", made.alias("s")).select("image_id", "s.*")
+    return one.join(filled, ["image_id", "y", "x"], "left").select(*keys, "y", "x", F.coalesce("new", c(value)).cast("int").alias("v"))

@@ -350,6 +350,24 @@ for _axes in ("xy", "x", "y"):
     _between_query(_axes)
 
 
+@query("op_r3_fill_back", duck("emb", """,
+e AS MATERIALIZED (SELECT (y // 2)::INT AS j, (x // 2)::INT AS i, v AS old, v >= 140 AS keep FROM emb WHERE y % 2 = 0 AND x % 2 = 0),
+w AS (
+  SELECT 0 AS d, 0 AS i, old AS v, old AS up FROM e WHERE j = 0 AND i = 0
+  UNION ALL
+  SELECT n.d, n.i, (CASE WHEN keep THEN old ELSE trunc((CASE WHEN j = 0 THEN coalesce(l, old) WHEN n.i = 0 THEN u ELSE lu END + coalesce(u, old) + coalesce(l, old) + old) / 4.0) END)::INT, coalesce(u, old)
+  FROM (SELECT e.j + e.i AS d, e.j, e.i, old, keep, a.v AS u, b.v AS l, b.up AS lu FROM (SELECT max(d) AS d FROM w) q JOIN e ON e.j + e.i = q.d + 1 LEFT JOIN w a ON a.i = e.i AND e.j > 0 LEFT JOIN w b ON b.i = e.i - 1) n),
+g AS MATERIALIZED (SELECT d - i AS j, i, v FROM w),
+r AS (SELECT e.j, e.i, old, coalesce(a.v, old) AS u, CASE WHEN e.j = 0 THEN coalesce(l.v, old) WHEN e.i = 0 THEN coalesce(a.v, old) ELSE f.v END AS far, g.v AS me
+  FROM e JOIN g ON g.j = e.j AND g.i = e.i LEFT JOIN g a ON a.j = e.j - 1 AND a.i = e.i LEFT JOIN g f ON f.j = e.j - 1 AND f.i = e.i - 1 LEFT JOIN g l ON l.j = e.j AND l.i = e.i - 1 WHERE NOT keep),
+p AS (SELECT 2 * j AS y, 2 * i AS x, me AS new FROM r UNION ALL SELECT 2 * j, 2 * i + 1, (u + old) // 2 FROM r UNION ALL SELECT 2 * j + 1, 2 * i, (far + u) // 2 FROM r UNION ALL SELECT 2 * j + 1, 2 * i + 1, old FROM r)
+SELECT emb.y, emb.x, coalesce(new, v)::INT AS v FROM emb LEFT JOIN p ON p.y = emb.y AND p.x = emb.x"""))
+def _(spark, sf):
+    plane = embedding_plane(spark, sf)
+    height = (plane.agg(F.max("y")).first()[0] or -1) + 1
+    return resample.fill_back(plane, "v", F.col("v") >= 140, 64, max(2, height))
+
+
 @query("op_e13_single_colors", duck("evt mix", """,
 f AS (SELECT y, x, CASE WHEN x < 48 THEN (r >> 5) * 131072 + (g >> 5) * 512 + 7 ELSE (r << 16) | (g << 8) | b END AS color FROM mix),
 l AS (SELECT *, lag(color) OVER (PARTITION BY y ORDER BY x) AS before FROM f),

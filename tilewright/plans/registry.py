@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import codec, pixels, pngs, scalars, tiles
+from . import codec, lines, pixels, pngs, scalars, tiles
 
-_PARTS = (scalars, pixels, tiles, codec, pngs)
+_PARTS = (scalars, pixels, tiles, codec, pngs, lines)
 
 
 def flagship(spark, sf_dir):
