@@ -11,7 +11,7 @@ from tilewright.operators import polylines, resample
 LINES = {
     "bend": [(0, 0, 0), (63, 0, 0), (63, 63, 63), (10, 60, 5)],
     "doubled": [(5, 5, 5), (5, 5, 5), (9, 40, 2), (9, 40, 2)],
-    "loop": [(3, 3, 3), (60, 8, 20), (3, 3, 3)],
+    "turn": [(3, 3, 3), (60, 8, 20), (12, 50, 3)],
     "place": [(7, 7, 7), (7, 7, 7)],
     "lone": [(1, 2, 3)],
 }
