@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import idiv
 from tilewright.operators import gradient, lut, quant1d, stats, streams
-from tilewright.sources import tables
+from tilewright.sources import captures, png, tables
 from tilewright.sources.rasters import duck, embedding_plane, lut_bank, mixed_image, overlap_plane
 from tilewright.sources.shared import shared_folder
 
@@ -20,6 +20,11 @@ RGB = ["r", "g", "b"]
 WIDTH = 64
 
 
+def codec_scratch(spark) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex[:12]}"
+
+
 def query(name: str, sql: str | None):
     def put(f):
         QUERIES[name] = f
@@ -441,3 +446,63 @@ def _(spark, sf):
 @query("op_e7_table_cascade", None)
 def _(spark, sf):
     return lut.cascade(mixed_image(spark, sf), RGB, lut_bank(spark))
+
+
+# ---- captured patterns
+
+_ALL = _PLACES.replace(_FREE, "true").replace("x // 8", "x // 16").replace("n = 64", "n = 128")
+_TILE = "(ty // 8)::INT::VARCHAR AS image_id, (tx * 16) || '-' || (ty % 8 * 8) AS name"
+
+
+def _tile_places(spark, sf):
+    """The normalised pixels of tiles of 16 x 8 of images of 64 rows."""
+    places = lut.normalised(mixed_image(spark, sf), RGB, F.lit(True), 16, 8)
+    return places.withColumn("image_id", idiv("ty", 8).cast("int")).withColumn("ty", F.col("ty") % 8).withColumn("y", F.col("y") % 64)
+
+
+@query("op_io14_capture_files", duck("evt mix", _ALL + f"""
+SELECT {_TILE}, printf('%02X', count(*)) || string_agg(printf('%02X', ix), '' ORDER BY y, x) || string_agg(printf('%02X', iy), '' ORDER BY y, x) || string_agg(printf('%02X', iz), '' ORDER BY y, x) AS hex FROM pl GROUP BY ty, tx"""))
+def _(spark, sf):
+    """Every tile worth a table as a file, as it lies in the folder."""
+    where = codec_scratch(spark)
+    captures.write_captures(_tile_places(spark, sf), where, 16, 8)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where).select("path", F.hex("content").alias("hex"))
+    return captures.named(files)
+
+
+_PATTERNS = _ALL + """,
+mo AS (SELECT ty, tx, ix, iy, iz, """ + " + ".join(f"(((i{n} >> {k}) & 1)::BIGINT << {3 * k + a})" for a, n in enumerate("xyz") for k in range(8)) + """ AS code FROM pl),
+rk AS (SELECT ty, tx, ix, iy, iz, row_number() OVER (PARTITION BY ty, tx ORDER BY code) - 1 AS n FROM mo)"""
+_PATTERN_ROWS = f"\nSELECT {_TILE}, (n * 64 // 128)::INT AS idx, (sum(ix) // count(*))::INT AS x, (sum(iy) // count(*))::INT AS y, (sum(iz) // count(*))::INT AS z FROM rk GROUP BY ty, tx, n * 64 // 128"
+
+
+@query("op_io10_captured_patterns", duck("evt mix", _PATTERNS + _PATTERN_ROWS))
+def _(spark, sf):
+    """The tables of all captured files: 128 points of each in the order of their bits, cut to 64."""
+    where = codec_scratch(spark)
+    captures.write_captures(_tile_places(spark, sf), where, 16, 8)
+    return captures.named(captures.patterns(captures.read_captures(spark, where)))
+
+
+@query("op_io13_folder_scan", duck("evt mix", _PATTERNS + _PATTERN_ROWS))
+def _(spark, sf):
+    """The same tables by two scans of a folder: files of even images are there at the first, the others come after it."""
+    where, table, kept = codec_scratch(spark), codec_scratch(spark), codec_scratch(spark)
+    places = gradient.checkpointed(_tile_places(spark, sf))
+    for odd in (0, 1):
+        captures.write_captures(places.where(F.col("image_id") % 2 == odd), where, 16, 8)
+        found = captures.scan_captures(spark, where, table, kept)
+    return captures.named(found.drop("batch"))
+
+
+@query("op_io11_drawn_patterns", duck("emb", """,
+k AS (SELECT y // 64 AS image_id, y % 64 AS py, x AS px, row_number() OVER (PARTITION BY y // 64 ORDER BY y, x) - 1 AS n FROM emb WHERE v >= 170),
+s AS (SELECT *, """ + " + ".join(f"(((p{n} >> {k}) & 1)::BIGINT << {3 * k + a})" for a, n in enumerate("xy") for k in range(8)) + """ AS code FROM k WHERE n < 64)
+SELECT image_id::VARCHAR AS image_id, (row_number() OVER (PARTITION BY image_id ORDER BY code) - 1)::INT AS idx, px AS x, py::INT AS y FROM s"""))
+def _(spark, sf):
+    """Images of 64 rows with the bright places of the plane drawn in, as patterns of two channels."""
+    drawn = embedding_plane(spark, sf).select(idiv("y", 64).cast("string").alias("name"), (F.col("y") % 64).alias("y"), "x", F.when(F.col("v") >= 170, 255).otherwise(0).alias("v"))
+    where = codec_scratch(spark)
+    png.write_png(drawn, where, ["v"])
+    found = captures.patterns(captures.image_patterns(png.read_png(spark, where).where("y is not null")), "xy")
+    return found.select(png.name_of("path").alias("image_id"), "idx", "x", "y")
