@@ -260,7 +260,7 @@ def _alpha_parts(payload: pd.Series) -> pd.DataFrame:
         p = bytes(p)
         x, y, w, h, k, n, _, kind = struct.unpack_from(_ALPHA_HEAD, p)
         data = _unzip(p[struct.calcsize(_ALPHA_HEAD) :][:k])
-        if kind not in (streams.ONE, streams.SIX, streams.SIX_ALL, streams.EIGHT) or len(data) != n:
+        if kind not in (streams.ONE, streams.SIX - 1, streams.SIX, streams.SIX_ALL - 1, streams.SIX_ALL, streams.EIGHT) or len(data) != n:
             raise ValueError("INVALID_ALPHA_FORMAT: an alpha stream of another kind or size")
         rows.append((kind, x, y, x + w, y + h, data))
     return pd.DataFrame(rows, columns=["kind", "x0", "y0", "x1", "y1", "data"])
@@ -326,7 +326,7 @@ def _decoded_alpha(keyed: DataFrame, mask: DataFrame) -> DataFrame:
     lines = read.drop("data").select("*", F.explode(F.expr("if(y1 > y0, sequence(y0, y1 - 1), array())")).alias("y")).repartition("image_id", "y")
     spots = lines.select("image_id", "kind", "y", F.explode(F.expr("if(x1 > x0, sequence(x0, x1 - 1), array())")).alias("x"))
     marked = spots.withColumn("my", shr("y", 4)).withColumn("mx", shr("x", 4)).join(mask.withColumn("_used", F.lit(True)), ["image_id", "my", "mx"], "left")
-    kept = marked.where((c("kind") != streams.SIX) | F.col("_used")).select("image_id", "kind", "y", "x")
+    kept = marked.where(~c("kind").isin(streams.SIX, streams.SIX - 1) | F.col("_used")).select("image_id", "kind", "y", "x")
     rows = streams.offsets(kept.groupBy("image_id", "y").agg(F.count("*").alias("n")), ["image_id"], "y", "n").select("image_id", "y", "before")
     within = F.row_number().over(Window.partitionBy("image_id", "y").orderBy("x")) - 1
     bits = F.when(c("kind") == streams.ONE, 1).when(c("kind") == streams.EIGHT, 8).otherwise(6)
@@ -335,7 +335,8 @@ def _decoded_alpha(keyed: DataFrame, mask: DataFrame) -> DataFrame:
     low = placed.join(data, ["image_id", "at"], "left").withColumnRenamed("v", "low").withColumn("next", c("at") + 1)
     both = low.join(data.select("image_id", c("at").alias("next"), c("v").alias("high")), ["image_id", "next"], "left").na.fill(0, ["low", "high"])
     raw = F.call_function("shiftright", c("low") + c("high") * 256, (c("start") % 8).cast("int"))
-    six = F.lit(63) - raw.bitwiseAND(F.lit(63))
+    low6 = raw.bitwiseAND(F.lit(63))
+    six = F.when(c("kind").isin(streams.SIX - 1, streams.SIX_ALL - 1), low6).otherwise(F.lit(63) - low6)  # as it is, or what is missing to 63
     value = F.when(c("kind") == streams.ONE, raw.bitwiseAND(F.lit(1)) * 255).when(c("kind") == streams.EIGHT, raw.bitwiseAND(F.lit(255))).otherwise(shl(six, 2).bitwiseOR(shr(six, 4)))
     return both.select("image_id", "y", "x", value.cast("int").alias("a"))
 
