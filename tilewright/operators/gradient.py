@@ -88,13 +88,15 @@ def covered(tiles: DataFrame, tw: int, th: int) -> DataFrame:
     return tiles.select(*keys, "ty", "tx", rows).select(*keys, "ty", "tx", "dy", columns).select(*keys, (c("ty") * th + c("dy")).alias("y"), (c("tx") * tw + c("dx")).alias("x"))
 
 
-def cascade(pixels: DataFrame, channels: list[str], width: int, height: int, sizes=SIZES, reject: int = REJECT, taken: DataFrame | None = None) -> DataFrame:
+def cascade(pixels: DataFrame, channels: list[str], width: int, height: int, sizes=SIZES, reject: int = REJECT, taken: DataFrame | None = None, observe=None) -> DataFrame:
     """(pass, tw, th, ty, tx, err) over all sizes, each trying what those before have left free; pixels that are taken (y, x) are not free from the start.
 
-    The tiles of a size are checkpointed once; the pixels that they cover follow from that table whenever they are asked for."""
+    The tiles of a size are checkpointed once; the pixels that they cover follow from that table whenever they are asked for. observe(tiles, pass, tw, th)
+    may hang figures on a pass's own job."""
     out = None
     for k, (tw, th) in enumerate(sizes):
-        tiles = checkpointed(fit(pixels, taken, channels, tw, th, width, height, reject))
+        fitted = fit(pixels, taken, channels, tw, th, width, height, reject)
+        tiles = checkpointed(fitted if observe is None else observe(fitted, k, tw, th))
         named = tiles.select(*by(pixels), F.lit(k).alias("pass"), F.lit(tw).alias("tw"), F.lit(th).alias("th"), "ty", "tx", "err")
         out = named if out is None else out.unionByName(named)
         more = covered(tiles, tw, th)

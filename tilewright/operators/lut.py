@@ -274,9 +274,9 @@ def decode(places: DataFrame, choice: DataFrame, channels: list[str], bank: Data
     return entry_colors(entries(places, choice, channels, bank), channels, [*by(places), "y", "x"])
 
 
-def palette_order(colors: DataFrame) -> DataFrame:
-    """(idx, r, g, b) in the order of their interleaved bits."""
-    return colors.withColumn("code", morton3("r", "g", "b")).withColumn("idx", F.row_number().over(Window.orderBy("code")) - 1)
+def palette_order(colors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, idx, r, g, b, code): palettes, which the keys tell apart, in the order of their interleaved bits."""
+    return colors.withColumn("code", morton3("r", "g", "b")).withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("code", "r", "g", "b")) - 1)
 
 
 def palette_order_2d(colors: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
@@ -297,10 +297,10 @@ def pack_file_bytes(bank: DataFrame) -> DataFrame:
     return pack_runs(factors(bank))
 
 
-def pack_runs(scaled: DataFrame, axes: str = "xyz") -> DataFrame:
-    """pack_file_bytes of factors, with the runs of these axes."""
+def pack_runs(scaled: DataFrame, axes: str = "xyz", keys: tuple[str, ...] = ()) -> DataFrame:
+    """pack_file_bytes of factors, with the runs of these axes; keys tell files apart."""
     one = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", k))), lambda s: F.lpad(F.hex(s[k]), 2, "0")), "")
-    return scaled.groupBy("depth", "lut_id").agg(F.unhex(F.concat(*[one(f"f{a}") for a in axes])).alias("data"))
+    return scaled.groupBy(*keys, "depth", "lut_id").agg(F.unhex(F.concat(*[one(f"f{a}") for a in axes])).alias("data"))
 
 
 def cascade_entries(pixels: DataFrame, channels: list[str], bank: DataFrame, free: Column | None = None, sizes=SIZES) -> DataFrame:

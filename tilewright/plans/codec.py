@@ -264,17 +264,28 @@ def _(spark, sf):
     return got.select(F.regexp_extract("path", r"(image-\d+)\.tile", 1).alias("name"), "height", "seq", "tag", "length")
 
 
-@query("op_io_chunk_order", """SELECT path, seq, tag, error FROM (VALUES ('a', 2, 'MIPM', 'wrong order'), ('b', 1, 'XXXX', 'unknown tag'), ('b', 3, 'ALPM', 'wrong order')) v(path, seq, tag, error)""")
+_TAGS = (container.MIP, container.ALPHA, container.GRADIENT, container.TABLE, container.RANGE, "XXXX")
+
+
+@query("op_io_chunk_order", """
+WITH c AS (SELECT (o_orderkey // 8)::VARCHAR AS path, (o_orderkey % 8)::INT AS seq, (["""
+    + ", ".join(f"'{t}'" for t in _TAGS) + """])[(o_custkey + o_orderkey % 8 * 7) % 6 + 1] AS tag FROM orders),
+s AS (SELECT *, CASE tag """ + " ".join(f"WHEN '{t}' THEN {n}" for t, n in container.STATES.items()) + """ END AS state FROM c),
+r AS (SELECT *, max(state) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM s)
+SELECT path, seq, tag, CASE WHEN state IS NULL THEN 'unknown tag' ELSE 'wrong order' END AS error FROM r WHERE state IS NULL OR state < reached""")
 def _(spark, sf):
-    rows = [("a", 0, "ALPM"), ("a", 1, "GTIL"), ("a", 2, "MIPM"), ("b", 0, "GTIL"), ("b", 1, "XXXX"), ("b", 2, "1DTL"), ("b", 3, "ALPM"), ("c", 0, "MIPM"), ("c", 1, "3DTL"), ("c", 2, "1DTL")]
-    return chunk_order.order_errors(spark.createDataFrame(rows, "path string, seq int, tag string"))
+    """Orders as chunks: eight of them are a file, the customer and the place give the tag."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    tag = F.element_at(F.array(*map(F.lit, _TAGS)), ((F.col("o_custkey") + F.col("o_orderkey") % 8 * 7) % 6 + 1).cast("int"))
+    return chunk_order.order_errors(orders.select(idiv("o_orderkey", 8).cast("string").alias("path"), (F.col("o_orderkey") % 8).cast("int").alias("seq"), tag.alias("tag")))
 
 
 @query("op_e14_smooth_map", None)
 def _(spark, sf):
+    """Smooth places of the image, in masks of 64 rows each."""
     image = mixed_image(spark, sf)
     smooth = image.select("y", "x", *[windows.smooth_mask(n).alias(n) for n in "rgb"])
-    both = smooth.select(F.lit(0).alias("image_id"), "y", "x", F.when((F.col("r") > 0) & (F.col("g") > 0) & (F.col("b") > 0), 255).otherwise(0).alias("m"))
+    both = smooth.select(idiv("y", 64).cast("int").alias("image_id"), (F.col("y") % 64).alias("y"), "x", F.when((F.col("r") > 0) & (F.col("g") > 0) & (F.col("b") > 0), 255).otherwise(0).alias("m"))
     return masks.quarter_all(masks.erode(both, ["image_id"]))
 
 

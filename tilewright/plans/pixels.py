@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import idiv
 from tilewright.operators import masks, resample, stats, windows
-from tilewright.sources.rasters import duck, embedding_plane, event_image, grid, island_mask
+from tilewright.sources.rasters import blank_images, duck, embedding_plane, event_image
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -58,9 +58,14 @@ def _(spark, sf):
     return embedding_plane(spark, sf).select("y", "x", masks.fill("v", (8, 16, 32, 40), 7).alias("f"), masks.fill_outside("v", (8, 16, 32, 40)).alias("o"))
 
 
-@query("op_p7_create_image", "SELECT (i // 24)::INT AS y, (i % 24)::INT AS x, 5 AS r, 5 AS g, 5 AS b FROM range(384) t(i)")
+@query("op_p7_create_image", """
+WITH s AS (SELECT s_suppkey::INT AS image_id, (8 + s_suppkey % 3 * 8)::INT AS width, (8 + s_nationkey % 2 * 8)::INT AS height, (s_suppkey % 256)::INT AS v FROM supplier)
+SELECT image_id, h.i::INT AS y, w.i::INT AS x, v AS r, v AS g, v AS b FROM s, range(16) h(i), range(24) w(i) WHERE h.i < height AND w.i < width""")
 def _(spark, sf):
-    return grid(spark, 16, 24).select("y", "x", *[F.lit(5).alias(n) for n in "rgb"])
+    """An image of its own size and value for each supplier."""
+    table = spark.read.parquet(f"{sf}/supplier.parquet")
+    sizes = table.select(F.col("s_suppkey").cast("int").alias("image_id"), (F.col("s_suppkey") % 3 * 8 + 8).cast("int").alias("width"), (F.col("s_nationkey") % 2 * 8 + 8).cast("int").alias("height"), (F.col("s_suppkey") % 256).cast("int").alias("value"))
+    return blank_images(sizes, ["r", "g", "b"])
 
 
 @query("op_p8_clamped_read", duck("emb", """,
@@ -82,17 +87,22 @@ def _(spark, sf):
 
 @query("op_p10_erosion", None)
 def _(spark, sf):
-    return masks.erode(island_mask(spark).withColumn("image_id", F.lit(0)), ["image_id"])
+    """Bright places of the plane, as masks of 64 rows each."""
+    plane = embedding_plane(spark, sf)
+    bright = plane.select(idiv("y", 64).cast("int").alias("image_id"), (F.col("y") % 64).alias("y"), "x", F.when(F.col("v") >= 110, 255).otherwise(0).alias("m"))
+    return masks.erode(bright, ["image_id"])
 
 
-@query("op_p11_components", duck("isl", """,
-s AS (SELECT y, x, y * 100 + x AS k FROM isl WHERE m = 1),
-w AS (SELECT k, k AS l FROM s UNION SELECT n.k, w.l FROM w JOIN s o ON o.k = w.k JOIN s n ON abs(n.y - o.y) + abs(n.x - o.x) = 1),
+@query("op_p11_components", duck("emb", """,
+s AS MATERIALIZED (SELECT y, x, y * 64 + x AS k FROM emb WHERE v >= 150),
+h AS (SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON b.k = a.k + 64 UNION ALL SELECT a.k, b.k FROM s a JOIN s b ON b.k = a.k + 1 WHERE a.x < 63),
+e AS MATERIALIZED (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+w AS (SELECT k, k AS l FROM s UNION SELECT e.b, w.l FROM w JOIN e ON e.a = w.k),
 c AS (SELECT k, min(l) AS l FROM w GROUP BY k),
 z AS (SELECT l, count(*) AS size FROM c GROUP BY l)
-SELECT (k // 100)::INT AS y, (k % 100)::INT AS x, size FROM c JOIN z USING (l)"""))
+SELECT (k // 64)::INT AS y, (k % 64)::INT AS x, size FROM c JOIN z USING (l)"""))
 def _(spark, sf):
-    found = masks.labels(island_mask(spark))
+    found = masks.labels(embedding_plane(spark, sf).select("y", "x", (F.col("v") >= 150).cast("int").alias("m")))
     return found.join(found.groupBy("label").agg(F.count("*").alias("size")), "label").select("y", "x", "size")
 
 
@@ -385,7 +395,8 @@ def _(spark, sf):
 
 @query("op_a21_superset_masks", None)
 def _(spark, sf):
-    tiles = stats.format_of_tile(embedding_plane(spark, sf), "v", 4, 4).withColumn("image_id", F.lit(0)).withColumn("at", F.col("ty") * 16 + F.col("tx"))
+    """A stream of masks for each 64 rows of the plane."""
+    tiles = stats.format_of_tile(embedding_plane(spark, sf), "v", 4, 4).withColumn("image_id", idiv("ty", 16).cast("int")).withColumn("at", F.col("ty") * 16 + F.col("tx"))
     return stats.superset_masks(tiles.select("image_id", "at", "mask"), ["image_id"], "at")
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import idiv
 from tilewright.operators import gradient, lut, quant1d, stats, streams
+from tilewright.plans import pass_stats
 from tilewright.sources import captures, png, tables
-from tilewright.sources.rasters import duck, embedding_plane, lut_bank, mixed_image, overlap_plane
+from tilewright.sources.files import write_files
+from tilewright.sources.rasters import duck, embedding_plane, lut_bank, mixed_image, vector_bank
 from tilewright.sources.shared import shared_folder
 
 from .pixels import PARAMS
@@ -143,9 +145,16 @@ def _(spark, sf):
     return _mix_cascade(spark, sf)[1]
 
 
-@query("op_p13_top_left_eligibility", duck("over", ",\nm AS MATERIALIZED (SELECT y, x, v AS r, v AS g, v AS b FROM over_)" + _cascade_sql("m", "rgb", "32", "32") + "\nSELECT pass, tw, th, ty, tx, err FROM casc"))
+_PATCH = "x BETWEEN 9 AND 15 AND y % 32 BETWEEN 1 AND 7"
+
+
+@query("op_p13_top_left_eligibility", duck("emb", f",\nm AS MATERIALIZED (SELECT y, x, r, r AS g, r AS b FROM (SELECT y, x, (CASE WHEN {_PATCH} THEN v ELSE 40 + 2 * x + y % 32 END)::INT AS r FROM emb WHERE x < 32))" + _cascade_sql("m", "rgb", "32", "(SELECT max(y) + 1 FROM m)") + "\nSELECT pass, tw, th, ty, tx, err FROM casc"))
 def _(spark, sf):
-    return gradient.cascade(overlap_plane(spark), RGB, 32, 32)
+    """Slopes of 32 columns with a patch of the plane's noise in each 32 rows, which tells top-left from whole-tile eligibility."""
+    patch = F.expr(_PATCH)
+    v = F.when(patch, F.col("v")).otherwise(F.col("x") * 2 + F.col("y") % 32 + 40).cast("int")
+    image = embedding_plane(spark, sf).where("x < 32").select("y", "x", *[v.alias(n) for n in RGB])
+    return gradient.cascade(image, RGB, 32, _height(image))
 
 
 @query("op_u3_covered_pixels", duck("evt mix", _MIX + "\nSELECT y, x FROM k6"))
@@ -232,6 +241,16 @@ def _(spark, sf):
     return stats.pass_totals(tiles.select(F.col("pass").alias("technique"), size.cast("int").alias("tile"), size.alias("pixels")))
 
 
+@query("op_io16_pass_stats", ORACLES["op_a14_pass_totals"])
+def _(spark, sf):
+    """Figures of the cascade's passes from their own jobs, appended to a folder and read back."""
+    image, where = mixed_image(spark, sf), codec_scratch(spark)
+    run = pass_stats.PassStats()
+    gradient.cascade(image, RGB, WIDTH, _height(image), observe=run.observe)
+    run.append(spark, where)
+    return pass_stats.totals(pass_stats.read_stats(spark, where))
+
+
 # ---- point tables
 
 _FREE = "(r + g) % 5 > 0"
@@ -287,15 +306,18 @@ def _places(spark, sf):
     return lut.normalised(mixed_image(spark, sf), RGB, (F.col("r") + F.col("g")) % 5 > 0, 8, 8)
 
 
-@query("op_e16_table_factors", duck("lut", _FACTORS + "\nSELECT lut_id, depth, idx, fx, fy, fz FROM fa"))
+_VECTORS = ",\nlut AS (FROM vbank)"
+
+
+@query("op_e16_table_factors", duck("emb vbank", _VECTORS + _FACTORS + "\nSELECT lut_id, depth, idx, fx, fy, fz FROM fa"))
 def _(spark, sf):
-    return lut.factors(lut_bank(spark))
+    return lut.factors(vector_bank(spark, sf))
 
 
-@query("op_j6_nearest_entries", duck("lut", ",\nw AS (SELECT (i % 16 * 4)::INT AS cx, (i // 16 % 16 * 4)::INT AS cy, (i // 256 * 4)::INT AS cz FROM range(4096) t(i))" + _near("n", "w") + "\nSELECT lut_id, cx, cy, cz, dist, i6, i5, i4, i3 FROM n"))
+@query("op_j6_nearest_entries", duck("evt mix lut", _PLACES + _near("n", "(SELECT ix AS cx, iy AS cy, iz AS cz FROM pl)") + "\nSELECT lut_id, cx, cy, cz, dist, i6, i5, i4, i3 FROM n"))
 def _(spark, sf):
-    i = F.col("id")
-    wanted = spark.range(4096).select((i % 16 * 4).cast("int").alias("cx"), (F.floor(i / 16) % 16 * 4).cast("int").alias("cy"), (F.floor(i / 256) * 4).cast("int").alias("cz"))
+    """For every cell that a pixel of the image lies in."""
+    wanted = _places(spark, sf).select(F.col("ix").alias("cx"), F.col("iy").alias("cy"), F.col("iz").alias("cz")).distinct()
     return lut.cells(lut_bank(spark), wanted)
 
 
@@ -364,39 +386,57 @@ def _(spark, sf):
     return parts.groupBy("image_id", "stream").agg(F.array_join(listed, "").alias("hex"))
 
 
-@query("op_t3_palette_order", duck("lut", """,
-c AS (SELECT x AS r, y AS g, z AS b, """ + " + ".join(f"((({n} >> {k}) & 1)::BIGINT << {3 * k + a})" for a, n in enumerate("xyz") for k in range(8)) + """ AS code FROM lut WHERE lut_id = 2)
-SELECT r, g, b, code, row_number() OVER (ORDER BY code) - 1 AS idx FROM c"""))
+@query("op_t3_palette_order", duck("emb vbank", """,
+c AS (SELECT lut_id, x AS r, y AS g, z AS b, """ + " + ".join(f"((({n} >> {k}) & 1)::BIGINT << {3 * k + a})" for a, n in enumerate("xyz") for k in range(8)) + """ AS code FROM vbank)
+SELECT lut_id, r, g, b, code, row_number() OVER (PARTITION BY lut_id ORDER BY code) - 1 AS idx FROM c"""))
 def _(spark, sf):
-    bank = lut_bank(spark).where("lut_id = 2")
-    return lut.palette_order(bank.select(F.col("x").alias("r"), F.col("y").alias("g"), F.col("z").alias("b")))
+    bank = vector_bank(spark, sf)
+    return lut.palette_order(bank.select("lut_id", F.col("x").alias("r"), F.col("y").alias("g"), F.col("z").alias("b")), ["lut_id"])
 
 
-@query("op_t4_palette_order_2d", duck("lut", """,
-c AS (SELECT lut_id, x, y, """ + " + ".join(f"((({n} >> {k}) & 1)::BIGINT << {3 * k + a})" for a, n in enumerate("xy") for k in range(8)) + """ AS code FROM lut)
+@query("op_t4_palette_order_2d", duck("emb vbank", """,
+c AS (SELECT lut_id, x, y, """ + " + ".join(f"((({n} >> {k}) & 1)::BIGINT << {3 * k + a})" for a, n in enumerate("xy") for k in range(8)) + """ AS code FROM vbank)
 SELECT lut_id, x, y, code, row_number() OVER (PARTITION BY lut_id ORDER BY code) - 1 AS idx FROM c"""))
 def _(spark, sf):
-    return lut.palette_order_2d(lut_bank(spark), ["x", "y"], ["lut_id"])
+    return lut.palette_order_2d(vector_bank(spark, sf), ["x", "y"], ["lut_id"])
+
+
+#: Tables of a file in the queries of files.
+_FILE = 50
+
+
+def _table_folder(spark, sf):
+    """The folder of files that hold the tables of all vectors, _FILE in each."""
+    where = codec_scratch(spark)
+    scaled = lut.factors(vector_bank(spark, sf)).withColumn("file", idiv("lut_id", _FILE).cast("int")).withColumn("lut_id", (F.col("lut_id") % _FILE).cast("int"))
+    write_files(tables.table_files(scaled), where)
+    return where
 
 
-@query("op_io8_table_file_modes", duck("lut", _FACTORS + ",\nmx AS (SELECT *, m::INT AS mode FROM fa, range(64) t(m)),\nsx AS (SELECT lut_id, depth, mode, idx, "
-    + ", ".join(f"{_axis(_ORD, k, ('fx', 'fy', 'fz'))} AS s{k}" for k in range(3)) + " FROM mx)\nSELECT lut_id, depth, mode, idx, "
-    + ", ".join(f"(CASE WHEN mode >= 48 THEN 251 WHEN mode & {1 << k} <> 0 THEN 128 - s{k} ELSE s{k} END)::INT AS {a}" for k, a in enumerate("xyz")) + " FROM sx"))
+@query("op_io8_table_file_modes", duck("emb vbank", _VECTORS + _FACTORS + ",\nmx AS (SELECT *, m::INT AS mode FROM fa, range(64) t(m)),\nsx AS (SELECT lut_id, depth, mode, idx, "
+    + ", ".join(f"{_axis(_ORD, k, ('fx', 'fy', 'fz'))} AS s{k}" for k in range(3)) + " FROM mx),\nvx AS (SELECT lut_id, depth, mode, idx, "
+    + ", ".join(f"(CASE WHEN mode >= 48 THEN 251 WHEN mode & {1 << k} <> 0 THEN 128 - s{k} ELSE s{k} END)::INT AS {a}" for k, a in enumerate("xyz")) + " FROM sx)\nSELECT lut_id, depth, mode, "
+    + ", ".join(f"string_agg(printf('%02X', {a}), '' ORDER BY idx) AS {a}" for a in "xyz") + " FROM vx GROUP BY ALL"))
 def _(spark, sf):
-    path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex[:12]}.lut"
-    tables.write_tables(lut_bank(spark), path)
-    return tables.expanded(gradient.checkpointed(tables.read_tables(spark, path)))
+    """Files of the tables of all vectors, read and laid out under all modes: the runs of each axis."""
+    read = tables.read_table_files(spark, _table_folder(spark, sf)).where("error is null")
+    named = read.withColumn("lut_id", (F.regexp_extract("path", r"(\d+)\.lut$", 1).cast("int") * _FILE + F.col("lut_id")).cast("int")).drop("path", "error")
+    run = lambda a: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", a))), lambda s: F.lpad(F.hex(s[a].cast("long")), 2, "0")), "").alias(a)
+    return tables.expanded(named).groupBy("lut_id", "depth", "mode").agg(*map(run, "xyz"))
 
 
-@query("op_t9_reduce_points", duck("lut", "\nSELECT lut_id, (idx * 20 // 64)::INT AS idx, (sum(x) // count(*))::INT AS x, (sum(y) // count(*))::INT AS y, (sum(z) // count(*))::INT AS z FROM lut GROUP BY lut_id, idx * 20 // 64"))
+@query("op_t9_reduce_points", duck("emb vbank", "\nSELECT lut_id, (idx * 20 // 64)::INT AS idx, (sum(x) // count(*))::INT AS x, (sum(y) // count(*))::INT AS y, (sum(z) // count(*))::INT AS z FROM vbank GROUP BY lut_id, idx * 20 // 64"))
 def _(spark, sf):
-    return lut.reduce_points(lut_bank(spark).withColumn("size", F.lit(64)), "size", 20, ["lut_id"])
+    return lut.reduce_points(vector_bank(spark, sf).withColumn("size", F.lit(64)), "size", 20, ["lut_id"])
 
 
-@query("op_io9_table_file_runs", duck("lut", _FACTORS + """
-SELECT depth, lut_id, string_agg(printf('%02X', fx), '' ORDER BY idx) || string_agg(printf('%02X', fy), '' ORDER BY idx) || string_agg(printf('%02X', fz), '' ORDER BY idx) AS data FROM fa GROUP BY ALL"""))
+@query("op_io9_table_file_runs", duck("emb vbank", _VECTORS + _FACTORS + f""",
+ru AS (SELECT lut_id // {_FILE} AS file, depth, lut_id, string_agg(printf('%02X', fx), '' ORDER BY idx) || string_agg(printf('%02X', fy), '' ORDER BY idx) || string_agg(printf('%02X', fz), '' ORDER BY idx) AS data FROM fa GROUP BY ALL)
+SELECT file::VARCHAR AS file, '4C554C3000' || printf('%02X', count(DISTINCT lut_id) - 1) || '0100' || string_agg(data, '' ORDER BY depth, lut_id) AS hex FROM ru GROUP BY file"""))
 def _(spark, sf):
-    return lut.pack_file_bytes(lut_bank(spark)).select("depth", "lut_id", F.hex("data").alias("data"))
+    """The bytes of the files of the tables of all vectors, as they lie in the folder."""
+    files = spark.read.format("binaryFile").load(_table_folder(spark, sf))
+    return files.select(F.regexp_extract("path", r"(\d+)\.lut$", 1).alias("file"), F.hex("content").alias("hex"))
 
 
 # ---- two channels, and the table cascade

@@ -89,8 +89,25 @@ def lut_bank(spark: SparkSession, points: int = 64) -> DataFrame:
     return out
 
 
+def vector_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lut_id, idx, x, y, z): a table of 64 points for each three vectors, which are its three axes; vectors without two others are left out."""
+    plane = embedding_plane(spark, sf_dir)
+    axis = lambda k: F.max(F.when(F.col("y") % 3 == k, F.shiftright("v", 2))).alias("xyz"[k])
+    found = plane.groupBy(idiv("y", 3).cast("int").alias("lut_id"), F.col("x").alias("idx")).agg(*map(axis, range(3)), F.count("*").alias("n"))
+    return found.where("n = 3").drop("n")
+
+
+def blank_images(sizes: DataFrame, channels: list[str]) -> DataFrame:
+    """(image_id, y, x, <channels>): images of one value from (image_id, width, height, value); sizes of 0 give no pixels."""
+    span = lambda k: F.explode(F.expr(f"if({k} > 0, sequence(0, {k} - 1), array())"))
+    lines = sizes.select("image_id", "width", "value", span("height").alias("y"))
+    return lines.select("image_id", "y", span("width").alias("x"), *[F.col("value").alias(c) for c in channels])
+
+
 #: The same views in DuckDB.
 DUCK = {
+    "vbank": """vbank AS MATERIALIZED (SELECT (y // 3)::INT AS lut_id, x AS idx, max(v >> 2) FILTER (y % 3 = 0) AS x, max(v >> 2) FILTER (y % 3 = 1) AS y, max(v >> 2) FILTER (y % 3 = 2) AS z
+  FROM emb GROUP BY ALL HAVING count(*) = 3)""",
     "emb": """emb AS MATERIALIZED (SELECT vec_id::INT AS y, (i - 1)::INT AS x,
   least(255, greatest(0, floor((embedding[i]::DOUBLE + 0.5) * 255.0)::INT))::INT AS v
   FROM embeddings, range(1, 65) t(i) WHERE vec_id < (SELECT count(*) // 8 * 8 FROM embeddings))""",

@@ -82,3 +82,30 @@ def expanded(factors: DataFrame) -> DataFrame:
         return F.when(F.col("mode") < MODES, moved).otherwise(FILLER).cast("int").alias(a)
 
     return each.select("lut_id", "depth", "mode", "idx", *[value(k, a) for k, a in enumerate("xyz")])
+
+
+def table_files(scaled: DataFrame, channels: int = 3) -> DataFrame:
+    """(name, data): a file for each file of (file, lut_id, depth, idx, fx, fy, fz), lut_id counting from 0 in each. As write_factors, but made by the
+    cluster: of a file only its bytes, at most 92 KB, meet in a row. Files of more than MOST tables are left out."""
+    runs = lut.pack_runs(scaled, "xyz"[:channels], ("file",))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "lut_id", F.hex("data").alias("h")))), lambda s: s["h"]), "")
+    whole = runs.groupBy("file").agg(F.count_distinct("lut_id").alias("many"), body.alias("body")).where(F.col("many") <= MOST)
+    head = F.concat(F.lit((TAGS[channels] + b"0\0").hex()), F.lpad(F.hex((F.col("many") - 1).cast("long")), 2, "0"), F.lit("0100"))
+    return whole.select(F.concat(F.col("file").cast("string"), F.lit(".lut")).alias("name"), F.unhex(F.concat(head, "body")).alias("data"))
+
+
+def read_table_files(spark: SparkSession, path: str, channels: int = 3) -> DataFrame:
+    """(path, lut_id, depth, idx, fx, fy, fz, error) of all files *.lut of a folder; a file with another tag or size is one row with INVALID_LUT."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lut").load(path).select("path", "length", "content")
+    byte = lambda at: F.conv(F.hex(F.substring("content", at, F.lit(1))), 16, 10).cast("int")
+    many = byte(F.lit(6)) + 1
+    good = (F.col("length") >= HEADER) & (F.hex(F.substring("content", 1, 3)) == TAGS[channels].hex().upper()) & (F.col("length") == many * AXIS * channels + HEADER)
+    sized = files.withColumn("many", F.coalesce(F.when(good, many), F.lit(0)))
+    each = sized.withColumn("lut_id", F.explode(F.when(F.col("many") > 0, F.sequence(F.lit(0), F.col("many") - 1)).otherwise(F.array(F.lit(None).cast("int")))))
+    each = each.withColumn("depth", F.explode(F.when(F.col("many") > 0, F.array(*map(F.lit, (3, 4, 5, 6)))).otherwise(F.array(F.lit(None).cast("int")))))
+    each = each.withColumn("n", F.expr("shiftleft(1, depth)")).withColumn("s", F.col("n") * channels * F.col("lut_id") + (F.col("n") - 8) * (F.col("many") * channels) + HEADER)
+    runs = each.select("path", "lut_id", "depth", "n", *[F.hex(F.expr(f"substring(content, s + {k} * n + 1, n)")).alias(f"h{k}") for k in range(channels)])
+    points = runs.withColumn("idx", F.explode(F.coalesce(F.expr("sequence(0, n - 1)"), F.array(F.lit(None).cast("int")))))
+    axis = lambda k: F.conv(F.expr(f"substring(h{k}, 2 * idx + 1, 2)"), 16, 10).cast("int") if k < channels else F.lit(0)
+    error = F.when(F.col("idx").isNull(), "INVALID_LUT: another tag or size")
+    return points.select("path", "lut_id", "depth", "idx", *[axis(k).alias(f"f{a}") for k, a in enumerate("xyz")], error.alias("error"))
