@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import idiv
-from tilewright.operators import masks, resample, stats, windows
+from tilewright.operators import flatmaps, masks, resample, stats, windows
 from tilewright.sources.rasters import blank_images, duck, embedding_plane, event_image
 
 QUERIES: dict = {}
@@ -414,3 +414,13 @@ def _(spark, sf):
     plane = embedding_plane(spark, sf)
     mask = plane.select((F.col("y") - 4).alias("y"), (F.col("x") - 8).alias("x"), (F.col("v") >= 120).alias("m"))
     return plane.join(mask, ["y", "x"]).select("y", "x", F.when(F.col("m"), F.col("v")).otherwise(0).alias("v"))
+
+
+@query("op_e13_single_color_maps", None)
+def _(spark, sf):
+    """Images of 64 rows in few colours: what their maps of single colours take, by coded size."""
+    from tilewright.sources.rasters import mixed_image
+
+    few = lambda n: F.when(F.col("x") < 48, F.shiftright(n, 6) * 40).otherwise(F.col(n))
+    image = mixed_image(spark, sf).select(idiv("y", 64).cast("int").alias("image_id"), (F.col("y") % 64).alias("y"), "x", few("r").alias("r"), few("g").alias("g"), F.when(F.col("x") < 48, 7).otherwise(F.col("b")).alias("b"))
+    return flatmaps.single_color_maps(image, 64, 64)
