@@ -357,24 +357,42 @@ def scores_2d(places: DataFrame, bank: DataFrame) -> DataFrame:
     return _scores(places.withColumn("iz", F.lit(0)), _flat(bank), _MODES_2D)
 
 
-def search_2d(places: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame:
-    """(ty, tx, lut_id, mode, depth, err): as search, for two channels; a depth stands when no pixel is further than FAR_2D off."""
+def _turned_2d(places: DataFrame, choice: DataFrame, channels: list[str], keep: list[str]) -> DataFrame:
+    """The pixels of chosen tiles with the cell (cx, cy, cz) that they take, axes flipped and then swapped on the way to the table."""
     keys = [*by(places), "ty", "tx"]
-    pixels = places.join(scores_2d(places, bank).select(*keys, "lut_id", "mode"), keys)
+    pixels = places.join(choice.select(*keys, *keep), keys)
     bit = lambda k: c("mode").bitwiseAND(F.lit(1 << k)) != 0
     one = F.lit(63.0).cast("float")
     rel = [((c(n) - F.col(f"{n}0")).cast("float") / (F.col(f"{n}1") - F.col(f"{n}0"))).cast("float") * one for n in channels]
     p, q = (F.when(bit(k), one - v).otherwise(v).cast("int") for k, v in enumerate(rel))
-    pixels = pixels.select("*", F.when(bit(2), q).otherwise(p).alias("cx"), F.when(bit(2), p).otherwise(q).alias("cy"), F.lit(0).alias("cz"))
+    return pixels.select("*", F.when(bit(2), q).otherwise(p).alias("cx"), F.when(bit(2), p).otherwise(q).alias("cy"), F.lit(0).alias("cz"))
+
+
+def search_2d(places: DataFrame, channels: list[str], bank: DataFrame, far: int = FAR_2D, depths: tuple[int, ...] = (6, 5, 4, 3)) -> DataFrame:
+    """(ty, tx, lut_id, mode, depth, err): as search, for two channels; a depth stands when no pixel is further than far off."""
+    keys = [*by(places), "ty", "tx"]
+    pixels = _turned_2d(places, scores_2d(places, bank), channels, ["lut_id", "mode"])
+    bit = lambda k: c("mode").bitwiseAND(F.lit(1 << k)) != 0
     near = cells(_flat(bank), pixels.select("cx", "cy", "cz").distinct()).drop("dist", "cz")
-    depths = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"i{d}").alias("idx")) for d in (6, 5, 4, 3)])).alias("s")
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"i{d}").alias("idx")) for d in depths])).alias("s")
     ends = [f"{n}{k}" for n in channels for k in (0, 1)]
-    long = pixels.join(near, ["lut_id", "cx", "cy"]).select(*keys, "lut_id", "mode", *channels, *ends, depths).select("*", "s.*").drop("s")
+    long = pixels.join(near, ["lut_id", "cx", "cy"]).select(*keys, "lut_id", "mode", *channels, *ends, each).select("*", "s.*").drop("s")
     entry = long.join(F.broadcast(factors(_flat(bank))), ["lut_id", "depth", "idx"])
     fx, fy = (F.when(bit(k), F.lit(FACTOR) - c(f)).otherwise(c(f)) for k, f in enumerate(("fx", "fy")))
     back = (F.when(bit(2), fy).otherwise(fx), F.when(bit(2), fx).otherwise(fy))
     error = F.greatest(*[F.abs(F.col(f"{n}0") + idiv(b * (F.col(f"{n}1") - F.col(f"{n}0")), FACTOR) - c(n)) for n, b in zip(channels, back, strict=True)])
-    served = entry.withColumn("e", error).groupBy(*keys, "lut_id", "mode", "depth").agg(F.max("e").alias("worst"), F.sum("e").alias("err")).where(F.col("worst") <= FAR_2D)
+    served = entry.withColumn("e", error).groupBy(*keys, "lut_id", "mode", "depth").agg(F.max("e").alias("worst"), F.sum("e").alias("err")).where(F.col("worst") <= far)
     least = served.groupBy(*keys, "lut_id", "mode").agg(F.min(F.struct("depth", "err")).alias("d"))
     best = F.min(F.struct(F.col("d.err").alias("err"), (-F.col("lut_id")).alias("l"), "mode", F.col("d.depth").alias("depth"))).alias("b")
     return least.groupBy(*keys).agg(best).select(*keys, (-F.col("b.l")).alias("lut_id"), F.col("b.mode").alias("mode"), F.col("b.depth").alias("depth"), F.col("b.err").alias("err"))
+
+
+def decode_2d(places: DataFrame, choice: DataFrame, channels: list[str], bank: DataFrame) -> DataFrame:
+    """(y, x, <channels>) as a decoder gives them: entries swapped and then flipped, scaled by 7 bits over the tile's box."""
+    pixels = _turned_2d(places, choice, channels, ["lut_id", "mode", "depth"])
+    ends = [f"{n}{k}" for n in channels for k in (0, 1)]
+    entry = _entries(pixels.select(*by(places), "y", "x", *ends, "lut_id", "mode", "depth", "cx", "cy", "cz"), _flat(bank))
+    bit = lambda k: c("mode").bitwiseAND(F.lit(1 << k)) != 0
+    moved = (F.when(bit(2), c("fy")).otherwise(c("fx")), F.when(bit(2), c("fx")).otherwise(c("fy")))
+    out = [(F.col(f"{n}0") + shr(F.when(bit(k), F.lit(FACTOR) - v).otherwise(v) * (F.col(f"{n}1") - F.col(f"{n}0")), 7)).cast("int").alias(n) for k, (n, v) in enumerate(zip(channels, moved, strict=True))]
+    return entry.select(*by(places), "y", "x", *out)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tilewright.functions.scalar import idiv
+from tilewright.functions.scalar import idiv, rgb_to_ycocg
 from tilewright.operators import gradient, lut, quant1d, stats, streams
 from tilewright.plans import pass_stats
 from tilewright.sources import captures, png, tables
@@ -467,22 +467,52 @@ def _(spark, sf):
 _N2 = ", ".join(f"(min(((c.cx - l.x) * (c.cx - l.x) + (c.cy - l.y) * (c.cy - l.y)) * 64 + idx) FILTER (idx % {1 << s} = 0) % 64 // {1 << s})::INT AS i{6 - s}" for s in range(4))
 
 
-@query("op_e8_table_search_2d", duck("evt mix lut", _PLACES_2 + f""",
+def _search_2d_sql(depths: str = "range(3, 7) t(d)", far: int = 6) -> str:
+    return f""",
 tp AS MATERIALIZED (SELECT ty, tx, r, g, r0, r1, g0, g1, lut_id, mode, CASE WHEN mode & 4 <> 0 THEN q ELSE p END AS cx, CASE WHEN mode & 4 <> 0 THEN p ELSE q END AS cy FROM (SELECT pl.*, lut_id, mode,
  trunc(CASE WHEN mode & 1 <> 0 THEN 63.0::FLOAT - ((r - r0)::FLOAT / (r1 - r0))::FLOAT * 63.0::FLOAT ELSE ((r - r0)::FLOAT / (r1 - r0))::FLOAT * 63.0::FLOAT END)::INT AS p,
  trunc(CASE WHEN mode & 2 <> 0 THEN 63.0::FLOAT - ((g - g0)::FLOAT / (g1 - g0))::FLOAT * 63.0::FLOAT ELSE ((g - g0)::FLOAT / (g1 - g0))::FLOAT * 63.0::FLOAT END)::INT AS q FROM pl JOIN sc USING (ty, tx))),
 ne AS MATERIALIZED (SELECT lut_id, cx, cy, {_N2} FROM (SELECT DISTINCT cx, cy FROM tp) c, l2 l GROUP BY lut_id, cx, cy),
-lo AS (SELECT tp.*, d AS depth, CASE d WHEN 6 THEN i6 WHEN 5 THEN i5 WHEN 4 THEN i4 ELSE i3 END AS idx FROM tp JOIN ne USING (lut_id, cx, cy), range(3, 7) t(d)),
+lo AS (SELECT tp.*, d AS depth, CASE d WHEN 6 THEN i6 WHEN 5 THEN i5 WHEN 4 THEN i4 ELSE i3 END AS idx FROM tp JOIN ne USING (lut_id, cx, cy), {depths}),
 fa AS (SELECT lut_id, 6 - s AS depth, idx // (1 << s) AS idx, x * 128 // 63 AS fx, y * 128 // 63 AS fy FROM lut, range(4) t(s) WHERE idx % (1 << s) = 0),
 fl AS (SELECT lo.*, CASE WHEN mode & 1 <> 0 THEN 128 - fx ELSE fx END AS ex, CASE WHEN mode & 2 <> 0 THEN 128 - fy ELSE fy END AS ey FROM lo JOIN fa USING (lut_id, depth, idx)),
 er AS (SELECT *, greatest(abs(r0 + (CASE WHEN mode & 4 <> 0 THEN ey ELSE ex END) * (r1 - r0) // 128 - r), abs(g0 + (CASE WHEN mode & 4 <> 0 THEN ex ELSE ey END) * (g1 - g0) // 128 - g)) AS e FROM fl),
-dp AS (SELECT ty, tx, lut_id, mode, depth, sum(e) AS err FROM er GROUP BY ALL HAVING max(e) <= 6),
-sv AS (SELECT * FROM dp QUALIFY row_number() OVER (PARTITION BY ty, tx, lut_id ORDER BY depth) = 1)
-SELECT ty, tx, lut_id, mode, depth::INT AS depth, err::BIGINT AS err FROM sv QUALIFY row_number() OVER (PARTITION BY ty, tx ORDER BY err, lut_id DESC) = 1"""))
+dp AS (SELECT ty, tx, lut_id, mode, depth, sum(e) AS err FROM er GROUP BY ALL HAVING max(e) <= {far}),
+sv AS (SELECT * FROM dp QUALIFY row_number() OVER (PARTITION BY ty, tx, lut_id ORDER BY depth) = 1),
+c2 AS MATERIALIZED (SELECT ty, tx, lut_id, mode, depth::INT AS depth, err::BIGINT AS err FROM sv QUALIFY row_number() OVER (PARTITION BY ty, tx ORDER BY err, lut_id DESC) = 1)"""
+
+
+@query("op_e8_table_search_2d", duck("evt mix lut", _PLACES_2 + _search_2d_sql() + "\nSELECT ty, tx, lut_id, mode, depth, err FROM c2"))
 def _(spark, sf):
     return lut.search_2d(_places_2d(spark, sf), ["r", "g"], lut_bank(spark))
 
 
+@query("op_d9_table_decode_2d", duck("evt mix lut", _PLACES_2 + _search_2d_sql() + f""",
+d1 AS (SELECT y, x, r0, r1, g0, g1, c2.lut_id, c2.mode, c2.depth, CASE WHEN c2.mode & 4 <> 0 THEN q ELSE p END AS cx, CASE WHEN c2.mode & 4 <> 0 THEN p ELSE q END AS cy FROM (SELECT pl.*, lut_id AS l, mode AS m, depth AS d,
+ trunc(CASE WHEN mode & 1 <> 0 THEN 63.0::FLOAT - ((r - r0)::FLOAT / (r1 - r0))::FLOAT * 63.0::FLOAT ELSE ((r - r0)::FLOAT / (r1 - r0))::FLOAT * 63.0::FLOAT END)::INT AS p,
+ trunc(CASE WHEN mode & 2 <> 0 THEN 63.0::FLOAT - ((g - g0)::FLOAT / (g1 - g0))::FLOAT * 63.0::FLOAT ELSE ((g - g0)::FLOAT / (g1 - g0))::FLOAT * 63.0::FLOAT END)::INT AS q FROM pl JOIN c2 USING (ty, tx)) JOIN c2 USING (ty, tx)),
+d2 AS (SELECT d1.*, CASE depth WHEN 6 THEN i6 WHEN 5 THEN i5 WHEN 4 THEN i4 ELSE i3 END AS idx FROM d1 JOIN (SELECT lut_id, cx, cy, {_N2} FROM (SELECT DISTINCT cx, cy FROM d1) c, l2 l GROUP BY lut_id, cx, cy) USING (lut_id, cx, cy)),
+d3 AS (SELECT d2.*, CASE WHEN mode & 4 <> 0 THEN fy ELSE fx END AS sx, CASE WHEN mode & 4 <> 0 THEN fx ELSE fy END AS sy FROM d2 JOIN fa USING (lut_id, depth, idx))
+SELECT y, x, (r0 + (((CASE WHEN mode & 1 <> 0 THEN 128 - sx ELSE sx END) * (r1 - r0)) >> 7))::INT AS r, (g0 + (((CASE WHEN mode & 2 <> 0 THEN 128 - sy ELSE sy END) * (g1 - g0)) >> 7))::INT AS g FROM d3"""))
+def _(spark, sf):
+    places, bank = _places_2d(spark, sf), lut_bank(spark)
+    return lut.decode_2d(places, gradient.checkpointed(lut.search_2d(places, ["r", "g"], bank)), ["r", "g"], bank)
+
+
+_CHROMA = """,
+ch_ AS (SELECT y, x, trunc((r - b) / 2)::INT AS r, g - (b + trunc((r - b) / 2)::INT) AS t FROM mix),
+cc AS MATERIALIZED (SELECT y, x, r, trunc(t / 2)::INT AS g FROM ch_)""" + _PLACES_2.replace(_FREE, "true").replace("FROM mix", "FROM cc")
+
+
+@query("op_e9_chroma_search", duck("evt mix lut", _CHROMA + _search_2d_sql("range(4, 7) t(d)", 3) + "\nSELECT ty, tx, lut_id, mode, least(depth, 5) AS depth, err FROM c2"))
+def _(spark, sf):
+    """Tiles of the two chroma planes: no pixel more than 3 off with 4, 5 or 6 bits; what needs 6 is named 5, as defined."""
+    _, co, cg = rgb_to_ycocg("r", "g", "b")
+    chroma = mixed_image(spark, sf).select("y", "x", co.cast("int").alias("co"), cg.cast("int").alias("cg"))
+    places = lut.normalised_2d(chroma, ["co", "cg"], F.lit(True), 8, 8)
+    return lut.search_2d(places, ["co", "cg"], lut_bank(spark), 3, (6, 5, 4)).withColumn("depth", F.least("depth", F.lit(5)))
+
+
 @query("op_e7_table_cascade", None)
 def _(spark, sf):
     return lut.cascade(mixed_image(spark, sf), RGB, lut_bank(spark))
