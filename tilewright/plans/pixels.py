@@ -408,7 +408,7 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("op_j9_aligned_boxes", duck("emb", "\nSELECT a.y, a.x, CASE WHEN m.v >= 120 THEN a.v ELSE 0 END AS v FROM emb a JOIN (SELECT y - 4 AS y, x - 8 AS x, v FROM emb) m USING (y, x)"))
+@query("op_j9_aligned_boxes", duck("emb", "\nSELECT y, x, CASE WHEN m >= 120 THEN v ELSE 0 END AS v FROM (SELECT y, x, v, lead(v) OVER (PARTITION BY y % 4, x - 2 * y ORDER BY y) AS m FROM emb) WHERE m IS NOT NULL"))
 def _(spark, sf):
     """All pixels that have one 4 below and 8 to the right."""
     plane = embedding_plane(spark, sf)

@@ -576,3 +576,33 @@ def _(spark, sf):
     png.write_png(drawn, where, ["v"])
     found = captures.patterns(captures.image_patterns(png.read_png(spark, where).where("y is not null")), "xy")
     return found.select(png.name_of("path").alias("image_id"), "idx", "x", "y")
+
+
+@query("op_io12_registered_banks", duck("evt mix", _PATTERNS + """,
+pt AS (SELECT ty, tx, n * 64 // 128 AS idx, sum(ix) // count(*) AS x, sum(iy) // count(*) AS y, sum(iz) // count(*) AS z FROM rk GROUP BY ALL),
+bk AS (SELECT (ty // 8)::INT::VARCHAR AS image_id, (dense_rank() OVER (PARTITION BY ty // 8 ORDER BY ty, tx) - 1)::INT AS lut_id, idx, x, y, z FROM pt)
+SELECT image_id, lut_id, (6 - s)::INT AS depth, (idx // (1 << s))::INT AS idx, (x * 128 // 63)::INT AS fx, (y * 128 // 63)::INT AS fy, (z * 128 // 63)::INT AS fz FROM bk, range(4) t(s) WHERE idx % (1 << s) = 0"""))
+def _(spark, sf):
+    """The captured tiles of each image as its bank of tables, with their factors at all depths."""
+    where = codec_scratch(spark)
+    captures.write_captures(_tile_places(spark, sf), where, 16, 8)
+    bank = captures.banks(captures.named(captures.patterns(captures.read_captures(spark, where))))
+    whole = bank.withColumn("lut_id", F.struct("image_id", "lut_id"))
+    return lut.factors(whole).select("lut_id.image_id", "lut_id.lut_id", "depth", "idx", "fx", "fy", "fz")
+
+
+_CLOUD = "trunc(((({n} - {n}0) * (CASE WHEN {n}1 > {n}0 THEN 1048576 // greatest({n}1 - {n}0, 1) ELSE 0 END))::FLOAT / 1048576.0::FLOAT)::FLOAT * 255.0::FLOAT)::INT AS {a}_"
+
+
+@query("op_io15_tile_clouds", duck("evt mix", _PLACES.replace(_FREE, "true") + ",\npc AS (SELECT ty, tx, y, x, r || ',' || g || ',' || b AS rgb, " + ", ".join(_CLOUD.format(n=n, a=a) for n, a in zip("rgb", "xyz", strict=True)) + " FROM pl),\nli AS (SELECT ty, tx, y, x, "
+    + " || ".join(f"(x_ + {dx}) || ',' || (y_ + {dy}) || ',' || (z_ + {dz}) || ',' || rgb || chr(10)" for dy in (-1, 0, 1) for dx in (-1, 0, 1) for dz in (-1, 0, 1)) + " AS s FROM pc),\ntx_ AS (SELECT ty, tx, "
+    + " || ".join(f"'{x},{y},{z},255,255,255' || chr(10)" for z in (0, 255) for y in (0, 255) for x in (0, 255)) + " || string_agg(s, '' ORDER BY y, x) AS t FROM li GROUP BY ty, tx)\n"
+    + "SELECT (ty // 8)::INT::VARCHAR AS image_id, (tx * 8) || '-' || (ty % 8 * 8) AS name, strlen(t)::BIGINT AS bytes, md5(t) AS digest FROM tx_"))
+def _(spark, sf):
+    """The points of every tile worth a table as text files, as they lie in the folder: their lengths and digests."""
+    places = lut.normalised(mixed_image(spark, sf), RGB, F.lit(True), 8, 8)
+    places = places.withColumn("image_id", idiv("ty", 8).cast("int")).withColumn("ty", F.col("ty") % 8).withColumn("y", F.col("y") % 64)
+    where = codec_scratch(spark)
+    write_files(captures.cloud_files(places, RGB, 8, 8), where)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where).select("path", F.col("length").alias("bytes"), F.md5("content").alias("digest"))
+    return captures.named(files)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.functions.scalar import c, morton2, morton3
+from tilewright.functions.scalar import c, idiv, morton2, morton3
 from tilewright.operators import lut
 from tilewright.sources.files import qualified, write_files
 
@@ -83,3 +83,32 @@ def named(frame: DataFrame) -> DataFrame:
     return frame.withColumn("image_id", F.regexp_extract("path", r"image=([^/]+)/", 1)).withColumn("name", name).drop("path")
 
 
+
+
+def banks(found: DataFrame) -> DataFrame:
+    """(image_id, lut_id, idx, x, y, z): the patterns (image_id, name, idx, ...) of each image as its bank, tables numbered in rows of tiles. Banks of more
+    than lut.MOST_TABLES are refused when they are used."""
+    left, top = F.regexp_extract("name", r"(\d+)-", 1).cast("int"), F.regexp_extract("name", r"-(\d+)", 1).cast("int")
+    number = F.dense_rank().over(Window.partitionBy("image_id").orderBy(top, left)) - 1
+    return found.select("image_id", number.alias("lut_id"), "idx", *"xyz")
+
+
+def cloud_files(pixels: DataFrame, channels: list[str], tw: int, th: int) -> DataFrame:
+    """(name, data): a text file of points for each tile (image_id, ty, tx, y, x, <channels>, <channel>0/1 ...): the corners of a cube of side 255 in white, then
+    for each pixel, row by row, the 27 places around its own in the cube, with its colour."""
+    corners = "".join(f"{x},{y},{z},255,255,255\n" for z in (0, 255) for y in (0, 255) for x in (0, 255))
+
+    def place(n: str):
+        span = F.col(f"{n}1") - F.col(f"{n}0")
+        step = F.when(span > 0, idiv(F.lit(1 << 20), F.when(span > 0, span))).otherwise(0)
+        part = (((c(n) - F.col(f"{n}0")) * step).cast("float") / float(1 << 20)).cast("float")
+        return (part * F.lit(255.0).cast("float")).cast("int")
+
+    around = [(dx, dy, dz) for dy in (-1, 0, 1) for dx in (-1, 0, 1) for dz in (-1, 0, 1)]
+    color = F.concat_ws(",", *channels)
+    lines = F.concat(*[F.concat(F.concat_ws(",", *[F.col(f"_{a}") + d for a, d in zip("xyz", step, strict=True)]), F.lit(","), F.col("_c"), F.lit("\n")) for step in around])
+    placed = pixels.select("image_id", "ty", "tx", "y", "x", *[place(n).alias(f"_{a}") for n, a in zip(channels, "xyz", strict=True)], color.alias("_c"))
+    listed = F.sort_array(F.collect_list(F.struct("y", "x", "s")))
+    tiles = placed.withColumn("s", lines).groupBy("image_id", "ty", "tx").agg(F.concat(F.lit(corners), F.array_join(F.transform(listed, lambda p: p["s"]), "")).alias("text"))
+    name = F.concat(F.lit("image="), "image_id", F.lit("/tile-"), F.col("tx") * tw, F.lit("-"), F.col("ty") * th, F.lit(".xyz"))
+    return tiles.select(name.alias("name"), F.col("text").cast("binary").alias("data"))
