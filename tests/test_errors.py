@@ -144,3 +144,9 @@ def test_the_first_error_stays(spark, tmp_path):
     raised(lambda: engine.save_bank(str(tmp_path / "x")))
     assert engine.last_error() == "INVALID_SIZE" and engine.last_error() is None
     assert isinstance(raised(lambda: engine.save_bank(str(tmp_path / "x"))), ContainerError) and engine.last_error() == "INVALID_LUT"
+
+
+def test_a_callers_builder_gets_the_rows(spark):
+    rows = spark.createDataFrame([("i", 0, x, x, 10 + x, 20 + x, None) for x in range(3)], "name string, y int, x int, r int, g int, b int, a int")
+    lines = TileEngine(spark).transform_output(rows, lambda df: df.groupBy("name", "y").agg(F.sort_array(F.collect_list(F.struct("x", "b", "g", "r"))).alias("p")))
+    assert [[(q.b, q.g, q.r) for q in r.p] for r in lines.collect()] == [[(20, 10, 0), (21, 11, 1), (22, 12, 2)]]

@@ -86,6 +86,11 @@ def test_runs_of_maps():
     for _ in range(200):
         filled = np.repeat(rng.integers(0, 3, 12), rng.integers(0, 40, 12)).astype(np.uint8)
         assert flatmaps.coded(filled) == brute_coded(filled.tolist())
+        assert (flatmaps.restored(*flatmaps.coded(filled), len(filled)) == filled).all()
+    stream, runs = flatmaps.coded(np.arange(1, 60, dtype=np.uint8))
+    for bad in ((stream, runs, 58), (pack(b"1"), runs, 59), (pack(b"1" * 80), runs, 59)):
+        with pytest.raises(ValueError, match="run beyond|more bytes"):
+            flatmaps.restored(*bad)
     assert flatmaps.map_runs(np.zeros(0, np.uint8)) == [] and flatmaps.map_runs(np.zeros(99, np.uint8)) == []
 
 

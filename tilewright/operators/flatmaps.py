@@ -44,6 +44,24 @@ def coded(filled: np.ndarray) -> tuple[bytes, bytes]:
     return pack(b"".join(filled[s : s + n].tobytes() for s, n in runs)), pack(b"".join(steps))
 
 
+def restored(stream: bytes, runs: bytes, size: int) -> np.ndarray:
+    """The map that coded() made these of; ValueError where they do not fit each other or the size."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    data, steps = np.frombuffer(unpack(stream), np.uint8), unpack(runs)
+    filled, start, at = np.zeros(size, np.uint8), 0, 0
+    for step, length in struct.iter_unpack("<II", steps):
+        start += step
+        if start + length > size or at + length > len(data):
+            raise ValueError("a run beyond the map")
+        filled[start : start + length] = data[at : at + length]
+        at += length
+    if at != len(data):
+        raise ValueError("more bytes than the runs take")
+    return filled
+
+
 def choose(places: list[np.ndarray], size: int) -> list[tuple[int, int, int]]:
     """(candidate, stream bytes, run bytes) of the candidates that a map of size bytes takes, most pixels first.
 
@@ -64,6 +82,8 @@ def choose(places: list[np.ndarray], size: int) -> list[tuple[int, int, int]]:
             continue
         taken.append((k, len(stream), len(runs)))
         pixels, before = pixels + len(place), total
+        if not np.array_equal(restored(stream, runs, size), filled):
+            raise ValueError("a map that does not come back")
     return taken
 
 

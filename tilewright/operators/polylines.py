@@ -58,22 +58,25 @@ def _apart(place: dict[str, Column]) -> tuple[Column, Column]:
     return F.sqrt(sum((off[a] * off[a] for a in place), F.lit(0.0))), foot
 
 
-def field(lines: DataFrame, dims: int = 3) -> DataFrame:
+def field(lines: DataFrame, dims: int = 3, apart=None) -> DataFrame:
     """(line, <cell coordinates>, dist, i6, i5, i4, i3) of every cell of the cube (or, with two dimensions, of the square): ((d + 1)^2 - 1) * 1024, cut, of the
     distance d to the line, and at each depth the point that is nearest along the line to the foot on the nearest segment (of equals the first).
 
     A block of cells is at most REACH from its middle, so only segments that come within twice that of the middle's nearest can be nearest to
-    one of its cells; the others are not looked at there."""
-    axes, side = "xyz"[:dims], SIDE // BLOCK
+    one of its cells; the others are not looked at there.
+
+    apart: a caller's own segments: a function of a place (its columns by axis) that gives the distance to the row's segment and the place on it,
+    from the row's columns. A step of any length must change the distance by no more than its length."""
+    axes, side, apart = "xyz"[:dims], SIDE // BLOCK, apart or _apart
     if dims == 2:
         lines = lines.where("x0 <> x1 or y0 <> y1")
     blocks = lines.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(side**dims - 1))))
     corner = {a: (idiv("block", side**k) % side * BLOCK).cast("double") for k, a in enumerate(axes)}
-    dist, _ = _apart({a: v + (BLOCK - 1) / 2 for a, v in corner.items()})
+    dist, _ = apart({a: v + (BLOCK - 1) / 2 for a, v in corner.items()})
     near = blocks.withColumn("mid", dist).withColumn("least", F.min("mid").over(Window.partitionBy("line", "block"))).where(F.col("mid") <= F.col("least") + 2 * REACH[dims])
     cells = near.drop("mid", "least").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(BLOCK**dims - 1))))
     place = {a: corner[a] + (idiv("cell", BLOCK**k) % BLOCK).cast("double") for k, a in enumerate(axes)}
-    dist, foot = _apart(place)
+    dist, foot = apart(place)
     measured = cells.select("line", *[v.cast("int").alias(a) for a, v in place.items()], F.struct(dist.alias("d"), "seg", ((F.col("start") + foot * F.col("size")) / F.col("total")).alias("at")).alias("s"))
     best = measured.groupBy("line", *axes).agg(F.min("s").alias("s"))
     grown = ((F.col("s.d") + 1.0) * (F.col("s.d") + 1.0) - 1.0) * 1024.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,12 +28,17 @@ def undo_delta(value, order: tuple[str, str] = LEFT_RIGHT, keys=()) -> Column:
     return F.sum(c(value)).over(along(order, keys).rowsBetween(Window.unboundedPreceding, 0)).cast("int")
 
 
-def parsing_order(pixels: DataFrame, order: tuple[str, str], box: tuple[int, int, int, int]) -> DataFrame:
-    """(y, x, line, place, is_start) of the pixels of a box (x, y, w, h) in an order; is_start marks a line's first."""
+def parsing_order(pixels: DataFrame, order: tuple[str, str] | Callable[[Column, Column], tuple[Column, Column]], box: tuple[int, int, int, int]) -> DataFrame:
+    """(y, x, line, place, is_start) of the pixels of a box (x, y, w, h) in an order; is_start marks a line's first.
+
+    An order is a pair of axes, or a caller's function of a pixel's row and column in the box that gives its line and its place there, from 0."""
     x0, y0, w, h = box
     kept = pixels.where(F.col("x").between(x0, x0 + w - 1) & F.col("y").between(y0, y0 + h - 1))
-    low = {"x": x0, "y": y0}
-    line, place = (c(k) - low[k] for k in order)
+    if callable(order):
+        line, place = order(c("y") - y0, c("x") - x0)
+    else:
+        low = {"x": x0, "y": y0}
+        line, place = (c(k) - low[k] for k in order)
     return kept.select(*by(pixels), "y", "x", line.alias("line"), place.alias("place"), (place == 0).alias("is_start"))
 
 

@@ -90,3 +90,21 @@ ORACLES["op_s27_distance_field_3d"] = duck("emb", _BAND_LINES + _SEGMENTS + _fie
 QUERIES["op_s27_distance_field_2d"] = _field_2d
 ORACLES["op_s27_distance_field_2d"] = duck("emb", _vector_lines_sql(2) + _SEGMENTS + _field_sql("xy", "SELECT (i % 64)::DOUBLE AS cx, (i // 64)::DOUBLE AS cy FROM range(4096) t(i)")
     + f"\nSELECT line, (x // 8)::INT AS bx, (y // 8)::INT AS by, {_SUMS} FROM fd GROUP BY ALL")
+
+
+def _own_segments(spark, sf):
+    """A field of the caller's own segments: each is its start alone, as far as the larger of the two steps to it."""
+
+    def corner(place):
+        return F.greatest(*[F.abs(v - F.col(f"{a}0")) for a, v in place.items()]), F.lit(0.0)
+
+    return _by_block(polylines.field(polylines.segments(_vector_lines(spark, sf, 2)), 2, corner), "xy")
+
+
+QUERIES["op_f4_own_segments"] = _own_segments
+ORACLES["op_f4_own_segments"] = duck("emb", _vector_lines_sql(2) + _SEGMENTS + f""",
+ce AS (SELECT (i % 64)::DOUBLE AS cx, (i // 64)::DOUBLE AS cy FROM range(4096) t(i)),
+m3 AS (SELECT line, cx, cy, seg, greatest(abs(cx - x0), abs(cy - y0)) AS d, start / total AS pos FROM sg, ce),
+m4 AS (SELECT line, cx, cy, min(struct_pack(d := d, seg := seg, pos := pos)) AS s FROM m3 GROUP BY ALL),
+fd AS (SELECT line, cx::INT AS x, cy::INT AS y, trunc(((s.d + 1.0) * (s.d + 1.0) - 1.0) * 1024.0)::INT AS dist, {", ".join(f"greatest(0, least({n - 1}, ceil(s.pos * {n - 1} - 0.5)))::INT AS i{d}" for d, n in polylines.COUNTS.items())} FROM m4)
+SELECT line, (x // 8)::INT AS bx, (y // 8)::INT AS by, {_SUMS} FROM fd GROUP BY ALL""")

@@ -424,3 +424,19 @@ def _(spark, sf):
     few = lambda n: F.when(F.col("x") < 48, F.shiftright(n, 6) * 40).otherwise(F.col(n))
     image = mixed_image(spark, sf).select(idiv("y", 64).cast("int").alias("image_id"), (F.col("y") % 64).alias("y"), "x", few("r").alias("r"), few("g").alias("g"), F.when(F.col("x") < 48, 7).otherwise(F.col("b")).alias("b"))
     return flatmaps.single_color_maps(image, 64, 64)
+
+
+@query("op_f3_own_orders", duck("emb", """,
+o AS (SELECT 'snake' AS o, y AS line, CASE WHEN y % 2 = 0 THEN x ELSE 63 - x END AS place, y, x, v FROM emb UNION ALL SELECT 'slope', y + x, least(y, 63 - x), y, x, v FROM emb)
+SELECT o, y, x, line::INT AS line, place::INT AS place, place = 0 AS is_start, (v - coalesce(lag(v) OVER (PARTITION BY o, line ORDER BY place), 0))::INT AS dv FROM o"""))
+def _(spark, sf):
+    """Differences along a caller's own orders of the whole plane: rows back and forth, and slopes."""
+    plane = embedding_plane(spark, sf)
+    height = (plane.agg(F.max("y")).first()[0] or -1) + 1
+    orders = {"snake": lambda y, x: (y, F.when(y % 2 == 0, x).otherwise(F.lit(63) - x)), "slope": lambda y, x: (y + x, F.least(y, F.lit(63) - x))}
+    out = None
+    for name, order in orders.items():
+        placed = windows.parsing_order(plane, order, (0, 0, 64, height)).join(plane, ["y", "x"])
+        made = placed.select(F.lit(name).alias("o"), "y", "x", "line", "place", "is_start", windows.delta("v", ("line", "place")).cast("int").alias("dv"))
+        out = made if out is None else out.unionByName(made)
+    return out
