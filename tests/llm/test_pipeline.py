@@ -85,3 +85,29 @@ def test_nulls_repeats_and_odd_columns(spark, make_docs, repeat):
     for name, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, "").collect(), stage(spark, docs, "").schema)
         assert docs.count() <= 3 * len(ODD) * repeat + 99, name
+
+
+@pytest.mark.parametrize("repeat", [1, 3])
+def test_each_stage_on_odd_rows(spark, make_docs, repeat):
+    """Nulls, empty and long texts, repeated rows, clashing columns: the rows that each stage must keep, and what it takes of them."""
+    from tests.llm.conftest import ODD
+
+    given = [r for r in ODD for _ in range(repeat)] + [(30, "enough words to pass the base rules of quality in a text that says nothing twice and ends after twenty words or so for good")] * repeat
+    docs = make_docs(given)
+    stages = [stage(spark, docs, "").collect() for _, stage in corpus_pipeline.STAGES]
+    full = [(i, t, "en", "s") for i, t in given]
+    verdict = brute_verdicts(full)
+    assert Counter(r.doc_id for r in stages[0]) == Counter(i for i, _ in given if verdict[i])
+    assert {r.doc_id for r in stages[0]} == {30}
+    least = {}
+    for i, t in given:
+        least[norm(t)] = min((x for x in (i, least.get(norm(t))) if x is not None), default=None)
+    assert Counter((r.doc_id, norm(r.text)) for r in stages[1]) == Counter((i, t) for t, i in least.items())
+    components = near(given)
+    alone = Counter(i for i, n, _ in components.elements() if n == 0)
+    assert Counter(r.doc_id for r in stages[2]) == Counter(set(c for _, n, c in components if n)) + alone
+    taken, source = Counter((r.doc_id, r.text) for r in stages[3]), Counter(given)
+    assert set(taken) <= set(source) and all(taken[k] % n == 0 and taken[k] <= 3 * n for k, n in source.items())
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in stages[4]) == brute_pieces(given)
+    for rows in stages[:4]:
+        assert not rows or rows[0].asDict().keys() == docs.first().asDict().keys()

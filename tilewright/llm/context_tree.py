@@ -448,8 +448,9 @@ def context_tree_scores(docs: DataFrame) -> DataFrame:
     A chunk of texts sends each distinct gram and word once, with its count; shards add the counts up, so that
     a frequent gram costs a row per chunk at most. Subtrees of the nearest two bytes are mixed in one task
     each, from distinct grams; the two depths above have 256 * 255 nodes at most, which the driver holds.
-    Paths end where the training texts have no longer context. Every task's input is bounded by the number of
-    shards, which follows the bytes of text."""
+    Paths end where the training texts have no longer context. A very long text is read whole by one task and may
+    make several chunks. Shards follow the bytes of text; grams are dealt by their two nearest bytes, so the largest task grows
+    with the most frequent pair."""
     spark = docs.sparkSession
     ws = Workspace(spark, "ctw")
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").cast("binary").alias("text"))

@@ -218,7 +218,7 @@ def pack(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end_id: int = EN
 
     Needs doc_id and text; a null text is empty and so one token, the end. Only documents longer than the
     capacity are cut. Repeated rows are packed as often as they come; a null doc_id stays null; other
-    columns are not read. No documents give no rows. The driver sees one count per length; pieces of equal
+    columns are not read. No documents give no rows. A very long text is tokenised whole by one task. The driver sees one count per length; pieces of equal
     length are numbered in buckets of about bucket_rows, so that a frequent length is not one group."""
     spark = docs.sparkSession
     ws = Workspace(spark, "pack")

@@ -427,7 +427,8 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     Needs doc_id and text; texts are UTF-8 bytes, null is empty. Earlier means a smaller doc_id (null last; rows
     of equal doc_id in the order they were read) or an earlier place in the same text. Strings never cross
     texts and are judged on the input. kept is the text that is left, or its SHA-256 without with_text.
-    Repeated rows are documents of their own; other columns are not read. No documents give no rows.
+    Repeated rows are documents of their own; other columns are not read. No documents give no rows. A very long text is cut into
+    pieces that overlap by a string, and put together again by one task.
 
     Suffixes are dealt by the anchor of their first LENGTH bytes, so that equal ones meet. Anchors whose hash
     comes once are left out before any text moves. A chunk sorts its own contexts first and sends each distinct

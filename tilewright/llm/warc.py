@@ -66,7 +66,8 @@ def write_archives(pages: DataFrame, ws: Workspace, date: str = "2024-01-01T00:0
 
     Records are ended by an empty line pair, which is the line separator of the text files written: the
     archives go through Spark's own committer to any file system it reaches. Only responses carry a payload.
-    A null html is an empty payload, a null url or page_id an empty header. Files hold file_rows at most."""
+    A null html is an empty payload, a null url or page_id an empty header. Files hold file_rows at most; a very long page is
+    one record, made and read whole by one task."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
     headers = ws.stage(keyed.select("page_id", _line(F.col("url")).alias("url"), "digest", F.octet_length("payload").cast("long").alias("bytes"), F.monotonically_increasing_id().alias("row")), "headers")
