@@ -178,3 +178,22 @@ def test_given_pages(spark):
         want[i] = "\n".join(p for p in parts if p)
     got = {r.page_id: r.text for r in wrappers.op13_main_text(spark, SF).collect()}
     assert got == want
+
+
+TEXT = "Some words of a text that goes on and on, as texts do."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><header><h1>Site</h1></header><div id=content><h1>T</h1><p>{TEXT}</div><div class=rightSidebar>x y z</div>", f"T\n{TEXT}"),
+        (f"<body><div class='content-sidebar-wrap'><main><p>{TEXT}</main><div class=sidebar>x</div></div>", TEXT),
+        (f"<body><nav>a</nav><article><header><h1>T</h1></header><p>{TEXT}<figure><figcaption>F</figcaption></figure><ul><li>i<li>j</ul><aside>no</aside></article><ol class=commentlist><li>c</ol>", f"T\n{TEXT}\nF\ni\nj"),
+        (f"<body class=has-sidebar><div id=siteFooter>f</div><div role=main><p>{TEXT}</p><form>q</form></div>", TEXT),
+        (f"<body><div class=post><p>{TEXT}<p>{TEXT}</div><section id=comments><article class=comment><p>{TEXT}</article></section><dialog>d</dialog>", f"{TEXT}\n{TEXT}"),
+        (f"<table><tr><td><a href=1>m</a><br><a href=2>n</a><td><h2>T</h2><p>{TEXT} <a href=3>more</a></table>", f"T\n{TEXT} more"),
+        (f"<div style='display: none'>hid</div><div hidden>den</div><p>{TEXT}", TEXT),
+    ],
+)
+def test_pages_by_themselves(page, text):
+    assert wrappers.extract(page, None) == text

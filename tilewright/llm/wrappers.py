@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import html
 import json
@@ -40,6 +41,8 @@ _NOISE_WORD = set(
     " sidebar sidebars aside rail footer foot footers masthead topbar toolbar cookie cookies consent gdpr notice notices alert alerts disclaimer popup modal overlay newsletter subscribe signup login"
     " comment comments disqus respond reply replies share sharing social related recommended recommendations pagination pager widget widgets search form hidden complementary contentinfo skip".split()
 )
+#: Words of a class may be run together: these at either end of one say the same.
+_NOISE_END = ("comment", "comments", "sidebar", "cookie", "cookies", "newsletter", "advert", "navbar", "footer", "breadcrumb", "breadcrumbs", "menubar")
 _CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
     "tr": ({"tr"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody"}, {"table"}), "body": ({"head"}, set()),
@@ -50,6 +53,7 @@ _MARK = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[^a-zA
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in _RAW}
 _ATTRIBUTE = re.compile(r"""(?i)(?<![^\s"'/])(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _LETTERS = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
@@ -67,17 +71,27 @@ def _kind(tag: str, attributes: str) -> str:
         return tag
     found, more = {}, ""
     for m in _ATTRIBUTE.finditer(attributes):
-        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+        found.setdefault(m[1].lower(), _HUMP.sub("-", m[2] or m[3] or m[4] or "").lower())
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         more = " hidden"
     words = " ".join(found[k] for k in ("class", "id", "role", "itemprop") if found.get(k))
     return (f"{tag} {' '.join(re.sub(r'[0-9]+', '0', words).split())[:80]}" if words else tag) + more
 
 
+@functools.lru_cache(1 << 12)
 def is_noise(kind: str) -> bool:
     """Whether an element of this kind is no part of an article: by its tag, or a word of its class, id or role."""
     tag, _, words = kind.partition(" ")
-    return tag in _NOISE_TAG or bool(words) and tag not in ("html", "body") and not _NOISE_WORD.isdisjoint(_LETTERS.findall(words))
+    if tag in _NOISE_TAG:
+        return True
+    if not words or tag in ("html", "body"):
+        return False
+    return any(w in _NOISE_WORD or w.startswith(_NOISE_END) or w.endswith(_NOISE_END) for w in _LETTERS.findall(words))
+
+
+def is_header(kind: str) -> bool:
+    tag, _, words = kind.partition(" ")
+    return tag == "header" or "header" in _LETTERS.findall(words)
 
 
 def is_article(kind: str) -> bool:
@@ -313,14 +327,33 @@ def fold(node: Node) -> Place:
     return Place(node.kind, 1, zlib.crc32(joined.encode()) or 1 if joined else 0, len(joined), links, kids)
 
 
-def _weights(place: Place, constants: bool, out: dict) -> tuple[int, int]:
+def _left_out(template: Place) -> set[int]:
+    """Places that are no part of an article by what they are. A box that is so by its words only, and yet holds an article, is none (its words name what it
+    has beside it); where there is no article element, headers at the top of the page are."""
+    out: set[int] = set()
+
+    def walk(p: Place) -> bool:
+        inner = [walk(k) for k in p.kids]
+        noise = is_noise(p.kind)
+        found = any(inner) or not noise and is_article(p.kind)
+        if noise and not (any(inner) and p.kind.partition(" ")[0] not in _NOISE_TAG):
+            out.add(id(p))
+            return False
+        return found
+
+    if not walk(template):
+        out |= {id(k) for top in (template, *(k for k in template.kids if k.kind.partition(" ")[0] == "body")) for k in top.kids if is_header(k.kind)}
+    return out
+
+
+def _weights(place: Place, constants: bool, out: dict, none: set[int]) -> tuple[int, int]:
     """Letters, and letters in links, of what may be content below each place."""
-    if is_noise(place.kind):
+    if id(place) in none:
         out[id(place)] = (0, 0)
         return 0, 0
     chars, links = (0, 0) if constants and _constant(place) else (place.chars, place.links)
     for k in place.kids:
-        c, n = _weights(k, constants, out)
+        c, n = _weights(k, constants, out, none)
         chars, links = chars + c, links + n
     out[id(place)] = (chars, links)
     return chars, links
@@ -331,19 +364,21 @@ def _constant(place: Place) -> bool:
 
 
 def decide(template: Place) -> list:
-    """The wrapper: [kind, rule, kids], rule being '+' content, '-' none of it, '=' only what is below, 'c' constant text inside content.
+    """The wrapper: [kind, rule, kids], rule being '+' content, '*' content but for elements whose text is links, '-' none of it, '=' only what is below,
+    'c' constant text inside content.
 
     Varying text inside an article or main element is content; without one, that of the smallest box with MAIN of the varying text, and
     headings beside it, menus by their share of links left out. Where nothing varies, constant text is all there is and counts."""
     weights: dict[int, tuple[int, int]] = {}
     constants = True
-    if not _weights(template, True, weights)[0]:
+    none = _left_out(template)
+    if not _weights(template, True, weights, none)[0]:
         constants = False
-        _weights(template, False, weights)
+        _weights(template, False, weights, none)
     marked: list[Place] = []
 
     def articles(p: Place) -> None:
-        if is_noise(p.kind) or not weights[id(p)][0]:
+        if id(p) in none or not weights[id(p)][0]:
             return
         if is_article(p.kind):
             inner = len(marked)
@@ -364,16 +399,16 @@ def decide(template: Place) -> list:
             best = max(p.kids, key=lambda k: weights[id(k)][0], default=None)
             if best is None or best.kind.partition(" ")[0] not in _BOX or weights[id(best)][0] < MAIN * weights[id(p)][0]:
                 break
-            regions |= {id(k) for k in p.kids if k is not best and (k.kind.partition(" ")[0] in _HEADING or k.kind.startswith("header") and any(g.kind.startswith("h1") for g in k.kids))}
+            regions |= {id(k) for k in p.kids if k is not best and k.kind.partition(" ")[0] in _HEADING}
             p = best
         regions.add(id(p))
 
     def rule(p: Place, inside: bool) -> list:
         inside |= id(p) in regions
         chars, links = weights[id(p)]
-        if is_noise(p.kind) or not explicit and inside and id(p) not in regions and chars and links > LINKED * chars:
+        if id(p) in none or not explicit and inside and id(p) not in regions and chars and links > LINKED * chars:
             return [p.kind, "-", []]
-        mark = "=" if not inside else "c" if constants and _constant(p) else "+"
+        mark = "=" if not inside else "c" if constants and _constant(p) else "+" if explicit else "*"
         return [p.kind, mark, [rule(k, inside) for k in p.kids]]
 
     return rule(template, False)
@@ -418,11 +453,17 @@ def blocks(root: Node, wrapper: list | None) -> list[str]:
             if mark == "+":
                 out.append(node[0])
         elif mark != "-":
+            own = "+" if mark in "+*" and not (mark == "*" and _is_menu(node)) else "="
             for kid in reversed(node.kids):
-                todo.append((kid, mark if isinstance(kid, list) else marks.get(id(kid.group), mark)))
+                todo.append((kid, own if isinstance(kid, list) else marks.get(id(kid.group), mark)))
     return out
 
 
+def _is_menu(node: Node) -> bool:
+    runs = [k for k in node.kids if isinstance(k, list)]
+    return sum(k[1] for k in runs) > LINKED * sum(len(k[0]) for k in runs)
+
+
 def extract(page: str | None, wrapper: list | None) -> str:
     """Main text: content blocks joined by line feeds. Where the host's wrapper finds nothing on a page, the page is judged by itself."""
     root = parse(page or "")
