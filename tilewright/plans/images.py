@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilewright.functions.entropy import LEVELS_UP, zstd_search
 from tilewright.functions.scalar import bitmap_position, c, compress, idiv, lut_word_parts, shl, shr, uncompress
 from tilewright.operators import gradient, lut, palette, quant1d, streams
 from tilewright.operators.gradient import checkpointed
@@ -57,9 +58,10 @@ def _zipped(data: pd.Series) -> pd.Series:
     return data.map(lambda b: _zip(bytes(b)))
 
 
-def _packed(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, parts, size): streams (keys, at, v) as compressed blocks in order."""
-    each = streams.blocks(values, keys).select(*keys, "block", "size", _udf(_zipped, "binary")("data").alias("data"))
+def _packed(values: DataFrame, keys: list[str], levels=None) -> DataFrame:
+    """(keys, parts, size): streams (keys, at, v) as compressed blocks in order; levels: those that are searched for each block."""
+    packed = _udf(_zipped, "binary")("data") if levels is None else zstd_search(F.col("data"), levels)["packed"]
+    each = streams.blocks(values, keys).select(*keys, "block", "size", packed.alias("data"))
     return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "data"))), lambda s: s["data"]).alias("parts"), F.sum("size").alias("size"))
 
 
@@ -179,7 +181,7 @@ def _alpha_chunks(pixels: DataFrame, mask: DataFrame, width: int, height: int, e
     masks = box.join(bits, "image_id", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
     out = masks.select("image_id", F.lit(0).alias("at"), F.lit(MIP).alias("tag"), _udf(_mip_bytes, "binary")("x", "y", "w", "h", "places").alias("payload"))
     plan = checkpointed(streams.alpha_plan(pixels, mask, width, height, eight))
-    packed = _packed(streams.alpha_bytes(streams.alpha_values(pixels, plan, mask)), ["image_id"]).join(plan, "image_id")
+    packed = _packed(streams.alpha_bytes(streams.alpha_values(pixels, plan, mask)), ["image_id"], LEVELS_UP).join(plan, "image_id")
     chunk = _udf(_alpha_chunk, "binary")("kind", "x0", "y0", "x1", "y1", "size", "parts")
     out = out.unionByName(packed.select("image_id", F.lit(1).alias("at"), F.lit(ALPHA).alias("tag"), chunk.alias("payload")))
     marked = pixels.select("image_id", "y", "x", shr("y", 4).alias("my"), shr("x", 4).alias("mx"))
