@@ -12,7 +12,7 @@ from tilewright.functions.scalar import bitmap_position, idiv, shr
 from tilewright.operators import bits, gradient, masks, palette, stats, streams, windows
 from tilewright.plans import images
 from tilewright.sources import container
-from tilewright.sources.rasters import WIDTH, duck, embedding_plane, event_image, grid, mixed_image
+from tilewright.sources.rasters import WIDTH, duck, embedding_plane, event_image, grid, large_components_sql, mixed_image
 from tilewright.sources.shared import shared_folder
 from tilewright.streaming import chunks as chunk_order
 
@@ -280,7 +280,11 @@ def _(spark, sf):
     return chunk_order.order_errors(orders.select(idiv("o_orderkey", 8).cast("string").alias("path"), (F.col("o_orderkey") % 8).cast("int").alias("seq"), tag.alias("tag")))
 
 
-@query("op_e14_smooth_map", None)
+@query("op_e14_smooth_map", duck("evt mix", """,
+sm AS MATERIALIZED (SELECT (y // 64)::INT AS image_id, (y % 64)::INT AS y, x, greatest(greatest(abs(r - coalesce(lag(r) OVER a, r)), abs(r - coalesce(lag(r) OVER d, r))), greatest(abs(g - coalesce(lag(g) OVER a, g)), abs(g - coalesce(lag(g) OVER d, g))), greatest(abs(b - coalesce(lag(b) OVER a, b)), abs(b - coalesce(lag(b) OVER d, b)))) < 4 AS m FROM mix WINDOW a AS (PARTITION BY y ORDER BY x), d AS (PARTITION BY x ORDER BY y)),
+sr AS (SELECT image_id, y, x FROM sm WHERE m),""" + large_components_sql("sr") + """
+SELECT sm.image_id, (sm.y // 2)::INT AS y, (sm.x // 2)::INT AS x, CASE WHEN bool_and(keep.y IS NOT NULL) THEN 255 ELSE 0 END AS m
+FROM sm LEFT JOIN keep ON keep.image_id = sm.image_id AND keep.y = sm.y AND keep.x = sm.x GROUP BY ALL"""))
 def _(spark, sf):
     """Smooth places of the image, in masks of 64 rows each."""
     image = mixed_image(spark, sf)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import idiv
 from tilewright.operators import flatmaps, masks, resample, stats, windows
-from tilewright.sources.rasters import blank_images, duck, embedding_plane, event_image
+from tilewright.sources.rasters import blank_images, duck, embedding_plane, event_image, large_components_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -85,11 +85,12 @@ def _(spark, sf):
     return masks.quarter_all(embedding_plane(spark, sf).withColumn("m", (F.col("v") >= 100).cast("int")))
 
 
-@query("op_p10_erosion", None)
+@query("op_p10_erosion", duck("emb", ",\nb AS MATERIALIZED (SELECT (y // 64)::INT AS image_id, (y % 64)::INT AS y, x, v >= 128 AS m FROM emb),\nsr AS (SELECT image_id, y, x FROM b WHERE m)," + large_components_sql("sr") + """
+SELECT b.image_id, b.y, b.x, CASE WHEN keep.y IS NOT NULL THEN 255 ELSE 0 END AS m FROM b LEFT JOIN keep ON keep.image_id = b.image_id AND keep.y = b.y AND keep.x = b.x"""))
 def _(spark, sf):
-    """Bright places of the plane, as masks of 64 rows each."""
+    """Bright places of the plane, as masks of 64 rows each. Lone pixels and pairs are components of at most 50, so what stays is what lies in larger ones."""
     plane = embedding_plane(spark, sf)
-    bright = plane.select(idiv("y", 64).cast("int").alias("image_id"), (F.col("y") % 64).alias("y"), "x", F.when(F.col("v") >= 110, 255).otherwise(0).alias("m"))
+    bright = plane.select(idiv("y", 64).cast("int").alias("image_id"), (F.col("y") % 64).cast("int").alias("y"), "x", F.when(F.col("v") >= 128, 255).otherwise(0).alias("m"))
     return masks.erode(bright, ["image_id"])
 
 
@@ -393,7 +394,14 @@ def _(spark, sf):
     return stats.single_colors(image)
 
 
-@query("op_a21_superset_masks", None)
+@query("op_a21_superset_masks", duck("emb", """,
+t AS (SELECT y // 4 AS ty, x // 4 AS tx, bit_or(1::UBIGINT << (v >> 2))::UBIGINT AS um FROM emb GROUP BY ALL),
+n AS MATERIALIZED (SELECT (ty // 16)::INT AS image_id, (ty * 16 + tx)::INT AS place, um FROM t),
+f AS MATERIALIZED (SELECT image_id, um, xor(um, 18446744073709551615::UBIGINT) AS none, min(place) AS first FROM n GROUP BY ALL),
+st AS MATERIALIZED (SELECT image_id, none, first, row_number() OVER (PARTITION BY image_id ORDER BY first) - 1 AS slot FROM f a
+  WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.image_id = a.image_id AND b.first < a.first AND (a.um & b.none) = 0)),
+q AS (SELECT f.image_id, f.um, min(slot)::INT AS slot FROM f JOIN st s ON s.image_id = f.image_id AND s.first <= f.first AND (f.um & s.none) = 0 GROUP BY ALL)
+SELECT image_id, place AS "at", CASE WHEN um > 9223372036854775807 THEN (um::HUGEINT - 18446744073709551616)::BIGINT ELSE um::BIGINT END AS mask, slot FROM n JOIN q USING (image_id, um)"""))
 def _(spark, sf):
     """A stream of masks for each 64 rows of the plane."""
     tiles = stats.format_of_tile(embedding_plane(spark, sf), "v", 4, 4).withColumn("image_id", idiv("ty", 16).cast("int")).withColumn("at", F.col("ty") * 16 + F.col("tx"))

@@ -132,3 +132,15 @@ def duck(names: str, body: str) -> str:
     """A DuckDB query whose WITH list has these views; further CTEs of body follow a leading comma."""
     parts = [DUCK[n] for n in names.split()]
     return "WITH RECURSIVE " + ",\n".join(parts) + body
+
+
+def large_components_sql(source: str, least: int = 50) -> str:
+    """CTEs for DuckDB: keep (image_id, y, x), the pixels of source (image_id, y, x) in 4-connected components of more than least."""
+    return f"""
+ps AS MATERIALIZED (SELECT image_id, y, x, image_id * 4096 + y * 64 + x AS k FROM {source}),
+ph AS (SELECT a.k AS a, b.k AS b FROM ps a JOIN ps b ON b.k = a.k + 64 AND b.image_id = a.image_id UNION ALL SELECT a.k, b.k FROM ps a JOIN ps b ON b.k = a.k + 1 WHERE a.x < 63),
+pe AS MATERIALIZED (SELECT a, b FROM ph UNION ALL SELECT b, a FROM ph),
+pw AS (SELECT k, k AS l FROM ps UNION SELECT pe.b, pw.l FROM pw JOIN pe ON pe.a = pw.k),
+pc AS MATERIALIZED (SELECT k, min(l) AS l FROM pw GROUP BY k),
+pz AS (SELECT l FROM pc GROUP BY l HAVING count(*) > {least}),
+keep AS MATERIALIZED (SELECT image_id, y, x FROM ps JOIN pc USING (k) SEMI JOIN pz USING (l))"""
