@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -513,7 +514,22 @@ def _(spark, sf):
     return lut.search_2d(places, ["co", "cg"], lut_bank(spark), 3, (6, 5, 4)).withColumn("depth", F.least("depth", F.lit(5)))
 
 
-@query("op_e7_table_cascade", None)
+def _cascade_pass_sql(k: int, tw: int, th: int) -> str:
+    """The search of one size over the pixels that are free before it (fr{k}), as CTEs with names of their own, and the pixels that are free after it."""
+    text = _PLACES.replace(_FREE, "free").replace("y // 8", f"y // {th}").replace("x // 8", f"x // {tw}").replace("n = 64", f"n = {tw * th}").replace("FROM mix", f"FROM fr{k}")
+    text += _SCORES.replace(_MODES, "") + _SEARCH.replace(_FACTORS, "")
+    for name in ("pl", "cn", "tu", "at_", "nd", "su", "sc", "tp", "ne", "lo", "fl", "er", "dp", "sv", "ch"):
+        text = re.sub(rf"\b{name}\b", f"{name}{k}", text)
+    text = text.replace("\nt AS (", f"\nt{k} AS MATERIALIZED (").replace("JOIN t ON", f"JOIN t{k} ON")
+    return text + f""",
+fr{k + 1} AS MATERIALIZED (SELECT f.y, f.x, r, g, b, free AND c.ty IS NULL AS free FROM fr{k} f LEFT JOIN ch{k} c ON c.ty = f.y // {th} AND c.tx = f.x // {tw})"""
+
+
+_TABLE_CASCADE = ",\nfr0 AS MATERIALIZED (SELECT *, true AS free FROM mix)" + _MODES + _FACTORS + "".join(_cascade_pass_sql(k, tw, th) for k, (tw, th) in enumerate(lut.SIZES)) + "\n" + " UNION ALL ".join(
+    f"SELECT {k} AS pass, {tw} AS tw, {th} AS th, ty, tx, lut_id, mode, depth, err FROM ch{k}" for k, (tw, th) in enumerate(lut.SIZES))
+
+
+@query("op_e7_table_cascade", duck("evt mix lut", _TABLE_CASCADE))
 def _(spark, sf):
     return lut.cascade(mixed_image(spark, sf), RGB, lut_bank(spark))
 
