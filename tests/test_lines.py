@@ -110,3 +110,20 @@ def test_no_points_and_no_pixels(spark):
     none = spark.createDataFrame([], "line int, k int, x int, y int, z int")
     assert polylines.resample(polylines.segments(none)).collect() == [] and polylines.field(polylines.segments(none)).collect() == []
     assert resample.fill_back(spark.createDataFrame([], "y int, x int, v int"), "v", F.lit(False), 2, 2).collect() == []
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_blocks_are_summed_where_cells_are_measured(lines, dims):
+    """The sums by block are those of all cells, of the distance's own and of a caller's segments; no cell is sorted or sent to another task."""
+    axes = "xyz"[:dims]
+    start = lambda place, seg: (np.maximum.reduce([np.abs(v - seg[f"{a}0"]) + 0 * sum(place.values()) for a, v in place.items()]), 0.0)
+    for apart in (None, start):
+        want = {}
+        for r in polylines.field(lines, dims, apart).collect():
+            sums = want.setdefault((r.line, *[r[a] // polylines.BLOCK for a in axes]), [0] * 5)
+            for k, v in enumerate((r.dist, r.i6, r.i5, r.i4, r.i3)):
+                sums[k] += v
+        blocks = polylines.field_blocks(lines, dims, apart)
+        assert {(r.line, *[r[f"b{a}"] for a in axes]): [r.dist, r.i6, r.i5, r.i4, r.i3] for r in blocks.collect()} == want
+        plan = blocks._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "cell" not in plan
