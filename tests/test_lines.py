@@ -127,3 +127,28 @@ def test_blocks_are_summed_where_cells_are_measured(lines, dims):
         assert {(r.line, *[r[f"b{a}"] for a in axes]): [r.dist, r.i6, r.i5, r.i4, r.i3] for r in blocks.collect()} == want
         plan = blocks._jdf.queryExecution().executedPlan().toString()
         assert "SortAggregate" not in plan and "cell" not in plan
+
+
+@pytest.mark.parametrize("axes", ["xy", "x", "y"])
+def test_filling_between_orders_no_whole_line(spark, axes):
+    """Images of even and odd size against reads of the plane's edge; the plan has no window, whose lines were as long as the table."""
+    dx, dy = "x" in axes, "y" in axes
+    sx, sy = 1 + dx, 1 + dy
+    rng = np.random.default_rng(7)
+    for high, wide in ((14, 22), (13, 9)):
+        planes = {i: rng.integers(-200, 200, (high, wide)) for i in (1, 2)}
+        frame = spark.createDataFrame([(i, y, x, int(p[y, x])) for i, p in planes.items() for y in range(high) for x in range(wide)], "image_id int, y int, x int, v int")
+        filled = resample.fill_between(frame, "v", F.col("v") % 5 == 0, dx, dy)
+        assert "Window" not in filled._jdf.queryExecution().executedPlan().toString()
+        assert filled.dtypes == [("image_id", "int"), ("y", "int"), ("x", "int"), ("v", "int")]
+        got = {(r.image_id, r.y, r.x): r.v for r in filled.collect()}
+        for i, p in planes.items():
+            read = lambda y, x: int(p[min(high - 1, y), min(wide - 1, x)])  # noqa: E731, B023
+            for y in range(high):
+                for x in range(wide):
+                    ey, ex, v = y - y % sy, x - x % sx, read(y, x)
+                    own = read(ey, ex)
+                    if own % 5 and (y, x) != (ey, ex):
+                        v = int((own + read(ey, ex + sx)) / 2) if y == ey else int((own + read(ey + sy, ex)) / 2) if x == ex else int((own + read(ey, ex + sx) + read(ey + sy, ex) + read(ey + sy, ex + sx)) / 4)
+                    assert got[i, y, x] == v
+            assert sum(k[0] == i for k in got) == high * wide

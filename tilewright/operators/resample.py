@@ -59,25 +59,47 @@ def shift_edge(pixels: DataFrame, value: str, dy: int, dx: int, width: int, heig
 
 def fill_between(pixels: DataFrame, value: str, keep: Column, double_x: bool, double_y: bool) -> DataFrame:
     """(y, x, v): pixels at even places stay and those between become means of the even ones around, beyond the edge of
-    the last pixel; blocks whose even pixel is not to be filled (keep) stay as they are."""
+    the last pixel; blocks whose even pixel is not to be filled (keep) stay as they are.
+
+    Each pixel goes to its block and to those that read it, one aggregation: no line or column is ordered as a whole."""
     keys = by(pixels)
     sx, sy = (2 if double_x else 1), (2 if double_y else 1)
-    row, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
-    # two steps on, or the last pixel of the line
-    ahead = lambda k, w, n: F.coalesce(F.lead(k, n).over(w), F.last(k).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    wide = pixels.select(*keys, "y", "x", c(value).alias("v"), keep.alias("keep")).withColumn("r", ahead("v", row, sx))
-    full = wide.withColumn("b", ahead("v", column, sy)).withColumn("rb", ahead("r", column, sy))
-    even = full.where((c("x") % sx == 0) & (c("y") % sy == 0) & ~c("keep"))
-    spots = []
+
+    def seen_by(k: Column, step: int) -> Column:
+        """The blocks that read a line or column, and how far from their start it lies: its own, and the one before where it starts a block."""
+        own = F.struct(idiv(k, step).alias("t"), (k % step).cast("int").alias("o"))
+        if step == 1:
+            return F.array(own)
+        return F.when(k % step == 0, F.array(own, F.struct((idiv(k, step) - 1).alias("t"), F.lit(step).alias("o")))).otherwise(F.array(own))
+
+    sent = pixels.select(*keys, c(value).alias("v"), keep.alias("keep"), seen_by(c("y"), sy).alias("down"), seen_by(c("x"), sx).alias("across"))
+    sent = sent.select(*keys, "v", "keep", F.explode("down").alias("j"), "across").select(*keys, "v", "keep", "j", F.explode("across").alias("i"))
+    reach = [(j, i) for j in range(sy + (sy > 1)) for i in range(sx + (sx > 1))]
+    spots = [(j, i) for j in range(sy) for i in range(sx)]
+    at = lambda j, i: (F.col("j.o") == j) & (F.col("i.o") == i)
+    read = [F.max(F.when(at(j, i), F.col("v"))).alias(f"v{j}{i}") for j, i in reach]
+    there = [F.max(at(j, i)).alias(f"is{j}{i}") for j, i in spots]
+    blocks = sent.groupBy(*keys, F.col("j.t").alias("ty"), F.col("i.t").alias("tx")).agg(*read, *there, F.max(F.when(at(0, 0), F.col("keep"))).alias("keep"))
+    # a step on, or the last pixel of the line
+    down = lambda i, n: F.coalesce(*[F.col(f"v{j}{i}") for j in range(n, -1, -1)])
+    ahead = lambda n, m: F.coalesce(*[down(i, n) for i in range(m, -1, -1)])
+    fill = {}
     if double_x:
-        spots.append((0, 1, idiv(c("v") + c("r"), 2)))
+        fill[0, 1] = idiv(F.col("v00") + ahead(0, 2), 2)
     if double_y:
-        spots.append((1, 0, idiv(c("v") + c("b"), 2)))
+        fill[1, 0] = idiv(F.col("v00") + ahead(2, 0), 2)
     if double_x and double_y:
-        spots.append((1, 1, idiv(c("v") + c("r") + c("b") + c("rb"), 4)))
-    made = F.explode(F.array(*[F.struct((c("y") + dy).alias("y"), (c("x") + dx).alias("x"), v.cast("int").alias("new")) for dy, dx, v in spots]))
-    filled = even.select(*keys, made.alias("s")).select(*keys, "s.*")
-    return pixels.join(filled, [*keys, "y", "x"], "left").select(*keys, "y", "x", F.coalesce("new", c(value)).alias("v"))
+        fill[1, 1] = idiv(F.col("v00") + ahead(0, 2) + ahead(2, 0) + ahead(2, 2), 4)
+    kind = pixels.select(c(value)).schema[0].dataType
+    y, x = (pixels.schema[k].dataType for k in "yx")
+
+    def spot(j: int, i: int) -> Column:
+        own = F.col(f"v{j}{i}")
+        new = F.when(~F.col("keep"), F.coalesce(fill[j, i].cast("int").cast(kind), own)).otherwise(own) if (j, i) in fill else own
+        return F.when(F.col(f"is{j}{i}"), F.struct((c("ty") * sy + j).cast(y).alias("y"), (c("tx") * sx + i).cast(x).alias("x"), new.alias("v")))
+
+    whole = F.explode(F.filter(F.array(*[spot(j, i) for j, i in spots]), lambda p: p.isNotNull())).alias("p")
+    return blocks.select(*keys, whole).select(*keys, "p.*")
 
 
 #: Side of the blocks that are filled at a time, in even places.
