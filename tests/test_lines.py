@@ -152,3 +152,18 @@ def test_filling_between_orders_no_whole_line(spark, axes):
                         v = int((own + read(ey, ex + sx)) / 2) if y == ey else int((own + read(ey + sy, ex)) / 2) if x == ex else int((own + read(ey, ex + sx) + read(ey + sy, ex) + read(ey + sy, ex + sx)) / 4)
                     assert got[i, y, x] == v
             assert sum(k[0] == i for k in got) == high * wide
+
+
+@pytest.mark.parametrize("kept", [3, 1000])
+def test_filling_takes_few_rounds_where_places_are_kept(spark, monkeypatch, kept):
+    """A tall plane of 40 blocks: what is kept ends the reach of the lines above, so few rounds do; where nothing is, the result is the same loop's."""
+    from tilewright.operators import gradient
+
+    rounds, checkpointed = [], gradient.checkpointed
+    monkeypatch.setattr(gradient, "checkpointed", lambda frame: rounds.append(1) or checkpointed(frame))
+    plane = np.random.default_rng(kept).integers(0, 256, (160 if kept == 3 else 40, 6))
+    frame = spark.createDataFrame([(y, x, int(v)) for (y, x), v in np.ndenumerate(plane)], "y int, x int, v int")
+    got = {(r.y, r.x): r.v for r in resample.fill_back(frame, "v", F.col("v") % kept == 0, 6, len(plane), 4 if kept == 3 else 2).collect()}
+    want = brute_fill_back(plane, plane % kept == 0)
+    assert all(got[k] == v for k, v in np.ndenumerate(want)) and len(got) == plane.size
+    assert kept != 3 or len(rounds) < 15

@@ -104,33 +104,64 @@ def fill_between(pixels: DataFrame, value: str, keep: Column, double_x: bool, do
 
 #: Side of the blocks that are filled at a time, in even places.
 EVEN_BLOCK = 256
-_EVEN = "image_id int, j int, i int, old int, v int, keep boolean"
+_PACKED = "image_id int, bj int, bi int, high int, wide int, least int, most int, there binary, keep binary, old binary"
+_EDGES = "image_id int, bj int, bi int, open boolean, low_down array<int>, high_down array<int>, low_right array<int>, high_right array<int>"
 
 
-def _fill_block(rows, edges):
-    """A block's even places a diagonal at a time: each reads what those to the left, above and above left have become."""
+def _packed(rows, size: int):
+    """The pixels of a block in arrays: those that are there, those that are kept, and their values. Even places that are missing count as kept and 0."""
     import numpy as np
     import pandas as pd
 
-    j0, i0 = int(rows.j.min()), int(rows.i.min())
-    high, wide = int(rows.j.max()) - j0 + 1, int(rows.i.max()) - i0 + 1
-    old, keep = np.zeros((high, wide), np.int64), np.ones((high, wide), bool)
-    old[rows.j - j0, rows.i - i0], keep[rows.j - j0, rows.i - i0] = rows.old, rows.keep
-    done = np.zeros((high + 1, wide + 1), np.int64)  # with the line above and the one to the left
-    if len(edges):
-        done[edges.j - j0 + 1, edges.i - i0 + 1] = edges.v
-    cut = lambda v, n: np.sign(v) * (np.abs(v) // n)
+    bj, bi = int(rows.bj.iloc[0]), int(rows.bi.iloc[0])
+    y, x = rows.y.to_numpy() - 2 * size * bj, rows.x.to_numpy() - 2 * size * bi
+    high, wide = int(y.max()) // 2 + 1, int(x.max()) // 2 + 1
+    there, keep, old = np.zeros((2 * high, 2 * wide), bool), np.ones((2 * high, 2 * wide), bool), np.zeros((2 * high, 2 * wide), np.int32)
+    there[y, x], keep[y, x], old[y, x] = True, rows.keep.fillna(True).astype(bool), rows.v
+    even = old[::2, ::2]
+    return pd.DataFrame([(int(rows.image_id.iloc[0]), bj, bi, high, wide, int(even.min()), int(even.max()), there.tobytes(), keep.tobytes(), old.tobytes())], columns=[f.split()[0] for f in _PACKED.split(", ")])
+
+
+def _filled(old, keep, top, left, corner, first_row: bool, first_column: bool):
+    """What a block's even places become, with the line above and the one to the left: a diagonal at a time, as each reads those to the left, above and
+    above left. top, left and corner have a row for each way in that is tried."""
+    import numpy as np
+
+    high, wide = old.shape
+    done = np.zeros((len(corner), high + 1, wide + 1), np.int64)
+    done[:, 0, 1:], done[:, 1:, 0], done[:, 0, 0] = top, left, corner
     for d in range(high + wide - 1):
         j = np.arange(max(0, d - wide + 1), min(high - 1, d) + 1)
         i = d - j
-        first_row, first_column, own = (j + j0 == 0), (i + i0 == 0), old[j, i]
-        left = np.where(first_column, own, done[j + 1, i])
-        up = np.where(first_row, own, done[j, i + 1])
-        corner = np.where(first_row, left, np.where(first_column, up, done[j, i]))
-        done[j + 1, i + 1] = np.where(keep[j, i], own, cut(corner + up + left + own, 4))
-    out = rows[["image_id", "j", "i", "old", "keep"]].copy()
-    out["v"] = done[rows.j - j0 + 1, rows.i - i0 + 1]
-    return pd.DataFrame(out)[["image_id", "j", "i", "old", "v", "keep"]]
+        on_top, on_left, own = first_row & (j == 0), first_column & (i == 0), old[j, i]
+        near = np.where(on_left, own, done[:, j + 1, i])
+        up = np.where(on_top, own, done[:, j, i + 1])
+        far = np.where(on_top, near, np.where(on_left, up, done[:, j, i]))
+        whole = far + up + near + own
+        done[:, j + 1, i + 1] = np.where(keep[j, i], own, np.sign(whole) * (np.abs(whole) // 4))
+    return done
+
+
+def _block_of(r) -> tuple:
+    import numpy as np
+
+    shape = (2 * r.high, 2 * r.wide)
+    return np.frombuffer(r.there, bool).reshape(shape), np.frombuffer(r.keep, bool).reshape(shape), np.frombuffer(r.old, np.int32).reshape(shape).astype(np.int64)
+
+
+def _ways_in(r, low: int, most: int, known: bool) -> tuple:
+    """The least and the most that the line above, the one to the left and the corner can be: what the blocks there have found, 0 where there is none."""
+    import numpy as np
+
+    if not known:
+        ends = np.array([low, most])
+        return np.repeat(ends[:, None], r.wide, 1), np.repeat(ends[:, None], r.high, 1), ends
+
+    def two(name: str, n: int):
+        found = [getattr(r, f"{k}_{name}") for k in ("low", "high")]
+        return np.zeros((2, n), np.int64) if found[0] is None else np.array([v[:n] for v in found], np.int64)
+
+    return two("top", r.wide), two("left", r.high), np.array([getattr(r, f"{k}_corner") for k in ("low", "high")], dtype=np.float64)
 
 
 def fill_back(pixels: DataFrame, value: str, keep: Column, width: int, height: int, block: int | None = None) -> DataFrame:
@@ -138,38 +169,73 @@ def fill_back(pixels: DataFrame, value: str, keep: Column, width: int, height: i
     become; right of them stands the mean of the one above and themselves as they were, below that of the two above, and across what they were. Reads
     beyond the plane take its edge; means are cut toward zero.
 
-    What a place becomes hangs on all before it, cut by cut, so blocks of even places are filled in diagonals, all blocks of a diagonal of all images at a
-    time, each from the written edges of those before: as many steps as a plane has blocks along two sides. The width and height are even."""
+    What a place becomes hangs on all before it, cut by cut, and rises with each of them. So all blocks of even places of all images are first filled
+    from the least and from the most that the lines above and to the left can hold: where both give the same last line, as they do soon after places
+    that are kept, that line is known whatever came before. Blocks whose last lines stay open are filled again from what those before them have found,
+    until none is open: at most as many rounds as a plane has blocks along two sides. Then every block is filled at once. The width and height are even."""
+    import pandas as pd
+
     from .gradient import checkpointed
 
     size = block or EVEN_BLOCK
     keys = by(pixels)
-    one = pixels if keys else pixels.withColumn("image_id", F.lit(0))
-    even = one.where((c("y") % 2 == 0) & (c("x") % 2 == 0)).select(
-        c("image_id").cast("int").alias("image_id"), idiv("y", 2).cast("int").alias("j"), idiv("x", 2).cast("int").alias("i"), c(value).cast("int").alias("old"), F.lit(0).alias("v"), keep.alias("keep")
-    )
     down, across = -(-(height // 2) // size), -(-(width // 2) // size)
-    blocked = lambda frame: frame.withColumn("bj", idiv("j", size)).withColumn("bi", idiv("i", size))
-    done = None
-    for d in range(down + across - 1):
-        mine = blocked(even).where(F.col("bj") + F.col("bi") == d)
-        edge = done.select("image_id", "j", "i", "v") if done is not None else even.sparkSession.createDataFrame([], "image_id int, j int, i int, v int")
-        sides = [(c("j") % size == size - 1, 1, 0), (c("i") % size == size - 1, 0, 1), ((c("j") % size == size - 1) & (c("i") % size == size - 1), 1, 1)]
-        seen = None
-        for last, dj, di in sides:
-            part = blocked(edge.where(last)).withColumn("bj", F.col("bj") + dj).withColumn("bi", F.col("bi") + di).where(F.col("bj") + F.col("bi") == d)
-            seen = part if seen is None else seen.unionByName(part)
-        filled = mine.groupBy("image_id", "bj", "bi").cogroup(seen.groupBy("image_id", "bj", "bi")).applyInPandas(lambda rows, edges: _fill_block(rows, edges) if len(rows) else rows[["image_id", "j", "i", "old", "v", "keep"]], _EVEN)
-        step = checkpointed(filled)
-        done = step if done is None else done.unionByName(step)
-    done = checkpointed(done)
-    above = done.select("image_id", (F.col("j") + 1).alias("j"), "i", F.col("v").alias("up"))
-    corner = done.select("image_id", (F.col("j") + 1).alias("j"), (F.col("i") + 1).alias("i"), F.col("v").alias("far"))
-    left = done.select("image_id", "j", (F.col("i") + 1).alias("i"), F.col("v").alias("near"))
-    all_ = done.join(above, ["image_id", "j", "i"], "left").join(corner, ["image_id", "j", "i"], "left").join(left, ["image_id", "j", "i"], "left")
-    up = F.coalesce("up", "old")
-    far = F.when(F.col("j") == 0, F.coalesce("near", "old")).when(F.col("i") == 0, up).otherwise(F.col("far"))
-    spots = [(0, 0, F.col("v")), (0, 1, idiv(up + F.col("old"), 2)), (1, 0, idiv(far + up, 2)), (1, 1, F.col("old"))]
-    made = F.explode(F.array(*[F.struct((F.col("j") * 2 + dy).alias("y"), (F.col("i") * 2 + dx).alias("x"), v.cast("int").alias("new")) for dy, dx, v in spots]))
-    filled = all_.where(~F.col("keep")).select("image_id", made.alias("s")).select("image_id", "s.*")
-    return one.join(filled, ["image_id", "y", "x"], "left").select(*keys, "y", "x", F.coalesce("new", c(value)).cast("int").alias("v"))
+    image = c("image_id").cast("int") if keys else F.lit(0)
+    place = [idiv("y", 2 * size).cast("int").alias("bj"), idiv("x", 2 * size).cast("int").alias("bi")]
+    rows = pixels.select(image.alias("image_id"), *place, "y", "x", c(value).cast("int").alias("v"), keep.alias("keep"))
+    blocks = checkpointed(rows.groupBy("image_id", "bj", "bi").applyInPandas(lambda part: _packed(part, size), _PACKED))
+    ends = blocks.agg(F.least(F.min("least"), F.lit(0)).alias("low"), F.greatest(F.max("most"), F.lit(0)).alias("most")).first()
+    low, most = ends.low, ends.most
+
+    def joined(some: DataFrame, edges: DataFrame) -> DataFrame:
+        """Blocks with the last lines of those above, to the left and above left."""
+        at = lambda dj, di: [F.col("image_id"), (F.col("bj") + dj).alias("bj"), (F.col("bi") + di).alias("bi")]
+        top = edges.select(*at(1, 0), F.col("low_down").alias("low_top"), F.col("high_down").alias("high_top"))
+        left = edges.select(*at(0, 1), F.col("low_right").alias("low_left"), F.col("high_right").alias("high_left"))
+        corner = edges.select(*at(1, 1), *[F.element_at(f"{k}_down", -1).alias(f"{k}_corner") for k in ("low", "high")])
+        out = some
+        for part in (top, left, corner):
+            out = out.join(part, ["image_id", "bj", "bi"], "left")
+        return out.na.fill(0, ["low_corner", "high_corner"])
+
+    def bounds(known: bool):
+        def run(batches):
+            for frame in batches:
+                found = []
+                for r in frame.itertuples(index=False):
+                    _, kept, old = _block_of(r)
+                    done = _filled(old[::2, ::2], kept[::2, ::2], *_ways_in(r, low, most, known), r.bj == 0, r.bi == 0)
+                    # the last line and column, where a block comes after
+                    lines = [done[k, -1, 1:] if r.bj < down - 1 else done[0, -1, 1:] for k in (0, 1)] + [done[k, 1:, -1] if r.bi < across - 1 else done[0, 1:, -1] for k in (0, 1)]
+                    found.append((r.image_id, r.bj, r.bi, bool((lines[0] != lines[1]).any() or (lines[2] != lines[3]).any()), *lines))
+                yield pd.DataFrame(found, columns=["image_id", "bj", "bi", "open", "low_down", "high_down", "low_right", "high_right"])
+
+        return run
+
+    edges = checkpointed(blocks.mapInPandas(bounds(False), _EDGES))
+    while not edges.where("open").isEmpty():
+        again = blocks.join(edges.where("open").select("image_id", "bj", "bi"), ["image_id", "bj", "bi"], "left_semi")
+        edges = checkpointed(edges.where("not open").unionByName(joined(again, edges).mapInPandas(bounds(True), _EDGES)))
+
+    def write(batches):
+        import numpy as np
+
+        cut = lambda v: np.sign(v) * (np.abs(v) // 2)
+        for frame in batches:
+            for r in frame.itertuples(index=False):
+                there, kept, out = _block_of(r)
+                old, hold = out[::2, ::2].copy(), kept[::2, ::2]
+                done = _filled(old, hold, *_ways_in(r, low, most, True), r.bj == 0, r.bi == 0)[0]
+                up, far = done[:-1, 1:].copy(), done[:-1, :-1].copy()
+                if r.bj == 0:
+                    up[0], far[0] = old[0], done[1, :-1]
+                if r.bi == 0:
+                    far[:, 0] = up[:, 0]
+                for (j, i), new in {(0, 0): done[1:, 1:], (0, 1): cut(up + old), (1, 0): cut(far + up), (1, 1): old}.items():
+                    out[j::2, i::2] = np.where(hold, out[j::2, i::2], new)
+                y, x = np.nonzero(there)
+                yield pd.DataFrame({"image_id": r.image_id, "y": y + 2 * size * r.bj, "x": x + 2 * size * r.bi, "v": out[y, x]})
+
+    whole = joined(blocks, edges).mapInPandas(write, "image_id int, y int, x int, v int")
+    kinds = {k: pixels.schema[k].dataType for k in [*keys, "y", "x"]}
+    return whole.select(*[F.col(k).cast(t).alias(k) for k, t in kinds.items()], "v")
