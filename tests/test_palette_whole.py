@@ -49,3 +49,29 @@ def test_every_pixel_is_in_a_stream(spark, events):
     for k, v in data.items():
         assert "".join(parts[k, n] for n in range(1, 512)) == v[1 + 3 * v[0] + 3 :].hex().upper()
     assert {(r.stream, r.n): (r.r, r.g, r.b) for r in run("op_z4_palette_decode")} == {(k, n): v for k, s in streams.items() for n, v in s.items()}
+
+
+def test_a_stream_of_several_runs(spark):
+    """Streams longer than a run, of one colour more than a run, and of one colour, against plain Python; colours are not joined to those before them."""
+    import random
+
+    pick = random.Random(3)
+    longest = 2 * palette.RUN + 70
+    streams = {k: [tuple(pick.choice((0, 1, 5, 40, 255)) for _ in "rgb") for _ in range(n)] for k, n in (("long", longest), ("more", palette.RUN + 1), ("one", 1))}
+    frame = spark.createDataFrame([(k, n, *v) for k, s in streams.items() for n, v in enumerate(s)], "stream string, n int, r int, g int, b int")
+    deltas = palette.nearest_deltas(frame)
+    assert "Join" not in deltas._jdf.queryExecution().executedPlan().toString()
+    got = {(r.stream, r.n): (r.dr, r.dg, r.db) for r in deltas.collect()}
+    assert len(got) == longest + palette.RUN - 1
+    for k, s in streams.items():
+        for n in [*range(1, 70), *range(palette.RUN - 3, min(len(s), palette.RUN + 70)), *range(max(1, len(s) - 75), len(s))]:
+            if n < len(s):
+                prev = min(range(max(0, n - 64), n), key=lambda p: (sum((a - b) ** 2 for a, b in zip(s[n], s[p], strict=True)), p))  # noqa: B023
+                assert got[k, n] == tuple((a - b) & 255 for a, b in zip(s[n], s[prev], strict=True))
+    data = {r.stream: bytes(r.data) for r in palette.encode(frame).collect()}
+    assert {k: palette.decode_bytes(v, len(streams[k])) for k, v in data.items()} == streams
+    book = palette.code_book(deltas)
+    whole = {}
+    for r in sorted(palette.codes(frame, book).collect(), key=lambda r: r.n):
+        whole[r.stream] = whole.get(r.stream, "") + r.code
+    assert {k: v[1 + 3 * v[0] + 3 :].hex().upper() for k, v in data.items() if k != "one"} == whole
