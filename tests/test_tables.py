@@ -82,3 +82,18 @@ def test_images_without_a_mask_are_free_everywhere(spark):
     own = spark.createDataFrame([(2, 0, 0, 0), (2, 0, 1, 255)], "image_id int, y int, x int, m int")
     assert sorted(map(tuple, masks.mask_or_all(pixels, own).collect())) == [(1, 0, 0, 255), (1, 0, 1, 255), (2, 0, 0, 0), (2, 0, 1, 255)]
     assert {r.m for r in masks.mask_or_all(pixels).collect()} == {255}
+
+
+def test_runs_of_all_modes_are_those_of_the_expanded_tables(spark):
+    """The runs picked for each mode against every entry under every mode; the modes are made after the only shuffle."""
+    from tilewright.operators import lut
+    from tilewright.sources import rasters, tables
+
+    factors = lut.factors(rasters.lut_bank(spark))
+    want = {}
+    for r in sorted(tables.expanded(factors).collect(), key=lambda r: r.idx):
+        for a in "xyz":
+            want[r.lut_id, r.depth, r.mode, a] = want.get((r.lut_id, r.depth, r.mode, a), "") + f"{r[a]:02X}"
+    runs = tables.expanded_runs(factors)
+    assert {(r.lut_id, r.depth, r.mode, a): r[a] for r in runs.collect() for a in "xyz"} == want
+    assert "mode" not in "".join(line for line in runs._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)

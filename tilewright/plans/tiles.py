@@ -422,8 +422,7 @@ def _(spark, sf):
     """Files of the tables of all vectors, read and laid out under all modes: the runs of each axis."""
     read = tables.read_table_files(spark, _table_folder(spark, sf)).where("error is null")
     named = read.withColumn("lut_id", (F.regexp_extract("path", r"(\d+)\.lut$", 1).cast("int") * _FILE + F.col("lut_id")).cast("int")).drop("path", "error")
-    run = lambda a: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", a))), lambda s: F.lpad(F.hex(s[a].cast("long")), 2, "0")), "").alias(a)
-    return tables.expanded(named).groupBy("lut_id", "depth", "mode").agg(*map(run, "xyz"))
+    return tables.expanded_runs(named)
 
 
 @query("op_t9_reduce_points", duck("emb vbank", "\nSELECT lut_id, (idx * 20 // 64)::INT AS idx, (sum(x) // count(*))::INT AS x, (sum(y) // count(*))::INT AS y, (sum(z) // count(*))::INT AS z FROM vbank GROUP BY lut_id, idx * 20 // 64"))

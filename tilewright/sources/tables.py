@@ -84,6 +84,24 @@ def expanded(factors: DataFrame) -> DataFrame:
     return each.select("lut_id", "depth", "mode", "idx", *[value(k, a) for k, a in enumerate("xyz")])
 
 
+def expanded_runs(factors: DataFrame) -> DataFrame:
+    """(lut_id, depth, mode, x, y, z): the runs of expanded as hexadecimal digits, in the order of idx. A mode takes each axis of a table whole, as it is or
+    flipped, so the six runs of a table and depth are written once and picked from; only they are gathered."""
+    top = F.lit(lut.FACTOR)
+    points = F.sort_array(F.collect_list(F.struct("idx", "fx", "fy", "fz"))).alias("points")
+    two = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    run = lambda f: F.array_join(F.transform("points", lambda s: two(f(s))), "")
+    own = [run(lambda s, k=k: s[f"f{k}"]).alias(f"h{k}") for k in "xyz"]
+    flipped = [run(lambda s, k=k: top - s[f"f{k}"]).alias(f"g{k}") for k in "xyz"]
+    filler = run(lambda s: F.lit(FILLER)).alias("filler")
+    each = factors.groupBy("lut_id", "depth").agg(points).select("lut_id", "depth", *own, *flipped, filler)
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))).alias("mode"))
+    order = F.expr("shiftright(mode, 3)")
+    each = each.withColumn("t", swap_axes(order, "hx", "hy", "hz")).withColumn("u", swap_axes(order, "gx", "gy", "gz"))
+    axis = lambda k, a: F.when(F.col("mode") >= MODES, F.col("filler")).when(F.expr(f"mode & {1 << k}") != 0, F.col("u")[a]).otherwise(F.col("t")[a]).alias(a)
+    return each.select("lut_id", "depth", "mode", *[axis(k, a) for k, a in enumerate("xyz")])
+
+
 def table_files(scaled: DataFrame, channels: int = 3) -> DataFrame:
     """(name, data): a file for each file of (file, lut_id, depth, idx, fx, fy, fz), lut_id counting from 0 in each. As write_factors, but made by the
     cluster: of a file only its bytes, at most 92 KB, meet in a row. Files of more than MOST tables are left out."""
