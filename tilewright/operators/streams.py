@@ -16,6 +16,12 @@ RATE = 250
 ENTRIES, WORDS, BOXES, MAPS = {3: 0, 4: 1, 5: 2, 6: 3}, 4, 5, {(16, 8): 6, (8, 16): 7, (8, 8): 8, (8, 4): 9, (4, 8): 10, (4, 4): 11}
 
 
+def dealt(frame: DataFrame) -> DataFrame:
+    """frame, to be joined by a shuffle. What is unpacked from files counts as large as their compressed bytes, so whole streams would be gathered by the
+    driver and sent to all."""
+    return frame.hint("merge")
+
+
 def offsets(rows: DataFrame, keys: list[str], place: str, size: Column | str, name: str = "before") -> DataFrame:
     """rows with a column more: the sum of size over the rows of the same keys whose place is less.
 
@@ -26,7 +32,7 @@ def offsets(rows: DataFrame, keys: list[str], place: str, size: Column | str, na
     ahead = lambda v, w: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*keys, "_run", ahead("_sum", Window.partitionBy(*keys).orderBy("_run")).alias("_start"))
     inner = marked.withColumn("_in", ahead("_size", Window.partitionBy(*keys, "_run").orderBy(place)))
-    return inner.join(starts, [*keys, "_run"]).withColumn(name, F.col("_start") + F.col("_in")).drop("_run", "_size", "_start", "_in")
+    return inner.join(dealt(starts), [*keys, "_run"]).withColumn(name, F.col("_start") + F.col("_in")).drop("_run", "_size", "_start", "_in")
 
 
 def blocks(values: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:

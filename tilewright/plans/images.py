@@ -23,6 +23,8 @@ _TABLE_HEAD = "<12I12IBBxx"
 _MIP_HEAD, _ALPHA_HEAD = "<4iIBBxx", "<4iIIBBxx"
 #: log2 of the side of the mask's tiles.
 _MIP_LEVEL = 4
+#: Bytes of a piece of an alpha stream, and those that it has besides for a run of 16 values that begins in it.
+_PIECE, _OVER = 256, 17
 
 
 def _udf(f, kind: str):
@@ -322,25 +324,34 @@ def _decoded_tables(keyed: DataFrame, used: DataFrame, factors: DataFrame, width
 
 
 def _decoded_alpha(keyed: DataFrame, mask: DataFrame) -> DataFrame:
-    """(image_id, y, x, a) inside the boxes of alpha chunks, as far as their streams go."""
+    """(image_id, y, mx, left, run): the alpha inside the boxes of alpha chunks, an array for each line of each tile of the mask, from column left on.
+
+    Such a run lies in one piece of its stream, so runs are joined to pieces, and no byte or pixel is joined by itself. Beyond a stream's end bytes are 0."""
     kind = "kind int, x0 int, y0 int, x1 int, y1 int, data binary"
     read = checkpointed(keyed.where(c("tag") == ALPHA).select("image_id", _udf(_alpha_parts, kind)("payload").alias("s")).select("image_id", "s.*"))
     lines = read.drop("data").select("*", F.explode(F.expr("if(y1 > y0, sequence(y0, y1 - 1), array())")).alias("y")).repartition("image_id", "y")
-    spots = lines.select("image_id", "kind", "y", F.explode(F.expr("if(x1 > x0, sequence(x0, x1 - 1), array())")).alias("x"))
-    marked = spots.withColumn("my", shr("y", 4)).withColumn("mx", shr("x", 4)).join(mask.withColumn("_used", F.lit(True)), ["image_id", "my", "mx"], "left")
-    kept = marked.where(~c("kind").isin(streams.SIX, streams.SIX - 1) | F.col("_used")).select("image_id", "kind", "y", "x")
-    rows = streams.offsets(kept.groupBy("image_id", "y").agg(F.count("*").alias("n")), ["image_id"], "y", "n").select("image_id", "y", "before")
-    within = F.row_number().over(Window.partitionBy("image_id", "y").orderBy("x")) - 1
+    across = F.explode(F.expr("if(x1 > x0, sequence(shiftright(x0, 4), shiftright(x1 - 1, 4)), array())")).alias("mx")
+    runs = lines.select("image_id", "kind", "x0", "x1", "y", across).withColumn("left", F.greatest("x0", c("mx") * 16)).withColumn("n", F.least("x1", c("mx") * 16 + 16) - c("left"))
+    marked = runs.withColumn("my", shr("y", 4)).join(streams.dealt(mask.withColumn("_used", F.lit(True))), ["image_id", "my", "mx"], "left")
+    kept = marked.where(~c("kind").isin(streams.SIX, streams.SIX - 1) | F.col("_used")).select("image_id", "kind", "y", "mx", "left", "n")
+    rows = streams.offsets(kept.groupBy("image_id", "y").agg(F.sum("n").alias("n")), ["image_id"], "y", "n").select("image_id", "y", "before")
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("image_id", "y").orderBy("mx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bits = F.when(c("kind") == streams.ONE, 1).when(c("kind") == streams.EIGHT, 8).otherwise(6)
-    placed = kept.withColumn("within", within).join(rows, ["image_id", "y"]).withColumn("start", (c("before") + c("within")) * bits).withColumn("at", idiv("start", 8))
-    data = checkpointed(streams.bytes_of(read, ["image_id"], "data"))
-    low = placed.join(data, ["image_id", "at"], "left").withColumnRenamed("v", "low").withColumn("next", c("at") + 1)
-    both = low.join(data.select("image_id", c("at").alias("next"), c("v").alias("high")), ["image_id", "next"], "left").na.fill(0, ["low", "high"])
-    raw = F.call_function("shiftright", c("low") + c("high") * 256, (c("start") % 8).cast("int"))
-    low6 = raw.bitwiseAND(F.lit(63))
-    six = F.when(c("kind").isin(streams.SIX - 1, streams.SIX_ALL - 1), low6).otherwise(F.lit(63) - low6)  # as it is, or what is missing to 63
-    value = F.when(c("kind") == streams.ONE, raw.bitwiseAND(F.lit(1)) * 255).when(c("kind") == streams.EIGHT, raw.bitwiseAND(F.lit(255))).otherwise(shl(six, 2).bitwiseOR(shr(six, 4)))
-    return both.select("image_id", "y", "x", value.cast("int").alias("a"))
+    placed = kept.withColumn("within", within).join(streams.dealt(rows), ["image_id", "y"]).withColumn("start", (c("before") + c("within")) * bits).withColumn("piece", idiv("start", 8 * _PIECE))
+    cut = F.transform(F.expr(f"sequence(0L, (length(data) - 1) div {_PIECE})"), lambda k: F.substring("data", (k * _PIECE + 1).cast("int"), F.lit(_PIECE + _OVER)))
+    pieces = read.where(F.length("data") > 0).select("image_id", F.posexplode(cut).alias("piece", "data"))
+    both = placed.join(streams.dealt(pieces.withColumn("piece", c("piece").cast("long"))), ["image_id", "piece"], "left")
+    byte = lambda k: F.coalesce(F.conv(F.hex(F.substring("data", (k + 1).cast("int"), F.lit(1))), 16, 10).cast("long"), F.lit(0))
+
+    def value(k: Column) -> Column:
+        start = c("start") - c("piece") * (8 * _PIECE) + k * bits
+        at = idiv(start, 8)
+        raw = F.call_function("shiftright", byte(at) + byte(at + 1) * 256, (start % 8).cast("int"))
+        low6 = raw.bitwiseAND(F.lit(63))
+        six = F.when(c("kind").isin(streams.SIX - 1, streams.SIX_ALL - 1), low6).otherwise(F.lit(63) - low6)  # as it is, or what is missing to 63
+        return F.when(c("kind") == streams.ONE, raw.bitwiseAND(F.lit(1)) * 255).when(c("kind") == streams.EIGHT, raw.bitwiseAND(F.lit(255))).otherwise(shl(six, 2).bitwiseOR(shr(six, 4))).cast("int")
+
+    return both.select("image_id", "y", "mx", "left", F.transform(F.sequence(F.lit(0), (c("n") - 1).cast("int")), value).alias("run"))
 
 
 def decode(chunks: DataFrame, width: int, height: int, factors: DataFrame | None = None) -> DataFrame:
@@ -365,7 +376,7 @@ def decode(chunks: DataFrame, width: int, height: int, factors: DataFrame | None
     corners = once.join(colors, ["image_id", "pass", "n"]).select("image_id", "cy", "cx", *[uncompress(k, RATE).cast("int").alias(k) for k in RGB])
     smooth = gradient.decode(tiles, checkpointed(corners), RGB).select("image_id", c("y").cast("int").alias("y"), c("x").cast("int").alias("x"), *RGB)
 
-    names = keyed.select("image_id", "alpha").distinct()
+    names = checkpointed(_files(keyed))  # a row for each file
     grid = _grid_blocks(names, width, height)
     masked = _masks(keyed)
     mask = masked.select("image_id", F.explode("s").alias("s")).select("image_id", "s.*")
@@ -393,16 +404,27 @@ def decode(chunks: DataFrame, width: int, height: int, factors: DataFrame | None
     rest = values.groupBy(F.col("image_id.image_id").alias("image_id"), "y", "x").agg(*[F.max(F.when(c("image_id.plane") == k, c("v"))).alias(n) for k, n in enumerate(RGB)])
     out = out.unionByName(rest)
 
-    whole = out.join(names, "image_id")
+    whole = out.join(F.broadcast(names), "image_id")
     return _with_alpha(whole, keyed, mask).select(F.col("image_id").alias("name"), "y", "x", *RGB, "a")
 
 
+def _files(keyed: DataFrame) -> DataFrame:
+    """(image_id, alpha, clear): a row for each file; clear: it has an alpha chunk."""
+    return keyed.groupBy("image_id", "alpha").agg(F.max(c("tag") == ALPHA).alias("clear"))
+
+
+def _alpha_of() -> Column:
+    """a of pixels (alpha, clear, x, left, run): null in files without alpha, 255 where no chunk has it, 0 beyond the chunk's box."""
+    a = F.when(~F.col("alpha"), F.lit(None).cast("int")).when(F.col("clear"), F.coalesce(F.get("run", c("x") - F.col("left")), F.lit(0))).otherwise(255)
+    return a.cast("int").alias("a")
+
+
 def _with_alpha(pixels: DataFrame, keyed: DataFrame, mask: DataFrame) -> DataFrame:
-    """Pixels (image_id, y, x, alpha, ...) with a: null in files without alpha, 255 where no chunk has it, 0 beyond the chunk's box."""
-    clear = keyed.where(c("tag") == ALPHA).select("image_id").distinct().withColumn("_chunk", F.lit(True))
-    seen = pixels.join(_decoded_alpha(keyed, mask), ["image_id", "y", "x"], "left").join(clear, "image_id", "left")
-    a = F.when(~F.col("alpha"), F.lit(None).cast("int")).when(F.col("_chunk"), F.coalesce("a", F.lit(0))).otherwise(255)
-    return seen.withColumn("a", a.cast("int")).drop("_chunk")
+    """Pixels (image_id, y, x, alpha, clear, ...) with a."""
+    if keyed.where(c("tag") == ALPHA).isEmpty():
+        return pixels.withColumn("a", F.when(F.col("alpha"), 255))
+    runs = streams.dealt(_decoded_alpha(keyed, mask))
+    return pixels.withColumn("mx", shr("x", 4)).join(runs, ["image_id", "y", "mx"], "left").select(*pixels.columns, _alpha_of())
 
 
 def encode_alpha(pixels: DataFrame, width: int, height: int, eight: Column | None = None) -> DataFrame:
@@ -420,10 +442,13 @@ def _named(out: DataFrame, width: int, height: int, alpha: bool) -> DataFrame:
 def decode_alpha(chunks: DataFrame, width: int, height: int) -> DataFrame:
     """(name, y, x, a) of files, from their masks and alpha alone."""
     keyed = chunks.select(F.col("name").alias("image_id"), "alpha", "seq", "tag", "payload")
-    names = keyed.select("image_id", "alpha").distinct()
+    wide, high = (width + 3) // 4 * 4, (height + 3) // 4 * 4
     mask = _masks(keyed).select("image_id", F.explode("s").alias("s")).select("image_id", "s.*")
-    every = _block_pixels(_grid_blocks(names, width, height)).join(names, "image_id")
-    return _with_alpha(every, keyed, mask).select(F.col("image_id").alias("name"), "y", "x", "a")
+    lines = _files(keyed).select("*", F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("y")).repartition("image_id", "y")
+    tiles = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit((wide - 1) >> _MIP_LEVEL))).alias("mx"))
+    seen = tiles.join(streams.dealt(_decoded_alpha(keyed, mask)), ["image_id", "y", "mx"], "left")
+    columns = F.explode(F.sequence(c("mx") * 16, F.least(c("mx") * 16 + 15, F.lit(wide - 1)))).alias("x")
+    return seen.select("*", columns).select(F.col("image_id").alias("name"), "y", "x", _alpha_of())
 
 
 def _masks(keyed: DataFrame) -> DataFrame:
