@@ -1,13 +1,44 @@
-"""Alpha is read by runs that lie in one piece of a stream."""
+"""What is unpacked from files is joined by shuffles, and alpha is read by runs that lie in one piece of a stream."""
 
 import random
+import re
 import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from tilewright.plans import images
-from tilewright.sources.container import ALPHA, MIP
+from tilewright.sources.container import ALPHA, MIP, pack_file, read_containers
+
+
+def broadcast_explodes(frame) -> list[str]:
+    """Lines of the plan that explode rows below a broadcast: what the driver would gather whole."""
+    held, inside = [], None
+    for line in frame._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(re.match(r"[\s:|+-]*", line).group())
+        if inside is not None and depth <= inside:
+            inside = None
+        if inside is None and "BroadcastExchange" in line:
+            inside = depth
+        elif inside is not None and "Generate" in line:
+            held.append(line)
+    return held
+
+
+def test_unpacked_streams_are_not_broadcast(spark, tmp_path):
+    """Nor is a bitmap or a mask; the pixels of a file of one colour, seen in the left half."""
+    zipped = zstandard.ZstdCompressor().compress
+    symbols, params, alpha = zipped(bytes(256)), zipped(bytes([50, 0, 0]) * 4), zipped(bytes(range(128)))
+    planes = [(k + 2, "1DTL", struct.pack("<BxxxIII", k, 256, len(symbols), len(params)) + symbols + params) for k in range(3)]
+    kept = [(0, MIP, struct.pack("<4iIBBxx", 0, 0, 2, 1, 1, 1, 4) + b"\3"), (1, ALPHA, struct.pack("<4iIIBBxx", 0, 0, 16, 8, len(alpha), 128, 1, 6) + alpha)]
+    (tmp_path / "image-0.tile").write_bytes(pack_file(32, 8, True, [c[1:] for c in kept + planes]))
+    chunks = read_containers(spark, str(tmp_path)).withColumn("name", F.lit("image-0"))
+    frame, seen = images.decode(chunks, 32, 8), images.decode_alpha(chunks, 32, 8)
+    assert broadcast_explodes(frame) == [] and broadcast_explodes(seen) == []
+    alpha_at = {(y, x): y * 16 + x if x < 16 else 0 for y in range(8) for x in range(32)}
+    assert {(r.y, r.x): (r.r, r.g, r.b, r.a) for r in frame.collect()} == {at: (50, 50, 50, a) for at, a in alpha_at.items()}
+    assert {(r.y, r.x): r.a for r in seen.collect()} == alpha_at
 
 
 @pytest.mark.parametrize("kind,bits", [(1, 1), (2, 6), (3, 6), (4, 6), (5, 6), (6, 8)])

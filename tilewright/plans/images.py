@@ -296,7 +296,7 @@ def _decoded_tables(keyed: DataFrame, used: DataFrame, factors: DataFrame, width
     of a tile only the blocks that are free when its turn comes have entries in the file."""
     head = "rate int, streams array<binary>"
     read = checkpointed(keyed.where(c("tag") == TABLE).select("image_id", _udf(_table_parts, head)("payload").alias("s")).select("image_id", "s.*"))
-    each = checkpointed(streams.bytes_of(read.select("image_id", F.posexplode("streams").alias("stream", "data")), ["image_id", "stream"], "data"))
+    each = checkpointed(streams.bytes_of(read.select("image_id", "rate", F.posexplode("streams").alias("stream", "data")), ["image_id", "rate", "stream"], "data"))
     sizes = list(streams.MAPS)
     pick = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in sizes]), c("stream") - 5)
     bits = each.where("stream >= 6 and v > 0").select("image_id", (c("stream") - 6).alias("pass"), pick(0).alias("tw"), pick(1).alias("th"), "at", "v", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
@@ -307,18 +307,18 @@ def _decoded_tables(keyed: DataFrame, used: DataFrame, factors: DataFrame, width
     table, depth = lut_word_parts("word")
     word = word.select("image_id", "n", shr(table, 6).cast("int").alias("lut_id"), table.bitwiseAND(F.lit(63)).cast("int").alias("mode"), (depth + 3).cast("int").alias("depth"))
     ends = [f"{n}{k}" for k in (0, 1) for n in RGB]
-    boxes = each.where(c("stream") == streams.BOXES).join(read.select("image_id", "rate"), "image_id").select("image_id", idiv("at", 6).alias("n"), (c("at") % 6).alias("k"), uncompress("v", "rate").cast("int").alias("v"))
+    boxes = each.where(c("stream") == streams.BOXES).select("image_id", idiv("at", 6).alias("n"), (c("at") % 6).alias("k"), uncompress("v", "rate").cast("int").alias("v"))
     boxes = boxes.groupBy("image_id", "n").agg(*[F.max(F.when(c("k") == k, c("v"))).alias(e) for k, e in enumerate(ends)])
-    known = checkpointed(numbered.join(word, ["image_id", "n"]).join(boxes, ["image_id", "n"]))
+    known = checkpointed(numbered.join(streams.dealt(word), ["image_id", "n"]).join(streams.dealt(boxes), ["image_id", "n"]))
     owner = F.min_by(F.struct("place", "tw", "tx"), "place").alias("o")
-    held = checkpointed(_tile_blocks(known, "place", "tw", "tx").join(used, ["image_id", "by", "bx"], "left_anti").groupBy("image_id", "by", "bx").agg(owner).select("image_id", "by", "bx", "o.*"))
+    held = checkpointed(_tile_blocks(known, "place", "tw", "tx").join(streams.dealt(used), ["image_id", "by", "bx"], "left_anti").groupBy("image_id", "by", "bx").agg(owner).select("image_id", "by", "bx", "o.*"))
     sizes_of = held.groupBy("image_id", "place").agg((F.count("*") * 16).alias("pixels"))
-    started = streams.offsets(known.join(sizes_of, ["image_id", "place"], "left").na.fill(0, ["pixels"]), ["image_id", "depth"], "place", "pixels")
+    started = streams.offsets(known.join(streams.dealt(sizes_of), ["image_id", "place"], "left").na.fill(0, ["pixels"]), ["image_id", "depth"], "place", "pixels")
     pixels = _block_pixels(held, "place", "tw", "tx")
     within = F.row_number().over(Window.partitionBy("image_id", "place").orderBy(idiv(c("x") - c("tx") * c("tw"), 8), "y", "x")) - 1
-    wanted = pixels.withColumn("within", within).drop("tw", "tx").join(started.select("image_id", "place", "before", "lut_id", "mode", "depth", *ends), ["image_id", "place"])
+    wanted = pixels.withColumn("within", within).drop("tw", "tx").join(streams.dealt(started.select("image_id", "place", "before", "lut_id", "mode", "depth", *ends)), ["image_id", "place"])
     wanted = wanted.withColumn("at", c("before") + c("within")).withColumn("stream", c("depth") - 3)
-    entry = wanted.join(each.where("stream < 4"), ["image_id", "stream", "at"]).withColumn("idx", idiv("v", 3).cast("int"))
+    entry = wanted.join(streams.dealt(each.where("stream < 4").drop("rate")), ["image_id", "stream", "at"]).withColumn("idx", idiv("v", 3).cast("int"))
     colors = lut.entry_colors(entry.join(F.broadcast(factors), ["lut_id", "depth", "idx"]), RGB, ["image_id", "y", "x"])
     return colors, held.select("image_id", "by", "bx")
 
@@ -373,15 +373,15 @@ def decode(chunks: DataFrame, width: int, height: int, factors: DataFrame | None
     once = spread.withColumn("k", F.row_number().over(first)).where("k = 1")
     once = once.withColumn("n", F.row_number().over(Window.partitionBy("image_id", "pass").orderBy("pos", "side")) - 1)
     colors = read.select("image_id", F.col("seq").alias("pass"), F.explode("s.colors").alias("q")).select("image_id", "pass", "q.*")
-    corners = once.join(colors, ["image_id", "pass", "n"]).select("image_id", "cy", "cx", *[uncompress(k, RATE).cast("int").alias(k) for k in RGB])
-    smooth = gradient.decode(tiles, checkpointed(corners), RGB).select("image_id", c("y").cast("int").alias("y"), c("x").cast("int").alias("x"), *RGB)
+    corners = once.join(streams.dealt(colors), ["image_id", "pass", "n"]).select("image_id", "cy", "cx", *[uncompress(k, RATE).cast("int").alias(k) for k in RGB])
+    smooth = gradient.decode(tiles, streams.dealt(checkpointed(corners)), RGB).select("image_id", c("y").cast("int").alias("y"), c("x").cast("int").alias("x"), *RGB)
 
     names = checkpointed(_files(keyed))  # a row for each file
     grid = _grid_blocks(names, width, height)
     masked = _masks(keyed)
     mask = masked.select("image_id", F.explode("s").alias("s")).select("image_id", "s.*")
     quarter = grid.withColumn("my", shr("by", 2)).withColumn("mx", shr("bx", 2))
-    hidden = quarter.join(masked.select("image_id"), "image_id", "left_semi").join(mask, ["image_id", "my", "mx"], "left_anti").select("image_id", "by", "bx")
+    hidden = quarter.join(F.broadcast(masked.select("image_id")), "image_id", "left_semi").join(streams.dealt(mask), ["image_id", "my", "mx"], "left_anti").select("image_id", "by", "bx")
     used = checkpointed(_tile_blocks(tiles).distinct().unionByName(hidden))
     out = smooth.unionByName(_block_pixels(hidden).select("image_id", "y", "x", *[F.lit(0).alias(k) for k in RGB]))
     if factors is not None:
@@ -390,16 +390,16 @@ def decode(chunks: DataFrame, width: int, height: int, factors: DataFrame | None
     elif not keyed.where(c("tag") == TABLE).isEmpty():
         raise ValueError("INVALID_LUT: the files hold tiles of point tables and none are assigned")
 
-    left = grid.join(used, ["image_id", "by", "bx"], "left_anti").withColumn("tile", idiv("by", 2) * ((width + 7) // 8) + idiv("bx", 2))
+    left = grid.join(streams.dealt(used), ["image_id", "by", "bx"], "left_anti").withColumn("tile", idiv("by", 2) * ((width + 7) // 8) + idiv("bx", 2))
     by_tile = left.groupBy("image_id", "tile").agg((F.count("*") * 16).alias("n"))
     numbers = streams.offsets(streams.offsets(by_tile, ["image_id"], "tile", "n"), ["image_id"], "tile", F.lit(1), "t")
     within = F.row_number().over(Window.partitionBy("image_id", "tile").orderBy("y", "x")) - 1
-    placed = _block_pixels(left, "tile").withColumn("within", within).join(numbers, ["image_id", "tile"]).select("image_id", "y", "x", "t", (c("before") + c("within")).alias("at"))
+    placed = _block_pixels(left, "tile").withColumn("within", within).join(streams.dealt(numbers), ["image_id", "tile"]).select("image_id", "y", "x", "t", (c("before") + c("within")).alias("at"))
     coded = checkpointed(keyed.where(c("tag") == RANGE).select("image_id", _udf(_range_parts, "struct<plane:int,symbols:binary,params:binary>")("payload").alias("s")).select("image_id", "s.*"))
     symbols = streams.bytes_of(coded, ["image_id", "plane"], "symbols").withColumnRenamed("v", "sym")
     raw = streams.bytes_of(coded, ["image_id", "plane"], "params")
     params = raw.groupBy("image_id", "plane", idiv("at", 3).alias("t")).agg(*[F.max(F.when(c("at") % 3 == j, c("v"))).alias(n) for j, n in enumerate(("color0", "mn", "dl"))])
-    both = placed.join(symbols, ["image_id", "at"]).join(params, ["image_id", "plane", "t"])
+    both = placed.join(streams.dealt(symbols), ["image_id", "at"]).join(streams.dealt(params), ["image_id", "plane", "t"])
     values = quant1d.decode(both.withColumn("image_id", F.struct("image_id", "plane")))
     rest = values.groupBy(F.col("image_id.image_id").alias("image_id"), "y", "x").agg(*[F.max(F.when(c("image_id.plane") == k, c("v"))).alias(n) for k, n in enumerate(RGB)])
     out = out.unionByName(rest)
